@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 from folio.llm.bpe import op2_bpe
+from folio.llm.chat import OP4_SQL, op4_chat
+from folio.llm.fingerprints import op9_fingerprints
+from folio.llm.langid import op1_langid
 from folio.llm.mixing import op5_mixing
 from folio.llm.quality import op3_quality
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_quality": op3_quality, "op5_mixing": op5_mixing}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_langid": op1_langid,
+    "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
+    "op4_chat": op4_chat,
+    "op5_mixing": op5_mixing,
+    "op9_fingerprints": op9_fingerprints,
+}
+ORACLES: dict[str, str] = {"op4_chat": OP4_SQL}
