@@ -8,6 +8,7 @@ from folio.llm.fingerprints import op9_fingerprints
 from folio.llm.langid import op1_langid
 from folio.llm.mixing import op5_mixing
 from folio.llm.quality import op3_quality
+from folio.llm.substrings import OP8_SQL, op8_substrings
 
 QUERIES = {
     "op1_langid": op1_langid,
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,
     "op5_mixing": op5_mixing,
+    "op8_substrings": op8_substrings,
     "op9_fingerprints": op9_fingerprints,
 }
-ORACLES: dict[str, str] = {"op4_chat": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op8_substrings": OP8_SQL}
