@@ -7,6 +7,8 @@ from folio.llm.chat import OP4_SQL, op4_chat
 from folio.llm.fingerprints import op9_fingerprints
 from folio.llm.langid import op1_langid
 from folio.llm.mixing import op5_mixing
+from folio.llm.neardup import op10_near_duplicates
+from folio.llm.pii import op7_pii
 from folio.llm.quality import op3_quality
 from folio.llm.substrings import OP8_SQL, op8_substrings
 
@@ -16,7 +18,9 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,
     "op5_mixing": op5_mixing,
+    "op7_pii": op7_pii,
     "op8_substrings": op8_substrings,
     "op9_fingerprints": op9_fingerprints,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op8_substrings": OP8_SQL}
