@@ -11,6 +11,7 @@ from folio.llm.neardup import op10_near_duplicates
 from folio.llm.pii import op7_pii
 from folio.llm.quality import op3_quality
 from folio.llm.substrings import OP8_SQL, op8_substrings
+from folio.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_langid": op1_langid,
@@ -18,9 +19,10 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,
     "op5_mixing": op5_mixing,
+    "op6_warc": op6_warc,
     "op7_pii": op7_pii,
     "op8_substrings": op8_substrings,
     "op9_fingerprints": op9_fingerprints,
     "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op8_substrings": OP8_SQL}
+ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op6_warc": OP6_SQL, "op8_substrings": OP8_SQL}
