@@ -10,7 +10,7 @@ SPACE = r"\t\n\x0B\f\r    -     　﻿"
 # The presets of the search for personal data.
 PRESETS = {
     "email": r"[\w.+-]+@[\w-]+\.[\w.-]+",
-    "phone": r"\+?\d[\d ().-]{7,}\d",
+    "phone": rf"\+?\d[\d{SPACE}().-]{{7,}}\d",
     "number": r"\b\d{4,}\b",
 }
 
