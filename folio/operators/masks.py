@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.columns import half_up
-from folio.operators.raster import COLUMN, KEY, ROW, box_sums, spread
+from folio.operators.raster import KEY, box_sums, by_column, by_row, spread
 
 
 def mask_rect(grid: DataFrame, x: float, y: float, w: float, h: float) -> DataFrame:
@@ -64,7 +64,7 @@ def feather(mask: DataFrame, radius: int) -> DataFrame:
 def grow(mask: DataFrame, radius: int) -> DataFrame:
     """Square dilation (radius above 0) or erosion (below); outside counts as 0."""
     n, rows = abs(radius), mask.repartition("image_id")
-    for order in (ROW, COLUMN):
+    for order in (by_row(), by_column()):
         near, whole = order.rowsBetween(-n, n), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         inner = (F.row_number().over(order) > n) & (F.row_number().over(order) <= F.count("*").over(whole) - n)
         v = F.max("m").over(near) if radius > 0 else F.when(inner, F.min("m").over(near)).otherwise(0)

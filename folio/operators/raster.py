@@ -13,14 +13,23 @@ from folio.functions.columns import clamp8, half_up
 from folio.sources.tables import written
 
 KEY = ["image_id", "x", "y"]
-IMAGE = Window.partitionBy("image_id")
-ROW = Window.partitionBy("image_id", "y").orderBy("x")
-COLUMN = Window.partitionBy("image_id", "x").orderBy("y")
+
+
+def by_image():
+    return Window.partitionBy("image_id")
+
+
+def by_row():
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def by_column():
+    return Window.partitionBy("image_id", "x").orderBy("y")
 
 
 def sized(px: DataFrame) -> DataFrame:
     """With the width and height of each image."""
-    return px.withColumns({"width": F.max("x").over(IMAGE) + 1, "height": F.max("y").over(IMAGE) + 1})
+    return px.withColumns({"width": F.max("x").over(by_image()) + 1, "height": F.max("y").over(by_image()) + 1})
 
 
 def each(px: DataFrame, f, names: str = "rgb") -> DataFrame:
@@ -78,7 +87,7 @@ def resize_px(px: DataFrame, w: int, h: int) -> DataFrame:
 def trim_px(px: DataFrame, least: int = 8) -> DataFrame:
     """The box of pixels with alpha above ``least``; an empty image stays."""
     seen = F.col("a") > least
-    b = px.withColumns({f"{f}{c}": getattr(F, f)(F.when(seen, F.col(c))).over(IMAGE) for f in ("min", "max") for c in "xy"})
+    b = px.withColumns({f"{f}{c}": getattr(F, f)(F.when(seen, F.col(c))).over(by_image()) for f in ("min", "max") for c in "xy"})
     inside = F.col("minx").isNull() | (F.col("x").between(F.col("minx"), F.col("maxx")) & F.col("y").between(F.col("miny"), F.col("maxy")))
     kept = b.where(inside)
     return kept.withColumns({"x": F.col("x") - F.coalesce("minx", F.lit(0)), "y": F.col("y") - F.coalesce("miny", F.lit(0))}).drop("minx", "maxx", "miny", "maxy")
@@ -183,7 +192,7 @@ def box_pass(px: DataFrame, radius: int, names: str, order) -> DataFrame:
 def box_sums(px: DataFrame, radius: int, passes: int, names: str) -> DataFrame:
     out = each(px.repartition("image_id"), lambda v: v.cast("long"), names)
     for _ in range(passes):
-        out = box_pass(box_pass(out, radius, names, ROW), radius, names, COLUMN)
+        out = box_pass(box_pass(out, radius, names, by_row()), radius, names, by_column())
     return out
 
 
@@ -255,8 +264,8 @@ def gathered(px: DataFrame, names: str = "rgb") -> DataFrame:
     repeats.  Two windows on rows dealt by image."""
     cell = F.struct(*[F.col(c) for c in names])
     rows = px.repartition("image_id").withColumn("__cell", cell)
-    row = rows.withColumn("__row", F.array(F.coalesce(F.lag("__cell").over(ROW), "__cell"), F.col("__cell"), F.coalesce(F.lead("__cell").over(ROW), "__cell")))
-    return row.withColumn("near", F.concat(F.coalesce(F.lag("__row").over(COLUMN), "__row"), F.col("__row"), F.coalesce(F.lead("__row").over(COLUMN), "__row"))).drop("__cell", "__row")
+    row = rows.withColumn("__row", F.array(F.coalesce(F.lag("__cell").over(by_row()), "__cell"), F.col("__cell"), F.coalesce(F.lead("__cell").over(by_row()), "__cell")))
+    return row.withColumn("near", F.concat(F.coalesce(F.lag("__row").over(by_column()), "__row"), F.col("__row"), F.coalesce(F.lead("__row").over(by_column()), "__row"))).drop("__cell", "__row")
 
 
 def weighted(kernel, c: str) -> Column:
@@ -353,7 +362,7 @@ def composite(layers: DataFrame) -> DataFrame:
 
 def apply_alpha(px: DataFrame, mask: DataFrame) -> DataFrame:
     """Alpha times a plane (image_id, x, y, m) of another size, nearest sample."""
-    m = mask.withColumns({"mw": F.max("x").over(IMAGE) + 1, "mh": F.max("y").over(IMAGE) + 1}).select("image_id", F.col("x").alias("mx"), F.col("y").alias("my"), "m")
+    m = mask.withColumns({"mw": F.max("x").over(by_image()) + 1, "mh": F.max("y").over(by_image()) + 1}).select("image_id", F.col("x").alias("mx"), F.col("y").alias("my"), "m")
     dims = mask.groupBy("image_id").agg((F.max("x") + 1).alias("mw"), (F.max("y") + 1).alias("mh"))
     at = sized(px).join(dims, "image_id").withColumns({"mx": F.floor(F.col("x") * F.col("mw") / F.col("width")).cast("int"), "my": F.floor(F.col("y") * F.col("mh") / F.col("height")).cast("int")})
     return at.join(m, ["image_id", "mx", "my"]).withColumn("a", half_up(F.col("a") * F.col("m") / 255).cast("int")).select(*KEY, *"rgba")
@@ -393,5 +402,5 @@ def range_mask(px: DataFrame, ranges: dict[str, tuple[int, int]]) -> DataFrame:
 
 def undelta(px: DataFrame, how: str) -> DataFrame:
     """Undoes differences to the left or the upper neighbour, modulo 256."""
-    order = (ROW if how == "left" else COLUMN).rowsBetween(Window.unboundedPreceding, 0)
+    order = (by_row() if how == "left" else by_column()).rowsBetween(Window.unboundedPreceding, 0)
     return px.withColumns({c: F.pmod(F.sum(c).over(order), F.lit(256)).cast("int") for c in "rgb"})

@@ -153,7 +153,7 @@ def text_garbage_ratio(t):
     return t.documents.select("doc_id", tx.garbage_ratio(F.col("text")).alias("ratio"))
 
 
-SPACED_SQL = "SELECT doc_id, page_no, line0, 0 AS word0, CAST(row_number() OVER (PARTITION BY doc_id, page_no, line0 ORDER BY x) AS INT) AS g_no, s, CAST(x + CASE WHEN word0 >= 5 THEN 3 ELSE 0 END AS INT) AS x, w, base, size FROM (SELECT doc_id, page_no, line0, word0, s, x, w, base, size FROM fx_glyphs WHERE line0 % 4 = 0 UNION ALL SELECT doc_id, page_no, line0, word0, ' ', x - 6 * k, 6, base, 10 FROM fx_glyphs CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 0.5) AS ks WHERE g_no = 0 AND word0 > 0 AND line0 % 4 = 0 AND (k = 1 OR word0 % 3 = 0)) AS u"
+SPACED_SQL = "SELECT doc_id, page_no, line0, 0 AS word0, CAST(row_number() OVER (PARTITION BY doc_id, page_no, line0 ORDER BY x) AS INT) AS g_no, s, CAST(x + CASE WHEN word0 >= 5 THEN 3 ELSE 0 END AS INT) AS x, w, base, size FROM (SELECT doc_id, page_no, line0, word0, s, x, w, base, size FROM fx_glyphs WHERE line0 % 4 = 0 UNION ALL SELECT doc_id, page_no, line0, word0, ' ', x - 6, 6, base, 10 FROM fx_glyphs WHERE g_no = 0 AND word0 > 0 AND line0 % 4 = 0 UNION ALL SELECT doc_id, page_no, line0, word0, ' ', x - 3, 6, base, 10 FROM fx_glyphs WHERE g_no = 0 AND word0 > 0 AND line0 % 4 = 0 AND word0 % 3 = 0) AS u"
 
 
 @query("text_unit_split", f"""

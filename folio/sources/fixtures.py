@@ -46,7 +46,7 @@ SELECT user_id % 50 AS doc_id, CAST(user_id AS STRING) AS obj_key, event_id AS o
   event_type AS type, value FROM events""",
     "fx_regions": """
 SELECT DISTINCT doc_id, page_no, CAST(50 + 10 * (doc_id % 20) + 60 * k AS INT) AS rx, CAST(40 + 24 * (doc_id % 15) AS INT) AS ry, 90 AS rw, 40 AS rh
-FROM (SELECT doc_id, CAST(doc_id % 3 + 1 AS INT) AS page_no FROM documents) AS d CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) AS ks WHERE k <= doc_id % 2""",
+FROM (SELECT doc_id, CAST(doc_id % 3 + 1 AS INT) AS page_no, 0 AS k FROM documents UNION ALL SELECT doc_id, CAST(doc_id % 3 + 1 AS INT), 1 FROM documents WHERE doc_id % 2 = 1) AS d""",
     "fx_fields": """
 SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 100 + n_nationkey AS node_id, CAST(NULL AS BIGINT) AS parent_id, n_name AS t, CASE WHEN n_nationkey % 2 = 0 THEN 'Tx' END AS ft,
   CASE WHEN n_nationkey % 3 = 0 THEN 1 END AS ff, CAST(NULL AS STRING) AS v, CAST(NULL AS INT) AS max_len, FALSE AS terminal FROM nation
