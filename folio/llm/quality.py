@@ -157,3 +157,25 @@ def op3_quality(spark, sf_dir: str) -> DataFrame:
     found = judge(load(spark, sf_dir, "documents", "doc_id", "text"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return found.select("doc_id", *base, "kept_words", F.sha2(F.col("cleaned").cast("binary"), 256).alias("cleaned_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+g AS (SELECT row, i, count(*) OVER (PARTITION BY row, words[i], words[i + 1], words[i + 2]) AS n FROM (SELECT row, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2)),
+c AS (SELECT row, count(DISTINCT k) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS k FROM g WHERE n > 1) GROUP BY row),
+s AS (SELECT row, k, lines[k] AS line FROM (SELECT row, lines, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT row, string_split(text, chr(10)) AS lines FROM d))),
+l AS (SELECT row, k, line, row_number() OVER (PARTITION BY row, line ORDER BY k) AS nth, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM s WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+r AS (SELECT *, len(words) AS n, string_split_regex(line, '\s[|»›>·•]\s') AS parts FROM l),
+f AS (SELECT *, regexp_matches(line, '(?i)licensed under the|all rights reserved|permission is hereby granted|copyright \(c\)|terms of use|privacy policy|cookie policy|without warranties or conditions|subscribe to our newsletter|lorem ipsum')
+    OR (len(parts) >= 4 AND coalesce(list_sum(list_transform(parts, lambda p: len(regexp_extract_all(p, '[^\x20\x09-\x0D]+')))), 0) <= 3 * len(parts))
+    OR 100 * len(list_filter(words, lambda x: regexp_matches(x, '[#*$%&|<>]'))) > 50 * n
+    OR (n >= 4 AND 100 * len(list_filter(words, lambda x: x = upper(x) AND x <> lower(x))) > 80 * n)
+    OR (n >= 40 AND NOT contains('.!?…:;"''”’»)]。！？', right(rtrim(line), 1))) AS fails FROM r),
+k AS (SELECT row, CAST(sum(nth > 1) AS BIGINT) AS dup, CAST(coalesce(sum(n) FILTER (nth = 1 AND NOT fails), 0) AS BIGINT) AS kept_words, string_agg(line, chr(10) ORDER BY k) FILTER (nth = 1 AND NOT fails) AS cleaned FROM f GROUP BY row),
+a AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(kept_words, 0) AS kept_words, coalesce(cleaned, '') AS cleaned
+  FROM w LEFT JOIN c ON w.row = c.row LEFT JOIN k ON w.row = k.row),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * kept_words >= 50 * n_words AS kept, kept_words, sha256(cleaned) AS cleaned_sha256 FROM b
+"""

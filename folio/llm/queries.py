@@ -9,7 +9,7 @@ from folio.llm.langid import op1_langid
 from folio.llm.mixing import op5_mixing
 from folio.llm.neardup import op10_near_duplicates
 from folio.llm.pii import op7_pii
-from folio.llm.quality import op3_quality
+from folio.llm.quality import OP3_SQL, op3_quality
 from folio.llm.substrings import OP8_SQL, op8_substrings
 from folio.llm.warc import OP6_SQL, op6_warc
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op6_warc": OP6_SQL, "op8_substrings": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op6_warc": OP6_SQL, "op8_substrings": OP8_SQL}
