@@ -19,20 +19,25 @@ GARBAGE = r"[\x00-\x08\x0A-\x1F\x7F-\x9F\x{E000}-\x{F8FF}]"
 
 def group_lines(runs: DataFrame) -> DataFrame:
     """``line_no`` for each run of a page.  Runs in order of y, then x; a line goes on while y is
-    within max(2, half the lesser height) of the line's first run, which a fold over the page
-    carries along."""
-    page = runs.where(F.abs(F.coalesce(F.col("rot"), F.lit(0.0))) < TURNED).groupBy("doc_id", "page_no")
-    sorted_runs = F.array_sort(F.collect_list(F.struct("y", "x", "run_id", "h", "w", "size", "str")))
-    start = F.struct(F.lit(0).alias("line"), F.lit(-1e9).cast("double").alias("y"), F.lit(0.0).cast("double").alias("h"), F.array().cast("array<int>").alias("lines"))
-
-    def step(acc: Column, run: Column) -> Column:
-        new = F.abs(run["y"] - acc["y"]) > F.greatest(F.lit(2.0), F.least(run["h"], acc["h"]) * 0.5)
-        line = F.when(new, acc["line"] + 1).otherwise(acc["line"])
-        return F.struct(line.alias("line"), F.when(new, run["y"].cast("double")).otherwise(acc["y"]).alias("y"), F.when(new, run["h"].cast("double")).otherwise(acc["h"]).alias("h"), F.array_append(acc["lines"], line).alias("lines"))
-
-    folded = page.agg(sorted_runs.alias("runs")).withColumn("lines", F.aggregate("runs", start, step, lambda a: a["lines"]))
-    both = folded.select("doc_id", "page_no", F.explode(F.arrays_zip("runs", "lines")).alias("z"))
-    return both.select("doc_id", "page_no", "z.runs.*", F.col("z.lines").alias("line_no"))
+    within max(2, half the lesser height) of the line's first run.
+
+    At one y a line can only begin at the first run of some height, so a fold over the page's
+    distinct (y, height) pairs finds where lines begin; a run's line is the number of beginnings
+    at or before it.  The fold's state is the page's lines, not its runs."""
+    flat = runs.where(F.abs(F.coalesce(F.col("rot"), F.lit(0.0))) < TURNED)
+    place = F.struct("y", "x", "run_id")
+    levels = flat.groupBy("doc_id", "page_no", "y", "h").agg(F.min(place).alias("at"))
+    levels = levels.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("at", F.col("y").cast("double").alias("y"), F.col("h").cast("double").alias("h")))).alias("levels"))
+    kind = dict(levels.dtypes)["levels"].removeprefix("array<struct<at:").split(",y:double")[0]
+    start = F.struct(F.lit(-1e9).alias("y"), F.lit(0.0).alias("h"), F.array().cast(f"array<{kind}>").alias("begin"))
+
+    def step(acc: Column, level: Column) -> Column:
+        new = F.abs(level["y"] - acc["y"]) > F.greatest(F.lit(2.0), F.least(level["h"], acc["h"]) * 0.5)
+        return F.struct(F.when(new, level["y"]).otherwise(acc["y"]).alias("y"), F.when(new, level["h"]).otherwise(acc["h"]).alias("h"), F.when(new, F.array_append(acc["begin"], level["at"])).otherwise(acc["begin"]).alias("begin"))
+
+    begins = levels.select("doc_id", "page_no", F.aggregate("levels", start, step, lambda a: a["begin"]).alias("begin"))
+    both = flat.join(begins, ["doc_id", "page_no"]).withColumn("at", place)
+    return both.withColumn("line_no", F.size(F.filter("begin", lambda b: b <= F.col("at")))).drop("begin", "at")
 
 
 def join_runs(lines: DataFrame) -> DataFrame:
