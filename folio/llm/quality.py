@@ -37,9 +37,9 @@ class Rules:
     #: A line is navigation with this many parts between separators, or more.
     navigation_parts: int = 4
     navigation_part_words: int = 3
-    #: A line that ends in no such mark and has this many words or more is unpunctuated.
+    #: A line of this many words or more in which no sentence ends is unpunctuated.
     unpunctuated_words: int = 40
-    end_marks: str = ".!?…:;\"'”’»)]。！？"
+    end_marks: str = ".!?…。！？"
     boilerplate: tuple[str, ...] = (
         "licensed under the", "all rights reserved", "permission is hereby granted", "copyright (c)", "terms of use",
         "privacy policy", "cookie policy", "without warranties or conditions", "subscribe to our newsletter", "lorem ipsum",
@@ -76,7 +76,7 @@ class Judge:
             return "symbols"
         if n >= 4 and 100 * sum(1 for w in words if w.isupper()) > rules.shouting_words * n:
             return "shouting"
-        if n >= rules.unpunctuated_words and line.rstrip()[-1:] not in rules.end_marks:
+        if n >= rules.unpunctuated_words and not any(c in line for c in rules.end_marks):
             return "punctuation"
         return ""
 
@@ -171,7 +171,7 @@ f AS (SELECT *, regexp_matches(line, '(?i)licensed under the|all rights reserved
     OR (len(parts) >= 4 AND coalesce(list_sum(list_transform(parts, lambda p: len(regexp_extract_all(p, '[^\x20\x09-\x0D]+')))), 0) <= 3 * len(parts))
     OR 100 * len(list_filter(words, lambda x: regexp_matches(x, '[#*$%&|<>]'))) > 50 * n
     OR (n >= 4 AND 100 * len(list_filter(words, lambda x: x = upper(x) AND x <> lower(x))) > 80 * n)
-    OR (n >= 40 AND NOT contains('.!?…:;"''”’»)]。！？', right(rtrim(line), 1))) AS fails FROM r),
+    OR (n >= 40 AND NOT regexp_matches(line, '[.!?…。！？]')) AS fails FROM r),
 k AS (SELECT row, CAST(sum(nth > 1) AS BIGINT) AS dup, CAST(coalesce(sum(n) FILTER (nth = 1 AND NOT fails), 0) AS BIGINT) AS kept_words, string_agg(line, chr(10) ORDER BY k) FILTER (nth = 1 AND NOT fails) AS cleaned FROM f GROUP BY row),
 a AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(kept_words, 0) AS kept_words, coalesce(cleaned, '') AS cleaned
