@@ -14,11 +14,11 @@ from folio.llm.pii import find_pii
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Part of a document's letters, weighted by confidence, that its language must have.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.34
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no language, or with no language of half their letters, go; the others stay as they are."""
+    """Documents of no language, or in which none has a third of the letters, go; the others stay as they are."""
     found = identify(docs.select(*COLUMNS), fit(docs.where(fold() != 0)))
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
