@@ -228,6 +228,7 @@ def sec_permissions(t):
 
 @query("sec_strength", """
 SELECT c_custkey, CASE WHEN length(p) < 6 THEN 0 ELSE CAST((length(p) >= 8)::INT + (length(p) >= 12)::INT + (regexp_matches(p, '[a-z]') AND regexp_matches(p, '[A-Z]'))::INT + (regexp_matches(p, '[0-9]') AND regexp_matches(p, '[^A-Za-z0-9]'))::INT AS INT) END AS score
-FROM (SELECT c_custkey, substr(c_name, 1, CAST(c_custkey % 19 AS INT)) AS p FROM customer)""")
+FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment WHEN 1 THEN c_name WHEN 2 THEN CAST(c_custkey AS STRING) ELSE lower(c_mktsegment) END AS p FROM customer)""")
 def sec_strength(t):
-    return t.customer.select("c_custkey", meta.password_score(F.substr("c_name", F.lit(1), (F.col("c_custkey") % 19).cast("int"))).alias("score"))
+    kind = F.col("c_custkey") % 4
+    return t.customer.select("c_custkey", meta.password_score(F.when(kind == 0, F.col("c_mktsegment")).when(kind == 1, F.col("c_name")).when(kind == 2, F.col("c_custkey").cast("string")).otherwise(F.lower("c_mktsegment"))).alias("score"))

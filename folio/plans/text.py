@@ -76,7 +76,7 @@ def asset_size_report(t):
 
 
 @query("page_preview", r"""
-WITH p AS (SELECT doc_id, page_no, trim(substr(trim(regexp_replace(string_agg(str, ' ' ORDER BY line0, word0), '\s+', ' ', 'g')), 1, 200)) AS snippet0, substr(trim(regexp_replace(string_agg(str, ' ' ORDER BY line0, word0), '\s+', ' ', 'g')), 1, 200) AS snippet FROM fx_runs GROUP BY doc_id, page_no),
+WITH p AS (SELECT doc_id, page_no, substr(trim(regexp_replace(string_agg(str, ' ' ORDER BY line0, word0), '\s+', ' ', 'g')), 1, 200) AS snippet FROM fx_runs GROUP BY doc_id, page_no),
 i AS (SELECT doc_id, page_no, asset_id, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY w * h DESC, asset_id) AS n FROM fx_images)
 SELECT p.doc_id, p.page_no, snippet, asset_id FROM p LEFT JOIN i ON p.doc_id = i.doc_id AND p.page_no = i.page_no AND n = 1""", "fx_runs", "fx_images")
 def page_preview(t):
@@ -102,9 +102,9 @@ def text_join(t):
     return tx.join_runs(tx.group_lines(t.sql(RUNS_SQL)))
 
 
-@query("text_ligatures", "SELECT doc_id, replace(replace(replace(concat(substr(text, 1, 80), 'ﬁn ﬀ ﬆ'), 'ﬁ', 'fi'), 'ﬀ', 'ff'), 'ﬆ', 'st') AS folded FROM documents")
+@query("text_ligatures", "SELECT doc_id, md5(replace(replace(replace(concat(text, 'ﬁn ﬀ ﬆ'), 'ﬁ', 'fi'), 'ﬀ', 'ff'), 'ﬆ', 'st')) AS folded FROM documents")
 def text_ligatures(t):
-    return t.documents.select("doc_id", tx.fold_ligatures(F.concat(F.substring("text", 1, 80), F.lit("ﬁn ﬀ ﬆ"))).alias("folded"))
+    return t.documents.select("doc_id", F.md5(tx.fold_ligatures(F.concat("text", F.lit("ﬁn ﬀ ﬆ")))).alias("folded"))
 
 
 @query("text_rotated_tail", f"""
@@ -133,11 +133,11 @@ def text_stats(t):
     return tx.text_stats(t.documents.select((F.col("doc_id") % 100).alias("doc_id"), "text"))
 
 
-@query("text_decode", r"SELECT doc_id, text AS decoded, NOT regexp_full_match(text, '[\x00-\xFF]*', 's') AS wide FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(substr(text, 1, 60), '→') ELSE substr(text, 1, 60) END AS text FROM documents)")
+@query("text_decode", r"SELECT doc_id, md5(text) AS decoded, NOT regexp_full_match(text, '[\x00-\xFF]*', 's') AS wide FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(text, '→') ELSE text END AS text FROM documents)")
 def text_decode(t):
-    rows = t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.substring("text", 1, 60), F.lit("→"))).otherwise(F.substring("text", 1, 60)).alias("text"))
+    rows = t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("→"))).otherwise(F.col("text")).alias("text"))
     coded = rows.withColumn("data", tx.encode_text(F.col("text")))
-    return coded.select("doc_id", tx.decode_text(F.col("data")).alias("decoded"), F.hex(F.substring("data", 1, 2)).eqNullSafe("FEFF").alias("wide"))
+    return coded.select("doc_id", F.md5(tx.decode_text(F.col("data"))).alias("decoded"), F.hex(F.substring("data", 1, 2)).eqNullSafe("FEFF").alias("wide"))
 
 
 @query("text_labels", r"""
@@ -153,7 +153,7 @@ def text_garbage_ratio(t):
     return t.documents.select("doc_id", tx.garbage_ratio(F.col("text")).alias("ratio"))
 
 
-SPACED_SQL = "SELECT doc_id, page_no, line0, 0 AS word0, CAST(row_number() OVER (PARTITION BY doc_id, page_no, line0 ORDER BY x) AS INT) AS g_no, s, CAST(x + CASE WHEN word0 >= 5 THEN 3 ELSE 0 END AS INT) AS x, w, base, size FROM (SELECT doc_id, page_no, line0, word0, s, x, w, base, size FROM fx_glyphs WHERE line0 % 4 = 0 UNION ALL SELECT doc_id, page_no, line0, word0, ' ', x - 6, 6, base, 10 FROM fx_glyphs WHERE g_no = 0 AND word0 > 0 AND line0 % 4 = 0 UNION ALL SELECT doc_id, page_no, line0, word0, ' ', x - 3, 6, base, 10 FROM fx_glyphs WHERE g_no = 0 AND word0 > 0 AND line0 % 4 = 0 AND word0 % 3 = 0) AS u"
+SPACED_SQL = "SELECT doc_id, page_no, line0, 0 AS word0, CAST(row_number() OVER (PARTITION BY doc_id, page_no, line0 ORDER BY x) AS INT) AS g_no, s, CAST(x + CASE WHEN word0 >= 5 THEN 3 ELSE 0 END AS INT) AS x, w, base, size FROM (SELECT doc_id, page_no, line0, word0, s, x, w, base, size FROM fx_glyphs UNION ALL SELECT doc_id, page_no, line0, word0, ' ', x - 6, 6, base, 10 FROM fx_glyphs WHERE g_no = 0 AND word0 > 0 UNION ALL SELECT doc_id, page_no, line0, word0, ' ', x - 3, 6, base, 10 FROM fx_glyphs WHERE g_no = 0 AND word0 > 0 AND word0 % 3 = 0) AS u"
 
 
 @query("text_unit_split", f"""
@@ -166,7 +166,7 @@ def text_unit_split(t):
     return tx.split_runs(t.sql(SPACED_SQL))
 
 
-MERGE_RUNS_SQL = "SELECT doc_id, page_no, str, CAST(x - CASE WHEN word0 % 4 = 1 THEN 4 ELSE 0 END AS INT) AS x, y, w, 10 AS size FROM fx_runs WHERE doc_id % 3 = 0"
+MERGE_RUNS_SQL = "SELECT doc_id, page_no, str, CAST(x - CASE WHEN word0 % 4 = 1 THEN 4 ELSE 0 END AS INT) AS x, y, w, 10 AS size FROM fx_runs"
 
 
 @query("text_unit_merge", f"""
@@ -261,7 +261,7 @@ def redact_images(t):
     return search.redact_images(t.fx_images, t.fx_regions)
 
 
-PX_REGIONS_SQL = "SELECT vec_id AS image_id, CAST(vec_id % 5 AS INT) AS px0, CAST(vec_id % 4 AS INT) AS py0, CAST(vec_id % 5 + 2 AS INT) AS px1, CAST(vec_id % 4 + 3 AS INT) AS py1 FROM embeddings WHERE vec_id % 2 = 0"
+PX_REGIONS_SQL = "SELECT vec_id AS image_id, CAST(vec_id % 5 AS INT) AS px0, CAST(vec_id % 4 AS INT) AS py0, CAST(vec_id % 5 + 2 AS INT) AS px1, CAST(vec_id % 4 + 3 AS INT) AS py1 FROM embeddings"
 
 
 @query("redact_pixels", f"""
@@ -281,7 +281,7 @@ def redact_annots(t):
     return search.redact_annots(t.sql(ANNOT_BOX_SQL), t.fx_regions).select("doc_id", "page_no", "subtype", "ord", "target")
 
 
-NEAR_SQL = "SELECT asset_id AS rid, doc_id, page_no, CAST(x + asset_id % 9 AS INT) AS rx, CAST(y + asset_id % 7 AS INT) AS ry, w AS rw, h AS rh FROM fx_images WHERE asset_id % 3 = 0"
+NEAR_SQL = "SELECT asset_id AS rid, doc_id, page_no, CAST(x + asset_id % 9 AS INT) AS rx, CAST(y + asset_id % 7 AS INT) AS ry, w AS rw, h AS rh FROM fx_images"
 
 
 @query("redact_drop_image", f"""
@@ -305,7 +305,7 @@ def redact_stats(t):
     return out
 
 
-SPANS_SQL = "SELECT doc_id AS span_id, doc_id, 1 AS page_no, CAST(52 + doc_id % 90 AS DOUBLE) AS px0, 40.0 AS py0, CAST(60 + doc_id % 50 AS DOUBLE) AS px1, CAST(40 + 12 * (doc_id % 3) AS DOUBLE) AS py1 FROM documents WHERE doc_id % 2 = 0"
+SPANS_SQL = "SELECT doc_id AS span_id, doc_id, 1 AS page_no, CAST(52 + doc_id % 90 AS DOUBLE) AS px0, 40.0 AS py0, CAST(60 + doc_id % 50 AS DOUBLE) AS px1, CAST(40 + 12 * (doc_id % 3) AS DOUBLE) AS py1 FROM documents"
 
 
 @query("text_selection", f"""

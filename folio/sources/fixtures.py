@@ -76,7 +76,7 @@ FROM (SELECT doc_id, line, words, unnest(range(1, len(words) + 1)) AS k FROM
     (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS j FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)))) WHERE words[k] <> ''""",
     "fx_glyphs": r"""
 SELECT doc_id, page_no, line0, word0, CAST(g - 1 AS INT) AS g_no, substr(str, CAST(g AS BIGINT), 1) AS s, CAST(x + 6 * (g - 1) AS INT) AS x, 6 AS w, y AS base, 10 AS size
-FROM (SELECT *, unnest(range(1, length(str) + 1)) AS g FROM fx_runs WHERE doc_id % 10 = 0)""",
+FROM (SELECT *, unnest(range(1, length(str) + 1)) AS g FROM fx_runs)""",
     "fx_pixels": f"""
 SELECT vec_id AS image_id, CAST(i % 8 AS INT) AS x, CAST(i // 8 AS INT) AS y, {PIXEL.format(i="i + 1")} AS r, {PIXEL.format(i="(i + 21) % 64 + 1")} AS g, {PIXEL.format(i="(i + 42) % 64 + 1")} AS b, 255 AS a
 FROM (SELECT vec_id, embedding AS e, unnest(range(0, 64)) AS i FROM embeddings)""",
@@ -145,8 +145,7 @@ class Tables:
         )
 
     def make_fx_glyphs(self) -> DataFrame:
-        runs = self.fx_runs.where("doc_id % 10 = 0")
-        return runs.select("doc_id", "page_no", "line0", "word0", "x", F.col("y").alias("base"), F.posexplode(F.split("str", "")).alias("g_no", "s")).select(
+        return self.fx_runs.select("doc_id", "page_no", "line0", "word0", "x", F.col("y").alias("base"), F.posexplode(F.split("str", "")).alias("g_no", "s")).select(
             "doc_id", "page_no", "line0", "word0", F.col("g_no").cast("int").alias("g_no"), "s", (F.col("x") + 6 * F.col("g_no")).cast("int").alias("x"), F.lit(6).alias("w"), "base", F.lit(10).alias("size")
         )
 
