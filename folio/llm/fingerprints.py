@@ -25,8 +25,8 @@ from folio.llm.common import WORD, load
 
 #: Words of a shingle; the fraction of hashes kept is 1 / 2**FRACTION_BITS.
 SHINGLE, FRACTION_BITS = 5, 3
-#: Ranges of ids, as RANGES = COARSE * COARSE, found in two steps.
-COARSE = 24
+#: Quantiles of the ids (COARSE * COARSE, found in two steps), and ranges in all.
+COARSE, MOST_RANGES = 24, 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -68,38 +68,49 @@ def shown(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), ",")
 
 
-def id_ranges(docs: DataFrame, key: str) -> tuple[Column, list]:
-    """The range (0, 1, ... in descending id order) of a row, and (range, first id) of those with rows."""
+def id_ranges(docs: DataFrame, key: str) -> tuple[Column, DataFrame]:
+    """The range of a row, numbered in descending id order, and for each range with rows its first
+    id and the range before it (before the first: the last).
+
+    Ranges lie between quantiles of the ids, each cut into equal widths as often as the shuffle
+    has partitions for; there are ``MOST_RANGES`` at most, whatever the input."""
     parts = [i / (COARSE * COARSE) for i in range(1, COARSE * COARSE)]
-    edges = docs.agg(F.percentile_approx(key, parts, 10_000).alias("e")).first()["e"] or []
-    edges = sorted(set(edges), reverse=True)
+    found = docs.agg(F.percentile_approx(key, parts, 10_000).alias("e"), F.min(key).alias("low"), F.max(key).alias("high")).first()
+    edges = sorted({*(found["e"] or [])}, reverse=True)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = min(MOST_RANGES // (COARSE * COARSE + 2), max(1, -(-2 * partitions // (COARSE * COARSE))))
     rows = [edges[i : i + COARSE] for i in range(0, len(edges), COARSE)]
-    if not rows:
-        number = F.lit(0)
-    else:
-        firsts = F.array(*[F.lit(r[0]).cast("long") for r in rows])
-        table = F.array(*[F.array(*[F.lit(x).cast("long") for x in r]) for r in rows])
-        row = F.size(F.filter(firsts, lambda e: e >= F.col(key)))
-        number = F.when(row == 0, 0).otherwise((row - 1) * COARSE + F.size(F.filter(F.get(table, row - 1), lambda e: e >= F.col(key))))
-    number = F.when(F.col(key).isNull(), len(edges) + 1).otherwise(number).cast("int")
-    firsts = docs.select(F.col(key).alias("id"), number.alias("n")).groupBy("n").agg(F.max("id").alias("first")).orderBy("n").collect()
-    return number, [(r["n"], r["first"]) for r in firsts]
+
+    def longs(values) -> Column:
+        return F.array(*[F.lit(v).cast("long") for v in values])
+
+    number = F.lit(0)
+    if rows:
+        row = F.size(F.filter(longs([r[0] for r in rows]), lambda e: e >= F.col(key)))
+        number = F.when(row == 0, 0).otherwise((row - 1) * COARSE + F.size(F.filter(F.get(F.array(*map(longs, rows)), row - 1), lambda e: e >= F.col(key))))
+    if cuts > 1 and edges:
+        high, low = (F.get(longs(x), number).cast("double") for x in ([found["high"], *edges], [*edges, found["low"]]))
+        part = F.floor((high - F.col(key).cast("double")) / F.greatest(high - low, F.lit(1.0)) * cuts)
+        number = number * cuts + F.least(F.greatest(part, F.lit(0)), F.lit(cuts - 1))
+    number = F.when(F.col(key).isNull(), (len(edges) + 1) * cuts).otherwise(number).cast("int")
+    firsts = docs.select(F.col(key).alias("id"), number.alias("range")).groupBy("range").agg(F.max("id").alias("first"))
+    every = Window.orderBy("range")
+    last = F.max("range").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return number, firsts.select("range", "first", F.coalesce(F.lag("range").over(every), last).alias("before"))
 
 
 def with_next(docs: DataFrame, *, key: str, columns: list[str]) -> DataFrame:
     """``docs`` with ``next_<column>`` from the next row in descending order of ``key``; after
     the last row comes the first."""
     number, firsts = id_ranges(docs, key)
-    rows = docs.withColumn("__range", number)
-    copies = F.array(F.struct(F.col("__range").alias("range"), F.lit(False).alias("copy")))
+    firsts = firsts.toDF("__range", "__first", "__before")
+    rows = docs.withColumn("__range", number).join(F.broadcast(firsts), "__range")
     # the first of a range stands, as a copy, at the end of the range before it
-    if firsts:
-        before = F.create_map(*[F.lit(x) for i, (n, _) in enumerate(firsts) for x in (n, firsts[i - 1][0])])
-        first = F.create_map(*[x for n, i in firsts for x in (F.lit(n), F.lit(i).cast("long"))])
-        leads = F.col(key).eqNullSafe(F.element_at(first, F.col("__range")))
-        copies = F.when(leads, F.concat(copies, F.array(F.struct(F.element_at(before, F.col("__range")).alias("range"), F.lit(True).alias("copy"))))).otherwise(copies)
+    own = F.struct(F.col("__range").alias("range"), F.lit(False).alias("copy"))
+    copy = F.struct(F.col("__before").alias("range"), F.lit(True).alias("copy"))
+    copies = F.when(F.col(key).eqNullSafe(F.col("__first")), F.array(own, copy)).otherwise(F.array(own))
     order = Window.partitionBy("__range").orderBy("__copy", F.col(key).desc_nulls_last(), *columns[:1])
-    rows = rows.withColumn("__at", F.explode(copies)).withColumn("__copy", F.col("__at.copy")).withColumn("__range", F.col("__at.range")).drop("__at")
+    rows = rows.withColumn("__at", F.explode(copies)).withColumn("__copy", F.col("__at.copy")).withColumn("__range", F.col("__at.range")).drop("__at", "__first", "__before")
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
     return rows.where(~F.col("__copy")).drop("__copy", "__range")
 
