@@ -6,8 +6,11 @@ text order; their hash is the band's key.  Keys agree if the texts share those k
 same order, which follows edit similarity, not only set overlap.  Each key's texts are compared
 with two pivots of that key, its least and its greatest text, never pair by pair.  Bands are
 taken in rounds: after the first, a text is compared only with pivots of other classes than its
-own, so a large group of near copies costs a few comparisons a text; at last, texts of a key
-that are in neither pivot's class meet pivots of their own.  A pair counts if the banded
+own, so a large group of near copies costs a few comparisons a text.  A further round takes as
+pivot the text of each key that meets most others in all its keys, which is the base of a group
+whose copies are alike to it only.  Keys that still hold several classes are then searched
+whole: every pair of texts of different classes in them is tried (``searched``), so in the end
+two texts that share a key are in one class if they are alike.  A pair counts if the banded
 alignment of all words costs at most a fifth of the longer text's words (similarity 0.8).
 Classes are the connected components of the pairs that count.
 
@@ -23,17 +26,24 @@ repeated rows are copies; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import load, python_rows, written
+from folio.llm.common import load, n_words, python_rows, written
 from folio.llm.substrings import Hasher
 
 SHINGLE, TOGETHER, BANDS, SIMILARITY_PERCENT = 5, 2, 24, 80
 #: Bands of each round: the first few join most copies, the others ask only across classes.
 ROUNDS = ((0, 3), (3, BANDS))
+#: Texts, and bytes of them, in a block of the search of whole keys; a larger text is a block of its own.
+BLOCK_TEXTS, BLOCK_BYTES = 512, 4 << 20
+#: Step of the classes of length: a little over 1 / 0.8, so texts alike are in one or two neighbours.
+LENGTH_STEP = 1.26
+#: Counters of a text's words, whose differences are a lower bound of the edits.
+COUNTERS = 256
 
 
 class OrderMinHash:
@@ -112,7 +122,10 @@ def distance(a: list, b: list, most: int) -> int:
 
 
 def alike(a: str, b: str) -> bool:
-    x, y = a.encode("utf-8", "surrogatepass").split(), b.encode("utf-8", "surrogatepass").split()
+    return close(a.encode("utf-8", "surrogatepass").split(), b.encode("utf-8", "surrogatepass").split())
+
+
+def close(x: list, y: list) -> bool:
     longer = max(len(x), len(y))
     most = longer * (100 - SIMILARITY_PERCENT) // 100
     if abs(len(x) - len(y)) > most:
@@ -161,6 +174,78 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return python_rows(both.select("a", "b", "text_a", "text_b"), run, "a binary, b binary", text="text_a")
 
 
+def tried(nodes: list, labels: list, texts: list, keys: list, band: int, sides: list) -> list:
+    """The pairs that link what a unit of the search holds.  ``sides`` has the block (0 or 1) and
+    whether the text visits from the next shorter class of length.  A pair is tried where it first
+    shares a key, and only while its classes are apart."""
+    import numpy as np
+
+    known, words = {}, []
+    for t in texts:
+        words.append([known.setdefault(w, len(known)) for w in t.encode("utf-8", "surrogatepass").split()])
+    n = np.array([len(w) for w in words])
+    counts = np.array([np.bincount(np.array(w, np.int64) % COUNTERS, minlength=COUNTERS) for w in words], np.int32)
+    roots = np.unique(np.array(labels, "S32"), return_inverse=True)[1]
+    all_keys = np.array(keys, np.int64)
+    block, visits = np.array([s[0] for s in sides]), np.array([s[1] for s in sides], bool)
+    two = block.any() and not block.all()
+    found = []
+    for i in np.flatnonzero(block == 0) if two else range(len(nodes)):
+        others = np.flatnonzero(block == 1) if two else np.arange(i + 1, len(nodes))
+        others = others[(roots[others] != roots[i]) & ~(visits[others] & visits[i])]
+        longer = np.maximum(n[others], n[i])
+        most = longer * (100 - SIMILARITY_PERCENT) // 100
+        others, longer, most = (v[np.abs(n[others] - n[i]) <= most] for v in (others, longer, most))
+        first = (all_keys[others] == all_keys[i]).argmax(1) == band
+        others, longer, most = others[first], longer[first], most[first]
+        apart = np.abs(counts[others] - counts[i]).sum(1)
+        for j in others[2 * longer - n[others] - n[i] + apart <= 2 * most].tolist():
+            if roots[i] != roots[j] and close(words[i], words[j]):
+                found.append((nodes[i], nodes[j]))
+                roots[roots == roots[j]] = roots[i]
+    return found
+
+
+def searched(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link classes of ``rest`` (key, band, node, label), found by trying
+    every pair of texts of different classes in a key.  A key's texts are dealt by length, then
+    into blocks of bounded size; a unit of work is two blocks."""
+    sized = texts.select("node", F.floor(F.log(F.greatest(n_words("text"), F.lit(1))) / math.log(LENGTH_STEP)).cast("int").alias("cell"), F.octet_length("text").cast("long").alias("bytes"))
+    sized = rest.join(sized, "node")
+    visit = F.explode(F.array(*[F.struct((F.col("cell") + int(v)).alias("cell"), F.lit(v).alias("visits")) for v in (False, True)]))
+    dealt = sized.select("key", "band", "node", "label", "bytes", visit.alias("at")).select("key", "band", "node", "label", "bytes", "at.*")
+    cells = dealt.groupBy("key", "cell").agg(
+        F.min("label").alias("least"), F.max("label").alias("most"), F.bool_or(~F.col("visits")).alias("lived"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")
+    ).where("least <> most AND lived")
+    cells = cells.select("key", "cell", F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    units = dealt.drop("bytes").join(written(cells, "cells"), ["key", "cell"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select("key", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "node", "label", "visits", (F.col("own") > F.col("other")).cast("int").alias("block"))
+    rows = written(units, "units").join(texts.select("node", "text", "keys"), "node").select(*units.columns, "keys", "text")
+    unit = ["key", "cell", "i", "j"]
+    rows = rows.repartition(*unit).sortWithinPartitions(*unit)
+
+    def run(pieces):
+        def done(held):
+            found = tried([r["node"] for r in held], [r["label"].hex() for r in held], [r["text"] or "" for r in held], [r["keys"] for r in held], held[0]["band"], [(r["block"], r["visits"]) for r in held])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        at, held = None, []
+        for batch in pieces:
+            for r in batch.to_pylist():
+                here = tuple(r[c] for c in unit)
+                if here != at:
+                    if len(held) > 1:
+                        yield from done(held)
+                    at, held = here, []
+                held.append(r)
+        if len(held) > 1:
+            yield from done(held)
+
+    found = python_rows(rows, run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): each node with the least node of its connected component."""
     both = written(edges.union(edges.select("b", "a")).distinct(), "edges")
@@ -190,14 +275,10 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     texts = written(texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     edges = labels = None
-    for low, high in [*ROUNDS, (None, None)]:
-        rows = members.where(F.col("band").between(low, high - 1)) if high else members
+    for low, high in ROUNDS:
+        rows = members.where(F.col("band").between(low, high - 1))
         if labels is not None:
             rows = apart(rows, labels)
-        if not high:  # texts of a key that no pivot's class has taken meet pivots of their own
-            rows = written(rows.where("off_low AND off_high").select("key", "node").distinct(), "apart")
-            ends = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-            rows = rows.join(written(ends, "pivots"), "key")
         pairs = rows.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         if labels is not None:
@@ -207,19 +288,40 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
         found = written(verified(pairs, texts), "accepted")
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
+
+    rest = mixed(members, labels)
+    if not rest.isEmpty():  # the text of each key that meets most others
+        meets = rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("met"))
+        hubs = rest.join(meets, "node").groupBy("key").agg(F.max(F.struct("met", "node", "label")).alias("hub"))
+        pairs = rest.join(hubs, "key").where("label <> hub.label").select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        edges = edges.union(written(verified(pairs, texts), "accepted"))
+        labels = components(edges)
+        rest = mixed(rest, labels)
+    if not rest.isEmpty():
+        keyed = written(texts.join(distinct.join(rest.select("node").distinct(), "node", "left_semi"), "node"), "rest-texts")
+        edges = edges.union(written(searched(rest, keyed), "accepted"))
+        labels = components(edges)
     told = sketched.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     told = written(told.select("doc_id", "node", "label"), "told")
     heads = written(told.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("head"), F.count("*").alias("class_size")), "classes")
     return told.join(heads, "label").select("doc_id", "node", F.col("head.doc_id").alias("class_id"), F.col("head.node").alias("class_node"), "class_size")
 
 
+def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, band, node, label): the members of the keys that hold several classes."""
+    rows = members.select("key", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
+    return written(rows.join(several, "key").select("key", "band", "node", "label"), "mixed")
+
+
 def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members whose class is neither of their key's pivots' classes."""
     own, low, high = (labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("node", "low", "high"))
     rows = members.join(own, "node", "left").join(low, "low", "left").join(high, "high", "left")
     mine, first, last = (F.coalesce(f"{c}_label", c) for c in ("node", "low", "high"))
     return rows.where((mine != first) | (mine != last)).select(
-        "key", "node", "low", "high", (mine != first).alias("off_low"), (mine != last).alias("off_high")
+        "key", "node", "low", "high"
     )
 
 

@@ -5,7 +5,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folio.llm.neardup import OrderMinHash, alike, classes, distance, keep_one
+from folio.llm.neardup import OrderMinHash, alike, classes, distance, keep_one, searched
 
 
 def levenshtein(a, b):
@@ -75,3 +75,49 @@ def test_order_matters():
     a = [f"w{i}" for i in range(40)]
     same, swapped = keys(" ".join(a).encode())[0], keys(" ".join(a[20:] + a[:20]).encode())[0]
     assert (same == keys(" ".join(a).encode())[0]).all() and 0 < (same == swapped).sum() < len(same)
+
+
+def sharing(texts):
+    """The least index of each text's class, by trying all pairs that share a key."""
+    keys = [OrderMinHash().keys(t.encode())[0] for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if root(i) != root(j) and (keys[i] == keys[j]).any() and alike(texts[i], texts[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(texts))]
+
+
+def test_copies_alike_to_their_base_only(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7)))
+    texts = []
+    for size, copies in ((400, 300), (150, 40)):
+        base = [word() for _ in range(size)]
+        texts.append(" ".join(base))
+        for _ in range(copies):
+            rate = rng.uniform(0.10, 0.15)
+            texts.append(" ".join(word() if rng.random() < rate else w for w in base))
+    want = sharing(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in classes(df).collect()}
+    assert got == dict(enumerate(want)) and want.count(0) > 250
+
+
+def test_search_of_a_key_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr("folio.llm.neardup.BLOCK_TEXTS", 3)
+    texts = [" ".join(f"w{g}x{'y' * (i == k)}{i}" for i in range(12 + g)) for g in range(6) for k in range(5)]
+    rows = [(1, 0, i.to_bytes(2), i.to_bytes(2)) for i in range(len(texts))]
+    rest = spark.createDataFrame(rows, "key long, band int, node binary, label binary")
+    keyed = spark.createDataFrame([(i.to_bytes(2), t, [1]) for i, t in enumerate(texts)], "node binary, text string, keys array<long>")
+    group = list(range(len(texts)))
+    for a, b in searched(rest, keyed).collect():
+        x, y = (group[int.from_bytes(v)] for v in (a, b))
+        group = [x if g == y else g for g in group]
+    assert len(set(group)) == 6 and all(len(set(group[5 * g : 5 * g + 5])) == 1 for g in range(6))
