@@ -1,10 +1,11 @@
-"""Mixing sources to target weights by a low-discrepancy schedule.
+"""Mixing sources to target weights by whole rounds over their shuffled words.
 
-The mix is a row of slots.  Slot ``j`` takes the golden-ratio point ``frac(j * phi)``, which
-falls into one source's share of the cumulative weights; within a source the slots are ranked,
-and rank ``r`` takes block ``r mod n_blocks`` of that source.  Blocks are equal runs of words
-in the source's shuffled documents, so a document is taken as often as the blocks that cover
-it.  A prefix of any length holds every source within a few blocks of its share.
+The target of a source, rounded to words, is drawn from the source's documents in shuffled
+order, round after round: each word is taken ``target // size`` times, and the words of the
+first ``target % size`` places once more.  This is what a schedule of slots gives in which a
+source has its share of the slots and a slot takes one word, rank ``r`` of a source taking word
+``r mod size``; the counts follow from the numbers of words, so no slot is made and the result
+does not depend on the size of the whole table.
 
 Only numbers are shuffled, never texts.  A source may hold any part of the rows: its word
 positions come from sums over hash ranges of the shuffle order, so no task gets a source
@@ -21,19 +22,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import load, n_words, written
 
 #: Weights by rank of a source in code-point order, repeating, and repeats allowed of a document.
 WEIGHTS, MOST_REPEATS = (5, 2, 1), 3
-#: Slots of the whole schedule; a block has the total of words divided by this, one at least.
-SLOTS = 1 << 19
 #: Hash ranges that the shuffle order of each source is cut into.
 RANGES = 1 << 10
 MOST_SOURCES = 100_000
-GOLDEN = (math.sqrt(5) - 1) / 2
 
 
 def share_out(sizes: dict[str | None, int], weights=WEIGHTS, repeats: int = MOST_REPEATS) -> dict[str | None, float]:
@@ -58,28 +56,6 @@ def share_out(sizes: dict[str | None, int], weights=WEIGHTS, repeats: int = MOST
     return target
 
 
-def schedule(spark: SparkSession, targets: list[float], sizes: list[int], block: int, n_slots: int) -> DataFrame:
-    """(slot, source_no, rank, block) for every slot that a source with words takes."""
-    bounds, at = [], 0.0
-    for t in targets:
-        at += t
-        bounds.append(at)
-    point = F.pmod(F.col("slot") * F.lit(GOLDEN) + F.lit(0.5), F.lit(1.0)) * F.lit(at)
-    # the first bound above the point, found in a sorted array of the sources' cumulative targets
-    edges = F.array(*[F.lit(b) for b in bounds[:-1]]) if len(bounds) > 1 else F.array().cast("array<double>")
-    source = F.size(F.filter(edges, lambda b: b <= F.col("point")))
-    slots = spark.range(n_slots).select(F.col("id").alias("slot"), point.alias("point")).select("slot", source.cast("int").alias("source_no"))
-    slots = slots.withColumn("part", (F.col("slot") / 4096).cast("long"))
-    # a slot's rank: those of its source in earlier parts, and earlier ones in its own part
-    before = (
-        slots.groupBy("source_no", "part").agg(F.count("*").alias("n"))
-        .select("source_no", "part", (F.sum("n").over(Window.partitionBy("source_no").orderBy("part")) - F.col("n")).alias("before"))
-    )
-    ranked = slots.join(before, ["source_no", "part"]).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("source_no", "part").orderBy("slot")) - 1)
-    blocks = F.array(*[F.lit(max(1, -(-s // block))) for s in sizes])
-    return ranked.select("slot", "source_no", "rank", F.pmod(F.col("rank"), F.get(blocks, F.col("source_no"))).alias("block"))
-
-
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, repeats: int = MOST_REPEATS, seed: int = 7) -> DataFrame:
     """One row for each document: its key, source, ``size``, ``source_size``, ``target`` and the
     number of its words that the mix takes (``taken``)."""
@@ -93,9 +69,9 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     sizes = {r["source"]: r["n"] for r in found}
     target = share_out(sizes, weights, repeats)
     order = [s for s in sizes if sizes[s]]
-    total = sum(sizes.values())
-    block = max(1, total // SLOTS)
-    sources = spark.createDataFrame([(s, sizes[s], target.get(s, 0.0), order.index(s) if sizes[s] else None) for s in sizes], "source string, source_size long, target double, source_no int")
+    number = {s: i for i, s in enumerate(order)}
+    rows = [(s, sizes[s], target.get(s, 0.0), number.get(s), *(divmod(round(target[s]), sizes[s]) if sizes[s] else (0, 0))) for s in sizes]
+    sources = spark.createDataFrame(rows, "source string, source_size long, target double, source_no int, rounds long, over long")
     sized = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
 
     # where each document begins in its source's shuffled words: earlier ranges, then its own
@@ -103,22 +79,13 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
         sized.groupBy("source_no", "span").agg(F.sum("size").alias("n"))
         .select("source_no", "span", (F.sum("n").over(Window.partitionBy("source_no").orderBy("span")) - F.col("n")).alias("before"))
     )
-    own = Window.partitionBy("source_no", "span").orderBy("at", "key", "size", "row")
-    # a row number makes rows of one key distinct, so that pieces of each come back to it
-    placed = sized.withColumn("row", F.lit(0)).withColumn("nth", F.row_number().over(own)).withColumn("within", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    own = Window.partitionBy("source_no", "span").orderBy("at", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sized.withColumn("within", F.sum("size").over(own) - F.col("size"))
     placed = placed.join(starts, ["source_no", "span"], "left").withColumn("start", F.coalesce(F.col("before"), F.lit(0)) + F.col("within"))
-    if not total:
-        return sized.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-
-    slots = schedule(spark, [target[s] for s in order], [sizes[s] for s in order], block, -(-total // block))
-    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    pieces = placed.where("size > 0").select(
-        "source_no", "span", "nth", "start", "size", F.explode(F.sequence((F.col("start") / block).cast("long"), ((F.col("start") + F.col("size") - 1) / block).cast("long"))).alias("block")
-    )
-    overlap = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size")) - F.greatest(F.col("block") * block, F.col("start"))
-    taken = pieces.join(times, ["source_no", "block"]).groupBy("source_no", "span", "nth").agg(F.sum(overlap * F.least("times", F.lit(repeats))).alias("taken"))
-    out = placed.join(taken, ["source_no", "span", "nth"], "left")
-    return out.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    # words of the last, partial round
+    last = F.greatest(F.least(F.col("over") - F.col("start"), F.col("size")), F.lit(0))
+    taken = F.col("rounds") * F.col("size") + last
+    return placed.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

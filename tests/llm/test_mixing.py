@@ -49,3 +49,15 @@ def test_cases(spark):
     assert [r["target"] for r in got if r["source"] == "empty"] == [0.0]
     assert mix(spark.createDataFrame([], schema)).count() == 0
     assert [r["taken"] for r in mix(spark.createDataFrame([(1, "", "s", "x")], schema)).collect()] == [0]
+
+
+def test_small_sources_beside_a_huge_one(spark):
+    sizes = {f"s{i}": n for i, n in enumerate((1, 7, 50, 500, 3000, 12000, 20000))}
+    rows = [(i, "w " * (n // 5 + (k < n % 5)), s) for i, (s, n) in enumerate(sizes.items()) for k in range(5)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    huge = spark.range(400, numPartitions=4).selectExpr("id + 100 AS doc_id", "repeat('w ', 2000000) AS text", "'huge' AS source")
+    got = mix(rows.union(huge)).groupBy("source").agg({"taken": "sum", "target": "max", "size": "sum"}).collect()
+    assert len(got) == 8
+    for r in got:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 1 and r["sum(taken)"] <= 3 * r["sum(size)"]
+    assert {r["source"]: r["sum(taken)"] for r in got if r["source"] != "huge"} == {s: 3 * n for s, n in sizes.items()}
