@@ -3,16 +3,18 @@
 E-mail addresses, IP addresses, card and phone numbers are found by pattern; each distinct value
 is a protected entity.  Corpus counts then tell how much a term reveals an entity: with n(x) the
 documents that hold x, N all documents, the information of an entity is ln(N / n(e)), and a term
-discloses the part PMI(t; e) / ln(N / n(e)) of it, PMI(t; e) = ln(N n(t, e) / (n(t) n(e))), where
-n(t, e) counts documents in which t stands within ``CONTEXT`` words of e.  The part is 1 if t
-occurs only with e.  Terms seen with an entity in ``SUPPORT`` documents or more and disclosing
-``GENERALISE`` of it or more become spans too; from ``REMOVE`` on they are cut out, below that a
-placeholder stands for them.
-
-Two passes over the texts gather counts (values with their contexts; documents of those terms
-only), a third marks spans.  Counts are combined in each task before the shuffle.  The set of
-terms sent to the executors has at most ``TERMS_AT_ONCE`` entries; more terms are marked in
-further passes.
+discloses the part PMI(t; e) / ln(N / n(e)) of it, PMI(t; e) = ln(N p(e | t) / n(e)), where
+n(t, e) counts the documents that hold both, t outside any span.  p(e | t) is smoothed by one
+document more that holds e as often as any does, (n(t, e) + n(e) / N) / (n(t) + 1), so few
+documents tell less than many, and one may be enough in a large table only.  Terms disclosing
+``GENERALISE`` or more of an entity become spans too; from ``REMOVE`` on they are cut out, below
+that a placeholder stands for them.
+
+One pass writes the entities and distinct terms of each document that holds an entity.  Entities
+of the same documents are counted as one.  A pair is counted only if its term is rare enough to
+reach ``GENERALISE``, which leaves out no term that would.  A second pass counts the documents of
+those terms, a third marks spans.  The set of terms sent to the executors has at most
+``TERMS_AT_ONCE`` entries; more terms are marked in further passes.
 
 Cases: a null text counts as empty and has no spans; spans are in code points and may overlap;
 texts of any length are scanned whole, in linear time; repeated rows count as documents each;
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+import secrets
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from folio.llm.common import load, python_rows, written
 from folio.llm.substrings import Hasher
 
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 8, 3, 0.9, 0.98
+GENERALISE, REMOVE = 0.9, 0.98
 #: Letters of a term at least.
 TERM_LETTERS = 3
 #: Terms that one pass marks: 16 MB of hashes.
@@ -113,20 +116,20 @@ class Terms:
         return np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
 
 
-def beside(raw, starts, ends, spans):
-    """For each span, which terms stand within ``CONTEXT`` words of it and in no span."""
+def outside(raw, starts, ends, spans):
+    """Which terms stand in no span."""
     import numpy as np
 
     at = Terms.characters(raw)
     a, b = at[starts], at[ends]
+    # spans overlap at most by kind; those of one kind are apart and in order
     inside = np.zeros(len(starts), bool)
-    for s, _, e in spans:
-        inside |= (a < e) & (b > s)
-    for s, _, e in spans:
-        before = int(np.searchsorted(b, s, side="right"))
-        after = int(np.searchsorted(a, e))
-        near = np.r_[max(0, before - CONTEXT) : before, after : min(len(a), after + CONTEXT)]
-        yield near[~inside[near] & (b[near] - a[near] >= TERM_LETTERS)]
+    for kind in range(len(KINDS) - 1):
+        own = [(s, e) for s, k, e in spans if k == kind]
+        if own:
+            begin, end = np.array(own).T
+            inside |= np.searchsorted(begin, b) > np.searchsorted(end, a, side="right")
+    return np.flatnonzero(~inside & (b - a >= TERM_LETTERS))
 
 
 def counted(rows: DataFrame, run, keys: str) -> DataFrame:
@@ -153,27 +156,31 @@ def disclosing(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = docs.select(F.col(text).alias("text")).where(F.col(text).isNotNull())
     total = docs.count()
 
-    def contexts(pieces):
-        terms, held = Terms(), {}
+    def holders(pieces):
+        terms = Terms()
         for batch in pieces:
+            rows = []
             for t in batch.column(0).to_pylist():
                 if spans := base_spans(t):
                     raw, starts, ends, hashes = terms(t)
-                    found = set()
-                    for (s, kind, e), near in zip(spans, beside(raw, starts, ends, spans)):
-                        who = signed(terms.hasher.words(entity(t, kind, s, e).replace(b" ", b""))[0])
-                        found.add((who, 0))
-                        found.update((who, signed(hashes[i])) for i in near)
-                    for pair in found:
-                        held[pair] = held.get(pair, 0) + 1
-            if len(held) > 500_000:
-                yield from flush(held, ["entity", "term"])
-        if held:
-            yield from flush(held, ["entity", "term"])
-
-    pairs = written(counted(texts, contexts, "entity long, term long").where(f"n >= {SUPPORT}"), "contexts")
-    own = pairs.where("term = 0").select("entity", F.col("n").alias("n_entity"))
-    pairs = pairs.where("term <> 0").withColumnRenamed("n", "n_both")
+                    who = {signed(terms.hasher.words(entity(t, kind, s, e).replace(b" ", b""))[0]) for s, kind, e in spans}
+                    rows.append((secrets.randbits(63), list(who), np.unique(hashes[outside(raw, starts, ends, spans)]).view(np.int64).tolist()))
+            if rows:
+                uid, who, what = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(who, pa.list_(pa.int64())), pa.array(what, pa.list_(pa.int64()))], ["uid", "entities", "terms"])
+
+    held = written(python_rows(texts, holders, "uid long, entities array<long>, terms array<long>"), "holders")
+    who = held.select("uid", F.explode("entities").alias("entity"))
+    # entities of the same documents are one
+    sets = who.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor("uid").alias("x"), F.bit_xor(F.xxhash64("uid")).alias("y"))
+    groups = written(who.join(sets, "entity").where(F.col("n_entity") < total).select("uid", "x", "y", "n_entity").distinct(), "entities")
+    # documents that a term may have, at most, to tell GENERALISE of an entity
+    limit = (F.col("n_entity") + 1) * F.pow(F.lit(float(max(total, 1))) / F.col("n_entity"), F.lit(1 - GENERALISE)) + 1e-6
+    most = groups.agg(F.max(limit)).first()[0] or 0.0
+    what = held.select("uid", F.explode("terms").alias("term"))
+    rare = what.groupBy("term").agg(F.count("*").alias("n_held")).where(F.col("n_held") <= most)
+    pairs = what.join(rare, "term").join(groups, "uid").where(F.col("n_held") <= limit)
+    pairs = written(pairs.groupBy("x", "y", "n_entity", "term").agg(F.count("*").alias("n_both")), "pairs")
     wanted = pairs.select("term").distinct()
 
     # at most one row for each bit of the table
@@ -200,9 +207,9 @@ def disclosing(docs: DataFrame, text: str = "text") -> DataFrame:
 
     seen = counted(texts, frequencies, "term long").withColumnRenamed("n", "n_term")
     information = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    pmi = F.log(F.lit(float(max(total, 1))) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    part = F.when(information > 0, pmi / information).otherwise(F.lit(0.0))
-    found = pairs.join(own, "entity").join(seen, "term").select("term", part.alias("part"))
+    chance = (F.col("n_both") + F.col("n_entity") / F.lit(float(max(total, 1)))) / (F.col("n_term") + 1)
+    part = F.when(information > 0, 1 + F.log(chance) / information).otherwise(F.lit(0.0))
+    found = pairs.join(seen, "term").select("term", part.alias("part"))
     return found.groupBy("term").agg(F.max("part").alias("part")).where(F.col("part") >= GENERALISE - 1e-12)
 
 

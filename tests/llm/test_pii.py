@@ -52,3 +52,15 @@ def test_a_term_that_tells_an_entity_goes(spark):
     assert "common" not in hit(1000) and "every" not in hit(1000)
     assert "zarquon" not in by[2000]["sanitised"].lower() and "j.doe" not in by[1000]["sanitised"] and by[5]["sanitised"] == by[5]["text"]
     assert by[2001]["pii"] == [] and find_pii(df.limit(0)).count() == 0
+
+
+def test_terms_far_from_an_entity_and_in_few_documents(spark):
+    noise = [(i, f"common words of every day number {'x' * (i % 7)} filler text") for i in range(3000)]
+    far = "common words of every day " * 10
+    told = [(5000, f"Quillfeather heads this {far} and ends with a.b@mail.example"), (5001, f"{far} c.d@mail.example {far}"), (5002, f"{far} c.d@mail.example")]
+    told += [(6000 + i, f"Zarquon {far} j.doe@mail.example") for i in range(4)]
+    df = spark.createDataFrame(noise + told, "doc_id long, text string")
+    by = {r["doc_id"]: r for r in find_pii(df).collect()}
+    hit = lambda i: {by[i]["text"][s["start"] : s["end"]] for s in by[i]["pii"] if s["kind"] == "term"}
+    assert "Quillfeather" in hit(5000) and hit(6000) == {"Zarquon"}
+    assert not hit(5001) and not hit(5002) and not hit(5)
