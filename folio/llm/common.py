@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.sources.tables import new_path, shared_dir, written  # noqa: F401
+
 #: Characters that separate words in every contract of this subpackage: space and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
 #: The same as a Java (and DuckDB) pattern for one word.
@@ -19,30 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='folio-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again, which cuts its lineage:
-    an executor lost later costs a file read, not the work before it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
@@ -53,30 +29,44 @@ def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def chunks(batch: pa.RecordBatch, text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts of a column: what numbers of partitions and buckets follow."""
+    return docs.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long")).alias("n")).first()["n"] or 0
+
+
+def partitions_for(spark: SparkSession, n_bytes: float, each: int = 32 << 20) -> int:
+    """Partitions for so many bytes, at most ``each`` in one: never fewer than a shuffle has."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-n_bytes // each)))
+
+
+def chunks(batch: pa.RecordBatch, texts: tuple[str, ...], most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about ``most`` bytes in all, one row at least."""
     import numpy as np
 
-    sizes = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string())
-    lengths = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_numpy(zero_copy_only=False)
-    ends, start, held = [], 0, 0
+    lengths = np.zeros(batch.num_rows, np.int64)
+    for text in texts:
+        data = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string())
+        lengths += pa.compute.fill_null(pa.compute.binary_length(data), 0).to_numpy(zero_copy_only=False)
+    ends, held = [], 0
     for i, n in enumerate(lengths.tolist()):
         if held and held + n > most:
             ends.append(i)
             held = 0
         held += n
+    start = 0
     for end in [*ends, batch.num_rows]:
         if end > start:
             yield batch.slice(start, end - start)
         start = end
 
 
-def python_rows(df: DataFrame, function, schema: str, *, text: str = "text") -> DataFrame:
+def python_rows(df: DataFrame, function, schema: str, *, text: str | tuple[str, ...] = "text") -> DataFrame:
     """``mapInArrow`` over slices of bounded text: ``function(batches) -> batches``."""
+    texts = (text,) if isinstance(text, str) else text
 
     def run(batches):
         import pyarrow.compute  # noqa: F401
 
-        yield from function(piece for batch in batches for piece in chunks(batch, text))
+        yield from function(piece for batch in batches for piece in chunks(batch, texts))
 
     return df.mapInArrow(run, schema)
