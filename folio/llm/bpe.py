@@ -9,8 +9,16 @@ heap and give the same merges.
 The vocabulary is read on the driver from a path and sent to the executors as a broadcast;
 its size is that of the vocabulary file, whatever the input.
 
+What is a letter, a number or white space, and how a word is composed and lower-cased, changes
+with the version of Unicode, and Python's differs from that of the tokenizers library.  So the
+library's own normaliser and splitter (without any vocabulary) cut words that are not plain
+Latin letters, once for each distinct word that a worker remembers; ids, merges and decoding
+are this module's.
+
 Cases: a null text counts as empty and has no tokens; special tokens written in a text are
-matched before normalisation and become their ids; texts of any length are encoded whole.
+matched before normalisation and become their ids; texts of any length are encoded whole; ties
+between ranks merge from the left; repeated rows are encoded each; columns named as the results
+give way, all others pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,7 +26,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 from array import array
 
 import pyarrow as pa
@@ -37,11 +44,13 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Python's str.split() also splits at these, which are ordinary characters here.
 NOT_WHITE = re.compile("[\x1c-\x1f]")
 SPLIT_WHITE = re.compile(f"[^{WHITE}]+")
+#: Words of Latin letters without marks of their own: one piece, the same in every version of Unicode.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]+")
 
 
 def read_vocabulary(path: str) -> dict:
-    """Ids, merge ranks, special tokens and piece pattern of a tokenizer file, checked to be of
-    the kind that this operator encodes."""
+    """Ids, merge ranks, special tokens and rules of a tokenizer file, checked to be of the kind
+    that this operator encodes."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model = spec["model"]
@@ -55,7 +64,7 @@ def read_vocabulary(path: str) -> dict:
         "merges": merges,
         "end": model["end_of_word_suffix"],
         "special": {x["content"]: x["id"] for x in spec["added_tokens"]},
-        "pattern": spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"],
+        "rules": json.dumps({**spec, "added_tokens": [], "post_processor": None, "model": {**model, "vocab": {}, "merges": []}}),
     }
 
 
@@ -87,7 +96,7 @@ class Codec:
     """Encodes and decodes texts; one for each Python worker."""
 
     def __init__(self, spec: dict):
-        import regex
+        from tokenizers import Tokenizer
 
         vocab, end = spec["vocab"], spec["end"]
         self.rank, self.merged = {}, []
@@ -98,9 +107,12 @@ class Codec:
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.final = [vocab[c + end] for c in letters]
+        self.spelt = letters
+        self.letter = {c: i for i, c in zip(self.inner, letters)}, {c: i for i, c in zip(self.final, letters)}
         self.special = spec["special"]
         self.token = {i: t for t, i in [*vocab.items(), *self.special.items()]}
-        self.find = regex.compile(spec["pattern"]).findall
+        rules = Tokenizer.from_str(spec["rules"])
+        self.normal, self.split = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.mark = [t[:2] for t in self.special]
         self.words = Recent(WORD_CACHE, self.word)
@@ -144,18 +156,18 @@ class Codec:
         return [x for x in ids if x >= 0]
 
     def piece(self, piece: str) -> tuple[bytes, str]:
-        data = piece.encode()
-        ids = [self.inner[b] for b in data]
-        ids[-1] = self.final[data[-1]]
+        """Packed ids and decoded tokens of a piece, whose letters stand for bytes."""
+        inner, final = self.letter
+        ids = [inner[c] for c in piece]
+        ids[-1] = final[piece[-1]]
         return self.packed(self.merge(ids))
 
     def word(self, word: str) -> tuple[bytes, str]:
         """Packed ids and decoded tokens of what stands between white space."""
-        text = word if word.isascii() else unicodedata.normalize("NFC", word)
-        text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
-        if text.isascii() and text.isalpha():
-            return self.pieces[text]
-        done = [self.pieces[p] for p in self.find(text)]
+        if LATIN.fullmatch(word):
+            low = word.lower()
+            return self.pieces[low if low.isascii() else "".join([self.spelt[b] for b in low.encode()])]
+        done = [self.pieces[p] for p, _ in self.split(self.normal(word))]
         return done[0] if len(done) == 1 else (b"".join([i for i, _ in done]), " ".join([t for _, t in done]))
 
     def plain(self, text: str) -> list[tuple[bytes, str]]:
