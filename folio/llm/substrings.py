@@ -9,29 +9,33 @@ windows share one equal anchor at least.
 
 1. Anchors of every text are counted by hash; the hashes met twice go into a bit table of fixed
    size, cut by hash bucket, of which every executor gets a copy.
-2. Texts are read again.  Windows that hold an anchor whose bit is set are extended: their
-   whole 35-word hash (96 bits) is counted over the corpus.  Texts without such windows are
-   done at once.  False bits only cost work: the full hashes decide.
+2. Texts are read again.  An anchor whose bit is set extends to the windows of words around it;
+   each is told by the BLAKE2b digest (96 bits) of its words joined by single spaces, which is
+   counted over the corpus.  Texts without such windows are done at once.  False bits, and
+   anchors that collide, only cost work: the digests of the words decide.
 3. The windows met twice come back to their texts as bit strings, and covered words go.
 
-Hashes travel in sorted blobs by (batch of texts, hash bucket), each distinct hash of a batch
-once with a mark for repeats in the batch, so copies and common passages, however many, add at
-most one entry for each batch and no bucket turns hot.
+Digests travel in sorted blobs by (batch of texts, bucket), each distinct one of a batch once
+with a mark for repeats in the batch, so copies and common passages, however many, add at most
+one entry for each batch and no bucket turns hot.  Buckets and partitions follow the bytes of
+the texts, so a task's share stays the same at any size.
 
-Cases: a null text has no words; texts shorter than a window lose nothing; repeated rows and
-exact copies of a window's length lose every covered word, the first copy too; equal ids are
-separate rows; an empty table gives an empty table.
+Cases: a null text has no words; texts shorter than a window lose nothing; texts of any length
+are read whole; repeated rows and exact copies of a window's length lose every covered word,
+the first copy too; equal ids are separate rows; other columns are left out, whatever their
+names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import load, python_rows, written
+from folio.llm.common import load, partitions_for, python_rows, text_bytes, written
 
 WINDOW, PERIOD = 35, 21
 #: A difference cover of the residues modulo 21 (every difference occurs).
@@ -42,6 +46,8 @@ ANCHOR = WINDOW - PERIOD + 1
 TABLE_BITS, SEGMENT_BITS = 27, 19
 #: Bytes of text in a batch whose windows travel together.
 BATCH_BYTES = 12 << 20
+#: Bytes of text for each bucket of digests: two bytes of digests travel for one of text at most.
+BUCKET_BYTES = 12 << 20
 
 
 class Hasher:
@@ -108,11 +114,18 @@ class Hasher:
         at = at[at < n]
         return at, self.runs(words, at, at + ANCHOR, 1)
 
-    def windows(self, words, starts):
-        """Two hashes of the whole window at each start, 64 and 32 bits."""
-        import numpy as np
 
-        return self.runs(words, starts, starts + WINDOW, 1), (self.runs(words, starts, starts + WINDOW, 2) >> np.uint64(32)).astype(np.uint32)
+def windows(data: bytes, starts):
+    """The digest of the words of the window at each start, in parts of 64 and 32 bits."""
+    import numpy as np
+
+    words = data.split()
+    joined = b" ".join(words)
+    begin = np.cumsum([0, *[len(w) + 1 for w in words]])
+    digest = hashlib.blake2b
+    cut = zip(begin[starts].tolist(), (begin[starts + WINDOW] - 1).tolist())
+    made = np.frombuffer(b"".join([digest(joined[a:b], digest_size=12).digest() for a, b in cut]), np.dtype([("low", "<u8"), ("high", "<u4")]))
+    return made["low"], made["high"]
 
 
 def spots(hashes) -> list:
@@ -151,7 +164,7 @@ def in_buckets(low, n_buckets: int):
     return ((low >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int64)
 
 
-def repeated_anchors(docs: DataFrame, n_buckets: int) -> bytes:
+def repeated_anchors(docs: DataFrame, n_buckets: int, n_partitions: int) -> bytes:
     """The bit table of anchor hashes that occur twice or more."""
     import numpy as np
 
@@ -200,7 +213,7 @@ def repeated_anchors(docs: DataFrame, n_buckets: int) -> bytes:
             np.bitwise_or.at(segment, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
         return pd.DataFrame({"segment": group["segment"].iloc[:1], "bits": [segment.tobytes()]})
 
-    found = python_rows(docs.select("text"), collect, "bucket int, hashes binary, twice binary").groupBy("bucket").applyInPandas(decide, "segment int, bits binary")
+    found = python_rows(docs.select("text"), collect, "bucket int, hashes binary, twice binary").repartition(n_partitions, "bucket").groupBy("bucket").applyInPandas(decide, "segment int, bits binary")
     # as many rows as the table has segments, whatever the input
     table = bytearray(1 << (TABLE_BITS - 3))
     size = 1 << (SEGMENT_BITS - 3)
@@ -234,12 +247,13 @@ def read_texts(docs: DataFrame, table: bytes, n_buckets: int) -> DataFrame:
         for batch in pieces:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = hasher.words((text or "").encode("utf-8", "surrogatepass"))
+                data = (text or "").encode("utf-8", "surrogatepass")
+                words = hasher.words(data)
                 starts = candidates(words, hasher, bitmap)
                 if not len(starts):
                     out.append(("done", None, None, doc_id, text, len(words), None, None, None, None))
                     continue
-                held.append(hasher.windows(words, starts))
+                held.append(windows(data, starts))
                 size += len(text)
                 out.append(("text", name, nth, doc_id, text, len(words), None, None, None, None))
                 nth += 1
@@ -277,7 +291,7 @@ def grouped(low, high, n_buckets: int):
             yield bucket, keys[x:y], more[x:y], times[x:y], (place, x, y)
 
 
-def repeats(keys: DataFrame) -> DataFrame:
+def repeats(keys: DataFrame, n_partitions: int) -> DataFrame:
     """(batch, bucket, repeated): for each hash of a blob, in its order, whether it occurs again."""
 
     def decide(group):
@@ -295,7 +309,7 @@ def repeats(keys: DataFrame) -> DataFrame:
         cut = np.cumsum([0, *sizes])
         return pd.DataFrame({"batch": group["batch"], "bucket": group["bucket"], "repeated": [np.packbits(twice[a:b]).tobytes() for a, b in zip(cut, cut[1:])]})
 
-    return keys.groupBy("bucket").applyInPandas(decide, "batch string, bucket int, repeated binary")
+    return keys.repartition(n_partitions, "bucket").groupBy("bucket").applyInPandas(decide, "batch string, bucket int, repeated binary")
 
 
 def covered(words, starts, again):
@@ -314,10 +328,12 @@ def remove_repeats(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     import numpy as np
 
     spark = docs.sparkSession
-    n_buckets = n_buckets or max(32, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = repeated_anchors(docs, n_buckets)
+    n_bytes = text_bytes(docs)
+    n_partitions = partitions_for(spark, 2 * n_bytes)
+    n_buckets = n_buckets or max(2 * n_partitions, n_bytes // BUCKET_BYTES)
+    table = repeated_anchors(docs, n_buckets, n_partitions)
     read = written(read_texts(docs, table, n_buckets), "passages")
-    replies = repeats(read.where("kind = 'keys'").select("batch", "bucket", "low", "high", "twice"))
+    replies = repeats(read.where("kind = 'keys'").select("batch", "bucket", "low", "high", "twice"), n_partitions)
     texts = read.where("kind = 'text'").select("batch", "nth", "doc_id", "text", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("repeated"))
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("nth", "int"), ("doc_id", "long"), ("text", "string"))]
     bits = spark.sparkContext.broadcast(table)
@@ -330,7 +346,7 @@ def remove_repeats(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
         data = [r["text"].encode("utf-8", "surrogatepass") for r in own]
         words = [hasher.words(d) for d in data]
         starts = [candidates(w, hasher, bitmap) for w in words]
-        hashes = [hasher.windows(w, s) for w, s in zip(words, starts)]
+        hashes = [windows(d, s) for d, s in zip(data, starts)]
         flags, place = [], None
         for bucket, keys, _, _, (place, _, _) in grouped(np.concatenate([h[0] for h in hashes]), np.concatenate([h[1] for h in hashes]), n_buckets):
             flags.append(np.unpackbits(np.frombuffer(found[bucket], np.uint8), count=len(keys)))
@@ -341,7 +357,7 @@ def remove_repeats(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
         made = [pa.array([r["doc_id"] for r in own], pa.int64()), pa.array([len(w) for w in words], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array(kept, pa.string())]
         return pa.Table.from_arrays(made, ["doc_id", "n_words", "n_removed", "kept"])
 
-    changed = texts.unionByName(replies.select("batch", "bucket", "repeated", *nothing)).groupBy("batch").applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
+    changed = texts.unionByName(replies.select("batch", "bucket", "repeated", *nothing)).repartition(n_partitions, "batch").groupBy("batch").applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
     plain = F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), " ")
     done = read.where("kind = 'done'").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), plain.alias("kept"))
     return done.unionByName(changed)

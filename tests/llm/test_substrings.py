@@ -5,7 +5,7 @@ import random
 import re
 from collections import Counter
 
-from folio.llm.substrings import COVER, PERIOD, WINDOW, op8_substrings, remove_repeats
+from folio.llm.substrings import COVER, PERIOD, WINDOW, Hasher, op8_substrings, remove_repeats
 
 
 def brute(texts):
@@ -44,3 +44,21 @@ def test_shared_passages_of_every_length_and_offset(spark):
     got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in remove_repeats(df, 8).collect())
     assert got == sorted((i, *b) for (i, _, _), b in zip(rows, brute(texts)))
     assert remove_repeats(df.limit(0), 8).count() == 0
+
+
+def test_words_that_collide_in_the_anchors_are_told_apart(spark):
+    letters = "a"
+    for _ in range(10):  # a word and its complement, alike to any sum of powers modulo 2**64
+        letters += letters.translate(str.maketrans("ab", "ba"))
+    other = letters.translate(str.maketrans("ab", "ba"))
+    hasher = Hasher()
+    assert hasher.words(letters.encode()) == hasher.words(other.encode())
+    rest = " ".join(f"w{i}" for i in range(34))
+    df = spark.createDataFrame([(1, f"{letters} {rest}"), (2, f"{other} {rest}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in remove_repeats(df, 8).collect()] == [0, 0]
+
+
+def test_very_long_text_beside_short_ones(spark):
+    words = " ".join(f"w{i % 90_000}" for i in range(300_000))
+    df = spark.createDataFrame([(1, words), (2, "short"), (3, " ".join(f"w{i}" for i in range(100, 140)))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in remove_repeats(df).collect()} == {1: 300_000, 2: 0, 3: 40}
