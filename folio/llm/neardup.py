@@ -14,28 +14,33 @@ two texts that share a key are in one class if they are alike.  A pair counts if
 alignment of all words costs at most a fifth of the longer text's words (similarity 0.8).
 Classes are the connected components of the pairs that count.
 
-Exact copies are one text from the start, so their number costs nothing later.  Keys, pairs
-and labels are joined by shuffles that adaptive execution can split; texts move only to the
-alignment, and only those that share a key.
+The number of bands follows from the similarity: words of which a fifth is replaced at random
+leave shingles of five a likeness of about 0.2, both least k-mers of a band are shared with
+about its square, and one of 64 bands agrees with 0.92.
+
+Exact copies are one text, with a number of its own, from the start, so how many they are costs
+nothing later.  Keys, pairs and labels are numbers, joined by shuffles that adaptive execution
+can split; texts move only to the alignment, and only those that share a key.
 
 Cases: a null text counts as empty; texts without words form the class of their exact copies
 only; texts of fewer than five words have one k-mer; ties between hashes go by position;
-repeated rows are copies; an empty table gives an empty table.
+repeated rows are copies; texts of any length are aligned whole, in a band that widens until it
+holds the distance; columns named as those of the working tables don't clash, since only id and
+text are read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import load, n_words, python_rows, written
 from folio.llm.substrings import Hasher
 
-SHINGLE, TOGETHER, BANDS, SIMILARITY_PERCENT = 5, 2, 24, 80
+SHINGLE, TOGETHER, BANDS, SIMILARITY_PERCENT = 5, 2, 64, 80
 #: Bands of each round: the first few join most copies, the others ask only across classes.
 ROUNDS = ((0, 3), (3, BANDS))
 #: Texts, and bytes of them, in a block of the search of whole keys; a larger text is a block of its own.
@@ -44,6 +49,8 @@ BLOCK_TEXTS, BLOCK_BYTES = 512, 4 << 20
 LENGTH_STEP = 1.26
 #: Counters of a text's words, whose differences are a lower bound of the edits.
 COUNTERS = 256
+#: k-mers drawn at once, over all bands; diagonals of the first alignment.
+DRAWN_AT_ONCE, FIRST_BAND = 1 << 18, 64
 
 
 class OrderMinHash:
@@ -53,6 +60,37 @@ class OrderMinHash:
         self.hasher = Hasher()
         self.seeds = np.random.Generator(np.random.PCG64(10)).integers(1, 1 << 63, size=BANDS, dtype=np.uint64)
 
+    def labelled(self, grams):
+        """Each k-mer with the number of its occurrence, in text order."""
+        import numpy as np
+
+        order = np.argsort(grams, kind="stable")
+        run = np.ones(len(grams), bool)
+        run[1:] = grams[order][1:] != grams[order][:-1]
+        first = np.flatnonzero(run)
+        if len(first) == len(grams):
+            return grams
+        nth = np.empty(len(grams), np.uint64)
+        nth[order] = np.arange(len(grams)) - np.repeat(first, np.diff(np.append(first, len(grams))))
+        return grams + nth * np.uint64(0x9E3779B97F4A7C15)
+
+    def least(self, labelled, seeds):
+        """For each seed the places of the ``TOGETHER`` least k-mers, in text order."""
+        import numpy as np
+
+        drawn = labelled ^ seeds[:, None]
+        shifted = drawn >> np.uint64(31)
+        for by, factor in ((27, 0x7FB5D329728EA185), (0, 0x81DADEF4BC2DD44D)):
+            drawn ^= shifted
+            drawn *= np.uint64(factor)
+            if by:
+                np.right_shift(drawn, np.uint64(by), out=shifted)
+        places = []
+        for _ in range(min(TOGETHER, len(labelled))):
+            places.append(drawn.argmin(1))
+            drawn[np.arange(len(seeds)), places[-1]] = np.iinfo(np.uint64).max
+        return np.sort(np.stack(places), axis=0)
+
     def keys(self, data: bytes):
         """One key for each band, and the number of words."""
         import numpy as np
@@ -64,23 +102,12 @@ class OrderMinHash:
         k = min(SHINGLE, n)
         at = np.arange(n - k + 1)
         grams = self.hasher.runs(words, at, at + k, 1)
-        # the occurrence number of each k-mer, in text order
-        order = np.argsort(grams, kind="stable")
-        run = np.ones(len(grams), bool)
-        run[1:] = grams[order][1:] != grams[order][:-1]
-        first = np.flatnonzero(run)
-        nth = np.empty(len(grams), np.uint64)
-        nth[order] = np.arange(len(grams)) - np.repeat(first, np.diff(np.append(first, len(grams))))
-        labelled = grams + nth * np.uint64(0x9E3779B97F4A7C15)
-        take = min(TOGETHER, len(grams))
-        chosen = np.empty((BANDS, take), np.uint64)
-        for b, seed in enumerate(self.seeds):
-            drawn = self.hasher.mix(labelled ^ seed)
-            least = np.argpartition(drawn, take - 1)[:take] if take < len(grams) else at
-            chosen[b] = grams[np.sort(least)]
+        labelled = self.labelled(grams)
+        step = max(1, DRAWN_AT_ONCE // len(grams))
+        chosen = np.concatenate([self.least(labelled, self.seeds[i : i + step]) for i in range(0, BANDS, step)], axis=1)
         keys = self.seeds.copy()
-        for column in chosen.T:
-            keys = self.hasher.mix((keys ^ column) * np.uint64(0xC2B2AE3D27D4EB4F))
+        for places in chosen:
+            keys = self.hasher.mix((keys ^ grams[places]) * np.uint64(0xC2B2AE3D27D4EB4F))
         return keys, n
 
 
@@ -139,26 +166,36 @@ def close(x: list, y: list) -> bool:
         if left.get(w, 0):
             left[w] -= 1
             common += 1
-    return longer - common <= most and distance(x, y, most) <= most
+    if longer - common > most:
+        return False
+    band = FIRST_BAND
+    while band < most:  # a band that holds the distance is enough, and costs less
+        if distance(x, y, band) <= band:
+            return True
+        band *= 4
+    return distance(x, y, most) <= most
+
+
+def digest(text: str) -> Column:
+    """What tells a text: half of its SHA-256; null counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)), 1, 16)
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, node, keys): the digest of each text and its band keys."""
+    """(doc_id, digest, keys): the digest of each text and its band keys."""
 
     def run(pieces):
         import numpy as np
 
         made = OrderMinHash()
         for batch in pieces:
-            rows = []
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = (t or "").encode("utf-8", "surrogatepass")
-                keys, _ = made.keys(data)
-                rows.append((doc_id, hashlib.blake2b(data, digest_size=16).digest(), keys.view(np.int64).tolist()))
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+            keys = [made.keys((t or "").encode("utf-8", "surrogatepass"))[0].view(np.int64) for t in batch.column(2).to_pylist()]
+            cut = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            lists = pa.ListArray.from_arrays(cut, pa.array(np.concatenate(keys) if keys else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "digest", "keys"])
 
-    return python_rows(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, node binary, keys array<long>")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), digest(text).alias("digest"), F.col(text).alias("text"))
+    return python_rows(rows, run, "doc_id long, digest binary, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -169,9 +206,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in pieces:
             a, b, x, y = (c.to_pylist() for c in batch.columns)
             ok = [alike(s, t) for s, t in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, o in zip(c, ok) if o], pa.binary()) for c in (a, b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, o in zip(c, ok) if o], pa.int64()) for c in (a, b)], ["a", "b"])
 
-    return python_rows(both.select("a", "b", "text_a", "text_b"), run, "a binary, b binary", text="text_a")
+    return python_rows(both.select("a", "b", "text_a", "text_b"), run, "a long, b long", text=("text_a", "text_b"))
 
 
 def tried(nodes: list, labels: list, texts: list, keys: list, band: int, sides: list) -> list:
@@ -185,7 +222,7 @@ def tried(nodes: list, labels: list, texts: list, keys: list, band: int, sides:
         words.append([known.setdefault(w, len(known)) for w in t.encode("utf-8", "surrogatepass").split()])
     n = np.array([len(w) for w in words])
     counts = np.array([np.bincount(np.array(w, np.int64) % COUNTERS, minlength=COUNTERS) for w in words], np.int32)
-    roots = np.unique(np.array(labels, "S32"), return_inverse=True)[1]
+    roots = np.unique(np.array(labels, np.int64), return_inverse=True)[1]
     all_keys = np.array(keys, np.int64)
     block, visits = np.array([s[0] for s in sides]), np.array([s[1] for s in sides], bool)
     two = block.any() and not block.all()
@@ -227,8 +264,8 @@ def searched(rest: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(pieces):
         def done(held):
-            found = tried([r["node"] for r in held], [r["label"].hex() for r in held], [r["text"] or "" for r in held], [r["keys"] for r in held], held[0]["band"], [(r["block"], r["visits"]) for r in held])
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+            found = tried([r["node"] for r in held], [r["label"] for r in held], [r["text"] or "" for r in held], [r["keys"] for r in held], held[0]["band"], [(r["block"], r["visits"]) for r in held])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         at, held = None, []
         for batch in pieces:
@@ -242,7 +279,7 @@ def searched(rest: DataFrame, texts: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield from done(held)
 
-    found = python_rows(rows, run, "a binary, b binary")
+    found = python_rows(rows, run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -263,16 +300,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, node, class_id, class_node, class_size): each row with the digest of its text and
-    the least id of its class (and that row's digest)."""
+    """(doc_id, digest, class_id, class_digest, class_size, n_links): each row with the digest of
+    its text, the least id of its class (and that row's digest), the rows of the class, and the
+    other texts that the alignment accepted as links of this row's text.  The links found are
+    enough to hold each class together; pairs inside a class are not all aligned."""
     sketched = written(sketches(docs, key, text), "sketches")
-    distinct = sketched.groupBy("node").agg(F.first("keys").alias("keys"))
-    members = distinct.select("node", F.posexplode("keys").alias("band", "key"))
+    numbered = sketched.groupBy("digest").agg(F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id())
+    numbered = written(numbered, "nodes")  # numbers are given once
+    members = numbered.select("node", F.posexplode("keys").alias("band", "key"))
     ends = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     members = written(members.join(written(ends, "pivots"), "key"), "members")
-    nodes = members.select("node").distinct()
-    texts = with_digest(docs.select(F.col(text).alias("text"))).withColumnRenamed("__node", "node")
-    texts = written(texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    nodes = numbered.join(members.select("node").distinct(), "node", "left_semi").select("digest", "node")
+    texts = docs.select(digest(text).alias("digest"), F.col(text).alias("text")).join(nodes, "digest")
+    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     edges = labels = None
     for low, high in ROUNDS:
@@ -299,13 +339,17 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
         labels = components(edges)
         rest = mixed(rest, labels)
     if not rest.isEmpty():
-        keyed = written(texts.join(distinct.join(rest.select("node").distinct(), "node", "left_semi"), "node"), "rest-texts")
+        keys = numbered.join(rest.select("node").distinct(), "node", "left_semi").select("node", "keys")
+        keyed = written(texts.join(keys, "node"), "rest-texts")
         edges = edges.union(written(searched(rest, keyed), "accepted"))
         labels = components(edges)
-    told = sketched.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    told = written(told.select("doc_id", "node", "label"), "told")
-    heads = written(told.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("head"), F.count("*").alias("class_size")), "classes")
-    return told.join(heads, "label").select("doc_id", "node", F.col("head.doc_id").alias("class_id"), F.col("head.node").alias("class_node"), "class_size")
+    links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    known = numbered.select("digest", "node").join(labels, "node", "left").join(links, "node", "left")
+    known = known.select("digest", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    told = written(sketched.select("doc_id", "digest").join(known, "digest"), "told")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("head")
+    heads = written(told.groupBy("label").agg(first, F.count("*").alias("class_size")), "classes")
+    return told.join(heads, "label").select("doc_id", "digest", F.col("head.doc_id").alias("class_id"), F.col("head.digest").alias("class_digest"), "class_size", "n_links")
 
 
 def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -328,27 +372,13 @@ def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their class: the least id, and one of repeated rows."""
     found = classes(docs, key=key, text=text)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node")))
-    whole = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    kept = kept.select(F.col("node").alias("__node"), whole.alias("__id")).distinct()
-    rows = with_digest(docs, text).withColumn("__id", F.coalesce(F.col(key), F.lit(-(1 << 63))))
-    one = Window.partitionBy("__node", "__id").orderBy("__node")
-    return rows.join(kept, ["__node", "__id"]).withColumn("__nth", F.row_number().over(one)).where("__nth = 1").select(*docs.columns)
-
-
-def with_digest(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the digest of their text as ``__node``."""
-    names = docs.columns
-
-    def run(pieces):
-        for batch in pieces:
-            data = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(names.index(text)).to_pylist()]
-            digests = pa.array([hashlib.blake2b(d, digest_size=16).digest() for d in data], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, digests], [*names, "__node"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return python_rows(docs, run, f"{fields}, __node binary", text=text)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest")))
+    no_id = F.lit(-(1 << 63))
+    kept = kept.select(F.col("digest").alias("kept_digest"), F.coalesce("doc_id", no_id).alias("kept_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), digest(text).alias("kept_digest"), F.coalesce(F.col(key).cast("long"), no_id).alias("kept_id"))
+    one = Window.partitionBy("kept_digest", "kept_id").orderBy("kept_digest")
+    return rows.join(kept, ["kept_digest", "kept_id"]).withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*")
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    return classes(load(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id", "class_size")
+    return classes(load(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id", "class_size", "n_links")

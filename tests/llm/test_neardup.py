@@ -113,11 +113,53 @@ def test_copies_alike_to_their_base_only(spark):
 def test_search_of_a_key_in_blocks(spark, monkeypatch):
     monkeypatch.setattr("folio.llm.neardup.BLOCK_TEXTS", 3)
     texts = [" ".join(f"w{g}x{'y' * (i == k)}{i}" for i in range(12 + g)) for g in range(6) for k in range(5)]
-    rows = [(1, 0, i.to_bytes(2), i.to_bytes(2)) for i in range(len(texts))]
-    rest = spark.createDataFrame(rows, "key long, band int, node binary, label binary")
-    keyed = spark.createDataFrame([(i.to_bytes(2), t, [1]) for i, t in enumerate(texts)], "node binary, text string, keys array<long>")
+    rows = [(1, 0, i, i) for i in range(len(texts))]
+    rest = spark.createDataFrame(rows, "key long, band int, node long, label long")
+    keyed = spark.createDataFrame([(i, t, [1]) for i, t in enumerate(texts)], "node long, text string, keys array<long>")
     group = list(range(len(texts)))
     for a, b in searched(rest, keyed).collect():
-        x, y = (group[int.from_bytes(v)] for v in (a, b))
+        x, y = group[a], group[b]
         group = [x if g == y else g for g in group]
     assert len(set(group)) == 6 and all(len(set(group[5 * g : 5 * g + 5])) == 1 for g in range(6))
+
+
+def test_recall_by_edit_rate():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7)))
+    keys, found = OrderMinHash().keys, {}
+    for percent in (5, 10, 12, 15, 18, 19, 20):
+        hit = 0
+        for _ in range(300):
+            base = [word() for _ in range(200)]
+            changed = list(base)
+            for i in rng.sample(range(200), 2 * percent):
+                changed[i] = word()
+            a, b = " ".join(base), " ".join(changed)
+            assert alike(a, b)
+            hit += bool((keys(a.encode())[0] == keys(b.encode())[0]).any())
+        found[percent] = hit / 300
+    print("recall by percent of words replaced:", found)
+    assert min(found.values()) >= 0.9 - 0.03 and all(found[p] >= 0.95 for p in (5, 10, 12, 15)), found
+
+
+def test_a_common_head_with_pairs_of_tails(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 7)))
+    head, rows = [word() for _ in range(78)], []
+    for pair in range(12):
+        tail = [word() for _ in range(22)]
+        rows += [(2 * pair, " ".join(head + tail)), (2 * pair + 1, " ".join(head + tail[:-1] + [word()]))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * p][0] == got[2 * p + 1][0] and got[2 * p][1] for p in range(12))
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randint(0, 99_999)}" for _ in range(200_000)]
+    copy = list(words)
+    for i in rng.sample(range(len(copy)), 500):
+        copy[i] = "changed"
+    rows = [(1, " ".join(words), 1, "x"), (2, " ".join(copy), 2, "y"), (3, "short", 3, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest long, kept_id string")
+    assert {r["doc_id"]: r["class_id"] for r in classes(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert sorted(map(tuple, keep_one(df).select("doc_id", "digest", "kept_id").collect())) == [(1, 1, "x"), (3, 3, "z")]
