@@ -9,8 +9,10 @@ taken in rounds: after the first, a text is compared only with pivots of other c
 own, so a large group of near copies costs a few comparisons a text.  A further round takes as
 pivot the text of each key that meets most others in all its keys, which is the base of a group
 whose copies are alike to it only.  Keys that still hold several classes are then searched
-whole: every pair of texts of different classes in them is tried (``searched``), so in the end
-two texts that share a key are in one class if they are alike.  A pair counts if the banded
+whole, so in the end two texts that share a key are in one class if they are alike: in a small
+key every pair of texts of different classes is tried (``searched``); texts of larger keys are
+joined on their rarest pairs of words (``rarely_shared``), one of which any two texts alike must
+share, so a passage that many texts hold pairs none of them.  A pair counts if the banded
 alignment of all words costs at most a fifth of the longer text's words (similarity 0.8).
 Classes are the connected components of the pairs that count.
 
@@ -31,22 +33,22 @@ text are read; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import math
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import load, n_words, python_rows, written
+from folio.llm.common import load, python_rows, written
 from folio.llm.substrings import Hasher
 
 SHINGLE, TOGETHER, BANDS, SIMILARITY_PERCENT = 5, 2, 64, 80
 #: Bands of each round: the first few join most copies, the others ask only across classes.
 ROUNDS = ((0, 3), (3, BANDS))
-#: Texts, and bytes of them, in a block of the search of whole keys; a larger text is a block of its own.
-BLOCK_TEXTS, BLOCK_BYTES = 512, 4 << 20
-#: Step of the classes of length: a little over 1 / 0.8, so texts alike are in one or two neighbours.
-LENGTH_STEP = 1.26
+#: Texts, and bytes of them, up to which a key is searched pair by pair.
+SMALL_TEXTS, SMALL_BYTES = 64, 8 << 20
+#: Texts up to which a pair of words counts as rare; beyond, single words decide.
+RARE = 64
+#: Tokens that a pair must share to be aligned, among the rarest of both, if it has so many in common at all.
+SHARED = 8
 #: Counters of a text's words, whose differences are a lower bound of the edits.
 COUNTERS = 256
 #: k-mers drawn at once, over all bands; diagonals of the first alignment.
@@ -211,10 +213,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return python_rows(both.select("a", "b", "text_a", "text_b"), run, "a long, b long", text=("text_a", "text_b"))
 
 
-def tried(nodes: list, labels: list, texts: list, keys: list, band: int, sides: list) -> list:
-    """The pairs that link what a unit of the search holds.  ``sides`` has the block (0 or 1) and
-    whether the text visits from the next shorter class of length.  A pair is tried where it first
-    shares a key, and only while its classes are apart."""
+def tried(nodes: list, labels: list, texts: list) -> list:
+    """The pairs that link the texts of one small key; a pair is tried only while its classes are apart."""
     import numpy as np
 
     known, words = {}, []
@@ -223,20 +223,14 @@ def tried(nodes: list, labels: list, texts: list, keys: list, band: int, sides:
     n = np.array([len(w) for w in words])
     counts = np.array([np.bincount(np.array(w, np.int64) % COUNTERS, minlength=COUNTERS) for w in words], np.int32)
     roots = np.unique(np.array(labels, np.int64), return_inverse=True)[1]
-    all_keys = np.array(keys, np.int64)
-    block, visits = np.array([s[0] for s in sides]), np.array([s[1] for s in sides], bool)
-    two = block.any() and not block.all()
     found = []
-    for i in np.flatnonzero(block == 0) if two else range(len(nodes)):
-        others = np.flatnonzero(block == 1) if two else np.arange(i + 1, len(nodes))
-        others = others[(roots[others] != roots[i]) & ~(visits[others] & visits[i])]
+    for i in range(len(nodes)):
+        others = np.arange(i + 1, len(nodes))
+        others = others[roots[others] != roots[i]]
         longer = np.maximum(n[others], n[i])
         most = longer * (100 - SIMILARITY_PERCENT) // 100
-        others, longer, most = (v[np.abs(n[others] - n[i]) <= most] for v in (others, longer, most))
-        first = (all_keys[others] == all_keys[i]).argmax(1) == band
-        others, longer, most = others[first], longer[first], most[first]
         apart = np.abs(counts[others] - counts[i]).sum(1)
-        for j in others[2 * longer - n[others] - n[i] + apart <= 2 * most].tolist():
+        for j in others[(np.abs(n[others] - n[i]) <= most) & (2 * longer - n[others] - n[i] + apart <= 2 * most)].tolist():
             if roots[i] != roots[j] and close(words[i], words[j]):
                 found.append((nodes[i], nodes[j]))
                 roots[roots == roots[j]] = roots[i]
@@ -244,43 +238,88 @@ def tried(nodes: list, labels: list, texts: list, keys: list, band: int, sides:
 
 
 def searched(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link classes of ``rest`` (key, band, node, label), found by trying
-    every pair of texts of different classes in a key.  A key's texts are dealt by length, then
-    into blocks of bounded size; a unit of work is two blocks."""
-    sized = texts.select("node", F.floor(F.log(F.greatest(n_words("text"), F.lit(1))) / math.log(LENGTH_STEP)).cast("int").alias("cell"), F.octet_length("text").cast("long").alias("bytes"))
-    sized = rest.join(sized, "node")
-    visit = F.explode(F.array(*[F.struct((F.col("cell") + int(v)).alias("cell"), F.lit(v).alias("visits")) for v in (False, True)]))
-    dealt = sized.select("key", "band", "node", "label", "bytes", visit.alias("at")).select("key", "band", "node", "label", "bytes", "at.*")
-    cells = dealt.groupBy("key", "cell").agg(
-        F.min("label").alias("least"), F.max("label").alias("most"), F.bool_or(~F.col("visits")).alias("lived"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")
-    ).where("least <> most AND lived")
-    cells = cells.select("key", "cell", F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    units = dealt.drop("bytes").join(written(cells, "cells"), ["key", "cell"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("key", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "node", "label", "visits", (F.col("own") > F.col("other")).cast("int").alias("block"))
-    rows = written(units, "units").join(texts.select("node", "text", "keys"), "node").select(*units.columns, "keys", "text")
-    unit = ["key", "cell", "i", "j"]
-    rows = rows.repartition(*unit).sortWithinPartitions(*unit)
+    """The pairs (a, b) that link classes within the small keys of ``rest`` (key, node, label)."""
+    rows = rest.select("key", "node", "label").join(texts, "node").repartition("key").sortWithinPartitions("key")
 
     def run(pieces):
-        def done(held):
-            found = tried([r["node"] for r in held], [r["label"] for r in held], [r["text"] or "" for r in held], [r["keys"] for r in held], held[0]["band"], [(r["block"], r["visits"]) for r in held])
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
         at, held = None, []
+
+        def done():
+            found = tried(*(list(c) for c in zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         for batch in pieces:
-            for r in batch.to_pylist():
-                here = tuple(r[c] for c in unit)
-                if here != at:
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != at:
                     if len(held) > 1:
-                        yield from done(held)
-                    at, held = here, []
-                held.append(r)
+                        yield done()
+                    at, held = key, []
+                held.append(row)
         if len(held) > 1:
-            yield from done(held)
+            yield done()
+
+    return python_rows(rows.select("key", "node", "label", F.coalesce("text", F.lit("")).alias("text")), run, "a long, b long")
+
 
-    found = python_rows(rows, run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def tokens(texts: DataFrame, size: int) -> DataFrame:
+    """(node, label, n, token): the runs of ``size`` words of each text (node, label, text), those
+    that occur again told apart, and the number of words."""
+
+    def run(pieces):
+        import numpy as np
+
+        made = OrderMinHash()
+        for batch in pieces:
+            out, sizes = [], []
+            for t in batch.column(2).to_pylist():
+                words = made.hasher.words((t or "").encode("utf-8", "surrogatepass"))
+                at = np.arange(max(len(words) - size + 1, min(len(words), 1)))
+                out.append(made.labelled(made.hasher.runs(words, at, np.minimum(at + size, len(words)), 1)).view(np.int64))
+                sizes.append(len(words))
+            cut = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
+            lists = pa.ListArray.from_arrays(cut, pa.array(np.concatenate(out) if out else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), lists], ["node", "label", "n", "tokens"])
+
+    rows = python_rows(texts.select("node", "label", "text"), run, "node long, label long, n long, tokens array<long>")
+    return rows.select("node", "label", "n", F.explode("tokens").alias("token"))
+
+
+def prefixes(rows: DataFrame, size: int) -> DataFrame:
+    """The rows (node, label, n, token) that may pair texts of different classes, with the number
+    of texts that hold the token (``held``).
+
+    Texts of n words or more that are alike have all but ``size`` * n / 5 runs of ``size`` words
+    in common, so in any one order of all tokens they share ``SHARED`` of the first
+    ``size`` * n / 5 + ``SHARED`` of each.  The order is by how many texts hold a token; what one
+    class alone holds comes first and pairs nothing."""
+    held = F.when(F.min("label") == F.max("label"), 0).otherwise(F.count("*")).alias("held")
+    ranked = rows.join(rows.groupBy("token").agg(held), "token")
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("held", "token"))
+    most = F.floor(F.col("n") * size * (100 - SIMILARITY_PERCENT) / 100) + SHARED + 1
+    return ranked.withColumn("nth", nth).where((F.col("nth") <= most) & (F.col("held") > 0)).drop("nth")
+
+
+def paired(rows: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) of texts of different classes and of fitting lengths that share enough tokens."""
+    one = rows.select("token", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"))
+    two = rows.select("token", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    longer = F.greatest("n_a", "n_b")
+    fits = longer * SIMILARITY_PERCENT <= F.least("n_a", "n_b") * 100
+    both = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & fits)
+    common = longer - (size - 1) - size * F.floor(longer * (100 - SIMILARITY_PERCENT) / 100)
+    asked = F.least(F.lit(SHARED), F.greatest(common, F.lit(1))).alias("asked")
+    return both.select("a", "b", asked).groupBy("a", "b", "asked").agg(F.count("*").alias("shared")).where("shared >= asked").select("a", "b")
+
+
+def rarely_shared(texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may link the texts (node, label, text), every pair alike among them.
+
+    They share a rare pair of words; where it is a pair that many texts hold, as of texts that
+    are a common passage for the most part, they share a rare word of those texts."""
+    rows = written(prefixes(written(tokens(texts, 2), "pairs-of-words"), 2), "rare-pairs")
+    common = texts.join(rows.where(F.col("held") > RARE).select("node").distinct(), "node", "left_semi")
+    words = prefixes(written(tokens(common, 1), "words"), 1)
+    return written(paired(rows.where(F.col("held") <= RARE), 2).union(paired(written(words, "rare-words"), 1)).distinct(), "pairs")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -339,9 +378,12 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
         labels = components(edges)
         rest = mixed(rest, labels)
     if not rest.isEmpty():
-        keys = numbered.join(rest.select("node").distinct(), "node", "left_semi").select("node", "keys")
-        keyed = written(texts.join(keys, "node"), "rest-texts")
-        edges = edges.union(written(searched(rest, keyed), "accepted"))
+        sized = rest.join(texts.select("node", F.octet_length("text").cast("long").alias("bytes")), "node")
+        large = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where((F.col("n") > SMALL_TEXTS) | (F.col("bytes") > SMALL_BYTES))
+        large = written(large.select("key"), "large-keys")
+        members = rest.join(large, "key", "left_semi").select("node", "label").distinct()
+        pairs = rarely_shared(written(members.join(texts, "node"), "large-texts"))
+        edges = edges.union(written(searched(rest.join(large, "key", "left_anti"), texts), "accepted")).union(written(verified(pairs, texts), "accepted"))
         labels = components(edges)
     links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = numbered.select("digest", "node").join(labels, "node", "left").join(links, "node", "left")
@@ -353,10 +395,10 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
 
 
 def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, band, node, label): the members of the keys that hold several classes."""
-    rows = members.select("key", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """(key, node, label): the members of the keys that hold several classes."""
+    rows = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-    return written(rows.join(several, "key").select("key", "band", "node", "label"), "mixed")
+    return written(rows.join(several, "key").select("key", "node", "label"), "mixed")
 
 
 def apart(members: DataFrame, labels: DataFrame) -> DataFrame:

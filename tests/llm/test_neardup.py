@@ -5,7 +5,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folio.llm.neardup import OrderMinHash, alike, classes, distance, keep_one, searched
+from folio.llm.neardup import OrderMinHash, alike, classes, distance, keep_one, rarely_shared, searched
 
 
 def levenshtein(a, b):
@@ -110,14 +110,31 @@ def test_copies_alike_to_their_base_only(spark):
     assert got == dict(enumerate(want)) and want.count(0) > 250
 
 
-def test_search_of_a_key_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr("folio.llm.neardup.BLOCK_TEXTS", 3)
+def test_texts_of_large_keys_are_paired_by_what_they_rarely_share(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(60)]
+    passages = [[rng.choice(vocabulary) for _ in range(k)] for k in (20, 40)]
+    texts = []
+    for _ in range(150):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(1, 25))] + rng.choice([[], *passages])
+        texts.append(base)
+        if rng.random() < 0.4:
+            changed = list(base)
+            for i in rng.sample(range(len(base)), len(base) // 5):
+                changed[i] = rng.choice(vocabulary)
+            texts.append(changed)
+    texts = [" ".join(t) for t in texts]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node long, label long, text string")
+    got = {tuple(r) for r in rarely_shared(df).collect()}
+    want = {(i, j) for j, b in enumerate(texts) for i, a in enumerate(texts[:j]) if alike(a, b)}
+    assert len(want) > 50 and want <= got
+
+
+def test_small_keys_are_tried_pair_by_pair(spark):
     texts = [" ".join(f"w{g}x{'y' * (i == k)}{i}" for i in range(12 + g)) for g in range(6) for k in range(5)]
-    rows = [(1, 0, i, i) for i in range(len(texts))]
-    rest = spark.createDataFrame(rows, "key long, band int, node long, label long")
-    keyed = spark.createDataFrame([(i, t, [1]) for i, t in enumerate(texts)], "node long, text string, keys array<long>")
+    rest = spark.createDataFrame([(i % 2, i, i) for i in range(len(texts))] + [(2, i, i) for i in range(len(texts))], "key long, node long, label long")
     group = list(range(len(texts)))
-    for a, b in searched(rest, keyed).collect():
+    for a, b in searched(rest, spark.createDataFrame(list(enumerate(texts)), "node long, text string")).collect():
         x, y = group[a], group[b]
         group = [x if g == y else g for g in group]
     assert len(set(group)) == 6 and all(len(set(group[5 * g : 5 * g + 5])) == 1 for g in range(6))
@@ -142,7 +159,9 @@ def test_recall_by_edit_rate():
     assert min(found.values()) >= 0.9 - 0.03 and all(found[p] >= 0.95 for p in (5, 10, 12, 15)), found
 
 
-def test_a_common_head_with_pairs_of_tails(spark):
+def test_a_common_head_with_pairs_of_tails(spark, monkeypatch):
+    monkeypatch.setattr("folio.llm.neardup.SMALL_TEXTS", 4)
+    monkeypatch.setattr("folio.llm.neardup.RARE", 4)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 7)))
     head, rows = [word() for _ in range(78)], []
