@@ -1,6 +1,9 @@
 """Mixing: targets, near takes, repeats, reruns, cases."""
 
-from folio.llm.mixing import mix, op5_mixing, share_out
+import itertools
+from collections import Counter, defaultdict
+
+from folio.llm.mixing import WEIGHTS, mix, op5_mixing, schedule, with_slots, with_targets
 
 
 def resharing(sizes, weights=(5, 2, 1), repeats=3):
@@ -21,10 +24,53 @@ def resharing(sizes, weights=(5, 2, 1), repeats=3):
             held.add(s)
 
 
-def test_targets():
-    for sizes in ({"a": 100, "b": 100, "c": 100}, {"a": 1, "b": 1000, "c": 5}, {"a": 0, None: 10}, {"z": 7}, {"a": 2, "b": 3, "c": 900, "d": 10, None: 50}):
-        want, got = resharing(sizes), share_out(sizes)
-        assert all(abs(want[s] - got[s]) < 1e-6 for s in sizes)
+TABLES = ({"a": 100, "b": 100, "c": 100}, {"a": 1, "b": 1000, "c": 5}, {"a": 0, None: 10}, {"z": 7}, {"a": 2, "b": 3, "c": 900, "d": 10, None: 50}, {"a": 0, "b": 0}, {"a": 10**9, "b": 1, "c": 40, "d": 10**6})
+
+
+def table(spark, sizes):
+    return spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+
+
+def test_targets(spark):
+    for sizes in TABLES:
+        want, got = resharing(sizes, WEIGHTS), {r["source"]: r["target"] for r in with_targets(table(spark, sizes)).collect()}
+        assert all(abs(want[s] - got[s]) <= 1e-9 * (want[s] + 1) for s in sizes)
+
+
+def test_schedule_is_whole_and_even(spark):
+    for sizes in TABLES[:6]:
+        sources = with_slots(with_targets(table(spark, sizes)), 16)
+        by = {r["source_no"]: r for r in sources.collect()}
+        slots = sorted(schedule(sources).collect(), key=lambda r: r["slot"])
+        assert [r["slot"] for r in slots] == list(range(sum(r["slots"] for r in by.values())))
+        ranks, words = Counter(), defaultdict(int)
+        for i, r in enumerate(slots):
+            own = by[r["source_no"]]
+            assert r["rank"] == ranks[r["source_no"]] and r["block"] == r["rank"] % own["blocks"]
+            words[own["source"]] += r["part"] if r["part"] is not None else own["words"] + (r["block"] < own["long"])
+            ranks[r["source_no"]] += 1
+            for k, o in by.items():  # each source has its part of every stretch from the start
+                assert abs(ranks[k] - (i + 1) * o["slots"] / len(slots)) <= 4
+        assert all(words[s] == round(t) for s, t in resharing(sizes, WEIGHTS).items())
+
+
+def test_takes_equal_a_plain_schedule(spark):
+    sizes = [("a", [3, 50, 7, 120, 1]), ("b", [1]), ("c", [40, 40, 0, 9]), (None, [17, 300])]
+    rows = [(10 * k + i, "w " * n, s) for k, (s, ns) in enumerate(sizes) for i, n in enumerate(ns)]
+    rows += [(77, "w w w", "a")] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(df, block=16).collect()
+    order = df.selectExpr("doc_id", "source", "size(filter(split(text, ' '), x -> x <> '')) AS size").selectExpr("*", "xxhash64(7, doc_id, cast(size AS bigint)) AS at").collect()
+    targets = resharing({s: sum(r["size"] for r in order if r["source"] == s) for s, _ in sizes}, WEIGHTS)
+    for s, _ in sizes:
+        owners = [r["doc_id"] for r in sorted((r for r in order if r["source"] == s), key=lambda r: r["at"]) for _ in range(r["size"])]
+        want = Counter(itertools.islice(itertools.cycle(owners), round(targets[s])))
+        mine = Counter()
+        for r in got:
+            if r["source"] == s:
+                mine[r["doc_id"]] += r["taken"]
+        assert +mine == want
+    assert len(got) == len(rows)
 
 
 def test_query(spark, data):
