@@ -1,19 +1,26 @@
 """Line-first quality rules.
 
-Each line of a text is judged first: a line fails if it is navigation (short parts between
-separators, without an end mark), boilerplate (a fixed notice), mostly symbols, or a repeat of
-an earlier line.  Failing lines are removed and the document is rejected when the lines that
-stay hold too small a part of its words.  Document-level base figures (repetition, length) are
-computed on the text as it came.
+Each line of a text is judged first: a line fails if it has no end of a sentence though it is
+long enough to be one, is navigation (short parts between separators, or one of a run of short
+lines without an end mark), boilerplate (a fixed notice), mostly symbols, shouting (most words in
+capitals) or a repeat of an earlier line.  Failing lines are removed and the document is rejected
+when the lines that stay hold too small a part of its words.  Document-level base figures
+(repetition, length) are computed on the text as it came.
+
+Words are always those of the contract (what spaces and \\x09-\\x0D separate), in lines as in texts.
+The limit of the punctuation rule is measured on labelled documents (README): lines of ten words
+or more without an end mark are 12 % of those in documents of low quality and 0.04 % in others.
 
 Everything is local to a row: one pass, no shuffle, and every other column passes through.
 
 Cases: a null or empty text has no words and fails the base rules; a very long text is judged
-whole; repeated rows get the same verdict each; an empty table gives an empty table.
+whole; repeated rows get the same verdict each; columns named as the results give way, except
+the text; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -21,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import load, python_rows
+from folio.llm.common import SPACES, load, python_rows
 
 # The symbols and limits of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -37,14 +44,19 @@ class Rules:
     #: A line is navigation with this many parts between separators, or more.
     navigation_parts: int = 4
     navigation_part_words: int = 3
-    #: A line of this many words or more in which no sentence ends is unpunctuated.
-    unpunctuated_words: int = 40
-    end_marks: str = ".!?…。！？"
+    #: A line of this many words or more that does not end in an end mark is unpunctuated.
+    unpunctuated_words: int = 10
+    end_marks: str = ".!?…。！？।॥؟۔։።"
+    #: What may follow an end mark.
+    closers: str = "\"'”’»)]}›」』"
+    #: So many lines or more in a row, of so few words and without an end mark, are navigation.
+    menu_lines: int = 4
+    menu_words: int = 3
     boilerplate: tuple[str, ...] = (
         "licensed under the", "all rights reserved", "permission is hereby granted", "copyright (c)", "terms of use",
         "privacy policy", "cookie policy", "without warranties or conditions", "subscribe to our newsletter", "lorem ipsum",
     )
-    separators: str = r"\s[|»›>·•]\s"
+    separators: str = r"[\x20\x09-\x0D][|»›>·•][\x20\x09-\x0D]"
     #: A document is rejected if less than this share of its words stays.
     least_kept: int = 50
     #: Share of words in capitals beyond which a line counts as shouting, if it has four or more.
@@ -60,26 +72,40 @@ class Judge:
         self.rules = rules
         self.notice = re.compile("|".join(map(re.escape, rules.boilerplate)), re.I) if rules.boilerplate else None
         self.separator = re.compile(rules.separators)
+        self.marks = set(rules.end_marks)
         self.symbol = re.compile(f"[{re.escape(SYMBOLS.decode())}]")
         self.other = bytes(b for b in range(256) if b not in SYMBOLS)
         self.inner = bytes(range(0x80, 0xC0))
 
-    def fails(self, line: str, words: list[str]) -> str:
-        """The rule that a line breaks, or an empty string."""
+    def ends(self, line: str) -> bool:
+        """Whether a line ends a sentence."""
+        return line.rstrip(SPACES).rstrip(self.rules.closers)[-1:] in self.marks
+
+    def fails(self, line: str, words: list[bytes], ends: bool) -> str:
+        """The rule that a line breaks by itself, or an empty string."""
         rules, n = self.rules, len(words)
+        if n >= rules.unpunctuated_words and not ends:
+            return "punctuation"
         if self.notice and self.notice.search(line):
             return "boilerplate"
         parts = self.separator.split(line)
-        if len(parts) >= rules.navigation_parts and sum(len(p.split()) for p in parts) <= rules.navigation_part_words * len(parts):
+        if len(parts) >= rules.navigation_parts and sum(len(p.encode("utf-8", "surrogatepass").split()) for p in parts) <= rules.navigation_part_words * len(parts):
             return "navigation"
-        if 100 * sum(1 for w in words if self.symbol.search(w)) > rules.symbol_words * n:
+        if self.symbol.search(line) and 100 * sum(1 for w in words if len(w.translate(None, SYMBOLS)) < len(w)) > rules.symbol_words * n:
             return "symbols"
-        if n >= 4 and 100 * sum(1 for w in words if w.isupper()) > rules.shouting_words * n:
+        if n >= 4 and line != line.lower() and 100 * sum(1 for w in words if w.decode("utf-8", "surrogatepass").isupper()) > rules.shouting_words * n:
             return "shouting"
-        if n >= rules.unpunctuated_words and not any(c in line for c in rules.end_marks):
-            return "punctuation"
         return ""
 
+    def menus(self, lines: list[tuple]) -> list[bool]:
+        """Which of the lines (words, ends) stand in a run of short lines without an end mark."""
+        short = [len(words) <= self.rules.menu_words and not ends for _, words, ends in lines]
+        out = []
+        for flag, run in itertools.groupby(short):
+            n = sum(1 for _ in run)
+            out += [flag and n >= self.rules.menu_lines] * n
+        return out
+
     def repeated(self, words: list[bytes]) -> int:
         """Words in windows of three that the text holds twice or more."""
         import numpy as np
@@ -113,19 +139,16 @@ class Judge:
         n = len(words)
         word_chars = len(b"".join(words).translate(None, self.inner))
         n_symbols = len(data.translate(None, self.other))
+        lines = [(line, own, self.ends(line)) for line, raw in zip(text.split("\n"), data.split(b"\n")) if (own := raw.split())]
         seen: set[str] = set()
         duplicates = kept_words = 0
         kept_lines = []
-        for line in text.split("\n"):
-            own = line.split()
-            # str.split() knows more white space than the contract: ask for a word only where it finds none
-            if not own and not line.strip(" \t\x0b\x0c\r"):
-                continue
+        for (line, own, ends), menu in zip(lines, self.menus(lines)):
             if line in seen:
                 duplicates += 1
                 continue
             seen.add(line)
-            if own and self.fails(line, own):
+            if menu or self.fails(line, own, ends):
                 continue
             kept_lines.append(line)
             kept_words += len(own)
@@ -166,12 +189,15 @@ g AS (SELECT row, i, count(*) OVER (PARTITION BY row, words[i], words[i + 1], wo
 c AS (SELECT row, count(DISTINCT k) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS k FROM g WHERE n > 1) GROUP BY row),
 s AS (SELECT row, k, lines[k] AS line FROM (SELECT row, lines, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT row, string_split(text, chr(10)) AS lines FROM d))),
 l AS (SELECT row, k, line, row_number() OVER (PARTITION BY row, line ORDER BY k) AS nth, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM s WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-r AS (SELECT *, len(words) AS n, string_split_regex(line, '\s[|»›>·•]\s') AS parts FROM l),
-f AS (SELECT *, regexp_matches(line, '(?i)licensed under the|all rights reserved|permission is hereby granted|copyright \(c\)|terms of use|privacy policy|cookie policy|without warranties or conditions|subscribe to our newsletter|lorem ipsum')
+e AS (SELECT *, len(words) AS n, string_split_regex(line, '[\x20\x09-\x0D][|»›>·•][\x20\x09-\x0D]') AS parts,
+  regexp_matches(line, '[.!?…。！？।॥؟۔։።]["''”’»)\]}›」』]*[\x20\x09-\x0D]*$') AS ends FROM l),
+m AS (SELECT *, n <= 3 AND NOT ends AS short, row_number() OVER (PARTITION BY row ORDER BY k) - row_number() OVER (PARTITION BY row, n <= 3 AND NOT ends ORDER BY k) AS run FROM e),
+r AS (SELECT *, short AND count(*) OVER (PARTITION BY row, short, run) >= 4 AS menu FROM m),
+f AS (SELECT *, menu OR regexp_matches(line, '(?i)licensed under the|all rights reserved|permission is hereby granted|copyright \(c\)|terms of use|privacy policy|cookie policy|without warranties or conditions|subscribe to our newsletter|lorem ipsum')
     OR (len(parts) >= 4 AND coalesce(list_sum(list_transform(parts, lambda p: len(regexp_extract_all(p, '[^\x20\x09-\x0D]+')))), 0) <= 3 * len(parts))
     OR 100 * len(list_filter(words, lambda x: regexp_matches(x, '[#*$%&|<>]'))) > 50 * n
     OR (n >= 4 AND 100 * len(list_filter(words, lambda x: x = upper(x) AND x <> lower(x))) > 80 * n)
-    OR (n >= 40 AND NOT regexp_matches(line, '[.!?…。！？]')) AS fails FROM r),
+    OR (n >= 10 AND NOT ends) AS fails FROM r),
 k AS (SELECT row, CAST(sum(nth > 1) AS BIGINT) AS dup, CAST(coalesce(sum(n) FILTER (nth = 1 AND NOT fails), 0) AS BIGINT) AS kept_words, string_agg(line, chr(10) ORDER BY k) FILTER (nth = 1 AND NOT fails) AS cleaned FROM f GROUP BY row),
 a AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(kept_words, 0) AS kept_words, coalesce(cleaned, '') AS cleaned
