@@ -17,8 +17,9 @@ those terms, a third marks spans.  The set of terms sent to the executors has at
 ``TERMS_AT_ONCE`` entries; more terms are marked in further passes.
 
 Cases: a null text counts as empty and has no spans; spans are in code points and may overlap;
-texts of any length are scanned whole, in linear time; repeated rows count as documents each;
-an empty table gives an empty table.
+texts of any length are scanned whole, in the time of a sort of their terms; ties between spans
+go by start, then kind; repeated rows count as documents each; columns named as the results give
+way, all others pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ class Terms:
         there = np.concatenate([[False], raw != 32, [False]])
         edge = np.flatnonzero(there[1:] != there[:-1])
         starts, ends = edge[::2], edge[1::2]
-        return raw, starts, ends, self.hasher.runs(self.hasher.letters[raw], starts, ends, 0)
+        return raw, starts, ends, self.hasher.spelt(raw, starts, ends)
 
     @staticmethod
     def characters(raw):
@@ -116,20 +117,27 @@ class Terms:
         return np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
 
 
+def inside(a, b, spans):
+    """Which stretches a..b overlap a base span: two searches for each kind, whose spans are apart
+    and in order, whatever the number of spans."""
+    import numpy as np
+
+    found = np.zeros(len(a), bool)
+    for kind in range(len(KINDS) - 1):
+        own = [(x[0], x[2]) for x in spans if x[1] == kind]
+        if own:
+            begin, end = np.array(own).T
+            found |= np.searchsorted(begin, b) > np.searchsorted(end, a, side="right")
+    return found
+
+
 def outside(raw, starts, ends, spans):
     """Which terms stand in no span."""
     import numpy as np
 
     at = Terms.characters(raw)
     a, b = at[starts], at[ends]
-    # spans overlap at most by kind; those of one kind are apart and in order
-    inside = np.zeros(len(starts), bool)
-    for kind in range(len(KINDS) - 1):
-        own = [(s, e) for s, k, e in spans if k == kind]
-        if own:
-            begin, end = np.array(own).T
-            inside |= np.searchsorted(begin, b) > np.searchsorted(end, a, side="right")
-    return np.flatnonzero(~inside & (b - a >= TERM_LETTERS))
+    return np.flatnonzero(~inside(a, b, spans) & (b - a >= TERM_LETTERS))
 
 
 def counted(rows: DataFrame, run, keys: str) -> DataFrame:
@@ -249,9 +257,9 @@ def marked(docs: DataFrame, terms: list[tuple[int, float]], text: str, first: bo
                     hit = np.flatnonzero(wanted[place] == hashes)
                     if len(hit):
                         at = Terms.characters(raw)
-                        base = [x for x in spans if x[1] < 4]
-                        new = zip(at[starts[hit]].tolist(), at[ends[hit]].tolist(), cut[place[hit]].tolist())
-                        spans += [(s, 4, e, c) for s, e, c in new if not any(s < y and e > x for x, _, y, _ in base)]
+                        a, b = at[starts[hit]], at[ends[hit]]
+                        free = ~inside(a, b, spans)
+                        spans += [(s, 4, e, c) for s, e, c in zip(a[free].tolist(), b[free].tolist(), cut[place[hit]][free].tolist())]
                 spans.sort()
                 every.append([{"kind": KINDS[k], "start": s, "end": e, "cut": c} for s, k, e, c in spans])
                 if last:

@@ -1,11 +1,12 @@
 """Personal data: the base patterns, disclosing terms, rewriting, cases."""
 
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folio.llm.pii import KINDS, base_spans, find_pii, luhn, op7_pii
+from folio.llm.pii import KINDS, Terms, base_spans, find_pii, luhn, op7_pii, outside
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
@@ -64,3 +65,14 @@ def test_terms_far_from_an_entity_and_in_few_documents(spark):
     hit = lambda i: {by[i]["text"][s["start"] : s["end"]] for s in by[i]["pii"] if s["kind"] == "term"}
     assert "Quillfeather" in hit(5000) and hit(6000) == {"Zarquon"}
     assert not hit(5001) and not hit(5002) and not hit(5)
+
+
+def test_a_long_text_of_addresses_is_marked_in_time(spark):
+    text = "".join(f"user{i}@host{i}.example and filler{i % 50} " for i in range(720_000))
+    assert len(text) > 30_000_000
+    began = time.time()
+    spans = base_spans(text)
+    read = Terms()
+    raw, starts, ends, _ = read(text)
+    assert len(spans) == 720_000 and len(outside(raw, starts, ends, spans)) == 1_440_000
+    assert time.time() - began < 20
