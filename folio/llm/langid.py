@@ -6,9 +6,11 @@ a Viterbi pass over the words with a penalty for each switch labels spans of one
 a text of several languages comes back as several spans.  The prediction is the language of
 most letters.
 
-A model is fitted on labelled rows: about ``SAMPLE_DOCS`` rows of each language, drawn by the
-hash of their id, whole texts.  Its size is fixed by ``BUCKETS`` and the number of languages.
-Prediction is local to a row, reads only its text, and never shuffles.
+A model is fitted on labelled rows: about ``SAMPLE_DOCS`` rows of each language, whole texts,
+each row drawn by itself whatever its id; counts of n-grams are added in two steps, so no task
+adds more than ``PARTS`` of them at once.  The model's table has 2**25 numbers at most: beyond
+256 languages its n-grams share more buckets.  Prediction is local to a row, reads only its
+text, and never shuffles.
 
 Cases: a null text, or one without letters, is ``und`` with score 0; so is every text if no
 row was labelled.  Ties between languages go to the first in code-point order.  Very long
@@ -18,6 +20,7 @@ empty table; other columns pass through, and those with the names of the results
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -35,8 +38,10 @@ ORDERS = (2, 3, 4)
 SWITCH = 14.0
 #: Least part of a language's letters that makes a script one of its own.
 SCRIPT_SHARE = 0.01
-#: Most languages that a model holds; its broadcast has this times 2**BUCKET_BITS floats at most.
-MOST_LANGUAGES = 256
+#: Numbers in a model's table at most, and languages (the most frequent) that it learns.
+MOST_NUMBERS, MOST_LANGUAGES = 1 << 25, 1 << 12
+#: Parts that the counts of a language are added in first.
+PARTS = 32
 UNKNOWN = "und"
 #: Positions that are scored at once.
 STEP = 1 << 15
@@ -55,10 +60,11 @@ N_SCRIPTS = 20
 @dataclass
 class Model:
     languages: list[str]
-    #: (2**BUCKET_BITS, languages) float32: how much an n-gram speaks for each language.
+    #: (2**bits, languages) float32: how much an n-gram speaks for each language.
     table: object
     #: (scripts, languages) bool
     scripts: object
+    bits: int = BUCKET_BITS
 
 
 def tables():
@@ -79,8 +85,8 @@ def tables():
 class Reader:
     """Turns texts into letters, words and hashed n-grams, many texts at a time."""
 
-    def __init__(self, lower, script):
-        self.lower, self.script = lower, script
+    def __init__(self, lower, script, bits: int = BUCKET_BITS):
+        self.lower, self.script, self.bits = lower, script, bits
 
     def letters(self, texts: list[str]):
         """Lower-cased letters of the joined texts (0 between words), and the texts' offsets."""
@@ -98,8 +104,7 @@ class Reader:
         edge = np.flatnonzero(there[1:] != there[:-1])
         return edge[::2], edge[1::2]
 
-    @staticmethod
-    def grams(codes):
+    def grams(self, codes):
         """For slices of the letters: where they begin, and for each order the bucket of the
         n-gram that ends at each position and whether it lies in one word with its edges."""
         import numpy as np
@@ -107,7 +112,7 @@ class Reader:
         longest = max(ORDERS)
         padded = np.concatenate([np.zeros(longest - 1, np.uint32), codes, np.zeros(1, np.uint32)])
         n = len(codes) + 1
-        shift = np.uint32(32 - BUCKET_BITS)
+        shift = np.uint32(32 - self.bits)
         for start in range(0, n, STEP):
             size = min(STEP, n - start)
             at = [padded[start + longest - 1 - k : start + longest - 1 - k + size] for k in range(longest)]
@@ -124,53 +129,81 @@ class Reader:
             yield start, size, out
 
 
-def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE_DOCS) -> Model:
+def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS) -> Model:
     """A model of the languages in ``labelled``; rows without a text or a language are passed over."""
     import numpy as np
 
     spark = labelled.sparkSession
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(F.col(lang).alias("lang")).count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"a model holds at most {MOST_LANGUAGES} languages")
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])
-    drawn = F.pmod(F.xxhash64(F.lit("fit"), F.col(key)), F.lit(1 << 20)) < F.element_at(share, F.col(lang)) * (1 << 20)
-    bounded = rows.where(drawn).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    bits = min(BUCKET_BITS, (MOST_NUMBERS // len(counts)).bit_length() - 1)
+    size = 1 << bits
+    shares = spark.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in counts], "lang string, share double")
+    drawn = rows.join(F.broadcast(shares), "lang").where(F.rand(7) < F.col("share"))
     shared = spark.sparkContext.broadcast(tables())
 
     def count(pieces):
-        reader = Reader(*shared.value)
-        held: dict[str, np.ndarray] = {}
+        reader = Reader(*shared.value, bits)
         for batch in pieces:
             by: dict[str, list[str]] = {}
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(name, []).append(t)
             for name, texts in by.items():
                 codes, raw, _ = reader.letters(texts)
-                total = held.setdefault(name, np.zeros((1 << BUCKET_BITS) + N_SCRIPTS, np.int64))
+                total = held.setdefault(name, np.zeros(size + N_SCRIPTS, np.int64))
                 for _, _, grams in reader.grams(codes):
                     for bucket, inner in grams:
-                        total[: 1 << BUCKET_BITS] += np.bincount(bucket[inner], minlength=1 << BUCKET_BITS)
-                total[1 << BUCKET_BITS :] += np.bincount(reader.script[raw[codes != 0]], minlength=N_SCRIPTS)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["lang", "counts"])
-
-    def add(group):
-        import pandas as pd
-
-        total = sum(np.frombuffer(x, np.int64) for x in group["counts"])
-        return pd.DataFrame({"lang": group["lang"].iloc[:1], "counts": [total.tobytes()]})
-
-    parts = python_rows(bounded, count, "lang string, counts binary").groupBy("lang").applyInPandas(add, "lang string, counts binary")
-    found = {r["lang"]: np.frombuffer(bytes(r["counts"]), np.int64) for r in parts.collect()}
-    languages = sorted(found)
-    seen = np.stack([found[x] for x in languages], axis=1).astype(np.float64)
-    grams, scripts = seen[: 1 << BUCKET_BITS], seen[1 << BUCKET_BITS :]
-    smooth = 0.5
-    logs = np.log((grams + smooth) / (grams.sum(0) + smooth * len(grams)))
-    table = (logs - logs.mean(1, keepdims=True)) / len(ORDERS)
-    return Model(languages, table.astype(np.float32), scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(0), 1))
+                        total[:size] += np.bincount(bucket[inner], minlength=size)
+                total[size:] += np.bincount(reader.script[raw[codes != 0]], minlength=N_SCRIPTS)
+            if len(held) * size > MOST_NUMBERS // 8:
+                yield sums(held)
+        if held:
+            yield sums(held)
+
+    held: dict = {}
+
+    def sums(held):
+        part = [uuid.uuid4().int % PARTS for _ in held]
+        made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(part, pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["lang", "part", "counts"])
+        held.clear()
+        return made
+
+    def add(batches):
+        """Adds the counts of each key as they stream by."""
+        key, total = None, None
+        for batch in batches:
+            for name, part, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if (name, part) != key:
+                    if key:
+                        yield row(key, total)
+                    key, total = (name, part), np.zeros(size + N_SCRIPTS, np.int64)
+                total += np.frombuffer(data, np.int64)
+        if key:
+            yield row(key, total)
+
+    def row(key, total):
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["lang", "part", "counts"])
+
+    schema = "lang string, part int, counts binary"
+    parts = python_rows(drawn.select("text", "lang"), count, schema)
+    parts = parts.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(add, schema)
+    whole = parts.withColumn("part", F.lit(0)).repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(add, schema)
+    languages, seen, scripts = [], [], []
+    for r in whole.orderBy("lang").toLocalIterator():
+        found = np.frombuffer(bytes(r["counts"]), np.int64)
+        languages.append(r["lang"])
+        logs = found[:size] + 0.5
+        seen.append(np.log(logs / logs.sum()).astype(np.float32))
+        scripts.append(found[size:] >= SCRIPT_SHARE * max(int(found[size:].sum()), 1))
+    if not languages:
+        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool))
+    table = np.stack(seen, axis=1)
+    seen.clear()
+    table -= table.mean(1, keepdims=True)
+    table /= len(ORDERS)
+    return Model(languages, table, np.stack(scripts, axis=1), bits)
 
 
 def best_path(scores, penalty: float) -> list[int]:
@@ -193,7 +226,7 @@ def best_path(scores, penalty: float) -> list[int]:
 class Labeller:
     def __init__(self, model: Model, lower, script, penalty: float):
         self.model, self.penalty = model, penalty
-        self.reader = Reader(lower, script)
+        self.reader = Reader(lower, script, model.bits)
         self.narrow = not model.scripts.all()
 
     def word_scores(self, codes, raw, starts):
