@@ -14,9 +14,11 @@ blocks' first keys.  A search goes to its shard by the shards' first keys (at mo
 in the block, and at last reads just the record's bytes from its archive.
 
 Cases: a null payload is empty; a null URL has the key ``-``; null page ids count as larger
-than all others; repeated rows of the page id that comes first are all responses; header values
-are percent-encoded where they hold control characters; other columns are left out; an empty
-table gives an empty table.
+than all others; repeated rows of the page id that comes first are all responses; a very long
+payload is one record, held whole by the task that writes or reads it; header values are
+percent-encoded where they hold control characters; other columns are left out, whatever their
+names; an empty table gives an empty table.  The table has no times of capture, so all records
+bear one date and captures of one URL are told apart by page id.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import load, new_path, python_rows, written
+from folio.llm.common import load, new_path, partitions_for, python_rows, written
 
 LEAST_REVISIT, BLOCK, MOST_SHARDS = 100, 1000, 10_000
 FILE_BYTES = 64 << 20
@@ -69,8 +71,13 @@ def shown(value) -> str:
     return quote(str(value), safe="".join(chr(c) for c in range(33, 127) if chr(c) != "%"))
 
 
-def record(page_id, url, payload: bytes, digest: str, refers_to, is_revisit: bool, date: str) -> bytes:
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}"]
+def record_id(page_id, digest: str) -> str:
+    """The same for the same page and payload, so a revisit can name its response."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
+def record(page_id, url, payload: bytes, digest: str, first, first_url, is_revisit: bool, date: str) -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}"]
     if page_id is not None:
         head.append(f"Page-ID: {page_id}")
     if url is not None:
@@ -78,7 +85,9 @@ def record(page_id, url, payload: bytes, digest: str, refers_to, is_revisit: boo
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if is_revisit:
-        head += [f"WARC-Profile: {REVISIT}", f"Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(first, digest)}", f"WARC-Refers-To-Date: {date}", f"Refers-To-Page-ID: {first}"]
+        if first_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {shown(first_url)}")
     else:
         block += payload
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -112,7 +121,7 @@ def write_archives(pages: DataFrame, folder: str, *, page: str = "page_id", url:
     payload = F.col("html").cast("binary")
     rows = rows.select("*", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes"))
     twice = (
-        rows.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        rows.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
     rows = rows.join(written(twice, "payloads"), "digest", "left").drop("bytes")
     rows = rows.withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
@@ -132,7 +141,7 @@ def write_archives(pages: DataFrame, folder: str, *, page: str = "page_id", url:
                 if out is None:
                     name, at = f"{folder}/pages-{uuid.uuid4().hex}.warc.gz", 0
                     out = store.open_output_stream(filesystem(name)[1], compression=None)
-                data = gzipped(record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), r["digest"], r["first"], r["revisit"], date))
+                data = gzipped(record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), r["digest"], r["first"], r["first_url"], r["revisit"], date))
                 out.write(data)
                 made.append((capture_key(r["url"], r["page_id"]), r["page_id"], name, at, len(data)))
                 at += len(data)
@@ -202,6 +211,8 @@ def search(index: DataFrame, keys: DataFrame) -> DataFrame:
                 if shard != number:
                     _, path, at, size = shared.value[shard]
                     store, inner = filesystem(path)
+                    if file:
+                        file.close()
                     file = store.open_input_file(inner)
                     blocks = json.loads(zlib.decompress(file.read_at(size, at)))
                     firsts, number, held = [b[0] for b in blocks], shard, (None, [])
@@ -219,7 +230,7 @@ def search(index: DataFrame, keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["key", "file", "offset", "length"])
 
     placed = keys.select("key").distinct().mapInArrow(assign, "key string, shard int")
-    return placed.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(find, "key string, file string, offset long, length long")
+    return placed.repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "key").mapInArrow(find, "key string, file string, offset long, length long")
 
 
 def read_records(places: DataFrame) -> DataFrame:
@@ -233,6 +244,8 @@ def read_records(places: DataFrame) -> DataFrame:
             for path, at, size in zip(*(c.to_pylist() for c in batch.columns)):
                 if path != name:
                     store, inner = filesystem(path)
+                    if file:
+                        file.close()
                     name, file = path, store.open_input_file(inner)
                 got = parse(zlib.decompress(file.read_at(size, at), 31))
                 f, payload = got["fields"], got["payload"]
@@ -253,7 +266,10 @@ def read_records(places: DataFrame) -> DataFrame:
     def rows(out):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in schema.split(", ")])
 
-    return places.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
+    # small rows stand for large reads: a fixed number of partitions, each of a range of files and offsets
+    places = written(places.select("file", "offset", "length"), "places")
+    n = partitions_for(places.sparkSession, places.agg(F.sum("length")).first()[0] or 0, FILE_BYTES)
+    return places.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:

@@ -47,6 +47,20 @@ def test_search_finds_only_what_is_asked_for(spark, monkeypatch):
     assert sorted(r["page_id"] for r in warc.read_records(found).collect()) == [0, 7, 24]
 
 
+def test_revisits_name_their_response():
+    digest = hashlib.sha256(b"x").hexdigest()
+    first = warc.parse(warc.record(3, "http://a/", b"x", digest, 3, "http://a/", False, warc.DATE))["fields"]
+    again = warc.parse(warc.record(9, "http://b/", b"x", digest, 3, "http://a/", True, warc.DATE))["fields"]
+    assert again["warc-refers-to"] == first["warc-record-id"] != again["warc-record-id"]
+    assert again["warc-refers-to-target-uri"] == first["warc-target-uri"] and again["warc-refers-to-date"] == first["warc-date"]
+
+
+def test_a_very_long_payload(spark):
+    pages, manifest, folder = stored(spark, [(1, "http://x/", "y" * 20_000_000, "k"), (2, "http://x/2", "short", "k")])
+    got = {r["page_id"]: r["payload_bytes"] for r in warc.read_records(manifest).collect()}
+    assert got == {1: 20_000_000, 2: 5}
+
+
 def test_keys():
     assert warc.url_key("HTTP://Www.Example.COM/a/B?c") == "com,example,www)/a/B?c"
     assert warc.url_key("https://a.b:8443") == "b,a:8443)/" and warc.url_key(None) == "-"
