@@ -12,8 +12,10 @@ task holds more than one range.
 
 Cases: a null text counts as empty; a text of fewer than five words is one shingle; equal texts
 are fully alike whatever their fingerprints hold; otherwise two empty fingerprints have
-likeness 0.  Null ids come last, equal ids in the order of their texts.  A table of one row is
-its own neighbour; an empty table gives an empty table.
+likeness 0.  Null ids come last; equal ids stand in the order of a hash of their texts, then of
+the texts, and an id that many rows share is cut into ranges by that hash.  Very long texts are
+read whole.  Columns named like the working ones (``__`` and ``next_``) give way.  A table of one
+row is its own neighbour; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from folio.llm.common import WORD, load
 
 #: Words of a shingle; the fraction of hashes kept is 1 / 2**FRACTION_BITS.
-SHINGLE, FRACTION_BITS = 5, 3
+SHINGLE, FRACTION_BITS = 5, 2
 #: Quantiles of the ids (COARSE * COARSE, found in two steps), and ranges in all.
 COARSE, MOST_RANGES = 24, 1 << 20
 
@@ -68,12 +70,13 @@ def shown(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), ",")
 
 
-def id_ranges(docs: DataFrame, key: str) -> tuple[Column, DataFrame]:
-    """The range of a row, numbered in descending id order, and for each range with rows its first
-    id and the range before it (before the first: the last).
+def id_ranges(docs: DataFrame, key: str, tie: str) -> tuple[Column, DataFrame]:
+    """The range of a row, numbered in descending id order, and for each range with rows the id and
+    ``tie`` of its first rows and the range before it (before the first: the last).
 
     Ranges lie between quantiles of the ids, each cut into equal widths as often as the shuffle
-    has partitions for; there are ``MOST_RANGES`` at most, whatever the input."""
+    has partitions for; there are ``MOST_RANGES`` at most, whatever the input.  Ids that are several
+    quantiles, and rows without an id, are cut by ``tie`` instead."""
     parts = [i / (COARSE * COARSE) for i in range(1, COARSE * COARSE)]
     found = docs.agg(F.percentile_approx(key, parts, 10_000).alias("e"), F.min(key).alias("low"), F.max(key).alias("high")).first()
     edges = sorted({*(found["e"] or [])}, reverse=True)
@@ -93,26 +96,36 @@ def id_ranges(docs: DataFrame, key: str) -> tuple[Column, DataFrame]:
         part = F.floor((high - F.col(key).cast("double")) / F.greatest(high - low, F.lit(1.0)) * cuts)
         number = number * cuts + F.least(F.greatest(part, F.lit(0)), F.lit(cuts - 1))
     number = F.when(F.col(key).isNull(), (len(edges) + 1) * cuts).otherwise(number).cast("int")
-    firsts = docs.select(F.col(key).alias("id"), number.alias("range")).groupBy("range").agg(F.max("id").alias("first"))
+    hot = [e for e in edges if found["e"].count(e) > 1]
+    # of the rows in the range of a hot id, those with greater ids come first and those with smaller ones last
+    place = F.size(F.filter(longs(hot), lambda e: e > F.col(key))) * 2 + F.array_contains(longs(hot), F.col(key)).cast("int") if hot else F.lit(0)
+    own = F.when(F.col(key).isNull(), 0).otherwise(place)
+    pieces = F.when(F.col(key).isNull(), COARSE * COARSE * cuts)
+    for e in hot:
+        pieces = pieces.when(F.col(key) == F.lit(e), found["e"].count(e) * cuts)
+    piece = F.floor((F.col(tie) / 2.0**64 + 0.5) * F.coalesce(pieces, F.lit(0)))
+    number = F.struct(number.alias("n"), own.cast("int").alias("own"), piece.cast("int").alias("piece"))
+    firsts = docs.select(number.alias("range"), F.struct(F.bitwise_not(F.col(key)).alias("id"), F.col(tie).alias("tie")).alias("at")).groupBy("range").agg(F.min("at").alias("at"))
     every = Window.orderBy("range")
     last = F.max("range").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return number, firsts.select("range", "first", F.coalesce(F.lag("range").over(every), last).alias("before"))
+    return number, firsts.select("range", F.bitwise_not("at.id").alias("first"), F.col("at.tie").alias("tie"), F.coalesce(F.lag("range").over(every), last).alias("before"))
 
 
 def with_next(docs: DataFrame, *, key: str, columns: list[str]) -> DataFrame:
     """``docs`` with ``next_<column>`` from the next row in descending order of ``key``; after
     the last row comes the first."""
-    number, firsts = id_ranges(docs, key)
-    firsts = firsts.toDF("__range", "__first", "__before")
+    docs = docs.withColumn("__tie", F.xxhash64(columns[0]))
+    number, firsts = id_ranges(docs, key, "__tie")
+    firsts = firsts.toDF("__range", "__first", "__first_tie", "__before")
     rows = docs.withColumn("__range", number).join(F.broadcast(firsts), "__range")
     # the first of a range stands, as a copy, at the end of the range before it
     own = F.struct(F.col("__range").alias("range"), F.lit(False).alias("copy"))
     copy = F.struct(F.col("__before").alias("range"), F.lit(True).alias("copy"))
-    copies = F.when(F.col(key).eqNullSafe(F.col("__first")), F.array(own, copy)).otherwise(F.array(own))
-    order = Window.partitionBy("__range").orderBy("__copy", F.col(key).desc_nulls_last(), *columns[:1])
-    rows = rows.withColumn("__at", F.explode(copies)).withColumn("__copy", F.col("__at.copy")).withColumn("__range", F.col("__at.range")).drop("__at", "__first", "__before")
+    copies = F.when(F.col(key).eqNullSafe(F.col("__first")) & (F.col("__tie") == F.col("__first_tie")), F.array(own, copy)).otherwise(F.array(own))
+    order = Window.partitionBy("__range").orderBy("__copy", F.col(key).desc_nulls_last(), "__tie", *columns[:1])
+    rows = rows.withColumn("__at", F.explode(copies)).withColumn("__copy", F.col("__at.copy")).withColumn("__range", F.col("__at.range")).drop("__at", "__first", "__first_tie", "__before")
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
-    return rows.where(~F.col("__copy")).drop("__copy", "__range")
+    return rows.where(~F.col("__copy")).drop("__copy", "__range", "__tie")
 
 
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
