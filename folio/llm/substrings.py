@@ -51,7 +51,7 @@ BUCKET_BYTES = 12 << 20
 
 
 class Hasher:
-    """64-bit hashes of words and of runs of words, from sums of powers of odd numbers."""
+    """64-bit hashes of words, and of runs of them from sums of powers of odd numbers."""
 
     def __init__(self):
         import numpy as np
@@ -94,6 +94,18 @@ class Hasher:
         np.cumsum(values * up[: len(values)], out=sums[1:])
         return self.mix((sums[ends] - sums[starts]) * down[starts])
 
+    def spelt(self, raw, starts, ends):
+        """Hashes of runs of bytes that don't overlap: sums of a random number for each letter and place."""
+        import numpy as np
+
+        sizes = ends - starts
+        cut = np.concatenate([[0], np.cumsum(sizes)])
+        within = np.arange(cut[-1]) - np.repeat(cut[:-1], sizes)
+        letters = self.letters[raw[within + np.repeat(starts, sizes)]]
+        sums = np.zeros(cut[-1] + 1, np.uint64)
+        np.cumsum(self.mix(letters + within.astype(np.uint64) * self.bases[0]), out=sums[1:])
+        return self.mix(sums[cut[1:]] - sums[cut[:-1]])
+
     def words(self, data: bytes):
         """Hashes of the words of a text."""
         import numpy as np
@@ -101,7 +113,7 @@ class Hasher:
         raw = np.frombuffer(data, np.uint8)
         there = np.concatenate([[False], ~self.space[raw], [False]])
         edge = np.flatnonzero(there[1:] != there[:-1])
-        return self.runs(self.letters[raw], edge[::2], edge[1::2], 0)
+        return self.spelt(raw, edge[::2], edge[1::2])
 
     def anchors(self, words):
         """Positions and hashes of the anchors of a text."""

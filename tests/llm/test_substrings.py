@@ -46,13 +46,12 @@ def test_shared_passages_of_every_length_and_offset(spark):
     assert remove_repeats(df.limit(0), 8).count() == 0
 
 
-def test_words_that_collide_in_the_anchors_are_told_apart(spark):
+def test_words_that_sums_of_powers_confuse_are_told_apart(spark):
     letters = "a"
     for _ in range(10):  # a word and its complement, alike to any sum of powers modulo 2**64
         letters += letters.translate(str.maketrans("ab", "ba"))
     other = letters.translate(str.maketrans("ab", "ba"))
-    hasher = Hasher()
-    assert hasher.words(letters.encode()) == hasher.words(other.encode())
+    assert Hasher().words(letters.encode()) != Hasher().words(other.encode())
     rest = " ".join(f"w{i}" for i in range(34))
     df = spark.createDataFrame([(1, f"{letters} {rest}"), (2, f"{other} {rest}")], "doc_id long, text string")
     assert [r["n_removed"] for r in remove_repeats(df, 8).collect()] == [0, 0]
