@@ -49,6 +49,8 @@ SMALL_TEXTS, SMALL_BYTES = 64, 8 << 20
 RARE = 64
 #: Tokens that a pair must share to be aligned, among the rarest of both, if it has so many in common at all.
 SHARED = 8
+#: Tokens of a text that travel with each of its rows, to pair two texts once.
+HEAD = 64
 #: Counters of a text's words, whose differences are a lower bound of the edits.
 COUNTERS = 256
 #: k-mers drawn at once, over all bands; diagonals of the first alignment.
@@ -286,29 +288,46 @@ def tokens(texts: DataFrame, size: int) -> DataFrame:
 
 def prefixes(rows: DataFrame, size: int) -> DataFrame:
     """The rows (node, label, n, token) that may pair texts of different classes, with the number
-    of texts that hold the token (``held``).
+    of texts that hold the token (``held``) and the class most of them are of (``main``); with each
+    text's number of such tokens (``n_tokens``) and the first ``HEAD`` of them.
 
     Texts of n words or more that are alike have all but ``size`` * n / 5 runs of ``size`` words
     in common, so in any one order of all tokens they share ``SHARED`` of the first
     ``size`` * n / 5 + ``SHARED`` of each.  The order is by how many texts hold a token; what one
     class alone holds comes first and pairs nothing."""
-    held = F.when(F.min("label") == F.max("label"), 0).otherwise(F.count("*")).alias("held")
-    ranked = rows.join(rows.groupBy("token").agg(held), "token")
-    nth = F.row_number().over(Window.partitionBy("node").orderBy("held", "token"))
+    own = rows.groupBy("token", "label").agg(F.count("*").alias("n_own"))
+    held = own.groupBy("token").agg(F.sum("n_own").alias("held"), F.count("*").alias("classes"), F.max_by("label", "n_own").alias("main"))
+    ranked = rows.join(held.where("classes > 1").drop("classes"), "token")
+    text = Window.partitionBy("node")
+    alone = F.greatest(F.col("n") - (size - 1), F.least("n", F.lit(1))) - F.count("*").over(text)
     most = F.floor(F.col("n") * size * (100 - SIMILARITY_PERCENT) / 100) + SHARED + 1
-    return ranked.withColumn("nth", nth).where((F.col("nth") <= most) & (F.col("held") > 0)).drop("nth")
+    ranked = ranked.withColumns({"nth": F.row_number().over(text.orderBy("held", "token")), "most": most - alone}).where("nth <= most")
+    head = F.sort_array(F.collect_list(F.when(F.col("nth") <= HEAD, F.col("token"))).over(text))
+    return ranked.withColumns({"n_tokens": F.count("*").over(text), "head": head}).drop("nth", "most")
 
 
 def paired(rows: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) of texts of different classes and of fitting lengths that share enough tokens."""
-    one = rows.select("token", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"))
-    two = rows.select("token", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    """The pairs (a, b) of texts of different classes and of fitting lengths that share enough
+    tokens.  Texts of a token's main class meet only those of other classes, and a pair is made at
+    the least token of both heads, or at tokens outside of them."""
+
+    def side(name: str, kept: DataFrame) -> DataFrame:
+        columns = ("label", "n", "n_tokens", "head")
+        return kept.select("token", F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns], *(["main"] if name == "b" else []))
+
+    both = F.array_intersect("head_a", "head_b")
     longer = F.greatest("n_a", "n_b")
-    fits = longer * SIMILARITY_PERCENT <= F.least("n_a", "n_b") * 100
-    both = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & fits)
     common = longer - (size - 1) - size * F.floor(longer * (100 - SIMILARITY_PERCENT) / 100)
-    asked = F.least(F.lit(SHARED), F.greatest(common, F.lit(1))).alias("asked")
-    return both.select("a", "b", asked).groupBy("a", "b", "asked").agg(F.count("*").alias("shared")).where("shared >= asked").select("a", "b")
+    asked = F.least(F.lit(SHARED), F.greatest(common, F.lit(1)))
+    in_heads = F.array_contains("head_a", F.col("token")) & F.array_contains("head_b", F.col("token"))
+    told = (F.greatest("n_tokens_a", "n_tokens_b") > HEAD) | (F.size(both) >= asked)
+    once = F.when(in_heads, told & (F.get(both, F.lit(0)) == F.col("token"))).otherwise(True)
+    fits = longer * SIMILARITY_PERCENT <= F.least("n_a", "n_b") * 100
+    other = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("a") < F.col("b")))
+    met = side("a", rows.where("label <> main")).join(side("b", rows), "token").where(F.when(other & fits, once).otherwise(False))
+    shared = F.when(in_heads, F.size(both)).otherwise(1).alias("shared")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), asked.alias("asked"), shared)
+    return met.groupBy("a", "b", "asked").agg(F.sum("shared").alias("shared")).where("shared >= asked").select("a", "b")
 
 
 def rarely_shared(texts: DataFrame) -> DataFrame:
