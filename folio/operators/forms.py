@@ -82,19 +82,27 @@ def flatten(fields: DataFrame, widgets: DataFrame, runs: DataFrame, annots: Data
 def dedupe_names(fields: DataFrame) -> DataFrame:
     """Top names of a merged document made unique in order of arrival: the second of a name takes
     the first free of ``name_2``, ``name_3`` and so on.  Names that an input owns already are
-    taken; a fold over the document's clashing names finds the free ones."""
-    start = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast("array<string>").alias("names"))
-
-    def step(acc: Column, f: Column) -> Column:
-        tries = F.concat(F.array(f["t"]), F.transform(F.sequence(F.lit(2), F.size(acc["taken"]) + 2), lambda k: F.concat_ws("_", f["t"], k.cast("string"))))
-        free = F.get(F.filter(tries, lambda x: ~F.array_contains(acc["taken"], x)), F.lit(0))
-        return F.struct(F.array_append(acc["taken"], free).alias("taken"), F.array_append(acc["names"], free).alias("names"))
+    taken.  Each choice depends on those before it, so the clashing names of one stem of a document
+    are one group, named in a single pass: a name remembers where its next free number was."""
+
+    def named(group):
+        taken, following, names = set(), {}, []
+        group = group.sort_values("arrival")
+        for t in group["t"].tolist():
+            name, k = t, following.get(t, 2)
+            while name in taken:
+                name, k = f"{t}_{k}", k + 1
+            following[t] = k
+            taken.add(name)
+            names.append(name)
+        return group.assign(name=names)[["out_id", "node_id", "name"]]
 
     rows = fields.withColumn("stem", F.regexp_replace("t", r"(_[0-9]+)+$", ""))
-    merged = rows.groupBy("out_id", "stem").agg(F.array_sort(F.collect_list(F.struct("arrival", "node_id", "t"))).alias("all"))
-    named = merged.withColumn("names", F.aggregate("all", start, step, lambda a: a["names"]))
-    each = named.select("out_id", F.explode(F.arrays_zip("all", "names")).alias("z"))
-    return each.select("out_id", "z.all.node_id", F.col("z.names").alias("name"))
+    kinds = dict(fields.dtypes)
+    alone = rows.withColumn("alike", F.count("*").over(Window.partitionBy("out_id", "stem")))
+    single = alone.where("alike = 1").select("out_id", "node_id", F.col("t").alias("name"))
+    several = alone.where("alike > 1").select("out_id", "stem", "arrival", "node_id", "t")
+    return single.unionByName(several.groupBy("out_id", "stem").applyInPandas(named, f"out_id {kinds['out_id']}, node_id {kinds['node_id']}, name string"))
 
 
 def keep_included(fields: DataFrame, widgets: DataFrame, pages: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ keeps to the image, so row and column passes need no further shuffle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -339,27 +341,139 @@ def noise(px: DataFrame, amount: float, seed: int = 1) -> DataFrame:
     return px.withColumn("shift", shift).withColumns({c: clamp8(F.col(c) + F.col("shift")) for c in "rgb"}).drop("shift")
 
 
+# The names of the blend modes and the weights of luminosity.
+BLEND_MODES = (
+    "normal", "multiply", "screen", "overlay", "darken", "lighten", "color-dodge", "color-burn", "hard-light", "soft-light",
+    "difference", "exclusion", "hue", "saturation", "color", "luminosity",
+)
+LUMINOSITY = (0.3, 0.59, 0.11)
+
+
+def separable(s: Column, d: Column) -> dict[str, Column]:
+    """Each mode that treats a channel by itself: source s over backdrop d, both from 0 to 1."""
+    one, half = F.lit(1.0), F.lit(0.5)
+    light = lambda top, under: F.when(top <= half, under * 2 * top).otherwise(under + (2 * top - 1) - under * (2 * top - 1))
+    curve = F.when(d <= 0.25, ((16 * d - 12) * d + 4) * d).otherwise(F.sqrt(d))
+    return {
+        "multiply": s * d,
+        "screen": s + d - s * d,
+        "overlay": light(d, s),
+        "darken": F.least(s, d),
+        "lighten": F.greatest(s, d),
+        "color-dodge": F.when(d == 0, 0.0).when(s >= 1, 1.0).otherwise(F.least(one, F.try_divide(d, 1 - s))),
+        "color-burn": F.when(d >= 1, 1.0).when(s == 0, 0.0).otherwise(1 - F.least(one, F.try_divide(1 - d, s))),
+        "hard-light": light(s, d),
+        "soft-light": F.when(s <= half, d - (1 - 2 * s) * d * (1 - d)).otherwise(d + (2 * s - 1) * (curve - d)),
+        "difference": F.abs(s - d),
+        "exclusion": s + d - 2 * s * d,
+    }
+
+
+def luminosity(c: list[Column]) -> Column:
+    return c[0] * LUMINOSITY[0] + c[1] * LUMINOSITY[1] + c[2] * LUMINOSITY[2]
+
+
+def saturated(c: list[Column], by: Column) -> list[Column]:
+    """A colour stretched to a saturation, from zero up."""
+    low, high = F.least(*c), F.greatest(*c)
+    return [F.when(high > low, F.try_divide((x - low) * by, high - low)).otherwise(F.lit(0.0)) for x in c]
+
+
+def lit(c: list[Column], to: Column) -> list[Column]:
+    """A colour moved to a luminosity and drawn towards grey until it fits."""
+    moved = [x + (to - luminosity(c)) for x in c]
+    grey, low, high = luminosity(moved), F.least(*moved), F.greatest(*moved)
+    raised = [F.when(low < 0, grey + F.try_divide((x - grey) * grey, grey - low)).otherwise(x) for x in moved]
+    return [F.when(high > 1, grey + F.try_divide((x - grey) * (1 - grey), high - grey)).otherwise(x) for x in raised]
+
+
+def whole_colours(s: list[Column], d: list[Column]) -> dict[str, list[Column]]:
+    """The modes that mix hue, saturation and luminosity of two colours."""
+    spread_of = lambda c: F.greatest(*c) - F.least(*c)
+    return {
+        "hue": lit(saturated(s, spread_of(d)), luminosity(d)),
+        "saturation": lit(saturated(d, spread_of(s)), luminosity(d)),
+        "color": lit(s, luminosity(d)),
+        "luminosity": lit(d, luminosity(s)),
+    }
+
+
 def composite(layers: DataFrame) -> DataFrame:
-    """Layers (image_id, z, opacity, blend, hidden, pixels) from the bottom up, by the W3C formulas:
-    source-over, multiply, screen, darken, lighten, difference."""
+    """Layers (image_id, z, opacity, blend, hidden, pixels) from the bottom up, by the W3C formulas
+    of the sixteen ``BLEND_MODES``; another name is an error."""
     rows = layers.where(~F.col("hidden")).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("z", "opacity", "blend", *"rgba"))).alias("stack"))
     zero = F.struct(*[F.lit(0.0).alias(c) for c in "rgba"])
 
     def step(acc: Column, s: Column) -> Column:
-        sa, da = s["a"] / 255 * s["opacity"], acc["a"]
+        sa, da, mode = s["a"] / 255 * s["opacity"], acc["a"], s["blend"]
         oa = sa + da * (1 - sa)
-
-        def mixed(c: str) -> Column:
-            src, dst, mode = s[c] / 255, acc[c], s["blend"]
-            b = F.when(mode == "multiply", src * dst).when(mode == "screen", src + dst - src * dst).when(mode == "darken", F.least(src, dst)).when(mode == "lighten", F.greatest(src, dst)).when(mode == "difference", F.abs(src - dst)).otherwise(src)
+        source, backdrop = [s[c] / 255 for c in "rgb"], [acc[c] for c in "rgb"]
+        whole = whole_colours(source, backdrop)
+
+        def mixed(k: int) -> Column:
+            src, dst = source[k], backdrop[k]
+            b = F.when(mode == "normal", src)
+            for name, made in {**separable(src, dst), **{n: c[k] for n, c in whole.items()}}.items():
+                b = b.when(mode == name, made)
+            b = b.otherwise(F.raise_error(F.concat(F.lit("unknown blend mode: "), F.coalesce(mode, F.lit("null")))).cast("double"))
             return F.when(oa > 0, (sa * ((1 - da) * src + da * b) + (1 - sa) * da * dst) / oa).otherwise(F.lit(0.0))
 
-        return F.struct(*[mixed(c).alias(c) for c in "rgb"], oa.alias("a"))
+        return F.struct(*[mixed(k).alias(c) for k, c in enumerate("rgb")], oa.alias("a"))
 
     done = rows.select(*KEY, F.aggregate("stack", zero, step).alias("o"))
     return done.select(*KEY, *[clamp8(F.col(f"o.{c}") * 255).alias(c) for c in "rgba"])
 
 
+def corner_offsets(radius: Column, shift: float) -> tuple[Column, Column]:
+    """How far a pixel lies into a corner's square on both axes; 0 outside of it."""
+    def into(at: str, size: str) -> Column:
+        far = F.col(size) - radius
+        return F.when(F.col(at) < radius, radius - F.col(at) - shift).when(F.col(at) >= far, F.col(at) - far + (1 - shift)).otherwise(0.0)
+
+    return into("x", "width"), into("y", "height")
+
+
+def round_corners(px: DataFrame, radius: float) -> DataFrame:
+    """Alpha falls to nothing outside of rounded corners; the edge is one pixel wide."""
+    r = F.least(F.lit(float(radius)), F.col("width") / 2, F.col("height") / 2)
+    dx, dy = corner_offsets(r, 0.5)
+    over = F.sqrt(dx * dx + dy * dy) - r
+    cut = (r >= 1) & (dx != 0) & (dy != 0) & (over > -1)
+    a = F.when(cut, clamp8(F.col("a") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), -over)))).otherwise(F.col("a"))
+    return sized(px).withColumn("a", a).select(*KEY, *"rgba")
+
+
+def border(px: DataFrame, width: float, color=(0, 0, 0), radius: float = 0) -> DataFrame:
+    """A border of a colour inside the edges, along rounded corners too."""
+    b = max(0, math.floor(width + 0.5))
+    r = F.least(F.lit(float(radius)), F.col("width") / 2, F.col("height") / 2)
+    dx, dy = corner_offsets(r, 0.0)
+    straight = F.least("x", "y", F.col("width") - 1 - F.col("x"), F.col("height") - 1 - F.col("y")).cast("double")
+    edge = F.when((r >= 1) & (dx != 0) & (dy != 0), r - F.sqrt(dx * dx + dy * dy)).otherwise(straight)
+    share = F.when(edge < b, F.least(F.lit(1.0), b - edge)).otherwise(0.0)
+    made = sized(px).withColumn("share", share)
+    return made.select(*KEY, *[clamp8(F.col(c) + (v - F.col(c)) * F.col("share")).alias(c) for c, v in zip("rgb", color)], "a")
+
+
+def drop_shadow(px: DataFrame, radius: float, dx: float, dy: float, color=(0, 0, 0), opacity: float = 50) -> DataFrame:
+    """The image over a blurred shadow of its alpha, on a larger canvas."""
+    pad = math.ceil(radius * 2 + max(abs(dx), abs(dy)))
+    right, down = math.floor(dx + 0.5), math.floor(dy + 0.5)
+    dims = px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    canvas = dims.select("image_id", F.explode(F.sequence(F.lit(0), F.col("w") + 2 * pad - 1)).alias("x"), "h")
+    canvas = canvas.select("image_id", "x", F.explode(F.sequence(F.lit(0), F.col("h") + 2 * pad - 1)).alias("y"))
+    cast = px.select("image_id", (F.col("x") + pad + right).alias("x"), (F.col("y") + pad + down).alias("y"), clamp8(F.col("a") * (opacity / 100)).alias("sa"))
+    held = canvas.join(cast, KEY, "left")
+    inked = [F.when(F.col("sa").isNotNull(), v).otherwise(0).alias(c) for c, v in zip("rgb", color)]
+    shadow = blur(held.select(*KEY, *inked, F.coalesce("sa", F.lit(0)).alias("a")), radius)
+    top = px.select("image_id", (F.col("x") + pad).alias("x"), (F.col("y") + pad).alias("y"), *[F.col(c).alias(f"top_{c}") for c in "rgba"])
+    both = shadow.join(top, KEY, "left")
+    sa, da = F.coalesce("top_a", F.lit(0)) / 255, F.col("a") / 255
+    oa = sa + da * (1 - sa)
+    mixed = [F.when(oa > 0, clamp8(F.try_divide(F.coalesce(f"top_{c}", F.lit(0)) * sa + F.col(c) * da * (1 - sa), oa))).otherwise(F.col(c)).alias(c) for c in "rgb"]
+    return both.select(*KEY, *mixed, clamp8(oa * 255).alias("a"))
+
+
 def apply_alpha(px: DataFrame, mask: DataFrame) -> DataFrame:
     """Alpha times a plane (image_id, x, y, m) of another size, nearest sample."""
     m = mask.withColumns({"mw": F.max("x").over(by_image()) + 1, "mh": F.max("y").over(by_image()) + 1}).select("image_id", F.col("x").alias("mx"), F.col("y").alias("my"), "m")

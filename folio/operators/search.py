@@ -41,6 +41,18 @@ def find_pii(df: DataFrame, kinds: list[str], **names) -> DataFrame:
     return out
 
 
+def find_boxes(index: DataFrame, pattern: str | None) -> DataFrame:
+    """Matches of a pattern in the pages of a character index, with their boxes: each page's
+    glyphs stand in one row beside its text, so one pass finds matches and boxes."""
+    glyph = F.struct("pos", F.concat(F.when(F.col("space") == 1, " ").otherwise(""), F.col("s")).alias("s"), "base", "x", (F.col("x") + F.col("w")).alias("x1"), "size")
+    pages = index.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(glyph)).alias("glyphs"))
+    pages = pages.select(F.struct("doc_id", "page_no", "glyphs").alias("page"), F.array_join(F.transform("glyphs", lambda g: g["s"]), "").alias("text"))
+    found = find(pages, pattern, key="page").withColumn("end", F.col("start") + F.length("match"))
+    hit = F.filter("page.glyphs", lambda g: (g["pos"] >= F.col("start")) & (g["pos"] < F.col("end")))
+    each = found.select("page.doc_id", "page.page_no", "match_no", F.explode(hit).alias("g"))
+    return each.groupBy("doc_id", "page_no", "match_no", F.col("g.base").alias("base")).agg((F.min("g.x") - 0.5).alias("bx0"), (F.max("g.x1") + 0.5).alias("bx1"), (F.max("g.size") * 1.02).alias("bh"))
+
+
 def match_boxes(matches: DataFrame, index: DataFrame) -> DataFrame:
     """One box for each line that a match spans, half a point wider and 1.02 of the size high."""
     m = matches.withColumn("end", F.col("start") + F.length("match"))
@@ -63,16 +75,26 @@ def redact_text(text: Column, kinds: list[str]) -> Column:
     return text
 
 
+def in_region() -> Column:
+    """Whether the glyph's centre lies in one of its page's ``regions``."""
+    cx, cy = F.col("x") + F.col("w") / 2, F.col("base") - 0.32 * F.col("size")
+    return F.exists("regions", lambda r: cx.between(r["rx"], r["rx"] + r["rw"]) & cy.between(r["ry"], r["ry"] + r["rh"]))
+
+
+def with_regions(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """``rows`` of pages with all regions of their page in one array."""
+    pages = regions.groupBy("doc_id", "page_no").agg(F.collect_set(F.struct("rx", "ry", "rw", "rh")).alias("regions"))
+    return rows.join(pages, ["doc_id", "page_no"], "left")
+
+
 def hit_glyphs(glyphs: DataFrame, regions: DataFrame) -> DataFrame:
     """Keys of the glyphs whose centre lies in a region of their page."""
-    keys = ["doc_id", "page_no", "line0", "word0", "g_no"]
-    cx, cy = F.col("x") + F.col("w") / 2, F.col("base") - 0.32 * F.col("size")
-    inside = cx.between(F.col("rx"), F.col("rx") + F.col("rw")) & cy.between(F.col("ry"), F.col("ry") + F.col("rh"))
-    return glyphs.join(regions, ["doc_id", "page_no"]).where(inside).select(*keys).distinct()
+    return with_regions(glyphs, regions).where("regions IS NOT NULL").where(in_region()).select("doc_id", "page_no", "line0", "word0", "g_no")
 
 
 def redact_glyphs(glyphs: DataFrame, regions: DataFrame) -> DataFrame:
-    return glyphs.join(hit_glyphs(glyphs, regions), ["doc_id", "page_no", "line0", "word0", "g_no"], "left_anti")
+    """The glyphs outside of all regions: one join by page, in which no glyph is met twice."""
+    return with_regions(glyphs, regions).where(F.col("regions").isNull() | ~in_region()).drop("regions")
 
 
 def gaps(glyphs: DataFrame, removed: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ def group_lines(runs: DataFrame) -> DataFrame:
     within max(2, half the lesser height) of the line's first run.
 
     At one y a line can only begin at the first run of some height, so a fold over the page's
-    distinct (y, height) pairs finds where lines begin; a run's line is the number of beginnings
-    at or before it.  The fold's state is the page's lines, not its runs."""
+    distinct (y, height) pairs finds where lines begin; a run's line is the last one begun at or
+    before it.  The fold's state is the page's lines, not its runs."""
     flat = runs.where(F.abs(F.coalesce(F.col("rot"), F.lit(0.0))) < TURNED)
     place = F.struct("y", "x", "run_id")
     levels = flat.groupBy("doc_id", "page_no", "y", "h").agg(F.min(place).alias("at"))
@@ -35,9 +35,11 @@ def group_lines(runs: DataFrame) -> DataFrame:
         new = F.abs(level["y"] - acc["y"]) > F.greatest(F.lit(2.0), F.least(level["h"], acc["h"]) * 0.5)
         return F.struct(F.when(new, level["y"]).otherwise(acc["y"]).alias("y"), F.when(new, level["h"]).otherwise(acc["h"]).alias("h"), F.when(new, F.array_append(acc["begin"], level["at"])).otherwise(acc["begin"]).alias("begin"))
 
-    begins = levels.select("doc_id", "page_no", F.aggregate("levels", start, step, lambda a: a["begin"]).alias("begin"))
-    both = flat.join(begins, ["doc_id", "page_no"]).withColumn("at", place)
-    return both.withColumn("line_no", F.size(F.filter("begin", lambda b: b <= F.col("at")))).drop("begin", "at")
+    begins = levels.select("doc_id", "page_no", F.posexplode(F.aggregate("levels", start, step, lambda a: a["begin"])).alias("n", "at"))
+    begins = begins.select("doc_id", "page_no", F.col("at.run_id").alias("run_id"), (F.col("n") + 1).alias("line_no"))
+    # the runs that begin a line are told by their ids; the others belong to the last line begun
+    order = Window.partitionBy("doc_id", "page_no").orderBy("y", "x", "run_id").rowsBetween(Window.unboundedPreceding, 0)
+    return flat.join(begins, ["doc_id", "page_no", "run_id"], "left").withColumn("line_no", F.last("line_no", True).over(order))
 
 
 def join_runs(lines: DataFrame) -> DataFrame:

@@ -203,6 +203,70 @@ def px_composite(t):
     return ra.composite(t.sql(LAYERS_SQL))
 
 
+MODES = ra.BLEND_MODES
+BLEND_SQL = f"SELECT image_id, x, y, r, g, b, 255 AS a, 0 AS z, CAST(1.0 AS DOUBLE) AS opacity, 'normal' AS blend, FALSE AS hidden FROM fx_pixels UNION ALL SELECT image_id, x, y, b, r, g, 255, 1, CAST(1.0 AS DOUBLE), CASE image_id % 16 {' '.join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MODES))} END, FALSE FROM fx_pixels"
+ONE_SQL = {
+    "normal": "{s}", "multiply": "{s} * {d}", "screen": "{s} + {d} - {s} * {d}", "darken": "least({s}, {d})", "lighten": "greatest({s}, {d})", "difference": "abs({s} - {d})", "exclusion": "{s} + {d} - 2 * {s} * {d}",
+    "overlay": "CASE WHEN {d} <= 0.5::DOUBLE THEN {s} * 2 * {d} ELSE {s} + (2 * {d} - 1) - {s} * (2 * {d} - 1) END", "hard-light": "CASE WHEN {s} <= 0.5::DOUBLE THEN {d} * 2 * {s} ELSE {d} + (2 * {s} - 1) - {d} * (2 * {s} - 1) END",
+    "color-dodge": "CASE WHEN {d} = 0 THEN 0 WHEN {s} >= 1 THEN 1 ELSE least(1, {d} / (1 - {s})) END", "color-burn": "CASE WHEN {d} >= 1 THEN 1 WHEN {s} = 0 THEN 0 ELSE 1 - least(1, (1 - {d}) / {s}) END",
+    "soft-light": "CASE WHEN {s} <= 0.5::DOUBLE THEN {d} - (1 - 2 * {s}) * {d} * (1 - {d}) ELSE {d} + (2 * {s} - 1) * (CASE WHEN {d} <= 0.25::DOUBLE THEN ((16 * {d} - 12) * {d} + 4) * {d} ELSE sqrt({d}) END - {d}) END",
+    "hue": "m{c}", "saturation": "m{c}", "color": "m{c}", "luminosity": "m{c}",
+}
+
+
+def lum_sql(*c):
+    return f"({c[0]} * 0.3::DOUBLE + {c[1]} * 0.59::DOUBLE + {c[2]} * 0.11::DOUBLE)"
+
+
+def stretched_sql(c, by):
+    """Channel ``c`` of the stretched colour, before its luminosity is set, for each mode of whole colours."""
+    def sat(k, of):
+        low, high = (f"{f}({', '.join(of + x for x in 'rgb')})" for f in ("least", "greatest"))
+        return f"CASE WHEN {high} > {low} THEN ({of}{k} - {low}) * ({by[of]}) / ({high} - {low}) ELSE 0 END"
+
+    return f"CASE mode WHEN 'hue' THEN {sat(c, 's')} WHEN 'saturation' THEN {sat(c, 'd')} WHEN 'color' THEN s{c} ELSE d{c} END"
+
+
+SPREAD_OF = {"s": "greatest(dr, dg, db) - least(dr, dg, db)", "d": "greatest(sr, sg, sb) - least(sr, sg, sb)"}
+
+
+@query("px_blend_modes", f"""
+WITH o AS (SELECT image_id, x, y, CASE image_id % 16 {' '.join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MODES))} END AS mode, r / 255.0::DOUBLE AS dr, g / 255.0::DOUBLE AS dg, b / 255.0::DOUBLE AS db, b / 255.0::DOUBLE AS sr, r / 255.0::DOUBLE AS sg, g / 255.0::DOUBLE AS sb FROM fx_pixels),
+t AS (SELECT *, {', '.join(f"{stretched_sql(c, SPREAD_OF)} AS t{c}" for c in 'rgb')}, CASE mode WHEN 'luminosity' THEN {lum_sql('sr', 'sg', 'sb')} ELSE {lum_sql('dr', 'dg', 'db')} END AS l FROM o),
+u AS (SELECT *, {', '.join(f"t{c} + (l - {lum_sql('tr', 'tg', 'tb')}) AS u{c}" for c in 'rgb')} FROM t),
+v AS (SELECT *, {lum_sql('ur', 'ug', 'ub')} AS y0, least(ur, ug, ub) AS low, greatest(ur, ug, ub) AS high FROM u),
+w AS (SELECT *, {', '.join(f"CASE WHEN low < 0 THEN y0 + (u{c} - y0) * y0 / (y0 - low) ELSE u{c} END AS w{c}" for c in 'rgb')} FROM v),
+m AS (SELECT *, {', '.join(f"CASE WHEN high > 1 THEN y0 + (w{c} - y0) * (1 - y0) / (high - y0) ELSE w{c} END AS m{c}" for c in 'rgb')} FROM w)
+SELECT image_id, x, y, {', '.join(clamp('(CASE mode ' + ' '.join(f"WHEN '{n}' THEN CAST({q.format(s='s' + c, d='d' + c, c=c)} AS DOUBLE)" for n, q in ONE_SQL.items()) + ' END) * 255') + f' AS {c}' for c in 'rgb')}, 255 AS a FROM m""", "fx_pixels")
+def px_blend_modes(t):
+    return ra.composite(t.sql(BLEND_SQL))
+
+
+@query("px_round", f"""
+WITH d AS (SELECT *, CASE WHEN x < 3 THEN 3 - x - 0.5::DOUBLE WHEN x >= 5 THEN x - 5 + 0.5::DOUBLE ELSE 0 END AS dx, CASE WHEN y < 3 THEN 3 - y - 0.5::DOUBLE WHEN y >= 5 THEN y - 5 + 0.5::DOUBLE ELSE 0 END AS dy FROM fx_pixels)
+SELECT image_id, x, y, r, g, b, CASE WHEN dx <> 0 AND dy <> 0 AND sqrt(dx * dx + dy * dy) - 3 > -1 THEN {clamp('a * greatest(0, least(1, 3 - sqrt(dx * dx + dy * dy)))')} ELSE a END AS a FROM d""", "fx_pixels")
+def px_round(t):
+    return ra.round_corners(t.fx_pixels, 3)
+
+
+@query("px_border", f"""
+WITH d AS (SELECT *, CASE WHEN x < 3 THEN 3 - x WHEN x >= 5 THEN x - 5 + 1 ELSE 0 END AS dx, CASE WHEN y < 3 THEN 3 - y WHEN y >= 5 THEN y - 5 + 1 ELSE 0 END AS dy FROM fx_pixels),
+e AS (SELECT *, CASE WHEN dx <> 0 AND dy <> 0 THEN 3 - sqrt(dx * dx + dy * dy) ELSE CAST(least(x, y, 7 - x, 7 - y) AS DOUBLE) END AS edge FROM d),
+k AS (SELECT *, CASE WHEN edge < 2 THEN least(1, 2 - edge) ELSE 0 END AS k FROM e)
+SELECT image_id, x, y, {', '.join(clamp(f'{c} + ({v} - {c}) * k') + f' AS {c}' for c, v in zip('rgb', (200, 30, 90)))}, a FROM k""", "fx_pixels")
+def px_border(t):
+    return ra.border(t.fx_pixels, 2, (200, 30, 90), 3)
+
+
+@query("px_shadow", f"""
+WITH c AS (SELECT image_id, x, y FROM (SELECT DISTINCT image_id FROM fx_pixels), (SELECT unnest(range(12)) AS x), (SELECT unnest(range(12)) AS y)),
+s AS (SELECT c.image_id, c.x, c.y, CASE WHEN f.a IS NULL THEN 0 ELSE 40 END AS ink, coalesce({clamp('f.a * 0.5::DOUBLE')}, 0) / 255.0::DOUBLE AS da, t.r, t.g, t.b, coalesce(t.a, 0) / 255.0::DOUBLE AS sa
+ FROM c LEFT JOIN fx_pixels f ON f.image_id = c.image_id AND f.x + 4 = c.x AND f.y + 3 = c.y LEFT JOIN fx_pixels t ON t.image_id = c.image_id AND t.x + 2 = c.x AND t.y + 2 = c.y)
+SELECT image_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, {', '.join(f"CASE WHEN sa + da * (1 - sa) > 0 THEN {clamp(f'(coalesce({k}, 0) * sa + ink * da * (1 - sa)) / (sa + da * (1 - sa))')} ELSE ink END AS {k}" for k in 'rgb')}, {clamp('(sa + da * (1 - sa)) * 255')} AS a FROM s""", "fx_pixels")
+def px_shadow(t):
+    return ra.drop_shadow(t.fx_pixels, 0, 2, 1, (40, 40, 40))
+
+
 PLANE_SQL = "SELECT image_id, x, y, r AS m FROM fx_pixels WHERE x < 4 AND y < 2"
 
 

@@ -216,10 +216,7 @@ p AS (SELECT doc_id, page_no, regexp_extract_all(text, 'er th') AS f, string_spl
 z AS (SELECT doc_id, page_no, CAST(k - 1 AS INT) AS match_no, list_sum(list_transform(b[1:k], lambda s: length(s))) + 5 * (k - 1) AS start FROM m)
 SELECT z.doc_id, z.page_no, match_no, base, min(x) - 0.5::DOUBLE AS bx0, max(x + w) + 0.5::DOUBLE AS bx1, max(size) * 1.02::DOUBLE AS bh FROM z JOIN i ON z.doc_id = i.doc_id AND z.page_no = i.page_no AND pos >= start AND pos < start + 5 GROUP BY ALL""", "fx_glyphs")
 def search_boxes(t):
-    index = tx.char_index(t.fx_glyphs)
-    pages = tx.search_text(index).withColumn("page", F.struct("doc_id", "page_no"))
-    found = search.find(pages, "er th", key="page").select("page.*", "match_no", "start", "match")
-    return search.match_boxes(found, index)
+    return search.find_boxes(tx.char_index(t.fx_glyphs), "er th")
 
 
 @query("search_report", f"SELECT doc_id, count(*) AS hits, least(count(*), 200) AS shown FROM ({FOUND_SQL.format(key='doc_id', text='text', table='documents', p='th[a-e]+r')}) GROUP BY doc_id")

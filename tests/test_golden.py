@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions.columns import lenient
-from folio.operators import assembly, forms, layout, masks, meta, pages, place, raster, search
+from folio.operators import assembly, forms, layout, masks, meta, outline, pages, place, raster, search
 from folio.operators import text as tx
 
 
@@ -135,3 +135,38 @@ def test_plans_have_no_python_and_no_cartesian_product(spark, data):
     for name in ("search_presets", "asm_merge", "redact_regions", "shape_hit", "px_blur"):
         plan = QUERIES[name](spark, data)._jdf.queryExecution().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan, name
+
+
+def test_damaged_outlines_end(spark):
+    nodes = [(1, None, None), (2, None, 1), (3, None, 4), (4, None, 3), (5, None, 4)]
+    df = spark.createDataFrame(nodes, "node_id long, parent_id long, prev long")
+    assert sorted(map(tuple, outline.sibling_ranks(df).collect())) == [(1, 0), (2, 1)]
+    tree = [(1, None), (2, 1), (3, 4), (4, 3), (5, 4)]
+    rows = spark.createDataFrame(tree, "node_id long, parent_id long").selectExpr("*", "node_id AS target", "node_id AS ord", "true AS is_open")
+    pages = spark.createDataFrame([(i, i + 10) for i in range(1, 6)], "page long, new_page long")
+    assert sorted(map(tuple, outline.remap_outline(rows, pages).collect())) == [(1, None, 11), (2, 1, 12)]
+    assert {r["node_id"]: r["count"] for r in outline.link_outline(rows).collect() if r["node_id"] < 3} == {1: 1, 2: 0}
+
+
+def test_a_chain_of_ten_thousand_outline_nodes(spark):
+    n = 10_000
+    chain = spark.range(1, n + 1).selectExpr("id AS node_id", "nullif(id - 1, 0) AS parent_id", "nullif(id - 1, 0) AS prev", "id AS ord", "true AS is_open", "id AS target")
+    assert outline.sibling_ranks(chain).agg({"rank": "max"}).first()[0] == n - 1
+    counts = {r["node_id"]: r["count"] for r in outline.link_outline(chain).collect()}
+    assert counts == {i: n - i for i in range(1, n + 1)}
+    pages = spark.createDataFrame([(1, 7), (n, 9)], "page long, new_page long")
+    assert sorted(map(tuple, outline.remap_outline(chain, pages).collect())) == [(1, None, 7), (n, 1, 9)]
+
+
+def test_many_clashing_names(spark):
+    rows = spark.range(20_000).selectExpr("1 AS out_id", "id AS node_id", "id AS arrival", "if(id = 5, 'name_7', 'name') AS t")
+    got = {r["node_id"]: r["name"] for r in forms.dedupe_names(rows).collect()}
+    assert len(set(got.values())) == 20_000 and got[0] == "name" and got[1] == "name_2" and got[5] == "name_7" and got[7] == "name_8"
+
+
+def test_unknown_blend_mode_is_an_error(spark):
+    row = "1 AS image_id, 0 AS x, 0 AS y, {v} AS r, {v} AS g, {v} AS b, 255 AS a, {z} AS z, 1D AS opacity, '{m}' AS blend, false AS hidden"
+    two = lambda m: spark.sql("SELECT " + row.format(v=100, z=0, m="normal") + " UNION ALL SELECT " + row.format(v=200, z=1, m=m))
+    assert raster.composite(two("overlay")).first()["r"] == 157
+    with pytest.raises(Exception, match="unknown blend mode"):
+        raster.composite(two("dissolve")).collect()
