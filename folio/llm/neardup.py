@@ -363,8 +363,9 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     other texts that the alignment accepted as links of this row's text.  The links found are
     enough to hold each class together; pairs inside a class are not all aligned."""
     sketched = written(sketches(docs, key, text), "sketches")
-    numbered = sketched.groupBy("digest").agg(F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id())
-    numbered = written(numbered, "nodes")  # numbers are given once
+    # numbers are given once, in the order of the digests: whatever the partitions, the same texts are least
+    numbered = sketched.groupBy("digest").agg(F.first("keys").alias("keys")).repartitionByRange("digest").sortWithinPartitions("digest")
+    numbered = written(numbered.withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = numbered.select("node", F.posexplode("keys").alias("band", "key"))
     ends = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     members = written(members.join(written(ends, "pivots"), "key"), "members")

@@ -32,3 +32,8 @@ def test_odd_rows_pass(spark, tmp_path):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "the of and to be with this that was for " * 9, "en", None, 1), (3, "the of and to be with this that was for " * 9, "en", None, 1), (None, "der die und das ist mit von ein eine nicht " * 9, "de", "s", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert p.run(spark, str(tmp_path)).count() >= 1
+
+
+def test_an_empty_table_passes(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0
