@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's input.
+
+Cases, for every stage: a null or empty text has no language and goes with the first stage; the
+later ones take it as empty.  Very long texts are read whole.  Repeated rows and equal ids are
+separate rows until the near duplicates leave one of each text; ties go to the least id, null ids
+last.  Columns other than those of ``documents`` are not carried on, whatever their names.  An
+empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
