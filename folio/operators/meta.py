@@ -53,15 +53,18 @@ def leak_report(docs: DataFrame) -> DataFrame:
 
 
 def parse_doc_date(text: Column) -> Column:
-    """Timestamp of ``D:YYYYMMDDHHmmSS``; missing parts take their least value; null for others and
-    for parts out of range."""
+    """Timestamp of ``D:YYYYMMDDHHmmSS``; missing and zero parts take their least value, parts out of
+    range roll over into the next larger one, years below 100 are of the 20th century; null for other texts."""
     pattern = r"D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?"
 
     def part(i: int, least: int) -> Column:
         n = F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).cast("int")
         return F.when(F.coalesce(n, F.lit(0)) == 0, least).otherwise(n)
 
-    return F.when(text.rlike(pattern), F.try_make_timestamp(part(1, 0), part(2, 1), part(3, 1), part(4, 0), part(5, 0), part(6, 0).cast("decimal(8,6)")))
+    year = F.when(part(1, 0) < 100, part(1, 0) + 1900).otherwise(part(1, 0))
+    first = F.try_make_timestamp(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    rest = F.make_interval(months=part(2, 1) - 1, days=part(3, 1) - 1, hours=part(4, 0), mins=part(5, 0), secs=part(6, 0))
+    return F.when(text.rlike(pattern), first + rest)
 
 
 def protect(df: DataFrame, password: str, *, text: str = "text", salt: str = "doc_id") -> DataFrame:

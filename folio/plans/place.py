@@ -163,9 +163,11 @@ def smooth_sql(src: str) -> str:
 LONG_SQL = f"SELECT *, count(*) OVER (PARTITION BY path_id) AS total FROM ({PATHS_SQL})"
 
 
-@query("path_smooth", f"SELECT path_id, n, round(x, 6) AS x, round(y, 6) AS y FROM ({smooth_sql(smooth_sql(LONG_SQL + ' WHERE path_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) > 2)'))})")
+@query("path_smooth", f"""
+SELECT path_id, n, round(x, 6) AS x, round(y, 6) AS y FROM ({smooth_sql(smooth_sql(f'SELECT * FROM ({LONG_SQL}) WHERE total > 2'))})
+UNION ALL SELECT path_id, n, round(x, 6), round(y, 6) FROM ({LONG_SQL}) WHERE total <= 2""")
 def path_smooth(t):
-    paths = t.sql(PATHS_SQL).groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("p")).where("size(p) > 2")
+    paths = t.sql(PATHS_SQL).groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("p"))
     each = paths.select("path_id", F.posexplode(pl.smooth(F.col("p"))).alias("n", "q"))
     return each.select("path_id", (F.col("n") + 1).alias("n"), F.round("q.x", 6).alias("x"), F.round("q.y", 6).alias("y"))
 

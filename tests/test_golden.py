@@ -170,3 +170,20 @@ def test_unknown_blend_mode_is_an_error(spark):
     assert raster.composite(two("overlay")).first()["r"] == 157
     with pytest.raises(Exception, match="unknown blend mode"):
         raster.composite(two("dissolve")).collect()
+
+
+DATES = {
+    "D:20240102153000+01'00'": "2024-01-02 15:30:00", "D:2024": "2024-01-01 00:00:00", "D:20241332": "2025-02-01 00:00:00", "D:20230229": "2023-03-01 00:00:00",
+    "D:20240000256161": "2024-01-02 02:02:01", "D:0099": "1999-01-01 00:00:00", "x": None,
+}
+
+
+def test_dates_roll_over(spark):
+    rows = spark.createDataFrame([(s,) for s in [*DATES, None]], "s string")
+    found = rows.select("s", meta.parse_doc_date(F.col("s")).cast("string").alias("at")).collect()
+    assert {r["s"]: r["at"] for r in found} == DATES | {None: None}
+
+
+def test_short_paths_stay_as_they_are(spark):
+    rows = spark.sql("SELECT array(struct(1.0D AS x, 2.0D AS y)) AS p UNION ALL SELECT array(struct(1.0D AS x, 2.0D AS y), struct(3.0D AS x, 5.0D AS y))")
+    assert all(r["p"] == r["q"] for r in rows.select("p", place.smooth(F.col("p")).alias("q")).collect())

@@ -1,8 +1,10 @@
 """Row-local operators and de-duplication on streams of files."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from folio.operators.search import redact_text
+from folio.operators import meta, place, text
+from folio.operators.search import find_pii, redact_text
 from folio.streaming import streams
 
 
@@ -22,3 +24,25 @@ def test_copies_within_the_watermark_pass_once(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     streams.run_available(stream, lambda s: streams.dedupe_within(s, "at", "10 minutes"), str(tmp_path / "out"), str(tmp_path / "ckpt"))
     assert sorted(r["data"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+ROW_LOCAL = {
+    "find_pii": ("documents", lambda df: find_pii(df, ["email", "phone", "number"])),
+    "protect": ("documents", lambda df: meta.unlock(meta.protect(df, "secret"), "secret").drop("cipher")),
+    "digests": ("documents", meta.digests),
+    "reflow": ("documents", lambda df: df.withColumn("text", text.reflow(text.fold_ligatures(F.col("text"))))),
+    "normalise_url": ("pages", lambda df: df.select("page_id", place.normalise_url(F.regexp_replace("url", "^[a-z]+://", "")).alias("url"))),
+    "parse_doc_date": ("events", lambda df: df.select("event_id", meta.parse_doc_date(F.date_format("ts", "'D:'yyyyMMddHHmm")).alias("at"))),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ROW_LOCAL))
+def test_row_local_operators_on_a_stream_equal_the_batch(spark, data, tmp_path, name):
+    table, operator = ROW_LOCAL[name]
+    spark.read.parquet(f"{data}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / "in"))
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.run_available(stream, operator, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    want = operator(batch)
+    got = spark.read.parquet(str(tmp_path / "out")).select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
