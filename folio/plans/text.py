@@ -306,10 +306,10 @@ SPANS_SQL = "SELECT doc_id AS span_id, doc_id, 1 AS page_no, CAST(52 + doc_id %
 
 
 @query("text_selection", f"""
-WITH r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y, x) AS INT) AS rank FROM fx_runs), s AS ({SPANS_SQL}),
-a AS (SELECT span_id, rank, row_number() OVER (PARTITION BY span_id ORDER BY d, rank) AS n FROM (SELECT span_id, rank, abs(y - py0) * 4 + greatest(x - px0, px0 - x - w, 0.0) AS d FROM s JOIN r ON s.doc_id = r.doc_id AND s.page_no = r.page_no) WHERE d < 30),
-b AS (SELECT span_id, rank, row_number() OVER (PARTITION BY span_id ORDER BY d, rank) AS n FROM (SELECT span_id, rank, abs(y - py1) * 4 + greatest(x - px1, px1 - x - w, 0.0) AS d FROM s JOIN r ON s.doc_id = r.doc_id AND s.page_no = r.page_no) WHERE d < 30)
-SELECT s.span_id, r.rank, str FROM s JOIN a ON s.span_id = a.span_id AND a.n = 1 JOIN b ON s.span_id = b.span_id AND b.n = 1 JOIN r ON s.doc_id = r.doc_id AND s.page_no = r.page_no AND r.rank BETWEEN least(a.rank, b.rank) AND greatest(a.rank, b.rank)""", "fx_runs")
+WITH r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y, x) AS INT) AS rank FROM fx_runs WHERE page_no = 1), s AS ({SPANS_SQL}),
+j AS (SELECT span_id, rank, str, abs(y - py0) * 4 + greatest(x - px0, px0 - x - w, 0.0) AS d0, abs(y - py1) * 4 + greatest(x - px1, px1 - x - w, 0.0) AS d1 FROM s JOIN r ON s.doc_id = r.doc_id AND s.page_no = r.page_no),
+e AS (SELECT span_id, min({{'d': d0, 'rank': rank}}) FILTER (WHERE d0 < 30) AS a, min({{'d': d1, 'rank': rank}}) FILTER (WHERE d1 < 30) AS b FROM j GROUP BY span_id)
+SELECT j.span_id, rank, str FROM j JOIN e ON j.span_id = e.span_id WHERE rank BETWEEN least(a.rank, b.rank) AND greatest(a.rank, b.rank) AND a IS NOT NULL AND b IS NOT NULL""", "fx_runs")
 def text_selection(t):
     return search.select_between(t.fx_runs, t.sql(SPANS_SQL))
 
@@ -324,7 +324,12 @@ def measure_encodable(t):
     return t.documents.select("doc_id", layout.encodable(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("ж"))).otherwise(F.col("text"))).alias("ok"))
 
 
-@query("wrap_text")
+@query("wrap_text", r"""
+WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents),
+t AS (SELECT doc_id, list_prepend({'n': 1, 'longest': 0, 'line': ''}, list_transform(regexp_extract_all(p, '\s+|\S+'), lambda w: {'n': 0, 'longest': 0, 'line': w})) AS tokens FROM p),
+f AS (SELECT doc_id, list_reduce(tokens, lambda a, w: CASE WHEN length(rtrim(a.line || w.line)) > 72 AND trim(a.line) <> ''
+  THEN {'n': a.n + 1, 'longest': greatest(a.longest, CAST(length(rtrim(a.line)) AS INT)), 'line': ltrim(w.line)} ELSE {'n': a.n, 'longest': a.longest, 'line': a.line || w.line} END) AS e FROM t)
+SELECT doc_id, CAST(sum(e.n) AS INT) AS n_lines, CAST(max(greatest(e.longest, length(rtrim(e.line)))) AS INT) AS longest FROM f GROUP BY doc_id""")
 def wrap_text(t):
     return t.documents.select("doc_id", layout.wrap(F.col("text"), 72).alias("lines")).select("doc_id", F.size("lines").alias("n_lines"), F.array_max(F.transform("lines", lambda s: F.length(s))).alias("longest"))
 
