@@ -89,7 +89,22 @@ def px_preset(t):
     return ra.preset_look(t.fx_pixels, "invert")
 
 
-@query("px_preset_vivid")
+def level_sql(shift: str) -> str:
+    t = f"(CASE WHEN hue + {shift} < 0 THEN hue + {shift} + 1 WHEN hue + {shift} > 1 THEN hue + {shift} - 1 ELSE hue + {shift} END)"
+    return f"CASE WHEN {t} < 1 / 6::DOUBLE THEN p + (q - p) * 6 * {t} WHEN {t} < 0.5 THEN q WHEN {t} < 2 / 3::DOUBLE THEN p + (q - p) * (2 / 3::DOUBLE - {t}) * 6 ELSE p END"
+
+
+VIVID_SQL = f"""(SELECT image_id, x, y, {', '.join(f"{clamp(f'255 * CASE WHEN sat = 0 THEN light ELSE {level_sql(s)} END')} AS {c}" for c, s in zip('rgb', ('1 / 3::DOUBLE', '0', '(-1 / 3::DOUBLE)')))}, a FROM (
+SELECT *, 2 * light - q AS p FROM (SELECT *, CASE WHEN light < 0.5 THEN light * (1 + sat) ELSE light + sat - light * sat END AS q FROM (
+SELECT * REPLACE ((hue + 1) % 1 AS hue, least(1.0::DOUBLE, sat + (1 - sat) * 0.45::DOUBLE * sat * 1.5 + sat * 0.45::DOUBLE * 0.3) AS sat) FROM (
+SELECT *, (hi + lo) / 2 AS light, CASE WHEN hi = lo THEN 0 WHEN (hi + lo) / 2 > 0.5 THEN (hi - lo) / (2 - hi - lo) ELSE (hi - lo) / (hi + lo) END AS sat,
+CASE WHEN hi = lo THEN 0 WHEN hi = r THEN (g - b) / (hi - lo) + CASE WHEN g < b THEN 6 ELSE 0 END WHEN hi = g THEN (b - r) / (hi - lo) + 2 ELSE (r - g) / (hi - lo) + 4 END / 6 AS hue FROM (
+SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM (
+SELECT image_id, x, y, a, {', '.join(f"least(greatest(({c} - 128) * 1.3::DOUBLE + 128, 0.0::DOUBLE), 255.0::DOUBLE) / 255 AS {c}" for c in 'rgb')} FROM fx_pixels)))))))"""
+SOFT_SQL = f"SELECT image_id, x, y, {rgb(lambda c: clamp(f'{c} / 729.0::DOUBLE'))} FROM {blur_sql('v', 3, 'rgba')}"
+
+
+@query("px_preset_vivid", f"WITH v AS {VIVID_SQL} SELECT v.image_id, v.x, v.y, {', '.join(f'{clamp(f'v.{c} + (v.{c} - s.{c}) * 0.25::DOUBLE * 1.5')} AS {c}' for c in 'rgb')}, v.a FROM v JOIN ({SOFT_SQL}) s ON v.image_id = s.image_id AND v.x = s.x AND v.y = s.y", "fx_pixels")
 def px_preset_vivid(t):
     return ra.preset_look(t.fx_pixels, "vivid")
 
@@ -288,7 +303,20 @@ def px_color_convert(t):
     return cmyk.unionByName(ra.palette_to_rgb(inks, palette).select("image_id", "x", "y", F.lit("indexed").alias("space"), *"rgb"))
 
 
-@query("px_color_lab")
+def lab_sql(t: str) -> str:
+    return f"CASE WHEN {t} * {t} * {t} > 0.008856::DOUBLE THEN {t} * {t} * {t} ELSE ({t} - 16 / 116::DOUBLE) / 7.787::DOUBLE END"
+
+
+def srgb_sql(x: float, y: float, z: float) -> str:
+    c = f"(lx * {x}::DOUBLE + ly * {y}::DOUBLE + lz * {z}::DOUBLE)"
+    return clamp(f"255 * CASE WHEN {c} > 0.0031308::DOUBLE THEN 1.055::DOUBLE * pow(greatest({c}, 0.0::DOUBLE), 1 / 2.4::DOUBLE) - 0.055::DOUBLE ELSE 12.92::DOUBLE * {c} END")
+
+
+@query("px_color_lab", f"""
+WITH f AS (SELECT image_id, x, y, (r / 2.55::DOUBLE + 16) / 116 AS fy, g - 128::DOUBLE AS ca, b - 128::DOUBLE AS cb FROM fx_pixels),
+e AS (SELECT *, ca / 500 + fy AS fx, fy - cb / 200 AS fz FROM f),
+l AS (SELECT image_id, x, y, 0.95047::DOUBLE * ({lab_sql('fx')}) AS lx, {lab_sql('fy')} AS ly, 1.08883::DOUBLE * ({lab_sql('fz')}) AS lz FROM e)
+SELECT image_id, x, y, {srgb_sql(3.2406, -1.5372, -0.4986)} AS r, {srgb_sql(-0.9689, 1.8758, 0.0415)} AS g, {srgb_sql(0.0557, -0.204, 1.057)} AS b FROM l""", "fx_pixels")
 def px_color_lab(t):
     lab = t.fx_pixels.select("image_id", "x", "y", (F.col("r") / 2.55).alias("cl"), (F.col("g") - 128.0).alias("ca"), (F.col("b") - 128.0).alias("cb"))
     return ra.lab_to_rgb(lab).select("image_id", "x", "y", *"rgb")
