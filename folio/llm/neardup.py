@@ -51,6 +51,9 @@ RARE = 64
 SHARED = 8
 #: Tokens of a text that travel with each of its rows, to pair two texts once.
 HEAD = 64
+#: Spots of the table that tells what tokens cost (16 MB, whatever the input), and where the
+#: bits of a token's two spots begin.
+TABLE_BITS, SPOTS = 24, (0, 30)
 #: Counters of a text's words, whose differences are a lower bound of the edits.
 COUNTERS = 256
 #: k-mers drawn at once, over all bands; diagonals of the first alignment.
@@ -78,6 +81,14 @@ class OrderMinHash:
         nth[order] = np.arange(len(grams)) - np.repeat(first, np.diff(np.append(first, len(grams))))
         return grams + nth * np.uint64(0x9E3779B97F4A7C15)
 
+    def runs(self, text: str | None, size: int):
+        """The number of words of a text, and its runs of ``size`` words (or of all, if fewer)."""
+        import numpy as np
+
+        words = self.hasher.words((text or "").encode("utf-8", "surrogatepass"))
+        at = np.arange(max(len(words) - size + 1, min(len(words), 1)))
+        return len(words), self.labelled(self.hasher.runs(words, at, np.minimum(at + size, len(words)), 1))
+
     def least(self, labelled, seeds):
         """For each seed the places of the ``TOGETHER`` least k-mers, in text order."""
         import numpy as np
@@ -264,46 +275,77 @@ def searched(rest: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def tokens(texts: DataFrame, size: int) -> DataFrame:
-    """(node, label, n, token): the runs of ``size`` words of each text (node, label, text), those
-    that occur again told apart, and the number of words."""
+    """(label, token): the runs of ``size`` words of each text (node, label, text), those that
+    occur again told apart."""
 
     def run(pieces):
         import numpy as np
 
         made = OrderMinHash()
         for batch in pieces:
-            out, sizes = [], []
-            for t in batch.column(2).to_pylist():
-                words = made.hasher.words((t or "").encode("utf-8", "surrogatepass"))
-                at = np.arange(max(len(words) - size + 1, min(len(words), 1)))
-                out.append(made.labelled(made.hasher.runs(words, at, np.minimum(at + size, len(words)), 1)).view(np.int64))
-                sizes.append(len(words))
+            out = [made.runs(t, size)[1].view(np.int64) for t in batch.column(1).to_pylist()]
             cut = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
             lists = pa.ListArray.from_arrays(cut, pa.array(np.concatenate(out) if out else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), lists], ["node", "label", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["label", "tokens"])
+
+    rows = python_rows(texts.select("label", "text"), run, "label long, tokens array<long>")
+    return rows.select("label", F.explode("tokens").alias("token"))
+
+
+def levels(texts: DataFrame, size: int) -> bytes:
+    """A table of fixed size: how much work the runs of ``size`` words make that fall on each of
+    its spots, 0 for none.  A run's work is its texts times those outside of its main class, in
+    quarters of a power of two; it falls on two spots, and a spot holds the most of its runs."""
+    import numpy as np
 
-    rows = python_rows(texts.select("node", "label", "text"), run, "node long, label long, n long, tokens array<long>")
-    return rows.select("node", "label", "n", F.explode("tokens").alias("token"))
+    own = tokens(texts, size).groupBy("token", "label").agg(F.count("*").alias("n_own"))
+    held = own.groupBy("token").agg(F.sum("n_own").alias("held"), F.max("n_own").alias("n_main")).where("held > n_main")
+    level = F.least(F.lit(255), F.ceil(4 * F.log2(F.col("held") * (F.col("held") - F.col("n_main"))))).cast("int").alias("level")
+    spots = F.array(*[F.shiftrightunsigned("token", 64 - TABLE_BITS - shift).bitwiseAND((1 << TABLE_BITS) - 1).cast("int") for shift in SPOTS])
+    filled = held.select(F.explode(spots).alias("spot"), level).groupBy("spot").agg(F.max("level").alias("level"))
+    found = filled.toArrow()  # one row for each spot at most, whatever the input
+    table = np.zeros(1 << TABLE_BITS, np.uint8)
+    table[found.column("spot").to_numpy()] = found.column("level").to_numpy()
+    return table.tobytes()
 
 
-def prefixes(rows: DataFrame, size: int) -> DataFrame:
-    """The rows (node, label, n, token) that may pair texts of different classes, with the number
-    of texts that hold the token (``held``) and the class most of them are of (``main``); with each
-    text's number of such tokens (``n_tokens``) and the first ``HEAD`` of them.
+def prefixes(texts: DataFrame, size: int) -> DataFrame:
+    """The rows (node, label, n, token) that may pair texts (node, label, text) of different
+    classes, with the number of rows of the token (``held``) and the class most of them are of
+    (``main``); with each text's number of such tokens (``n_tokens``) and the first ``HEAD`` of them.
 
     Texts of n words or more that are alike have all but ``size`` * n / 5 runs of ``size`` words
     in common, so in any one order of all tokens they share ``SHARED`` of the first
-    ``size`` * n / 5 + ``SHARED`` of each.  The order is by how many texts hold a token; what one
-    class alone holds comes first and pairs nothing."""
+    ``size`` * n / 5 + ``SHARED`` of each.  The order is by the work that ``levels`` tells of a
+    token, then by its hash; what one class alone holds comes first and pairs nothing.  Runs that
+    fall on the same spots only come later in the order, alike in all texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(levels(texts, size))
+
+    def run(pieces):
+        import numpy as np
+
+        made, table = OrderMinHash(), np.frombuffer(shared.value, np.uint8)
+        mask = np.uint64((1 << TABLE_BITS) - 1)
+        for batch in pieces:
+            out = []
+            for node, label, t in zip(*(c.to_pylist() for c in batch.columns)):
+                n, runs = made.runs(t, size)
+                level = np.minimum(*[table[(runs >> np.uint64(64 - TABLE_BITS - shift)) & mask] for shift in SPOTS])
+                met = level > 0
+                most = n * size * (100 - SIMILARITY_PERCENT) // 100 + SHARED + 1 - np.count_nonzero(~met)
+                runs, level = runs[met], level[met]
+                first = runs[np.lexsort((runs, level))[: max(most, 0)]].view(np.int64)
+                if len(first):
+                    out.append((node, label, n, len(first), np.sort(first[:HEAD]).tolist(), first))
+            if out:
+                columns = [pa.array(c, pa.list_(pa.int64()) if i > 3 else pa.int64()) for i, c in enumerate(zip(*out))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "label", "n", "n_tokens", "head", "tokens"])
+
+    firsts = python_rows(texts.select("node", "label", "text"), run, "node long, label long, n long, n_tokens long, head array<long>, tokens array<long>")
+    rows = written(firsts, "first-tokens").withColumn("token", F.explode("tokens")).drop("tokens")
     own = rows.groupBy("token", "label").agg(F.count("*").alias("n_own"))
     held = own.groupBy("token").agg(F.sum("n_own").alias("held"), F.count("*").alias("classes"), F.max_by("label", "n_own").alias("main"))
-    ranked = rows.join(held.where("classes > 1").drop("classes"), "token")
-    text = Window.partitionBy("node")
-    alone = F.greatest(F.col("n") - (size - 1), F.least("n", F.lit(1))) - F.count("*").over(text)
-    most = F.floor(F.col("n") * size * (100 - SIMILARITY_PERCENT) / 100) + SHARED + 1
-    ranked = ranked.withColumns({"nth": F.row_number().over(text.orderBy("held", "token")), "most": most - alone}).where("nth <= most")
-    head = F.sort_array(F.collect_list(F.when(F.col("nth") <= HEAD, F.col("token"))).over(text))
-    return ranked.withColumns({"n_tokens": F.count("*").over(text), "head": head}).drop("nth", "most")
+    return rows.join(held.where("classes > 1").drop("classes"), "token")
 
 
 def paired(rows: DataFrame, size: int) -> DataFrame:
@@ -335,10 +377,10 @@ def rarely_shared(texts: DataFrame) -> DataFrame:
 
     They share a rare pair of words; where it is a pair that many texts hold, as of texts that
     are a common passage for the most part, they share a rare word of those texts."""
-    rows = written(prefixes(written(tokens(texts, 2), "pairs-of-words"), 2), "rare-pairs")
+    rows = written(prefixes(texts, 2), "rare-pairs")
     common = texts.join(rows.where(F.col("held") > RARE).select("node").distinct(), "node", "left_semi")
-    words = prefixes(written(tokens(common, 1), "words"), 1)
-    return written(paired(rows.where(F.col("held") <= RARE), 2).union(paired(written(words, "rare-words"), 1)).distinct(), "pairs")
+    words = written(prefixes(written(common, "common-texts"), 1), "rare-words")
+    return written(paired(rows.where(F.col("held") <= RARE), 2).union(paired(words, 1)).distinct(), "pairs")
 
 
 def components(edges: DataFrame) -> DataFrame:
