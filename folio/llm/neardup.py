@@ -310,9 +310,8 @@ def levels(texts: DataFrame, size: int) -> bytes:
 
 
 def prefixes(texts: DataFrame, size: int) -> DataFrame:
-    """The rows (node, label, n, token) that may pair texts (node, label, text) of different
-    classes, with the number of rows of the token (``held``) and the class most of them are of
-    (``main``); with each text's number of such tokens (``n_tokens``) and the first ``HEAD`` of them.
+    """(node, label, n, n_tokens, head, tokens): for each text (node, label, text) the tokens that
+    may pair it with a text of another class, their number and the first ``HEAD`` of them.
 
     Texts of n words or more that are alike have all but ``size`` * n / 5 runs of ``size`` words
     in common, so in any one order of all tokens they share ``SHARED`` of the first
@@ -332,7 +331,7 @@ def prefixes(texts: DataFrame, size: int) -> DataFrame:
                 n, runs = made.runs(t, size)
                 level = np.minimum(*[table[(runs >> np.uint64(64 - TABLE_BITS - shift)) & mask] for shift in SPOTS])
                 met = level > 0
-                most = n * size * (100 - SIMILARITY_PERCENT) // 100 + SHARED + 1 - np.count_nonzero(~met)
+                most = n * size * (100 - SIMILARITY_PERCENT) // 100 + SHARED - np.count_nonzero(~met)
                 runs, level = runs[met], level[met]
                 first = runs[np.lexsort((runs, level))[: max(most, 0)]].view(np.int64)
                 if len(first):
@@ -341,11 +340,20 @@ def prefixes(texts: DataFrame, size: int) -> DataFrame:
                 columns = [pa.array(c, pa.list_(pa.int64()) if i > 3 else pa.int64()) for i, c in enumerate(zip(*out))]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "label", "n", "n_tokens", "head", "tokens"])
 
-    firsts = python_rows(texts.select("node", "label", "text"), run, "node long, label long, n long, n_tokens long, head array<long>, tokens array<long>")
-    rows = written(firsts, "first-tokens").withColumn("token", F.explode("tokens")).drop("tokens")
-    own = rows.groupBy("token", "label").agg(F.count("*").alias("n_own"))
+    return python_rows(texts.select("node", "label", "text"), run, "node long, label long, n long, n_tokens long, head array<long>, tokens array<long>")
+
+
+def holders(firsts: DataFrame) -> DataFrame:
+    """(token, held, main): the first tokens that several classes hold, with the number of texts
+    and the class most of them are of."""
+    own = firsts.select("label", F.explode("tokens").alias("token")).groupBy("token", "label").agg(F.count("*").alias("n_own"))
     held = own.groupBy("token").agg(F.sum("n_own").alias("held"), F.count("*").alias("classes"), F.max_by("label", "n_own").alias("main"))
-    return rows.join(held.where("classes > 1").drop("classes"), "token")
+    return held.where("classes > 1").drop("classes")
+
+
+def holding(firsts: DataFrame, held: DataFrame) -> DataFrame:
+    """The rows (node, label, n, n_tokens, head, token, main) of the tokens of ``held``."""
+    return firsts.withColumn("token", F.explode("tokens")).drop("tokens").join(held.select("token", "main"), "token")
 
 
 def paired(rows: DataFrame, size: int) -> DataFrame:
@@ -377,10 +385,14 @@ def rarely_shared(texts: DataFrame) -> DataFrame:
 
     They share a rare pair of words; where it is a pair that many texts hold, as of texts that
     are a common passage for the most part, they share a rare word of those texts."""
-    rows = written(prefixes(texts, 2), "rare-pairs")
-    common = texts.join(rows.where(F.col("held") > RARE).select("node").distinct(), "node", "left_semi")
-    words = written(prefixes(written(common, "common-texts"), 1), "rare-words")
-    return written(paired(rows.where(F.col("held") <= RARE), 2).union(paired(words, 1)).distinct(), "pairs")
+    firsts = written(prefixes(texts, 2), "first-pairs")
+    held = written(holders(firsts), "held-pairs")
+    rows = written(holding(firsts, held.where(F.col("held") <= RARE)), "rare-pairs")
+    many = held.where(F.col("held") > RARE).select("token")
+    common = firsts.select("node", F.explode("tokens").alias("token")).join(many, "token", "left_semi").select("node").distinct()
+    words = written(prefixes(written(texts.join(common, "node", "left_semi"), "common-texts"), 1), "first-words")
+    words = written(holding(words, holders(words)), "rare-words")
+    return written(paired(rows, 2).union(paired(words, 1)).distinct(), "pairs")
 
 
 def components(edges: DataFrame) -> DataFrame:
