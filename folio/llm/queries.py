@@ -5,6 +5,7 @@ from __future__ import annotations
 from folio.llm.bpe import op2_bpe
 from folio.llm.chat import OP4_SQL, op4_chat
 from folio.llm.fingerprints import op9_fingerprints
+from folio.llm.interaction import OP12_SQL, op12_interaction
 from folio.llm.langid import op1_langid
 from folio.llm.mixing import op5_mixing
 from folio.llm.neardup import op10_near_duplicates
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_fingerprints": op9_fingerprints,
     "op10_near_duplicates": op10_near_duplicates,
+    "op12_interaction": op12_interaction,
 }
-ORACLES: dict[str, str] = {"op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op6_warc": OP6_SQL, "op8_substrings": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op6_warc": OP6_SQL, "op8_substrings": OP8_SQL, "op12_interaction": OP12_SQL}
