@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from folio.llm.bpe import op2_bpe
 from folio.llm.chat import OP4_SQL, op4_chat
+from folio.llm.divergence import OP11_SQL, op11_divergence
 from folio.llm.fingerprints import op9_fingerprints
 from folio.llm.interaction import OP12_SQL, op12_interaction
 from folio.llm.langid import op1_langid
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_fingerprints": op9_fingerprints,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_divergence": op11_divergence,
     "op12_interaction": op12_interaction,
 }
-ORACLES: dict[str, str] = {"op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op6_warc": OP6_SQL, "op8_substrings": OP8_SQL, "op12_interaction": OP12_SQL}
+ORACLES: dict[str, str] = {"op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op6_warc": OP6_SQL, "op8_substrings": OP8_SQL, "op11_divergence": OP11_SQL, "op12_interaction": OP12_SQL}
