@@ -11,6 +11,7 @@ from folio.llm.langid import op1_langid
 from folio.llm.mixing import op5_mixing
 from folio.llm.neardup import op10_near_duplicates
 from folio.llm.pii import op7_pii
+from folio.llm.pitman_yor import op13_pitman_yor
 from folio.llm.quality import OP3_SQL, op3_quality
 from folio.llm.substrings import OP8_SQL, op8_substrings
 from folio.llm.warc import OP6_SQL, op6_warc
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_near_duplicates": op10_near_duplicates,
     "op11_divergence": op11_divergence,
     "op12_interaction": op12_interaction,
+    "op13_pitman_yor": op13_pitman_yor,
 }
 ORACLES: dict[str, str] = {"op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op6_warc": OP6_SQL, "op8_substrings": OP8_SQL, "op11_divergence": OP11_SQL, "op12_interaction": OP12_SQL}
