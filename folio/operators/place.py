@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Page sizes in points.
 SIZES = {"a3": (842, 1191), "a4": (595, 842), "a5": (420, 595), "letter": (612, 792), "legal": (612, 1008)}
 MOST_MARGIN = 0.45
-#: Side of the grid cells that points and shapes meet in.
-CELL = 64
 
 
 def page_labels(pages: DataFrame, style: str = "n-of-total", start: int = 1, skip_first: bool = False, custom: str = "{n}") -> DataFrame:
@@ -149,61 +145,6 @@ def image_pages(images: DataFrame, size: str = "a4", orient: str = "auto", margi
     return rows.withColumn("matrix", m)
 
 
-def expand_shapes(shapes: DataFrame) -> DataFrame:
-    """Primitives of each shape: none if hidden; a stamp is a box and a text, a highlight a stroke,
-    a polygon a path of its corners, a filled shape a fill and an outline."""
-    prim = lambda kind, n: F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("points"))
-    none = F.array().cast("array<struct<kind:string,points:int>>")
-    t, filled = F.col("t"), F.col("filled")
-    made = (
-        F.when(F.col("hidden"), none)
-        .when(t == "stamp", F.array(prim("rect", 4), prim("text", 1)))
-        .when(t == "highlight", F.array(prim("stroke", 2)))
-        .when(t == "line", F.array(prim("line", 2)))
-        .when(t == "polygon", F.when(filled, F.array(prim("fill", 5), prim("path", 5))).otherwise(F.array(prim("path", 5))))
-        .when(filled, F.array(F.struct(F.concat(t, F.lit("-fill")).alias("kind"), F.lit(4).alias("points")), F.struct(t.alias("kind"), F.lit(4).alias("points"))))
-        .otherwise(F.array(F.struct(t.alias("kind"), F.lit(4).alias("points"))))
-    )
-    return shapes.select("page_key", "shape_id", F.posexplode(made).alias("n", "p")).select("page_key", "shape_id", "n", "p.kind", "p.points")
-
-
-def polygon_points(sides: int) -> list[tuple[float, float]]:
-    """Corners of a regular polygon in the unit box, the first at the top."""
-    return [(0.5 + 0.5 * math.sin(2 * math.pi * i / sides), 0.5 - 0.5 * math.cos(2 * math.pi * i / sides)) for i in range(sides)]
-
-
-def bounds(shapes: DataFrame) -> DataFrame:
-    """Boxes along the axes, with strokes and rotation about the centre."""
-    grow = F.when(F.col("t") == "line", F.col("width") / 2 + 3).when(F.col("t") == "highlight", F.col("width") / 2 + 1).otherwise(0.0)
-    swap = (F.col("rot") % 180 != 0) & ~F.col("t").isin("line", "highlight")
-    w, h = F.col("w") + 2 * grow, F.col("h") + 2 * grow
-    cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
-    bw, bh = F.when(swap, h).otherwise(w), F.when(swap, w).otherwise(h)
-    return shapes.withColumns({"ox": cx - bw / 2, "oy": cy - bh / 2, "bw": bw, "bh": bh})
-
-
-def hits(points: DataFrame, shapes: DataFrame, tolerance: float = 5) -> DataFrame:
-    """(point_id, shape_id) of points on shapes: near the outline of hollow ones, in filled ones,
-    never on hidden or locked ones.  Shapes are dealt to grid cells, so the join has a key."""
-    s = bounds(shapes.where(~F.col("hidden") & ~F.col("locked")))
-    band = F.when(F.col("t").isin("rect", "ellipse", "polygon") & ~F.col("filled"), F.col("width") / 2 + tolerance).otherwise(2.0)
-    s = s.withColumn("band", band)
-    cell = lambda c: F.floor(c / CELL).cast("int")
-    cells = s.withColumn("cx", F.explode(F.sequence(cell(F.col("ox") - F.col("band")), cell(F.col("ox") + F.col("bw") + F.col("band"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("oy") - F.col("band")), cell(F.col("oy") + F.col("bh") + F.col("band")))))
-    at = points.withColumns({"cx": cell(F.col("px")), "cy": cell(F.col("py"))})
-    px, py, b = F.col("px"), F.col("py"), F.col("band")
-    outer = px.between(F.col("ox") - b, F.col("ox") + F.col("bw") + b) & py.between(F.col("oy") - b, F.col("oy") + F.col("bh") + b)
-    inner = (px > F.col("ox") + b) & (px < F.col("ox") + F.col("bw") - b) & (py > F.col("oy") + b) & (py < F.col("oy") + F.col("bh") - b)
-    hollow = F.col("t").isin("rect", "ellipse", "polygon") & ~F.col("filled")
-    return at.join(cells, ["page_key", "cx", "cy"]).where(outer & ~(hollow & inner)).select("point_id", "shape_id")
-
-
-def contained(shapes: DataFrame, boxes: DataFrame) -> DataFrame:
-    s = bounds(shapes.where(~F.col("hidden")))
-    inside = (F.col("ox") >= F.col("qx")) & (F.col("oy") >= F.col("qy")) & (F.col("ox") + F.col("bw") <= F.col("qx") + F.col("qw")) & (F.col("oy") + F.col("bh") <= F.col("qy") + F.col("qh"))
-    return s.join(boxes, "page_key").where(inside).select("box_id", "shape_id")
-
-
 def turn(shapes: DataFrame, width: float, height: float) -> DataFrame:
     """Shapes turned clockwise with their page; sizes swap, or the shape's own rotation grows."""
     own = F.col("t").isin("stamp", "polygon")

@@ -133,15 +133,6 @@ def redact_annots(annots: DataFrame, regions: DataFrame) -> DataFrame:
     return annots.join(gone, ["doc_id", "page_no", "subtype", "ord"], "left_anti")
 
 
-def drop_matching(uses: DataFrame, regions: DataFrame, least: float = 0.8) -> DataFrame:
-    """Images whose box and a region share at least ``least`` of their union."""
-    ix = F.least(F.col("x") + F.col("w"), F.col("rx") + F.col("rw")) - F.greatest("x", "rx")
-    iy = F.least(F.col("y") + F.col("h"), F.col("ry") + F.col("rh")) - F.greatest("y", "ry")
-    inter = F.greatest(ix, F.lit(0)) * F.greatest(iy, F.lit(0))
-    union = F.col("w") * F.col("h") + F.col("rw") * F.col("rh") - inter
-    return uses.join(regions, ["doc_id", "page_no"]).where(inter >= least * union).select("asset_id").distinct()
-
-
 def select_between(runs: DataFrame, spans: DataFrame, reach: float = 30.0) -> DataFrame:
     """Runs in reading order between the runs nearest to two points, at most ``reach`` away by
     four times the distance in y plus that in x; the same page only."""

@@ -98,42 +98,6 @@ def image_layout(t):
     return done.select("asset_id", "pw", "ph", F.round("dw", 4).alias("dw"), F.round("dh", 4).alias("dh"), F.round(F.get("matrix", F.lit(4)), 4).alias("mx"), F.round(F.get("matrix", F.lit(5)), 4).alias("my"))
 
 
-@query("shape_expand", """
-WITH v AS (SELECT * FROM fx_shapes WHERE NOT hidden)
-SELECT page_key, shape_id, 0 AS n, CASE t WHEN 'stamp' THEN 'rect' WHEN 'highlight' THEN 'stroke' WHEN 'line' THEN 'line' WHEN 'polygon' THEN CASE WHEN filled THEN 'fill' ELSE 'path' END ELSE CASE WHEN filled THEN t || '-fill' ELSE t END END AS kind, CASE t WHEN 'highlight' THEN 2 WHEN 'line' THEN 2 WHEN 'polygon' THEN 5 ELSE 4 END AS points FROM v
-UNION ALL SELECT page_key, shape_id, 1, CASE t WHEN 'stamp' THEN 'text' WHEN 'polygon' THEN 'path' ELSE t END, CASE t WHEN 'stamp' THEN 1 WHEN 'polygon' THEN 5 ELSE 4 END FROM v WHERE t = 'stamp' OR (filled AND t NOT IN ('highlight', 'line', 'stamp'))""", "fx_shapes")
-def shape_expand(t):
-    return pl.expand_shapes(t.fx_shapes)
-
-
-BOUNDS_SQL = """SELECT *, x + w / 2 - bw / 2 AS ox, y + h / 2 - bh / 2 AS oy FROM (SELECT *, CASE WHEN swap THEN h + 2 * grow ELSE w + 2 * grow END AS bw, CASE WHEN swap THEN w + 2 * grow ELSE h + 2 * grow END AS bh FROM (
- SELECT *, CASE t WHEN 'line' THEN width / 2 + 3 WHEN 'highlight' THEN width / 2 + 1 ELSE 0.0 END AS grow, rot % 180 <> 0 AND t NOT IN ('line', 'highlight') AS swap FROM fx_shapes))"""
-
-
-@query("shape_bounds", f"SELECT shape_id, ox, oy, bw, bh FROM ({BOUNDS_SQL})", "fx_shapes")
-def shape_bounds(t):
-    return pl.bounds(t.fx_shapes).select("shape_id", "ox", "oy", "bw", "bh")
-
-
-POINTS_SQL = "SELECT c_custkey AS point_id, CAST(c_custkey % 10 AS INT) AS page_key, CAST(c_custkey % 480 AS DOUBLE) AS px, CAST(c_custkey * 7 % 600 AS DOUBLE) AS py FROM customer"
-
-
-@query("shape_hit", f"""
-WITH s AS (SELECT *, t IN ('rect', 'ellipse', 'polygon') AND NOT filled AS hollow, CASE WHEN t IN ('rect', 'ellipse', 'polygon') AND NOT filled THEN width / 2 + 5 ELSE 2.0 END AS band FROM ({BOUNDS_SQL}) WHERE NOT hidden AND NOT locked)
-SELECT point_id, shape_id FROM ({POINTS_SQL}) p JOIN s ON p.page_key = s.page_key AND px BETWEEN ox - band AND ox + bw + band AND py BETWEEN oy - band AND oy + bh + band
-WHERE NOT (hollow AND px > ox + band AND px < ox + bw - band AND py > oy + band AND py < oy + bh - band)""", "fx_shapes")
-def shape_hit(t):
-    return pl.hits(t.sql(POINTS_SQL), t.fx_shapes)
-
-
-BOXES_SQL = "SELECT s_suppkey AS box_id, CAST(s_suppkey % 10 AS INT) AS page_key, 40.0 AS qx, 30.0 AS qy, CAST(100 + 3 * s_suppkey AS DOUBLE) AS qw, CAST(200 + 2 * s_suppkey AS DOUBLE) AS qh FROM supplier"
-
-
-@query("shape_contained", f"SELECT box_id, shape_id FROM ({BOUNDS_SQL}) s JOIN ({BOXES_SQL}) b ON s.page_key = b.page_key WHERE NOT hidden AND ox >= qx AND oy >= qy AND ox + bw <= qx + qw AND oy + bh <= qy + qh", "fx_shapes")
-def shape_contained(t):
-    return pl.contained(t.fx_shapes, t.sql(BOXES_SQL))
-
-
 @query("shape_turn", """
 SELECT shape_id, CASE WHEN o THEN 792 - y - h + h / 2 - w / 2 ELSE 792 - y - h END AS x, CASE WHEN o THEN x + w / 2 - h / 2 ELSE x END AS y, CASE WHEN o THEN w ELSE h END AS w, CASE WHEN o THEN h ELSE w END AS h, CASE WHEN o THEN (rot + 90) % 360 ELSE rot END AS rot FROM (SELECT *, t IN ('stamp', 'polygon') AS o FROM fx_shapes)""", "fx_shapes")
 def shape_turn(t):

@@ -278,15 +278,6 @@ def redact_annots(t):
     return search.redact_annots(t.sql(ANNOT_BOX_SQL), t.fx_regions).select("doc_id", "page_no", "subtype", "ord", "target")
 
 
-NEAR_SQL = "SELECT asset_id AS rid, doc_id, page_no, CAST(x + asset_id % 9 AS INT) AS rx, CAST(y + asset_id % 7 AS INT) AS ry, w AS rw, h AS rh FROM fx_images"
-
-
-@query("redact_drop_image", f"""
-SELECT DISTINCT asset_id FROM (SELECT asset_id, w * h + rw * rh AS s, greatest(least(x + w, rx + rw) - greatest(x, rx), 0) * greatest(least(y + h, ry + rh) - greatest(y, ry), 0) AS i FROM fx_images m JOIN ({NEAR_SQL}) r ON m.doc_id = r.doc_id AND m.page_no = r.page_no) WHERE i >= 0.8 * (s - i)""", "fx_images")
-def redact_drop_image(t):
-    return search.drop_matching(t.fx_images, t.sql(NEAR_SQL))
-
-
 @query("redact_stats", f"""
 SELECT 'glyphs' AS what, count(*) AS n FROM ({HIT_SQL}) UNION ALL
 SELECT 'images', count(DISTINCT asset_id) FROM fx_images i JOIN fx_regions r ON i.doc_id = r.doc_id AND i.page_no = r.page_no WHERE x < rx + rw AND x + w > rx AND y < ry + rh AND y + h > ry UNION ALL
