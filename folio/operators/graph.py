@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.columns import SPACE
-from folio.sources.tables import written
 
 LEAST_SHARED = 64
 #: Recompression: least bits and area, and the longest side of each level.
@@ -14,17 +13,6 @@ LEAST_BITS, LEAST_AREA = 8, 120 * 120
 LONGEST = {"medium": 2000, "strong": 1400}
 
 
-def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, depth) of what the roots reach: each round joins only the last round's finds."""
-    seen = frontier = written(roots.select("node", F.lit(0).alias("depth")).distinct(), "reach")
-    while True:
-        found = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
-        frontier = written(found.join(seen.select("node"), "node", "left_anti"), "reach")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-
-
 def renumber(nodes: DataFrame, edges: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
     """Dense ids from 1 in each group of ``nodes``, and the edges under the new ids."""
     ids = nodes.withColumn("new_id", F.row_number().over(Window.partitionBy(group).orderBy("node")).cast("int"))

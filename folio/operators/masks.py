@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.columns import half_up
-from folio.operators.raster import KEY, box_sums, by_column, by_row, spread
+from folio.operators.components import pixels_of, reached_runs
+from folio.operators.raster import KEY, box_sums, by_column, by_row
 
 
 def mask_rect(grid: DataFrame, x: float, y: float, w: float, h: float) -> DataFrame:
@@ -106,7 +107,7 @@ def similar(px: DataFrame, seeds: DataFrame, tolerance: int = 32) -> DataFrame:
 
 def flood(px: DataFrame, seeds: DataFrame, tolerance: int = 32) -> DataFrame:
     """The part of ``similar`` that is connected to the seed."""
-    reached = spread(seeds.withColumnsRenamed({"sx": "x", "sy": "y"}), near_seed(px, seeds, tolerance)).withColumn("hit", F.lit(True))
+    reached = pixels_of(reached_runs(seeds.withColumnsRenamed({"sx": "x", "sy": "y"}), near_seed(px, seeds, tolerance))).withColumn("hit", F.lit(True))
     return px.select(*KEY).join(reached, KEY, "left").select(*KEY, F.when(F.col("hit"), 255).otherwise(0).alias("m"))
 
 

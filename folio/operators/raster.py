@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.columns import clamp8, half_up
+from folio.operators.components import pixels_of, reached_runs
 from folio.sources.tables import written
 
 KEY = ["image_id", "x", "y"]
@@ -221,28 +222,17 @@ def key_out(px: DataFrame, color=(255, 255, 255), tolerance: float = 25, feather
     return px.withColumn("a", clamp8(F.col("a") * key_alpha(color, tolerance, feather)[0]))
 
 
-def spread(seeds: DataFrame, passable: DataFrame) -> DataFrame:
-    """Pixels reached from the seeds by steps to four neighbours through passable pixels: each
-    round joins only the last round's finds.  The rounds are as many as the longest path."""
-    seen = frontier = written(seeds.join(passable, KEY).select(*KEY).distinct(), "spread")
-    while not frontier.isEmpty():
-        steps = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-        near = frontier.select("image_id", F.explode(steps).alias("s")).select("image_id", "s.x", "s.y").distinct()
-        frontier = written(near.join(passable.select(*KEY), KEY).join(seen, KEY, "left_anti"), "spread")
-        seen = seen.unionByName(frontier)
-    return seen
-
-
 def key_out_connected(px: DataFrame, color=(255, 255, 255), tolerance: float = 25, feather: float = 20) -> DataFrame:
     """As ``key_out``, but only from the border inwards; the feather band is softened, not crossed."""
     share, keyed, banded = key_alpha(color, tolerance, feather)
     marked = written(sized(px).withColumns({"share": share, "keyed": keyed, "banded": banded}), "keyed")
-    border = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.col("width") - 1) | (F.col("y") == F.col("height") - 1)
-    inside = spread(marked.where(border).select(*KEY), marked.where("keyed").select(*KEY))
-    steps = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
-    touched = inside.select("image_id", F.explode(steps).alias("s")).select("image_id", "s.x", "s.y").unionByName(marked.where(border).select(*KEY)).distinct().withColumn("touched", F.lit(True))
+    edge = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.col("width") - 1) | (F.col("y") == F.col("height") - 1)
+    inside = reached_runs(marked.where(edge).select(*KEY), marked.where("keyed").select(*KEY))
+    # a run reaches a pixel further at its ends and as wide in the rows above and below
+    steps = F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x0") - dx).alias("x0"), (F.col("x1") + dx).alias("x1")) for dx, dy in ((1, 0), (0, -1), (0, 1))])
+    touched = pixels_of(inside.select("image_id", F.explode(steps).alias("s")).select("image_id", "s.*")).distinct().withColumn("touched", F.lit(True))
     out = marked.join(touched, KEY, "left")
-    return out.withColumn("a", F.when(F.col("touched") & F.col("banded"), clamp8(F.col("a") * F.col("share"))).otherwise(F.col("a"))).select(*KEY, *"rgba")
+    return out.withColumn("a", F.when((F.col("touched") | edge) & F.col("banded"), clamp8(F.col("a") * F.col("share"))).otherwise(F.col("a"))).select(*KEY, *"rgba")
 
 
 def guess_background(px: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.functions.columns import PRESETS, format_bytes, stem
-from folio.operators import graph, layout, search
+from folio.operators import components, graph, layout, search
 from folio.operators import text as tx
 from folio.plans.registry import query
 
@@ -13,7 +13,7 @@ from folio.plans.registry import query
 @query("graph_reachable", """
 WITH RECURSIVE w AS (SELECT 'cat' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM fx_refs JOIN w ON src = node) SELECT node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY node""", "fx_refs")
 def graph_reachable(t):
-    return graph.reachable(t.spark.sql("SELECT 'cat' AS node"), t.fx_refs)
+    return components.reachable(t.spark.sql("SELECT 'cat' AS node"), t.fx_refs)
 
 
 @query("graph_renumber", """
