@@ -363,52 +363,70 @@ def luminosity(c: list[Column]) -> Column:
     return c[0] * LUMINOSITY[0] + c[1] * LUMINOSITY[1] + c[2] * LUMINOSITY[2]
 
 
-def saturated(c: list[Column], by: Column) -> list[Column]:
-    """A colour stretched to a saturation, from zero up."""
-    low, high = F.least(*c), F.greatest(*c)
-    return [F.when(high > low, F.try_divide((x - low) * by, high - low)).otherwise(F.lit(0.0)) for x in c]
+def bound(values: dict[str, Column], then) -> Column:
+    """``then`` of a struct of values that are computed once, however often it names them."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then), F.lit(0))
 
 
-def lit(c: list[Column], to: Column) -> list[Column]:
-    """A colour moved to a luminosity and drawn towards grey until it fits."""
-    moved = [x + (to - luminosity(c)) for x in c]
-    grey, low, high = luminosity(moved), F.least(*moved), F.greatest(*moved)
-    raised = [F.when(low < 0, grey + F.try_divide((x - grey) * grey, grey - low)).otherwise(x) for x in moved]
-    return [F.when(high > 1, grey + F.try_divide((x - grey) * (1 - grey), high - grey)).otherwise(x) for x in raised]
+def whole_colour(v: Column) -> Column:
+    """(r, g, b) of the modes that mix hue, saturation and luminosity of source and backdrop: a colour
+    stretched to a saturation from zero up, moved to a luminosity and drawn towards grey until it fits."""
+    s, d = [v[f"s{c}"] for c in "rgb"], [v[f"d{c}"] for c in "rgb"]
+    ends = {"s_low": F.least(*s), "s_high": F.greatest(*s), "d_low": F.least(*d), "d_high": F.greatest(*d), "light": F.when(v["mode"] == "luminosity", luminosity(s)).otherwise(luminosity(d))}
 
+    def stretched(e: Column) -> Column:
+        def to(x: Column, low: Column, high: Column, by: Column) -> Column:
+            return F.when(high > low, F.try_divide((x - low) * by, high - low)).otherwise(F.lit(0.0))
 
-def whole_colours(s: list[Column], d: list[Column]) -> dict[str, list[Column]]:
-    """The modes that mix hue, saturation and luminosity of two colours."""
-    spread_of = lambda c: F.greatest(*c) - F.least(*c)
-    return {
-        "hue": lit(saturated(s, spread_of(d)), luminosity(d)),
-        "saturation": lit(saturated(d, spread_of(s)), luminosity(d)),
-        "color": lit(s, luminosity(d)),
-        "luminosity": lit(d, luminosity(s)),
-    }
+        def of(k: int) -> Column:
+            hue, saturation = to(s[k], e["s_low"], e["s_high"], e["d_high"] - e["d_low"]), to(d[k], e["d_low"], e["d_high"], e["s_high"] - e["s_low"])
+            return F.when(v["mode"] == "hue", hue).when(v["mode"] == "saturation", saturation).when(v["mode"] == "color", s[k]).otherwise(d[k])
+
+        return bound({c: of(k) for k, c in enumerate("rgb")} | {"light": e["light"]}, moved)
+
+    def moved(t: Column) -> Column:
+        by = lambda m: {c: t[c] + m["by"] for c in "rgb"}
+        return bound({"by": t["light"] - luminosity([t[c] for c in "rgb"])}, lambda m: bound(by(m), fitted))
+
+    def fitted(u: Column) -> Column:
+        c = [u[k] for k in "rgb"]
+
+        def held(e: Column) -> Column:
+            raised = {k: F.when(e["low"] < 0, e["grey"] + F.try_divide((u[k] - e["grey"]) * e["grey"], e["grey"] - e["low"])).otherwise(u[k]) for k in "rgb"}
+            return bound(raised, lambda r: F.struct(*[F.when(e["high"] > 1, e["grey"] + F.try_divide((r[k] - e["grey"]) * (1 - e["grey"]), e["high"] - e["grey"])).otherwise(r[k]).alias(k) for k in "rgb"]))
+
+        return bound({"grey": luminosity(c), "low": F.least(*c), "high": F.greatest(*c)}, held)
+
+    return bound(ends, stretched)
 
 
 def composite(layers: DataFrame) -> DataFrame:
     """Layers (image_id, z, opacity, blend, hidden, pixels) from the bottom up, by the W3C formulas
-    of the sixteen ``BLEND_MODES``; another name is an error."""
+    of the sixteen ``BLEND_MODES``; another name is an error.  A step's values are bound once, and the
+    mode is chosen once for a pixel."""
     rows = layers.where(~F.col("hidden")).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("z", "opacity", "blend", *"rgba"))).alias("stack"))
     zero = F.struct(*[F.lit(0.0).alias(c) for c in "rgba"])
 
     def step(acc: Column, s: Column) -> Column:
-        sa, da, mode = s["a"] / 255 * s["opacity"], acc["a"], s["blend"]
-        oa = sa + da * (1 - sa)
-        source, backdrop = [s[c] / 255 for c in "rgb"], [acc[c] for c in "rgb"]
-        whole = whole_colours(source, backdrop)
-
-        def mixed(k: int) -> Column:
-            src, dst = source[k], backdrop[k]
-            b = F.when(mode == "normal", src)
-            for name, made in {**separable(src, dst), **{n: c[k] for n, c in whole.items()}}.items():
-                b = b.when(mode == name, made)
-            b = b.otherwise(F.raise_error(F.concat(F.lit("unknown blend mode: "), F.coalesce(mode, F.lit("null")))).cast("double"))
-            return F.when(oa > 0, (sa * ((1 - da) * src + da * b) + (1 - sa) * da * dst) / oa).otherwise(F.lit(0.0))
-
-        return F.struct(*[mixed(k).alias(c) for k, c in enumerate("rgb")], oa.alias("a"))
+        given = {"sa": s["a"] / 255 * s["opacity"], "da": acc["a"], "mode": s["blend"]}
+        given |= {f"s{c}": s[c] / 255 for c in "rgb"} | {f"d{c}": acc[c] for c in "rgb"}
+        return bound(given, blended)
+
+    def blended(v: Column) -> Column:
+        made = {c: separable(v[f"s{c}"], v[f"d{c}"]) for c in "rgb"}
+        unknown = F.raise_error(F.concat(F.lit("unknown blend mode: "), F.coalesce(v["mode"], F.lit("null")))).cast("double")
+        colour = lambda of: F.struct(*[of(c).cast("double").alias(c) for c in "rgb"])
+        chosen = F.when(v["mode"] == "normal", colour(lambda c: v[f"s{c}"]))
+        for name in made["r"]:
+            chosen = chosen.when(v["mode"] == name, colour(lambda c, name=name: made[c][name]))
+        chosen = chosen.when(v["mode"].isin("hue", "saturation", "color", "luminosity"), whole_colour(v)).otherwise(colour(lambda c: unknown))
+
+        def over(m: Column) -> Column:
+            sa, da, oa = v["sa"], v["da"], m["oa"]
+            mixed = lambda c: F.when(oa > 0, (sa * ((1 - da) * v[f"s{c}"] + da * m["b"][c]) + (1 - sa) * da * v[f"d{c}"]) / oa).otherwise(F.lit(0.0))
+            return F.struct(*[mixed(c).alias(c) for c in "rgb"], oa.alias("a"))
+
+        return bound({"b": chosen, "oa": v["sa"] + v["da"] * (1 - v["sa"])}, over)
 
     done = rows.select(*KEY, F.aggregate("stack", zero, step).alias("o"))
     return done.select(*KEY, *[clamp8(F.col(f"o.{c}") * 255).alias(c) for c in "rgba"])
