@@ -79,37 +79,7 @@ def flatten(fields: DataFrame, widgets: DataFrame, runs: DataFrame, annots: Data
     return runs.select("doc_id", "page_no", "x", "y", "str").unionByName(added), annots.join(widgets.select("node_id"), "node_id", "left_anti")
 
 
-def dedupe_names(fields: DataFrame) -> DataFrame:
-    """Top names of a merged document made unique in order of arrival: the second of a name takes
-    the first free of ``name_2``, ``name_3`` and so on.  Names that an input owns already are
-    taken.  Each choice depends on those before it, so the clashing names of one stem of a document
-    are one group, named in a single pass: a name remembers where its next free number was."""
-
-    def named(group):
-        taken, following, names = set(), {}, []
-        group = group.sort_values("arrival")
-        for t in group["t"].tolist():
-            name, k = t, following.get(t, 2)
-            while name in taken:
-                name, k = f"{t}_{k}", k + 1
-            following[t] = k
-            taken.add(name)
-            names.append(name)
-        return group.assign(name=names)[["out_id", "node_id", "name"]]
-
-    rows = fields.withColumn("stem", F.regexp_replace("t", r"(_[0-9]+)+$", ""))
-    kinds = dict(fields.dtypes)
-    alone = rows.withColumn("alike", F.count("*").over(Window.partitionBy("out_id", "stem")))
-    single = alone.where("alike = 1").select("out_id", "node_id", F.col("t").alias("name"))
-    several = alone.where("alike > 1").select("out_id", "stem", "arrival", "node_id", "t")
-    return single.unionByName(several.groupBy("out_id", "stem").applyInPandas(named, f"out_id {kinds['out_id']}, node_id {kinds['node_id']}, name string"))
-
-
 def keep_included(fields: DataFrame, widgets: DataFrame, pages: DataFrame) -> DataFrame:
     """Fields with a widget on a page that is included."""
     there = widgets.join(pages, ["doc_id", "page_no"], "left_semi")
     return fields.join(there.select("node_id"), "node_id", "left_semi")
-
-
-def first_arrival(fields: DataFrame) -> DataFrame:
-    return fields.withColumn("arrival", F.row_number().over(Window.partitionBy("out_id").orderBy("doc_id", "node_id")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.operators import forms, graph, meta, outline
+from folio.operators import forms, graph, meta, names, outline
 from folio.plans.registry import query
 
 LINKED_SQL = "SELECT node_id, parent_id, title, lag(node_id) OVER (PARTITION BY parent_id ORDER BY ord, node_id) AS prev FROM fx_outline"
@@ -124,12 +124,20 @@ def form_flatten(t):
     return runs.select(F.lit("run").alias("what"), "*").unionByName(left.select(F.lit("annot").alias("what"), "doc_id", "page_no", "x", "y", "str"))
 
 
-@query("form_merge_names", """
-WITH a AS (SELECT doc_id % 2 AS out_id, node_id, t, row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id, node_id) AS arrival FROM fx_fields WHERE terminal)
-SELECT out_id, node_id, CASE WHEN n = 1 THEN t ELSE concat(t, '_', n) END AS name FROM (SELECT *, row_number() OVER (PARTITION BY out_id, t ORDER BY arrival) AS n FROM a)""", "fx_fields")
+#: Top fields by outputs that follow the table; stems, some with a number that others will want.
+NAMES_SQL = """SELECT CAST(floor(o_custkey / 20) AS BIGINT) AS out_id, o_custkey AS doc_id, o_orderkey AS node_id,
+  concat('field', CAST(o_orderkey % 3 AS STRING), CASE o_orderkey % 7 WHEN 1 THEN concat('_', CAST(2 + o_orderkey % 5 AS STRING)) WHEN 3 THEN concat('_2_', CAST(2 + o_orderkey % 2 AS STRING)) WHEN 5 THEN '_02' ELSE '' END) AS t FROM orders"""
+
+
+@query("form_merge_names", f"""
+WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY out_id ORDER BY doc_id, node_id) AS arrival FROM ({NAMES_SQL.replace('STRING', 'VARCHAR')})),
+w AS (SELECT out_id, arrival, node_id, t AS name, [t] AS used FROM a WHERE arrival = 1
+ UNION ALL SELECT out_id, arrival, node_id, name, list_append(used, name) FROM (
+  SELECT a.out_id, a.arrival, a.node_id, w.used, CASE WHEN list_contains(w.used, a.t) THEN concat(a.t, '_', list_min(list_filter(range(2, len(w.used) + 3), lambda k: NOT list_contains(w.used, concat(a.t, '_', k))))) ELSE a.t END AS name
+  FROM w JOIN a ON a.out_id = w.out_id AND a.arrival = w.arrival + 1))
+SELECT out_id, node_id, name FROM w""")
 def form_merge_names(t):
-    rows = t.fx_fields.where("terminal").select((F.col("doc_id") % 2).alias("out_id"), "doc_id", "node_id", "t")
-    return forms.dedupe_names(forms.first_arrival(rows))
+    return names.dedupe_names(names.arrivals(t.sql(NAMES_SQL)))
 
 
 @query("form_on_page", f"SELECT node_id, name FROM ({FIELDS_SQL}) WHERE node_id IN (SELECT node_id FROM ({PLACED_SQL}) WHERE page_no IN (1, 3))", "fx_widgets")

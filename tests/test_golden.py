@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions.columns import lenient
-from folio.operators import assembly, forms, layout, masks, meta, outline, pages, place, raster, search
+from folio.operators import assembly, layout, masks, meta, names, outline, pages, place, raster, search
 from folio.operators import text as tx
 
 
@@ -84,7 +84,7 @@ def test_content_margins(spark):
 
 def test_names_after_a_merge(spark):
     rows = spark.createDataFrame([(1, 1, 1, "name"), (1, 2, 2, "name"), (1, 3, 3, "name_2"), (1, 4, 4, "name"), (1, 5, 5, "other")], "out_id int, arrival int, node_id int, t string")
-    got = {r["node_id"]: r["name"] for r in forms.dedupe_names(rows).collect()}
+    got = {r["node_id"]: r["name"] for r in names.dedupe_names(rows).collect()}
     assert len(set(got.values())) == 5 and got[1] == "name" and got[2] == "name_2" and got[5] == "other"
 
 
@@ -160,7 +160,7 @@ def test_a_chain_of_ten_thousand_outline_nodes(spark):
 
 def test_many_clashing_names(spark):
     rows = spark.range(20_000).selectExpr("1 AS out_id", "id AS node_id", "id AS arrival", "if(id = 5, 'name_7', 'name') AS t")
-    got = {r["node_id"]: r["name"] for r in forms.dedupe_names(rows).collect()}
+    got = {r["node_id"]: r["name"] for r in names.dedupe_names(rows).collect()}
     assert len(set(got.values())) == 20_000 and got[0] == "name" and got[1] == "name_2" and got[5] == "name_7" and got[7] == "name_8"
 
 
