@@ -305,9 +305,17 @@ def text_selection(t):
     return search.select_between(t.fx_runs, t.sql(SPANS_SQL))
 
 
-@query("measure_text", "SELECT doc_id, 600.0::DOUBLE * length(text) / 1000 * 10 AS width FROM documents")
+def advance_sql(face):
+    return ", ".join("('" + c.replace("'", "''") + f"', {n})" for c, n in layout.advances(face).items())
+
+
+@query("measure_text", f"""
+WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), w(face, ch, advance) AS ({' UNION ALL '.join(f"SELECT '{f}', * FROM (VALUES {advance_sql(f)})" for f in ('sans', 'serif', 'fixed'))}),
+q AS (SELECT face, advance AS other FROM w WHERE ch = '?')
+SELECT doc_id, q.face, sum(coalesce(advance, CASE WHEN ascii(c.ch) < 32 THEN 0 ELSE other END)) / 1000 * 10.0::DOUBLE AS width FROM c CROSS JOIN q LEFT JOIN w ON w.face = q.face AND w.ch = c.ch GROUP BY doc_id, q.face""")
 def measure_text(t):
-    return layout.text_width(t.documents, layout.widths(t.spark), 10.0)
+    faces = [layout.text_width(t.documents, layout.face_widths(t.spark, f), 10.0).select("doc_id", F.lit(f).alias("face"), "width") for f in ("sans", "serif", "fixed")]
+    return faces[0].unionByName(faces[1]).unionByName(faces[2])
 
 
 @query("measure_encodable", r"SELECT doc_id, NOT regexp_matches(text, '[^\x09\x0A\x0D\x20-\x7E\x{A0}-\x{FF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]') AS ok FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || 'ж' ELSE text END AS text FROM documents)")
@@ -325,6 +333,20 @@ def wrap_text(t):
     return t.documents.select("doc_id", layout.wrap(F.col("text"), 72).alias("lines")).select("doc_id", F.size("lines").alias("n_lines"), F.array_max(F.transform("lines", lambda s: F.length(s))).alias("longest"))
 
 
+@query("wrap_measured", rf"""
+WITH w AS (SELECT map_from_entries([{', '.join("('" + c.replace("'", "''") + f"', {n})" for c, n in layout.advances('serif').items())}]) AS w),
+p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents),
+t AS (SELECT doc_id, list_prepend({{'n': 0, 'line': '', 'wide': 0::BIGINT, 'inked': 0::BIGINT, 'most': 0::BIGINT}}, list_transform(regexp_extract_all(p, '\s+|\S+'), lambda s: {{'n': 0, 'line': s, 'wide': CAST(list_sum(list_transform(string_split(s, ''), lambda c: coalesce(w.w[c], CASE WHEN ascii(c) < 32 THEN 0 ELSE 444 END))) AS BIGINT), 'inked': 0::BIGINT, 'most': 0::BIGINT}})) AS tokens FROM p, w),
+f AS (SELECT doc_id, list_reduce(tokens, lambda a, s: CASE
+  WHEN a.line <> '' AND (CASE WHEN trim(s.line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) = '' THEN a.inked ELSE a.wide + s.wide END) * 11.0::DOUBLE / 1000 > 300
+   THEN {{'n': a.n + 1, 'line': ltrim(s.line), 'wide': CASE WHEN ltrim(s.line) = '' THEN 0 ELSE s.wide END, 'inked': CASE WHEN ltrim(s.line) = '' THEN 0 ELSE s.wide END, 'most': greatest(a.most, a.inked)}}
+  ELSE {{'n': a.n, 'line': a.line || s.line, 'wide': a.wide + s.wide, 'inked': CASE WHEN ltrim(s.line) = '' THEN a.inked ELSE a.wide + s.wide END, 'most': a.most}} END) AS e FROM t)
+SELECT doc_id, CAST(sum(e.n + 1) AS INT) AS n_lines FROM f GROUP BY doc_id""")
+def wrap_measured(t):
+    lines = layout.wrap_measured(F.col("text"), 300.0, 11.0, layout.advances("serif"))
+    return t.documents.select("doc_id", F.size(lines).alias("n_lines"))
+
+
 @query("align_text", f"SELECT doc_id, page_no, line_no, (max(width) OVER (PARTITION BY doc_id, page_no) - width) / 2 AS ax FROM (SELECT doc_id, page_no, line_no, length(text) * 6.0::DOUBLE AS width FROM ({JOINED_SQL}) WHERE text <> '')", "fx_runs")
 def align_text(t):
     lines = tx.join_runs(tx.group_lines(t.sql(RUNS_SQL))).withColumn("width", F.length("text") * 6.0)

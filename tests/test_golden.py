@@ -187,3 +187,37 @@ def test_dates_roll_over(spark):
 def test_short_paths_stay_as_they_are(spark):
     rows = spark.sql("SELECT array(struct(1.0D AS x, 2.0D AS y)) AS p UNION ALL SELECT array(struct(1.0D AS x, 2.0D AS y), struct(3.0D AS x, 5.0D AS y))")
     assert all(r["p"] == r["q"] for r in rows.select("p", place.smooth(F.col("p")).alias("q")).collect())
+
+
+def test_characters_have_their_own_advances(spark):
+    df = spark.createDataFrame([(1, "iiiW"), (2, "Ünï é"), (3, "字\t?")], "doc_id int, text string")
+    of = lambda table: {r["doc_id"]: r["width"] for r in layout.text_width(df, table, 1000.0).collect()}
+    assert of(layout.widths(spark, ord)) == {1: 3 * 105 + 87, 2: 220 + 110 + 239 + 32 + 233, 3: 63 + 63}
+    assert of(layout.face_widths(spark, "sans")) == {1: 3 * 222 + 944, 2: 722 + 556 + 278 + 278 + 556, 3: 556 + 556}
+    assert of(layout.face_widths(spark, "fixed"))[1] == 2400
+    assert len(layout.advances("serif")) == len(layout.advances("fixed"))
+
+
+def test_wrapping_by_measured_width(spark):
+    texts = ["iiii iiii WWWW WWWW", "  lead in", "averyveryverylongword x", "", "a\n\nb c", "end  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    advance = layout.advances("sans")
+    got = {r["n"]: r["l"] for r in df.select("n", layout.wrap_measured(F.col("text"), 40.0, 10.0, advance).alias("l")).collect()}
+
+    def plain(text):
+        import re
+
+        wide = lambda s: sum(advance.get(c, advance["?"]) for c in s) / 100
+        out = []
+        for para in text.split("\n"):
+            line = ""
+            for token in filter(None, re.split(r"(\s+)", para)):
+                if line and wide((line + token).rstrip()) > 40:
+                    out.append(line.rstrip())
+                    line = token.lstrip()
+                else:
+                    line += token
+            out.append(line)
+        return out
+
+    assert got == {n: plain(t) for n, t in enumerate(texts)}
