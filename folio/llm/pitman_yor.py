@@ -15,8 +15,8 @@ context and the parent as the sweep before left them, so all dishes are drawn at
 How it runs: texts are read once into blocks of word numbers.  Everything sent is an array for a
 block, a bucket of contexts or a bucket of words, so tasks work on arrays and rows are few.
 Buckets follow the bytes.  A context with more than a bucket's share of tokens is spread over all
-buckets by the next word, and only its number of tables is summed up.  Words are told by 64 bits of
-BLAKE2b.  Scores have a resolution of 2^-20 a token; base scores are whole doubles.
+buckets by the next word, and only its number of tables is summed up.  Words are counted by 64 bits
+of BLAKE2b, pairs by 48 of them for each word.  Scores have a resolution of 2^-20 a token; base scores are whole doubles.
 
 Cases: a null text is an empty one: its end is still a token; a null id is in no fold and trains;
 equal ids and repeated rows are scored (and learned) one by one; a very long text is cut into pieces
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import load, partitions_for, python_rows, text_bytes, written
+from folio.llm.common import discard, load, python_rows, release, text_bytes, written
 
 #: Sweeps dropped and sweeps averaged, strength of every restaurant, customers of a room.
 BURN_IN, SAMPLES, STRENGTH, ROOM = 2, 3, 1.0, 256
@@ -91,11 +91,18 @@ def told(words) -> list:
     return np.frombuffer(b"".join([digest(w, digest_size=8).digest() for w in words]), np.uint64)
 
 
+def short(hashes):
+    """The first 48 bits of hashes, by which pairs tell words; the counts of words use all 64."""
+    import numpy as np
+
+    return hashes >> np.uint64(16)
+
+
 def bucket_of(hashes, n_buckets: int):
-    """The bucket of each hash, in hash order."""
+    """The bucket of each hash of 48 bits, in hash order."""
     import numpy as np
 
-    return ((hashes >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int64)
+    return ((hashes >> np.uint64(24)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int64)
 
 
 def batch(rows) -> pa.RecordBatch:
@@ -158,9 +165,10 @@ class Block:
 
         codes, pair = np.unique(self.contexts() << 32 | self.tokens.astype(np.int64), return_inverse=True)
         context, word = codes >> 32, codes & 0xFFFFFFFF
-        route = self.words[context]
-        spread = np.isin(self.words, hot)[context]
-        route[spread] = (route[spread] ^ self.words[word[spread]]) * np.uint64(0x9E3779B97F4A7C15)
+        keys = short(self.words)
+        route = keys[context]
+        spread = np.isin(keys, hot)[context]
+        route[spread] = short((route[spread] ^ keys[word[spread]]) * np.uint64(0x9E3779B97F4A7C15))
         bucket = bucket_of(route, n_buckets)
         order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(order), np.int64)
@@ -196,7 +204,7 @@ def read_blocks(docs: DataFrame, n_buckets: int, block_tokens: int = BLOCK_TOKEN
             ids = np.array([m[1] or 0 for m in meta], np.int64)
             data = pack(steps(words), every, rank[np.array(before)], np.array(sizes), np.array([m[0] - first for m in meta]), ids.view(np.uint64), np.array([m[1] is not None for m in meta]), trains)
             yield "doc", made, first, int(count.sum()), None, data
-            cut = np.searchsorted(bucket_of(words, n_buckets), np.arange(n_buckets + 1))
+            cut = np.searchsorted(bucket_of(short(words), n_buckets), np.arange(n_buckets + 1))
             for b in np.flatnonzero(np.diff(cut)).tolist():
                 part = slice(cut[b], cut[b + 1])
                 yield "word", b, made, None, None, pack(steps(words[part]), count[part])
@@ -259,6 +267,7 @@ def requests(blocks: DataFrame, n_buckets: int, hot) -> DataFrame:
             for to, data in zip(piece.column(1).to_pylist(), piece.column(5).to_pylist()):
                 block, _, _, _, trains = block_of(data)
                 context, word, bucket, pair = block.pairs(n_buckets, hot)
+                keys = short(block.words)
                 count = np.bincount(pair[np.repeat(trains, block.sizes)], minlength=len(context))
                 cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
                 rows, size = [], 0
@@ -266,7 +275,7 @@ def requests(blocks: DataFrame, n_buckets: int, hot) -> DataFrame:
                     part = slice(cut[b], cut[b + 1])
                     c, runs = np.unique(context[part], return_counts=True)
                     w, place = np.unique(word[part], return_inverse=True)
-                    rows.append(("pair", b, to, None, None, pack(steps(block.words[c]), runs, steps(block.words[w]), place, count[part])))
+                    rows.append(("pair", b, to, None, None, pack(steps(keys[c]), runs, steps(keys[w]), place, count[part])))
                     size += len(rows[-1][5])
                     if size > 4 << 20 or len(rows) >= 4096:
                         yield batch(rows)
@@ -373,7 +382,7 @@ def score(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text",
 
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), (~F.coalesce(held_out, F.lit(False))).alias("trains"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n_buckets = partitions_for(spark, text_bytes(rows), bucket_bytes)
+    n_buckets = max(1, -(-text_bytes(rows) // bucket_bytes))
     blocks = written(read_blocks(rows, n_buckets, block_tokens, piece_bytes), "lm-blocks")
     every = blocks.where("kind = 'doc'").agg(F.sum("x")).first()[0] or 0
     start = told([START])[0]
@@ -401,7 +410,7 @@ def score(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text",
     root_discount = discount_of(*sums(counts, "low"))
     # at most one context for each bucket and the text starts: each has more than a bucket's share
     found = sorted((np.array([r["to"]], np.int64).view(np.uint64)[0], r["x"]) for r in counts.where("kind = 'hot'").select("to", "x").collect())
-    hot, hot_counts = np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found], np.int64)
+    hot, hot_counts = short(np.array([f[0] for f in found], np.uint64)), np.array([f[1] for f in found], np.int64)
     asked = requests(blocks, n_buckets, hot)
 
     def tables_of_hot(to, bucket_here, bucket_there, tables):
@@ -422,6 +431,7 @@ def score(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text",
         yield "low", to, to, int(one.sum()), int((b.count == 2).sum()), None
 
     opened = written(exchange(asked, open_restaurants), "lm-open")
+    release(spark)
     discount = discount_of(*sums(opened, "low"))
     stirling, root_stirling = log_stirling(discount), log_stirling(root_discount)
 
@@ -475,10 +485,15 @@ def score(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text",
                 yield "customers", m[0], to, None, None, pack(customers[start:end])
                 start = end
 
-        replies = parent.where("kind = 'reply'")
+        replies, earlier = parent.where("kind = 'reply'"), current
         current = written(exchange(opened.where("kind = 'state'").unionByName(current.where("kind = 'seats'")).unionByName(replies), seat_pairs), "lm-seats")
         hot_tables = of_hot(current)
-        if sweep >= burn_in:
+        release(spark)
+        if opened is not earlier and sweep <= burn_in:
+            discard(earlier)
+        if sweep < burn_in:
+            discard(parent)
+        else:
             taken.append((replies, current.where("kind = 'seats'")))
             states.append((root, hot_tables))
 
@@ -499,6 +514,8 @@ def score(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text",
     for s, (replies, seated) in enumerate(taken):
         asked = asked.unionByName(replies.withColumn("kind", F.lit(f"reply{s}"))).unionByName(seated.withColumn("kind", F.lit(f"seats{s}")))
     values = written(exchange(asked, predict), "lm-values")
+    discard(opened, *(table for pair in taken for table in pair))
+    release(spark)
     of = math.log10(train_tokens + known + 1)
 
     def add(table: pa.Table) -> pa.Table:
