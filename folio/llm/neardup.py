@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import load, python_rows, written
+from folio.llm.common import load, partitions_for, python_rows, release, text_bytes, written
 from folio.llm.substrings import Hasher
 
 SHINGLE, TOGETHER, BANDS, SIMILARITY_PERCENT = 5, 2, 64, 80
@@ -53,7 +53,7 @@ SHARED = 8
 HEAD = 64
 #: Spots of the table that tells what tokens cost (16 MB, whatever the input), and where the
 #: bits of a token's two spots begin.
-TABLE_BITS, SPOTS = 24, (0, 30)
+TABLE_BITS, SPOTS, SEGMENT_BITS = 24, (0, 30), 16
 #: Counters of a text's words, whose differences are a lower bound of the edits.
 COUNTERS = 256
 #: k-mers drawn at once, over all bands; diagonals of the first alignment.
@@ -274,39 +274,80 @@ def searched(rest: DataFrame, texts: DataFrame) -> DataFrame:
     return python_rows(rows.select("key", "node", "label", F.coalesce("text", F.lit("")).alias("text")), run, "a long, b long")
 
 
-def tokens(texts: DataFrame, size: int) -> DataFrame:
-    """(label, token): the runs of ``size`` words of each text (node, label, text), those that
-    occur again told apart."""
-
-    def run(pieces):
-        import numpy as np
-
-        made = OrderMinHash()
-        for batch in pieces:
-            out = [made.runs(t, size)[1].view(np.int64) for t in batch.column(1).to_pylist()]
-            cut = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
-            lists = pa.ListArray.from_arrays(cut, pa.array(np.concatenate(out) if out else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["label", "tokens"])
-
-    rows = python_rows(texts.select("label", "text"), run, "label long, tokens array<long>")
-    return rows.select("label", F.explode("tokens").alias("token"))
-
-
 def levels(texts: DataFrame, size: int) -> bytes:
-    """A table of fixed size: how much work the runs of ``size`` words make that fall on each of
-    its spots, 0 for none.  A run's work is its texts times those outside of its main class, in
-    quarters of a power of two; it falls on two spots, and a spot holds the most of its runs."""
+    """A table of fixed size: how much work the runs of ``size`` words of texts (node, label, text) make
+    that fall on each of its spots, 0 for none.  A run's work is its texts times those outside of its main
+    class, in quarters of a power of two; it falls on two spots, and a spot holds the most of its runs.
+    Runs that a text holds again are told apart.  Tasks count runs by class before they send
+    them, as arrays for buckets of runs, and buckets send the spots they fill."""
     import numpy as np
 
-    own = tokens(texts, size).groupBy("token", "label").agg(F.count("*").alias("n_own"))
-    held = own.groupBy("token").agg(F.sum("n_own").alias("held"), F.max("n_own").alias("n_main")).where("held > n_main")
-    level = F.least(F.lit(255), F.ceil(4 * F.log2(F.col("held") * (F.col("held") - F.col("n_main"))))).cast("int").alias("level")
-    spots = F.array(*[F.shiftrightunsigned("token", 64 - TABLE_BITS - shift).bitwiseAND((1 << TABLE_BITS) - 1).cast("int") for shift in SPOTS])
-    filled = held.select(F.explode(spots).alias("spot"), level).groupBy("spot").agg(F.max("level").alias("level"))
-    found = filled.toArrow()  # one row for each spot at most, whatever the input
-    table = np.zeros(1 << TABLE_BITS, np.uint8)
-    table[found.column("spot").to_numpy()] = found.column("level").to_numpy()
-    return table.tobytes()
+    spark = texts.sparkSession
+    n_buckets = partitions_for(spark, 4 * text_bytes(texts), 32 << 20)
+
+    def counted(token, label, n):
+        """Each (token, label) once, in order, with its texts."""
+        order = np.lexsort((label, token))
+        token, label, n = token[order], label[order], n[order]
+        first = np.ones(len(token), bool)
+        first[1:] = (token[1:] != token[:-1]) | (label[1:] != label[:-1])
+        start = np.flatnonzero(first)
+        return token[start], label[start], np.add.reduceat(n, start) if len(start) else n
+
+    def collect(pieces):
+        made, held, size_held = OrderMinHash(), [], 0
+
+        def blobs():
+            token, label, n = counted(*(np.concatenate(c) for c in zip(*held)))
+            bucket = ((token >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int64)
+            cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
+            rows = [(b, token[x:y].tobytes(), label[x:y].tobytes(), n[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+            for i in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64]), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "tokens", "labels", "n"])
+
+        for batch in pieces:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                runs = made.runs(text, size)[1]
+                held.append((runs, np.full(len(runs), label, np.int64), np.ones(len(runs), np.int64)))
+                size_held += len(runs)
+            if size_held > 1 << 20:
+                yield from blobs()
+                held, size_held = [], 0
+        if size_held:
+            yield from blobs()
+
+    def decide(table: pa.Table) -> pa.Table:
+        read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()])
+        token, _, n = counted(read("tokens", np.uint64), read("labels", np.int64), read("n", np.int64))
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        texts_of, main = np.add.reduceat(n, start), np.maximum.reduceat(n, start)
+        met = texts_of > main
+        token, texts_of, main = token[start][met], texts_of[met], main[met]
+        level = np.minimum(255, np.ceil(4 * np.log2(texts_of.astype(float) * (texts_of - main)))).astype(np.uint8)
+        spot = np.concatenate([(token >> np.uint64(64 - TABLE_BITS - shift)) & np.uint64((1 << TABLE_BITS) - 1) for shift in SPOTS]).astype(np.int64)
+        level = np.tile(level, len(SPOTS))
+        order = np.lexsort((level, spot))
+        spot, level = spot[order], level[order]
+        last = np.flatnonzero(np.concatenate([spot[1:] != spot[:-1], [True]])) if len(spot) else spot
+        spot, level = spot[last], level[last]
+        segment, first = np.unique(spot >> SEGMENT_BITS, return_index=True)
+        part = lambda a: [x.tobytes() for x in np.split(a, first[1:])] if len(a) else []
+        return pa.table({"segment": pa.array(segment, pa.int32()), "spots": pa.array(part((spot & ((1 << SEGMENT_BITS) - 1)).astype(np.uint32)), pa.binary()), "levels": pa.array(part(level), pa.binary())})
+
+    def fill(table: pa.Table) -> pa.Table:
+        made = np.zeros(1 << SEGMENT_BITS, np.uint8)
+        for spot, level in zip(table["spots"].to_pylist(), table["levels"].to_pylist()):
+            spot = np.frombuffer(spot, np.uint32)
+            made[spot] = np.maximum(made[spot], np.frombuffer(level, np.uint8))
+        return pa.table({"segment": table["segment"].slice(0, 1), "levels": pa.array([made.tobytes()], pa.binary())})
+
+    sent = python_rows(texts.select("label", "text"), collect, "bucket int, tokens binary, labels binary, n binary")
+    spots = sent.groupBy("bucket").applyInArrow(decide, "segment int, spots binary, levels binary")
+    table = bytearray(1 << TABLE_BITS)
+    for r in spots.groupBy("segment").applyInArrow(fill, "segment int, levels binary").toLocalIterator():  # a row for each segment at most, whatever the input
+        table[r["segment"] << SEGMENT_BITS : (r["segment"] + 1) << SEGMENT_BITS] = r["levels"]
+    release(spark)
+    return bytes(table)
 
 
 def prefixes(texts: DataFrame, size: int) -> DataFrame:
