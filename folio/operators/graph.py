@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.columns import SPACE
+from folio.sources.tables import written
 
 LEAST_SHARED = 64
 #: Recompression: least bits and area, and the longest side of each level.
@@ -29,6 +30,38 @@ def dedupe_assets(assets: DataFrame, same: list[str]) -> DataFrame:
     return joined.select("asset_id", F.coalesce("keeper", "asset_id").alias("keeper"))
 
 
+def dedupe_objects(objects: DataFrame, refs: DataFrame, same: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(object_id, keeper) of ``objects`` (object_id, data and the attributes ``same``), and the references
+    (src, slot, dst) of the kept ones, each to a keeper.
+
+    Objects of 64 bytes or more are one if bytes, attributes and references are equal.  Repaired references
+    may make containers equal, so rounds go on until none is merged.  An object's references are
+    compared by their number and 256 bits of sums and exclusive ors of hashes, so that one
+    with very many is not gathered."""
+    keyed = objects.select("object_id", F.sha2(F.col("data").cast("binary"), 256).alias("digest"), F.octet_length("data").alias("bytes"), *same)
+    keyed = written(keyed, "objects")
+    refs = written(refs.select("src", "slot", "dst"), "refs")
+    state = keyed.select("object_id", F.col("object_id").alias("keeper"))
+    marks = [F.xxhash64(F.lit(i), "slot", "to") for i in range(4)]
+    sums = [F.sum(m.cast("decimal(38, 0)")).alias(f"m{i}") for i, m in enumerate(marks[:2])] + [F.bit_xor(m).alias(f"m{i + 2}") for i, m in enumerate(marks[2:])]
+    while True:
+        to = state.select(F.col("object_id").alias("dst"), F.col("keeper").alias("to"))
+        repaired = refs.join(to, "dst", "left").select("src", "slot", F.coalesce("to", "dst").alias("to"))
+        signs = repaired.groupBy(F.col("src").alias("object_id")).agg(F.count("*").alias("m"), *sums)
+        signed = keyed.join(signs, "object_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("m", "m0", "m1", "m2", "m3")})
+        group = ["digest", "bytes", *same, "m", "m0", "m1", "m2", "m3"]
+        met = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group]
+        first = signed.where(F.col("bytes") >= LEAST_SHARED).groupBy(*group).agg(F.min("object_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
+        joined = signed.alias("a").join(first.alias("b"), met, "left")
+        fresh = joined.select("a.object_id", F.coalesce("b.keeper", "a.object_id").alias("keeper"))
+        fresh = written(fresh.join(state.withColumnRenamed("keeper", "was"), "object_id"), "keepers")
+        changed = not fresh.where("keeper != was").isEmpty()
+        state = fresh.drop("was")
+        if not changed:
+            kept = repaired.join(state.where("object_id != keeper").select(F.col("object_id").alias("src")), "src", "left_anti")
+            return state, kept.select("src", "slot", F.col("to").alias("dst"))
+
+
 def unique_images(uses: DataFrame) -> DataFrame:
     """Images by content with their number of uses, in first-seen order; masks do not count."""
     masks = uses.where("mask_of IS NOT NULL").select(F.col("mask_of").alias("asset_id")).distinct()

@@ -60,9 +60,38 @@ def match_boxes(matches: DataFrame, index: DataFrame) -> DataFrame:
     return hit.groupBy("doc_id", "page_no", "match_no", "base").agg((F.min("x") - 0.5).alias("bx0"), (F.max(F.col("x") + F.col("w")) + 0.5).alias("bx1"), (F.max("size") * 1.02).alias("bh"))
 
 
-def hit_report(matches: DataFrame, most: int = 200) -> DataFrame:
-    """Hits of each document and how many of them are among its first ``most``."""
-    return matches.groupBy("doc_id").agg(F.count("*").alias("hits"), F.least(F.count("*"), F.lit(most)).alias("shown"))
+def page_bodies(docs: DataFrame, lines: int = 40) -> DataFrame:
+    """(doc_id, page_no, text) of documents whose pages are so many lines of their text."""
+    split = F.split("text", "\n")
+    body = lambda i: F.array_join(F.slice(split, (i * lines + 1).cast("int"), F.lit(lines)), "\n")
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size(split) - 1) / lines)), body)
+    return docs.where("text IS NOT NULL").select("doc_id", F.posexplode(pages).alias("n", "text")).select("doc_id", (F.col("n") + 1).cast("int").alias("page_no"), "text")
+
+
+def find_on_pages(pages: DataFrame, pattern: str | None) -> DataFrame:
+    """Matches (doc_id, page_no, match_no, start, match) in page texts."""
+    found = find(pages.select(F.struct("doc_id", "page_no").alias("page"), "text"), pattern, key="page")
+    return found.select("page.doc_id", "page.page_no", "match_no", "start", "match")
+
+
+def first_hits(matches: DataFrame, most: int = 200) -> DataFrame:
+    """The first ``most`` matches of each document in page order, numbered.  Spark cuts the numbering
+    in each task, so a document with more matches sends no more than these."""
+    order = Window.partitionBy("doc_id").orderBy("page_no", "match_no")
+    return matches.withColumn("hit_no", F.row_number().over(order)).where(F.col("hit_no") <= most)
+
+
+def hit_status(docs: DataFrame, matches: DataFrame) -> DataFrame:
+    """``hits`` of each document, pages that have some, and the line that says so, also where nothing matches."""
+    counts = matches.groupBy("doc_id", "page_no").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("hits"), F.count("*").cast("int").alias("pages"))
+    rows = docs.select("doc_id").join(counts, "doc_id", "left").na.fill(0, ["hits", "pages"])
+    line = F.when(F.col("hits") == 0, "No matches").when(F.col("hits") == 1, "1 match").otherwise(F.concat(F.col("hits").cast("string"), F.lit(" matches")))
+    return rows.withColumn("status", line)
+
+
+def page_hits(matches: DataFrame) -> DataFrame:
+    """(doc_id, page_no, hits) of pages with matches."""
+    return matches.groupBy("doc_id", "page_no").agg(F.count("*").alias("hits"))
 
 
 def redact_text(text: Column, kinds: list[str]) -> Column:

@@ -21,25 +21,29 @@ def group_lines(runs: DataFrame) -> DataFrame:
     """``line_no`` for each run of a page.  Runs in order of y, then x; a line goes on while y is
     within max(2, half the lesser height) of the line's first run.
 
-    At one y a line can only begin at the first run of some height, so a fold over the page's
-    distinct (y, height) pairs finds where lines begin; a run's line is the last one begun at or
-    before it.  The fold's state is the page's lines, not its runs."""
+    A page is collected once, in order; at one y a line can only begin at the first run of some height,
+    so a fold over the page's distinct (y, height) pairs finds where lines begin, and a run's line is
+    the number of lines begun by then.  The runs leave as rows that are still dealt by page, so what
+    works on lines after this needs no further exchange."""
+    rest = [c for c in runs.columns if c not in ("doc_id", "page_no", "y", "x", "run_id")]
     flat = runs.where(F.abs(F.coalesce(F.col("rot"), F.lit(0.0))) < TURNED)
-    place = F.struct("y", "x", "run_id")
-    levels = flat.groupBy("doc_id", "page_no", "y", "h").agg(F.min(place).alias("at"))
-    levels = levels.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("at", F.col("y").cast("double").alias("y"), F.col("h").cast("double").alias("h")))).alias("levels"))
-    kind = dict(levels.dtypes)["levels"].removeprefix("array<struct<at:").split(",y:double")[0]
-    start = F.struct(F.lit(-1e9).alias("y"), F.lit(0.0).alias("h"), F.array().cast(f"array<{kind}>").alias("begin"))
+    pages = flat.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("y", "x", "run_id", *rest))).alias("runs"))
+    level = lambda r: F.struct(r["y"].cast("double").alias("y"), r["h"].cast("double").alias("h"))
+    levels = F.array_distinct(F.transform("runs", level))
+    start = F.struct(F.lit(-1e9).alias("y"), F.lit(0.0).alias("h"), F.array().cast("array<struct<y:double,h:double>>").alias("begin"))
 
     def step(acc: Column, level: Column) -> Column:
         new = F.abs(level["y"] - acc["y"]) > F.greatest(F.lit(2.0), F.least(level["h"], acc["h"]) * 0.5)
-        return F.struct(F.when(new, level["y"]).otherwise(acc["y"]).alias("y"), F.when(new, level["h"]).otherwise(acc["h"]).alias("h"), F.when(new, F.array_append(acc["begin"], level["at"])).otherwise(acc["begin"]).alias("begin"))
-
-    begins = levels.select("doc_id", "page_no", F.posexplode(F.aggregate("levels", start, step, lambda a: a["begin"])).alias("n", "at"))
-    begins = begins.select("doc_id", "page_no", F.col("at.run_id").alias("run_id"), (F.col("n") + 1).alias("line_no"))
-    # the runs that begin a line are told by their ids; the others belong to the last line begun
-    order = Window.partitionBy("doc_id", "page_no").orderBy("y", "x", "run_id").rowsBetween(Window.unboundedPreceding, 0)
-    return flat.join(begins, ["doc_id", "page_no", "run_id"], "left").withColumn("line_no", F.last("line_no", True).over(order))
+        return F.struct(F.when(new, level["y"]).otherwise(acc["y"]).alias("y"), F.when(new, level["h"]).otherwise(acc["h"]).alias("h"), F.when(new, F.array_append(acc["begin"], level)).otherwise(acc["begin"]).alias("begin"))
+
+    # where in the page's order each line begins: at the first run of the level that begins it; the fold
+    # is bound to a variable, so it is not made again for every run
+    begins = F.array(F.aggregate(levels, start, step, lambda a: a["begin"]))
+    found = F.get(F.transform(begins, lambda begin: F.transform("runs", lambda r: F.array_position(begin, level(r)))), F.lit(0))
+    pages = pages.withColumn("at", found)
+    placed = pages.select("doc_id", "page_no", F.posexplode(F.arrays_zip("runs", "at")).alias("__n", "z")).select("doc_id", "page_no", "__n", "z.runs.*", F.col("z.at").alias("__at"))
+    order = Window.partitionBy("doc_id", "page_no").orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn("line_no", F.max("__at").over(order).cast("int")).drop("__n", "__at")
 
 
 def join_runs(lines: DataFrame) -> DataFrame:

@@ -25,10 +25,22 @@ def graph_renumber(t):
     return graph.renumber(nodes, edges, "grp")[1].select("src_group", "src_id", "dst_group", "dst_id")
 
 
-@query("asset_dedupe", """
-SELECT asset_id, CASE WHEN octet_length(encode(data)) >= 64 THEN min(asset_id) OVER (PARTITION BY data, lang, octet_length(encode(data)) >= 64) ELSE asset_id END AS keeper FROM fx_assets""", "fx_assets")
+#: Documents as streams, a container that refers to each, and one that refers to that: those of copies become equal once references are repaired.
+OBJECTS_SQL = """SELECT doc_id AS object_id, text AS data, lang AS attrs FROM documents
+UNION ALL SELECT 1000000000 + doc_id, repeat(source, 64), lang FROM documents UNION ALL SELECT 2000000000 + doc_id, repeat(lang, 64), 'top' FROM documents"""
+REFS_SQL = """SELECT 1000000000 + doc_id AS src, 'body' AS slot, doc_id AS dst FROM documents
+UNION ALL SELECT 2000000000 + doc_id, 'first', 1000000000 + doc_id FROM documents UNION ALL SELECT 2000000000 + doc_id, 'body', doc_id FROM documents"""
+
+
+@query("asset_dedupe", f"""
+WITH a AS (SELECT doc_id, source, lang, CASE WHEN octet_length(encode(text)) >= 64 THEN min(doc_id) OVER (PARTITION BY text, lang) ELSE doc_id END AS k0 FROM documents),
+b AS (SELECT *, min(1000000000 + doc_id) OVER (PARTITION BY source, lang, k0) AS k1 FROM a), c AS (SELECT *, min(2000000000 + doc_id) OVER (PARTITION BY lang, k0, k1) AS k2 FROM b)
+SELECT 'keeper' AS what, doc_id AS object_id, NULL AS slot, k0 AS target FROM c UNION ALL SELECT 'keeper', 1000000000 + doc_id, NULL, k1 FROM c UNION ALL SELECT 'keeper', 2000000000 + doc_id, NULL, k2 FROM c
+UNION ALL SELECT 'reference', k1, 'body', k0 FROM c WHERE k1 = 1000000000 + doc_id UNION ALL SELECT 'reference', k2, 'first', k1 FROM c WHERE k2 = 2000000000 + doc_id UNION ALL SELECT 'reference', k2, 'body', k0 FROM c WHERE k2 = 2000000000 + doc_id""")
 def asset_dedupe(t):
-    return graph.dedupe_assets(t.fx_assets, ["lang"])
+    keepers, repaired = graph.dedupe_objects(t.sql(OBJECTS_SQL), t.sql(REFS_SQL), ["attrs"])
+    told = keepers.select(F.lit("keeper").alias("what"), "object_id", F.lit(None).cast("string").alias("slot"), F.col("keeper").alias("target"))
+    return told.unionByName(repaired.select(F.lit("reference").alias("what"), F.col("src").alias("object_id"), "slot", F.col("dst").alias("target")))
 
 
 @query("asset_unique_images", """
@@ -219,9 +231,21 @@ def search_boxes(t):
     return search.find_boxes(tx.char_index(t.fx_glyphs), "er th")
 
 
-@query("search_report", f"SELECT doc_id, count(*) AS hits, least(count(*), 200) AS shown FROM ({FOUND_SQL.format(key='doc_id', text='text', table='documents', p='th[a-e]+r')}) GROUP BY doc_id")
+PAGED_SQL = r"""SELECT doc_id, CAST(i + 1 AS INT) AS page_no, array_to_string(l[i * 40 + 1:i * 40 + 40], chr(10)) AS text FROM (SELECT doc_id, l, unnest(range(0, (len(l) - 1) // 40 + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))"""
+PAGE_HITS_SQL = f"SELECT doc_id, page_no, unnest(range(1, len(f) + 1)) AS k, unnest(f) AS match FROM (SELECT doc_id, page_no, regexp_extract_all(text, 't[a-e]+') AS f FROM ({PAGED_SQL}))"
+
+
+@query("search_report", f"""
+WITH m AS ({PAGE_HITS_SQL}), c AS (SELECT doc_id, count(*) AS hits, count(DISTINCT page_no) AS pages FROM m GROUP BY doc_id)
+SELECT 'hit' AS what, doc_id, page_no, n, match AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, k) AS n FROM m) WHERE n <= 200
+UNION ALL SELECT 'page', doc_id, page_no, count(*), NULL FROM m GROUP BY doc_id, page_no
+UNION ALL SELECT 'status', d.doc_id, coalesce(pages, 0), coalesce(hits, 0), CASE coalesce(hits, 0) WHEN 0 THEN 'No matches' WHEN 1 THEN '1 match' ELSE hits || ' matches' END FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id""")
 def search_report(t):
-    return search.hit_report(search.find(t.documents, "th[a-e]+r"))
+    matches = search.find_on_pages(search.page_bodies(t.documents), "t[a-e]+")
+    hits = search.first_hits(matches).select(F.lit("hit").alias("what"), "doc_id", "page_no", F.col("hit_no").cast("long").alias("n"), F.col("match").alias("text"))
+    pages = search.page_hits(matches).select(F.lit("page").alias("what"), "doc_id", "page_no", F.col("hits").alias("n"), F.lit(None).cast("string").alias("text"))
+    status = search.hit_status(t.documents, matches).select(F.lit("status").alias("what"), "doc_id", F.col("pages").alias("page_no"), F.col("hits").alias("n"), F.col("status").alias("text"))
+    return hits.unionByName(pages).unionByName(status)
 
 
 BLANK = "CASE WHEN regexp_matches({t}, '{p}') THEN list_reduce(list_prepend('', list_transform(range(1, len(string_split_regex({t}, '{p}')) + 1), lambda k: string_split_regex({t}, '{p}')[k] || coalesce(repeat(' ', length(regexp_extract_all({t}, '{p}')[k])), ''))), lambda a, b: a || b) ELSE {t} END"

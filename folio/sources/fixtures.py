@@ -130,16 +130,30 @@ class Tables:
         return self.spark.sql(text, **{n: getattr(self, n) for n in used})
 
     def make_fx_runs(self) -> DataFrame:
-        lines = self.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-        words = lines.select("doc_id", "line", "body", F.posexplode(F.split("body", " ")).alias("k", "str"))
-        before = F.length(F.expr("substring_index(body, ' ', k)")) + F.when(F.col("k") > 0, 1).otherwise(0)
-        return words.where("str <> ''").select(
+        # dealt by document before the texts become many rows: what groups runs by page needs no exchange of them
+        texts = self.documents.select("doc_id", "text").repartition("doc_id")
+        lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+        # characters before each word: sums of 64 words, then of the words after them
+        words = F.split("body", " ")
+        sizes = F.transform(words, lambda w: F.length(w) + 1)
+        total = lambda part: F.aggregate(part, F.lit(0), lambda sum_, n: sum_ + n)
+
+        def placed(v):
+            def word(w, k):
+                before = total(F.slice(v["sums"], F.lit(1), F.floor(k / 64).cast("int"))) + total(F.slice(v["sizes"], k - k % 64 + 1, k % 64))
+                return F.struct(k.alias("k"), w.alias("str"), before.alias("before"))
+
+            return F.transform(v["words"], word)
+
+        held = F.transform(F.array(F.struct(words.alias("words"), sizes.alias("sizes"))), lambda v: F.struct(v["words"].alias("words"), v["sizes"].alias("sizes"), F.transform(F.sequence(F.lit(0), F.floor((F.size(v["sizes"]) - 1) / 64)), lambda b: total(F.slice(v["sizes"], (b * 64 + 1).cast("int"), F.lit(64)))).alias("sums")))
+        each = lines.select("doc_id", "line", F.explode(F.get(F.transform(held, placed), F.lit(0))).alias("w")).select("doc_id", "line", "w.*")
+        return each.where("str <> ''").select(
             "doc_id",
             F.floor(F.col("line") / 40 + 1).cast("int").alias("page_no"),
             (F.col("line") % 40).cast("int").alias("line0"),
             F.col("k").cast("int").alias("word0"),
             "str",
-            (50 + 6 * before).cast("int").alias("x"),
+            (50 + 6 * F.col("before")).cast("int").alias("x"),
             (40 + 12 * (F.col("line") % 40)).cast("int").alias("y"),
             (6 * F.length("str")).cast("int").alias("w"),
         )

@@ -4,7 +4,7 @@ Redaction, searches, metadata changes, links and encryption read one row at a ti
 a streaming DataFrame as they take a batch; ``run_available`` is how a job runs them over what
 has arrived.  ``dedupe_within`` is the streaming form of asset de-duplication: the first asset
 of a digest passes and later ones within the watermark do not; its state is bounded by the
-watermark, not by the stream.
+watermark, not by the stream.  ``keepers`` drops nothing: it tells each copy's keeper, whenever it comes.
 """
 
 from __future__ import annotations
@@ -27,6 +27,23 @@ def dedupe_within(stream: DataFrame, at: str, delay: str, data: str = "data") ->
     return stream.withColumn("digest", digest).withWatermark(at, delay).dropDuplicatesWithinWatermark(["digest"])
 
 
+def keepers(stream: DataFrame, key: str = "asset_id", data: str = "data") -> DataFrame:
+    """(``key``, keeper) for every asset of a stream: the first of its bytes, also for a copy that comes late.
+    The state is one id for each digest; a batch's assets of a digest are told in order of ``key``."""
+    kind = dict(stream.dtypes)[key]
+
+    def told(_, batches, state):
+        import pandas as pd
+
+        ids = pd.concat([b[key] for b in batches])
+        keeper = state.get[0] if state.exists else int(ids.min())
+        state.update((keeper,))
+        yield pd.DataFrame({key: ids, "keeper": keeper})
+
+    keyed = stream.select(F.sha2(F.col(data).cast("binary"), 256).alias("digest"), key)
+    return keyed.groupBy("digest").applyInPandasWithState(told, f"{key} {kind}, keeper {kind}", f"keeper {kind}", "append", "NoTimeout")
+
+
 def run_available(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
     """Runs a transform over what has arrived, into Parquet; exactly once by its checkpoint."""
     query = transform(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

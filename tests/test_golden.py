@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions.columns import lenient
-from folio.operators import assembly, layout, masks, meta, names, outline, pages, place, raster, search
+from folio.operators import assembly, graph, layout, masks, meta, names, outline, pages, place, raster, search
 from folio.operators import text as tx
 
 
@@ -221,3 +221,30 @@ def test_wrapping_by_measured_width(spark):
         return out
 
     assert got == {n: plain(t) for n, t in enumerate(texts)}
+
+
+def test_containers_become_equal_when_references_are_repaired(spark):
+    same = "x" * 70
+    objects = spark.createDataFrame([(1, same, "a"), (2, same, "a"), (3, same, "b"), (4, "short", "a"), (5, "short", "a"), (10, "c" * 64, "k"), (11, "c" * 64, "k"), (12, "c" * 64, "k"), (20, "d" * 64, "k"), (21, "d" * 64, "k")], "object_id long, data string, attrs string")
+    refs = spark.createDataFrame([(10, "p", 1), (11, "p", 2), (12, "p", 3), (20, "q", 10), (21, "q", 11), (20, "q", 4), (21, "q", 4), (10, "lost", 99), (11, "lost", 99), (4, "up", 21)], "src long, slot string, dst long")
+    keepers, repaired = graph.dedupe_objects(objects, refs, ["attrs"])
+    assert {r[0]: r[1] for r in keepers.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 10: 10, 11: 10, 12: 12, 20: 20, 21: 20}
+    assert sorted(map(tuple, repaired.collect())) == [(4, "up", 20), (10, "lost", 99), (10, "p", 1), (12, "p", 3), (20, "q", 4), (20, "q", 10)]
+
+
+def test_a_report_shows_the_first_hits_in_page_order(spark):
+    docs = spark.createDataFrame([(1, "\n".join(["ta tb"] * 130)), (2, "none"), (3, "tc"), (4, None)], "doc_id long, text string")
+    matches = search.find_on_pages(search.page_bodies(docs), "t[a-e]")
+    hits = search.first_hits(matches)
+    assert "WindowGroupLimit" in hits._jdf.queryExecution().executedPlan().toString()
+    shown = sorted((r["doc_id"], r["hit_no"], r["page_no"], r["match"]) for r in hits.collect())
+    assert len(shown) == 201 and shown[79:82] == [(1, 80, 1, "tb"), (1, 81, 2, "ta"), (1, 82, 2, "tb")] and shown[199][2] == 3
+    assert {r["doc_id"]: (r["hits"], r["pages"], r["status"]) for r in search.hit_status(docs, matches).collect()} == {1: (260, 4, "260 matches"), 2: (0, 0, "No matches"), 3: (1, 1, "1 match"), 4: (0, 0, "No matches")}
+    assert {(r["doc_id"], r["page_no"]): r["hits"] for r in search.page_hits(matches).collect()} == {(1, 1): 80, (1, 2): 80, (1, 3): 80, (1, 4): 20, (3, 1): 1}
+
+
+def test_text_of_lines_takes_one_exchange(spark, data):
+    from folio.plans.all import QUERIES
+
+    plan = QUERIES["text_join"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import meta, place, text
+from folio.operators import graph, meta, place, text
 from folio.operators.search import find_pii, redact_text
 from folio.streaming import streams
 
@@ -46,3 +46,15 @@ def test_row_local_operators_on_a_stream_equal_the_batch(spark, data, tmp_path,
     want = operator(batch)
     got = spark.read.parquet(str(tmp_path / "out")).select(*want.columns)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_late_copies_are_told_their_keeper(spark, tmp_path):
+    rows = [(i, f"asset {i % 7} " * 20 if i % 3 else f"own {i} " * 20) for i in range(60)]
+    for part in range(4):
+        spark.createDataFrame(rows[part * 15 : part * 15 + 15], "asset_id long, data string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.run_available(stream, streams.keepers, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    want = {r["asset_id"]: r["keeper"] for r in graph.dedupe_assets(batch, []).collect()}
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r["asset_id"]: r["keeper"] for r in got} == want and len(got) == 60
