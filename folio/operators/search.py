@@ -117,8 +117,8 @@ def with_regions(rows: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def hit_glyphs(glyphs: DataFrame, regions: DataFrame) -> DataFrame:
-    """Keys of the glyphs whose centre lies in a region of their page."""
-    return with_regions(glyphs, regions).where("regions IS NOT NULL").where(in_region()).select("doc_id", "page_no", "line0", "word0", "g_no")
+    """Keys and measures of the glyphs whose centre lies in a region of their page."""
+    return with_regions(glyphs, regions).where("regions IS NOT NULL").where(in_region()).select("doc_id", "page_no", "line0", "word0", "g_no", "w", "size")
 
 
 def redact_glyphs(glyphs: DataFrame, regions: DataFrame) -> DataFrame:
@@ -126,13 +126,12 @@ def redact_glyphs(glyphs: DataFrame, regions: DataFrame) -> DataFrame:
     return with_regions(glyphs, regions).where(F.col("regions").isNull() | ~in_region()).drop("regions")
 
 
-def gaps(glyphs: DataFrame, removed: DataFrame) -> DataFrame:
-    """Removed stretches of each run with their total advance; neighbours are one stretch."""
+def gaps(removed: DataFrame) -> DataFrame:
+    """Stretches of removed glyphs of each run with their total advance; neighbours are one stretch."""
     keys = ["doc_id", "page_no", "line0", "word0"]
     order = Window.partitionBy(*keys).orderBy("g_no")
     marked = removed.withColumn("run", F.col("g_no") - F.row_number().over(order))
-    back = marked.join(glyphs.select(*keys, "g_no", "w", "size"), [*keys, "g_no"])
-    return back.groupBy(*keys, "run").agg(F.min("g_no").alias("first"), F.sum("w").alias("advance"), F.max("size").alias("size")).select(*keys, "first", "advance", (-F.col("advance") * 1000 / F.col("size")).alias("kern"))
+    return marked.groupBy(*keys, "run").agg(F.min("g_no").alias("first"), F.sum("w").alias("advance"), F.max("size").alias("size")).select(*keys, "first", "advance", (-F.col("advance") * 1000 / F.col("size")).alias("kern"))
 
 
 def overlaps(x0, y0, x1, y1) -> Column:

@@ -194,7 +194,8 @@ def asm_blank_after(t):
     return asm.insert_blank(pg.display_dims(pg.page_dims(t.fx_pages)), F.col("page_no") % 2 == 0)
 
 
-OTHER_SQL = "SELECT doc_id + 1 AS doc_id, doc_id AS src_doc, page_no FROM fx_pages WHERE doc_id % 5 = 1"
+#: Every document goes into the one after it.
+OTHER_SQL = "SELECT doc_id + 1 AS doc_id, doc_id AS src_doc, page_no FROM fx_pages"
 
 
 @query("asm_insert_doc", f"""

@@ -116,11 +116,11 @@ def form_display(t):
 
 @query("form_flatten", f"""
 SELECT 'run' AS what, w.doc_id, page_no, x0 AS x, y0 AS y, v AS str FROM ({PLACED_SQL}) w JOIN ({FIELDS_SQL}) f ON w.node_id = f.node_id WHERE NOT hidden AND v <> ''
-UNION ALL SELECT 'annot', doc_id, CAST(node_id % 4 AS INT), 0, 0, t FROM fx_fields WHERE node_id NOT IN (SELECT node_id FROM ({PLACED_SQL}))""", "fx_widgets")
+UNION ALL SELECT 'run', doc_id, page_no, x, y, str FROM fx_runs
+UNION ALL SELECT 'annot', doc_id, CAST(node_id % 4 AS INT), 0, 0, t FROM fx_fields WHERE node_id NOT IN (SELECT node_id FROM ({PLACED_SQL}))""", "fx_widgets", "fx_runs")
 def form_flatten(t):
-    none = t.fx_runs.where("false")
     annots = t.fx_fields.select("node_id", "doc_id", (F.col("node_id") % 4).cast("int").alias("page_no"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("t").alias("str"))
-    runs, left = forms.flatten(forms.read_fields(t.fx_fields), forms.place_widgets(t.fx_widgets), none, annots)
+    runs, left = forms.flatten(forms.read_fields(t.fx_fields), forms.place_widgets(t.fx_widgets), t.fx_runs, annots)
     return runs.select(F.lit("run").alias("what"), "*").unionByName(left.select(F.lit("annot").alias("what"), "doc_id", "page_no", "x", "y", "str"))
 
 

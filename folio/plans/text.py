@@ -271,8 +271,7 @@ def redact_regions(t):
 WITH h AS (SELECT *, g_no - row_number() OVER (PARTITION BY doc_id, page_no, line0, word0 ORDER BY g_no) AS run FROM ({HIT_SQL}))
 SELECT doc_id, page_no, line0, word0, min(g_no) AS first, CAST(6 * count(*) AS BIGINT) AS advance, -6.0::DOUBLE * count(*) * 1000 / 10 AS kern FROM h GROUP BY doc_id, page_no, line0, word0, run""", "fx_glyphs", "fx_regions")
 def redact_gap(t):
-    g = t.fx_glyphs
-    return search.gaps(g, search.hit_glyphs(g, t.fx_regions))
+    return search.gaps(search.hit_glyphs(t.fx_glyphs, t.fx_regions))
 
 
 @query("redact_images", """
@@ -317,11 +316,12 @@ def redact_stats(t):
     return out
 
 
-SPANS_SQL = "SELECT doc_id AS span_id, doc_id, 1 AS page_no, CAST(52 + doc_id % 90 AS DOUBLE) AS px0, 40.0 AS py0, CAST(60 + doc_id % 50 AS DOUBLE) AS px1, CAST(40 + 12 * (doc_id % 3) AS DOUBLE) AS py1 FROM documents"
+#: A selection on every page of every document.
+SPANS_SQL = "SELECT doc_id * 1000 + page_no AS span_id, doc_id, page_no, CAST(52 + (doc_id + page_no) % 90 AS DOUBLE) AS px0, 40.0 AS py0, CAST(60 + doc_id % 50 AS DOUBLE) AS px1, CAST(40 + 12 * (doc_id % 3) AS DOUBLE) AS py1 FROM (SELECT DISTINCT doc_id, page_no FROM fx_runs) AS p"
 
 
 @query("text_selection", f"""
-WITH r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y, x) AS INT) AS rank FROM fx_runs WHERE page_no = 1), s AS ({SPANS_SQL}),
+WITH r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y, x) AS INT) AS rank FROM fx_runs), s AS ({SPANS_SQL}),
 j AS (SELECT span_id, rank, str, abs(y - py0) * 4 + greatest(x - px0, px0 - x - w, 0.0) AS d0, abs(y - py1) * 4 + greatest(x - px1, px1 - x - w, 0.0) AS d1 FROM s JOIN r ON s.doc_id = r.doc_id AND s.page_no = r.page_no),
 e AS (SELECT span_id, min({{'d': d0, 'rank': rank}}) FILTER (WHERE d0 < 30) AS a, min({{'d': d1, 'rank': rank}}) FILTER (WHERE d1 < 30) AS b FROM j GROUP BY span_id)
 SELECT j.span_id, rank, str FROM j JOIN e ON j.span_id = e.span_id WHERE rank BETWEEN least(a.rank, b.rank) AND greatest(a.rank, b.rank) AND a IS NOT NULL AND b IS NOT NULL""", "fx_runs")

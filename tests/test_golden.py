@@ -248,3 +248,11 @@ def test_text_of_lines_takes_one_exchange(spark, data):
 
     plan = QUERIES["text_join"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_digests_of_known_texts(spark):
+    df = spark.createDataFrame([(1, "123456789"), (2, "")], "doc_id int, text string")
+    rows = {r["doc_id"]: r.asDict() for r in meta.digests(df).collect()}
+    assert rows[1]["crc32"] == 3421780262 and rows[1]["md5"] == "25f9e794323b453885f5181f1b624d0b"
+    assert rows[2]["sha256"] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    assert rows[2]["sha384"].startswith("38b060a751ac96384cd9327eb1b1e36a21fdb71114be0743") and rows[2]["sha512"].startswith("cf83e1357eefb8bdf1542850d66d8007d620e4050b5715dc83f4a921d36ce9ce")
