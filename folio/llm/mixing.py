@@ -107,8 +107,9 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, repeats: int = MOST_REPEATS, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """One row for each document: its key, source, ``size``, ``source_size``, ``target`` and the
-    number of its words that the mix takes (``taken``)."""
+    """One row for each document: its key, source, ``size``, ``source_size``, ``target``, the number of
+    its words that the mix takes (``taken``) and the first slot of the schedule that takes some of them
+    (``slot``, null if none does): the mix in order of its slots is the mix in order of ``slot``."""
     sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
     groups = written(sized.groupBy("source", "key", "size").agg(F.count("*").alias("n")), "mix-sizes")
     sources = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -124,7 +125,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     placed = placed.withColumn("within", F.sum(F.col("size") * F.col("n")).over(own) - F.col("size") * F.col("n")).join(ends, ["source_no", "span"])
     rows = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     rows = rows.withColumn("start", F.col("before") + F.col("within") + F.col("nth") * F.col("size"))
-    none = rows.where("size = 0").select("key", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    none = rows.where("size = 0").select("key", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("slot"))
 
     # words of each document in each block, times the slots of the block
     first, last = block_of(F.col("start")), block_of(F.col("start") + F.col("size") - 1)
@@ -133,13 +134,15 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     low = F.greatest(F.col("start"), begin) - begin
     high = F.least(F.col("start") + F.col("size"), begin_of(F.col("block") + 1)) - begin
     cut = cut.select("key", "source", "size", "source_size", "target", "source_no", "start", "block", low.alias("low"), high.alias("high"))
-    uses = schedule(sources).groupBy("source_no", "block").agg(F.sum(F.col("part").isNull().cast("long")).alias("whole"), F.max("part").alias("part"))
+    whole, partly = F.col("part").isNull(), F.col("part").isNotNull()
+    uses = schedule(sources).groupBy("source_no", "block").agg(F.sum(whole.cast("long")).alias("whole"), F.max("part").alias("part"), F.min(F.when(whole, F.col("slot"))).alias("whole_at"), F.min(F.when(partly, F.col("slot"))).alias("part_at"))
     met = cut.join(uses, ["source_no", "block"], "left")
     words = F.coalesce("whole", F.lit(0)) * (F.col("high") - F.col("low")) + F.greatest(F.least(F.coalesce("part", F.lit(0)), F.col("high")) - F.col("low"), F.lit(0))
-    taken = met.groupBy("source_no", "start").agg(*[F.first(c).alias(c) for c in ("key", "source", "size", "source_size", "target")], F.sum(words).cast("long").alias("taken"))
-    found = taken.select("key", "source", "size", "source_size", "target", "taken").union(none)
-    return found.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "taken")
+    at = F.least("whole_at", F.when(F.col("part") > F.col("low"), F.col("part_at")))
+    taken = met.groupBy("source_no", "start").agg(*[F.first(c).alias(c) for c in ("key", "source", "size", "source_size", "target")], F.sum(words).cast("long").alias("taken"), F.min(at).alias("slot"))
+    found = taken.select("key", "source", "size", "source_size", "target", "taken", "slot").union(none)
+    return found.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "taken", "slot")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(load(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix(load(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source", F.col("slot").alias("first_slot"))

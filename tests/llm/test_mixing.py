@@ -3,6 +3,7 @@
 import itertools
 from collections import Counter, defaultdict
 
+from folio.llm import mixing
 from folio.llm.mixing import WEIGHTS, mix, op5_mixing, schedule, with_slots, with_targets
 
 
@@ -71,6 +72,34 @@ def test_takes_equal_a_plain_schedule(spark):
                 mine[r["doc_id"]] += r["taken"]
         assert +mine == want
     assert len(got) == len(rows)
+    # the slots in order, each laid over the words of its block
+    sources = with_slots(with_targets(table(spark, {s: sum(r["size"] for r in order if r["source"] == s) for s, _ in sizes})), 16)
+    by = {r["source_no"]: r for r in sources.collect()}
+    first: dict = {}
+    for slot in sorted(schedule(sources).collect(), key=lambda r: r["slot"]):
+        own = by[slot["source_no"]]
+        begin = slot["block"] * own["words"] + min(slot["block"], own["long"])
+        many = slot["part"] if slot["part"] is not None else own["words"] + (slot["block"] < own["long"])
+        owners = [r["doc_id"] for r in sorted((r for r in order if r["source"] == own["source"]), key=lambda r: r["at"]) for _ in range(r["size"])]
+        for doc in owners[begin : begin + many]:
+            first.setdefault((own["source"], doc), slot["slot"])
+    mine = {}
+    for r in got:
+        if r["slot"] is not None:
+            k = (r["source"], r["doc_id"])
+            mine[k] = min(r["slot"], mine.get(k, r["slot"]))
+    assert mine == first
+
+
+def test_another_step_gives_other_places(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 40), "abc"[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    places = lambda: {r["doc_id"]: (r["taken"], r["slot"]) for r in mix(df, block=16).collect()}
+    golden = places()
+    monkeypatch.setattr(mixing, "GOLDEN", 0.001)
+    other = places()
+    assert {k: v[0] for k, v in golden.items()} == {k: v[0] for k, v in other.items()}
+    assert sum(golden[k][1] != other[k][1] for k in golden) > 150
 
 
 def test_query(spark, data):
