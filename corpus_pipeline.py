@@ -42,12 +42,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number."""
+    """Each document as often as the mix takes it, to the nearest whole number, in the order of the mix's slots."""
     none = F.lit(-(1 << 63))
     taken = mix(docs).withColumn("copies", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int"))
-    copies = taken.groupBy(F.coalesce("doc_id", none).alias("__id")).agg(F.round(F.avg("copies")).cast("int").alias("copies")).where("copies > 0")
+    copies = taken.groupBy(F.coalesce("doc_id", none).alias("__id")).agg(F.round(F.avg("copies")).cast("int").alias("copies"), F.min("slot").alias("__slot")).where("copies > 0")
     rows = docs.select(*COLUMNS, F.coalesce("doc_id", none).alias("__id")).join(copies, "__id")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).orderBy("__copy", "__slot", "__id").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
