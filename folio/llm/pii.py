@@ -1,20 +1,21 @@
 """Personal data: fixed patterns, and terms that disclose what the patterns protect.
 
 E-mail addresses, IP addresses, card and phone numbers are found by pattern; each distinct value
-is a protected entity.  Corpus counts then tell how much a term reveals an entity: with n(x) the
-documents that hold x, N all documents, the information of an entity is ln(N / n(e)), and a term
-discloses the part PMI(t; e) / ln(N / n(e)) of it, PMI(t; e) = ln(N p(e | t) / n(e)), where
-n(t, e) counts the documents that hold both, t outside any span.  p(e | t) is smoothed by one
-document more that holds e as often as any does, (n(t, e) + n(e) / N) / (n(t) + 1), so few
-documents tell less than many, and one may be enough in a large table only.  Terms disclosing
-``GENERALISE`` or more of an entity become spans too; from ``REMOVE`` on they are cut out, below
-that a placeholder stands for them.
-
-One pass writes the entities and distinct terms of each document that holds an entity.  Entities
-of the same documents are counted as one.  A pair is counted only if its term is rare enough to
-reach ``GENERALISE``, which leaves out no term that would.  A second pass counts the documents of
-those terms, a third marks spans.  The set of terms sent to the executors has at most
-``TERMS_AT_ONCE`` entries; more terms are marked in further passes.
+is a protected entity.  Corpus counts then tell how much a term reveals an entity.  Of the n(t)
+texts that hold a term, n(t, e) hold the entity too, the term outside of any span; who reads the
+term still lacks -log2 p(e | t) bits to know the entity.  p(e | t) is the lower end of Wilson's
+interval for n(t, e) of n(t) (one-sided, 95 %), so no term is told by one or two texts: three are needed if
+all hold the entity, more if some do not.  A term discloses the entity if at most ``GENERALISE``
+bits are left and it gained ``GAIN`` bits or more over -log2 p(e); that alone follows the number
+of texts, so an entity of a few texts has the same terms in a table of any size.  Such terms become spans
+too: where at most ``REMOVE`` bits are left they are cut out, otherwise a placeholder stands for them.
+Equal texts are one text in all counts, since a copy tells nothing new; every copy is marked.
+
+One pass writes the entities and distinct terms of each text that holds an entity.  Entities
+of the same texts are counted as one.  A pair is counted only if its term is rare enough to
+reach ``GENERALISE``, which leaves out no term that would.  A second pass writes the places
+of those terms by text; joined with the disclosing terms they give the terms of each text, which a
+last join brings back to the texts: as many passes whatever the number of terms, and none is collected.
 
 Cases: a null text counts as empty and has no spans; spans are in code points and may overlap;
 texts of any length are scanned whole, in the time of a sort of their terms; ties between spans
@@ -26,7 +27,6 @@ from __future__ import annotations
 
 import math
 import re
-import secrets
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,12 +35,16 @@ from pyspark.sql import functions as F
 from folio.llm.common import load, python_rows, written
 from folio.llm.substrings import Hasher
 
-GENERALISE, REMOVE = 0.9, 0.98
+#: Bits left of an entity, at most, for a term to be generalised and to be removed; bits gained at least.
+GENERALISE, REMOVE, GAIN = 1.0, 0.5, 3.0
+#: Quantile of the lower bound of p(e | t): one-sided, 95 %.
+QUANTILE = 1.645
+#: Texts that a pair needs at least: fewer leave more than ``GENERALISE`` bits even if all hold the entity.
+LEAST = math.ceil(QUANTILE**2 / (2.0**GENERALISE - 1))
 #: Letters of a term at least.
 TERM_LETTERS = 3
-#: Terms that one pass marks: 16 MB of hashes.
-TERMS_AT_ONCE = 2_000_000
-#: Bits of the table that tells which terms to count.
+#: Bits of the table that tells which terms to count (2 MB, whatever the input); terms that fall on
+#: a bit of another are counted for nothing.
 TABLE_BITS = 24
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -140,85 +144,99 @@ def outside(raw, starts, ends, spans):
     return np.flatnonzero(~inside(a, b, spans) & (b - a >= TERM_LETTERS))
 
 
-def counted(rows: DataFrame, run, keys: str) -> DataFrame:
-    """Sums of ``n`` by key, of what each task has summed already."""
-    names = [k.split()[0] for k in keys.split(", ")]
-    return python_rows(rows, run, f"{keys}, n long").groupBy(*names).agg(F.sum("n").alias("n"))
+def signed(h) -> int:
+    return int(h.astype("int64"))
 
 
-def flush(held: dict, names: list[str]):
-    columns = list(zip(*held)) if held and isinstance(next(iter(held)), tuple) else [list(held)]
-    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(list(held.values()), pa.int64())], [*names, "n"])
-    held.clear()
+def left(n_both: F.Column, n_term: F.Column) -> F.Column:
+    """Bits that a term leaves of an entity: -log2 of the lower bound of p(e | t)."""
+    square = QUANTILE**2
+    spread = QUANTILE * F.sqrt(n_both * (n_term - n_both) / n_term + square / 4)
+    return -F.log2((n_both + square / 2 - spread) / (n_term + square))
 
 
-def signed(h) -> int:
-    return int(h.astype("int64"))
+def identity(text: str) -> list[F.Column]:
+    """What tells a text from others: two hashes of 64 bits."""
+    return [F.xxhash64(F.col(text)).alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b")]
+
+
+def lists(rows, *names: str) -> pa.RecordBatch:
+    """(a, b, lists of hashes)"""
+    columns = list(zip(*rows))
+    kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * len(names)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "b", *names])
+
+
+def bit_table(terms: DataFrame) -> bytes:
+    """A bit for the first ``TABLE_BITS`` bits of each term; as many rows as the table has words, at most."""
+    import numpy as np
+
+    spot = terms.selectExpr(f"shiftrightunsigned(term, {64 - TABLE_BITS}) AS spot")
+    filled = spot.selectExpr("shiftright(spot, 6) AS word", "shiftleft(1L, cast(spot & 63 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
+    table[filled["word"].to_numpy()] = filled["bits"].to_numpy()
+    return table.tobytes()
 
 
 def disclosing(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term long, part double): the terms that disclose an entity, with the most they disclose."""
+    """(a, b, terms array<struct<term, cut>>): for each text, by ``identity``, the terms in it that disclose an entity."""
     import numpy as np
 
-    spark = docs.sparkSession
-    texts = docs.select(F.col(text).alias("text")).where(F.col(text).isNotNull())
-    total = docs.count()
+    texts = docs.select(F.col(text).alias("text"), *identity(text)).where(F.col("text").isNotNull())
+    total = texts.select("a", "b").distinct().count()
 
     def holders(pieces):
         terms = Terms()
         for batch in pieces:
             rows = []
-            for t in batch.column(0).to_pylist():
+            for t, a, b in zip(*(c.to_pylist() for c in batch.columns)):
                 if spans := base_spans(t):
                     raw, starts, ends, hashes = terms(t)
                     who = {signed(terms.hasher.words(entity(t, kind, s, e).replace(b" ", b""))[0]) for s, kind, e in spans}
-                    rows.append((secrets.randbits(63), list(who), np.unique(hashes[outside(raw, starts, ends, spans)]).view(np.int64).tolist()))
+                    rows.append((a, b, list(who), np.unique(hashes[outside(raw, starts, ends, spans)]).view(np.int64).tolist()))
             if rows:
-                uid, who, what = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(who, pa.list_(pa.int64())), pa.array(what, pa.list_(pa.int64()))], ["uid", "entities", "terms"])
-
-    held = written(python_rows(texts, holders, "uid long, entities array<long>, terms array<long>"), "holders")
-    who = held.select("uid", F.explode("entities").alias("entity"))
-    # entities of the same documents are one
-    sets = who.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor("uid").alias("x"), F.bit_xor(F.xxhash64("uid")).alias("y"))
-    groups = written(who.join(sets, "entity").where(F.col("n_entity") < total).select("uid", "x", "y", "n_entity").distinct(), "entities")
-    # documents that a term may have, at most, to tell GENERALISE of an entity
-    limit = (F.col("n_entity") + 1) * F.pow(F.lit(float(max(total, 1))) / F.col("n_entity"), F.lit(1 - GENERALISE)) + 1e-6
+                yield lists(rows, "entities", "terms")
+
+    held = python_rows(texts, holders, "a long, b long, entities array<long>, terms array<long>")
+    held = written(held.dropDuplicates(["a", "b"]), "holders")
+    who = held.select("a", "b", F.explode("entities").alias("entity"))
+    # entities of the same texts are one; one that is no rarer than GAIN asks has no terms
+    sets = who.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor("a").alias("x"), F.bit_xor("b").alias("y"))
+    sets = sets.where((F.col("n_entity") >= LEAST) & (F.col("n_entity") * 2**GAIN <= total))
+    groups = written(who.join(sets, "entity").select("a", "b", "x", "y", "n_entity").distinct(), "entities")
+    # texts that a term may have, at most, to reach GENERALISE
+    limit = F.col("n_entity") * 2**GENERALISE
     most = groups.agg(F.max(limit)).first()[0] or 0.0
-    what = held.select("uid", F.explode("terms").alias("term"))
-    rare = what.groupBy("term").agg(F.count("*").alias("n_held")).where(F.col("n_held") <= most)
-    pairs = what.join(rare, "term").join(groups, "uid").where(F.col("n_held") <= limit)
-    pairs = written(pairs.groupBy("x", "y", "n_entity", "term").agg(F.count("*").alias("n_both")), "pairs")
-    wanted = pairs.select("term").distinct()
-
-    # at most one row for each bit of the table
-    spot = wanted.selectExpr(f"cast(shiftrightunsigned(term, {64 - TABLE_BITS}) AS int) AS spot")
-    filled = spot.selectExpr("shiftright(spot, 3) AS byte", "shiftleft(1, spot & 7) AS bit").groupBy("byte").agg(F.bit_or("bit").alias("bits"))
-    table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
-    for row in filled.toLocalIterator():
-        table[row["byte"]] = row["bits"]
-    bits = spark.sparkContext.broadcast(table.tobytes())
-
-    def frequencies(pieces):
-        terms, held, bitmap = Terms(), {}, np.frombuffer(bits.value, np.uint8)
+    what = held.select("a", "b", F.explode("terms").alias("term"))
+    rare = what.groupBy("term").agg(F.count("*").alias("n_held")).where(F.col("n_held").between(LEAST, most))
+    pairs = what.join(rare, "term").join(groups, ["a", "b"]).where(F.col("n_held") <= limit)
+    pairs = pairs.groupBy("x", "y", "n_entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= LEAST)
+    pairs = written(pairs, "pairs")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_table(pairs))
+
+    def places(pieces):
+        terms, bitmap = Terms(), np.frombuffer(bits.value, np.uint8)
+        if not bitmap.any():
+            return
         for batch in pieces:
-            for t in batch.column(0).to_pylist():
+            rows = []
+            for t, a, b in zip(*(c.to_pylist() for c in batch.columns)):
                 hashes = terms(t)[3]
                 at = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.uint32)
                 hit = hashes[bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0]
-                for h in np.unique(hit).view(np.int64).tolist():
-                    held[h] = held.get(h, 0) + 1
-            if len(held) > 1_000_000:
-                yield from flush(held, ["term"])
-        if held:
-            yield from flush(held, ["term"])
+                if len(hit):
+                    rows.append((a, b, np.unique(hit).view(np.int64).tolist()))
+            if rows:
+                yield lists(rows, "terms")
 
-    seen = counted(texts, frequencies, "term long").withColumnRenamed("n", "n_term")
-    information = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    chance = (F.col("n_both") + F.col("n_entity") / F.lit(float(max(total, 1)))) / (F.col("n_term") + 1)
-    part = F.when(information > 0, 1 + F.log(chance) / information).otherwise(F.lit(0.0))
-    found = pairs.join(seen, "term").select("term", part.alias("part"))
-    return found.groupBy("term").agg(F.max("part").alias("part")).where(F.col("part") >= GENERALISE - 1e-12)
+    placed = python_rows(texts, places, "a long, b long, terms array<long>").dropDuplicates(["a", "b"])
+    placed = written(placed.select("a", "b", F.explode("terms").alias("term")), "places")
+    seen = placed.groupBy("term").agg(F.count("*").alias("n_term"))
+    told = pairs.join(seen, "term").withColumn("left", left(F.col("n_both"), F.col("n_term")))
+    gained = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity")) - F.col("left")
+    told = told.where((F.col("left") <= GENERALISE) & (gained >= GAIN)).groupBy("term").agg((F.min("left") <= REMOVE).alias("cut"))
+    # no longer than the text's own terms
+    return written(placed.join(told, "term").groupBy("a", "b").agg(F.collect_list(F.struct("term", "cut")).alias("terms")), "disclosed")
 
 
 def rewrite(text: str, spans: list[tuple[int, int, int]], cut: set[int]) -> str:
@@ -232,55 +250,40 @@ def rewrite(text: str, spans: list[tuple[int, int, int]], cut: set[int]) -> str:
     return "".join(out) + text[at:]
 
 
-def marked(docs: DataFrame, terms: list[tuple[int, float]], text: str, first: bool, last: bool) -> DataFrame:
+def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``sanitised`` and ``pii array<struct<kind, start, end, cut>>`` in text order."""
     import numpy as np
 
-    order = np.array([t for t, _ in terms], np.int64).view(np.uint64)
-    parts = np.array([p for _, p in terms], np.float64)
-    sort = np.argsort(order)
-    shared = docs.sparkSession.sparkContext.broadcast((order[sort], parts[sort] >= REMOVE))
-    names = docs.columns if first else docs.columns[:-1]
+    docs = docs.drop("sanitised", "pii")
+    names = docs.columns
+    # a written table: Spark broadcasts it below its own size limit, and joins by text beyond
+    rows = docs.select(F.struct("*").alias("row"), *identity(text)).join(disclosing(docs, text), ["a", "b"], "left")
+    rows = rows.select("row.*", F.col("terms").alias("pii"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("cut", pa.bool_())]))
 
     def run(pieces):
-        wanted, cut = shared.value
         read = Terms()
         for batch in pieces:
             texts = [t or "" for t in batch.column(names.index(text)).to_pylist()]
-            earlier = [[] for _ in texts] if first else batch.column(len(names)).to_pylist()
             every, clean = [], []
-            for t, old in zip(texts, earlier):
-                spans = [(s, k, e, False) for s, k, e in base_spans(t)] if first else [(x["start"], KINDS.index(x["kind"]), x["end"], x["cut"]) for x in old]
-                if len(wanted):
+            for t, told in zip(texts, batch.column(len(names)).to_pylist()):
+                spans = [(s, k, e, False) for s, k, e in base_spans(t)]
+                if told:
+                    cut = {x["term"]: x["cut"] for x in told}
                     raw, starts, ends, hashes = read(t)
-                    place = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-                    hit = np.flatnonzero(wanted[place] == hashes)
-                    if len(hit):
-                        at = Terms.characters(raw)
-                        a, b = at[starts[hit]], at[ends[hit]]
-                        free = ~inside(a, b, spans)
-                        spans += [(s, 4, e, c) for s, e, c in zip(a[free].tolist(), b[free].tolist(), cut[place[hit]][free].tolist())]
+                    hit = np.flatnonzero(np.isin(hashes.view(np.int64), np.array(list(cut), np.int64)))
+                    at = Terms.characters(raw)
+                    a, b = at[starts[hit]], at[ends[hit]]
+                    free = ~inside(a, b, spans)
+                    spans += [(s, 4, e, cut[h]) for s, e, h in zip(a[free].tolist(), b[free].tolist(), hashes[hit][free].view(np.int64).tolist())]
                 spans.sort()
                 every.append([{"kind": KINDS[k], "start": s, "end": e, "cut": c} for s, k, e, c in spans])
-                if last:
-                    clean.append(rewrite(t, [x[:3] for x in spans], {s for s, k, _, c in spans if c and k == 4}))
-            made = [pa.array(clean, pa.string())] if last else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made, pa.array(every, kind)], [*names, *(["sanitised"] if last else []), "pii"])
+                clean.append(rewrite(t, [x[:3] for x in spans], {s for s, k, _, c in spans if c and k == 4}))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(clean, pa.string()), pa.array(every, kind)], [*names, "sanitised", "pii"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema][: len(names)]
-    fields += ["sanitised string"] * last + ["pii array<struct<kind:string,start:int,end:int,cut:boolean>>"]
-    return python_rows(docs, run, ", ".join(fields), text=text)
-
-
-def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``sanitised`` and ``pii array<struct<kind, start, end, cut>>`` in text order."""
-    flagged = written(disclosing(docs, text), "terms")
-    slices = max(1, math.ceil(flagged.count() / (TERMS_AT_ONCE * 0.8)))
-    out = docs.drop("sanitised", "pii")
-    for i in range(slices):
-        terms = flagged.where(F.pmod(F.col("term"), F.lit(slices)) == i).collect()
-        out = marked(out, [(r["term"], r["part"]) for r in terms], text, i == 0, i == slices - 1)
-    return out
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    fields += ["sanitised string", "pii array<struct<kind:string,start:int,end:int,cut:boolean>>"]
+    return python_rows(rows, run, ", ".join(fields), text=text)
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:

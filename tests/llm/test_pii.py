@@ -1,12 +1,15 @@
 """Personal data: the base patterns, disclosing terms, rewriting, cases."""
 
+import math
+import random
 import re
 import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from folio.llm.pii import KINDS, Terms, base_spans, find_pii, luhn, op7_pii, outside
+from folio.llm.pii import GAIN, GENERALISE, KINDS, QUANTILE, REMOVE, Terms, base_spans, entity, find_pii, luhn, op7_pii, outside
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
@@ -35,13 +38,83 @@ def test_long_runs_take_linear_time():
 
 def test_query(spark, data):
     texts = dict(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect())
+    want = plain_spans(texts)
     for r in op7_pii(spark, data).collect():
-        want = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in plain(texts[r["doc_id"]]))
-        assert [x for x in r["spans"].split(",") if x and not x.startswith("term")] == [x for x in want.split(",") if x]
+        assert r["spans"] == ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in want[r["doc_id"]])
+
+
+def plain_spans(texts):
+    """All spans of each text with whether they are cut, from counts in dictionaries."""
+    found, places, holds = {}, {}, {}
+    for t in {t or "" for t in texts.values()}:
+        spans = found[t] = plain(t)
+        free = lambda m: not any(m.start() < e and s < m.end() for s, _, e in spans)  # noqa: E731,B023
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+        places[t] = [(m[0], m.start(), m.end(), free(m)) for m in re.finditer(r"[0-9a-z\x80-\U0010ffff]+", low)]
+        for s, k, e in spans:
+            holds.setdefault(entity(t, k, s, e), set()).add(t)
+    total, has, near = len({t for t in texts.values() if t is not None}), {}, {}
+    for t, terms in places.items():
+        for w, s, e, free in terms:
+            has.setdefault(w, set()).add(t)
+            if free and e - s >= 3:
+                near.setdefault(w, set()).add(t)
+    left = {}
+    for w in near:
+        for e in {e for e in holds if near[w] & holds[e]}:
+            k, n, z = len(near[w] & holds[e]), len(has[w]), QUANTILE
+            bits = -math.log2((k + z * z / 2 - z * math.sqrt(k * (n - k) / n + z * z / 4)) / (n + z * z))
+            if bits <= GENERALISE and math.log2(total / len(holds[e])) - bits >= GAIN:
+                left[w] = min(bits, left.get(w, bits))
+    return {i: sorted([(s, k, e, False) for s, k, e in found[t or ""]] + [(s, 4, e, left[w] <= REMOVE) for w, s, e, free in places[t or ""] if free and w in left]) for i, t in texts.items()}
+
+
+def test_terms_against_plain_counts(spark):
+    rng = random.Random(3)
+    mails = [f"p{i}@mail.example" for i in range(12)]
+    texts = {}
+    for i in range(400):
+        words = [rng.choice("abcdefghij") * 2 + str(rng.randint(0, 40)) for _ in range(rng.randint(0, 30))]
+        for who in rng.sample(range(12), rng.choice([0, 0, 0, 1, 1, 2])):
+            words.insert(rng.randint(0, len(words)), f"Name{who}É" if rng.random() < 0.8 else f"other{who}")
+            words.insert(rng.randint(0, len(words)), mails[who] if rng.random() < 0.9 else "nobody")
+        texts[i] = " ".join(words)
+    texts |= {1000 + i: "copy of one text with rareword and lone@mail.example" for i in range(20)} | {2000: None, 2001: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: [(s["start"], KINDS.index(s["kind"]), s["end"], s["cut"]) for s in r["pii"]] for r in find_pii(df).collect()}
+    want = plain_spans(texts)
+    assert got == want
+    spans = [x for v in want.values() for x in v if x[1] == 4]
+    assert len(spans) > 50 and {x[3] for x in spans} == {True, False}
+    assert not any(x[1] == 4 for x in want[1000])
+
+
+def test_verdicts_precision_and_recall_at_three_sizes(spark):
+    rng = random.Random(4)
+    planted, made = set(), []
+    for who in range(40):
+        secret = [f"alias{who}q", f"codename{who}z"]
+        planted |= set(secret)
+        for k in range(rng.randint(4, 9)):
+            ordinary = " ".join(f"word{rng.randint(0, 3000)}" for _ in range(30))
+            made.append(f"{secret[0]} {ordinary} person{who}@mail.example {secret[1]} unique{who}x{k}")
+    told = {}
+    for size in (200, 10_000, 1_000_000):
+        noise = spark.range(size).select(F.concat_ws(" ", *[F.concat(F.lit("word"), F.pmod(F.xxhash64("id", F.lit(j)), F.lit(3000))) for j in range(6)], F.col("id")).alias("text"))
+        df = spark.createDataFrame([(t,) for t in made], "text string").union(noise)
+        hit = find_pii(df).where("size(pii) > 0").select("text", F.explode("pii").alias("s")).where("s.kind = 'term'")
+        words = hit.select(F.expr("substring(text, s.start + 1, s.end - s.start)").alias("w"), "s.cut").distinct().collect()
+        told[size] = {(r["w"], r["cut"]) for r in words}
+        flagged = {w for w, _ in told[size]}
+        right = len(flagged & planted)
+        print(f"{size} texts: precision {right / len(flagged):.3f}, recall {right / len(planted):.3f}")
+        assert right >= 0.9 * len(flagged) and right >= 0.9 * len(planted)
+    kept = [{x for x in v if x[0] in planted} for v in told.values()]
+    assert kept[0] == kept[1] == kept[2]
 
 
 def test_a_term_that_tells_an_entity_goes(spark):
-    noise = [(i, f"common words of every day number {'x' * (i % 7)} filler text") for i in range(200)]
+    noise = [(i, f"common words of every day number {'x' * (i % 7)} filler text {i}") for i in range(200)]
     told = [(1000 + i, f"common words Zarquon writes to j.doe@mail.example every day {i}") for i in range(6)]
     alone = [(2000, "Here zarquon stands alone"), (2001, None), (2002, ""), (2002, "")]
     df = spark.createDataFrame([(i, t, "x") for i, t in noise + told + alone], "doc_id long, text string, pii string")
@@ -56,14 +129,15 @@ def test_a_term_that_tells_an_entity_goes(spark):
 
 
 def test_terms_far_from_an_entity_and_in_few_documents(spark):
-    noise = [(i, f"common words of every day number {'x' * (i % 7)} filler text") for i in range(3000)]
+    noise = [(i, f"common words of every day number {'x' * (i % 7)} filler text {i}") for i in range(3000)]
     far = "common words of every day " * 10
     told = [(5000, f"Quillfeather heads this {far} and ends with a.b@mail.example"), (5001, f"{far} c.d@mail.example {far}"), (5002, f"{far} c.d@mail.example")]
-    told += [(6000 + i, f"Zarquon {far} j.doe@mail.example") for i in range(4)]
+    told += [(6000 + i, f"Zarquon {far} {i} j.doe@mail.example") for i in range(4)]
     df = spark.createDataFrame(noise + told, "doc_id long, text string")
     by = {r["doc_id"]: r for r in find_pii(df).collect()}
     hit = lambda i: {by[i]["text"][s["start"] : s["end"]] for s in by[i]["pii"] if s["kind"] == "term"}
-    assert "Quillfeather" in hit(5000) and hit(6000) == {"Zarquon"}
+    # one text tells nothing, four do
+    assert not hit(5000) and hit(6000) == {"Zarquon"}
     assert not hit(5001) and not hit(5002) and not hit(5)
 
 
