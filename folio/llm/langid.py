@@ -6,11 +6,12 @@ a Viterbi pass over the words with a penalty for each switch labels spans of one
 a text of several languages comes back as several spans.  The prediction is the language of
 most letters.
 
-A model is fitted on labelled rows: about ``SAMPLE_DOCS`` rows of each language, whole texts,
-each row drawn by itself whatever its id; counts of n-grams are added in two steps, so no task
-adds more than ``PARTS`` of them at once.  The model's table has 2**25 numbers at most: beyond
-256 languages its n-grams share more buckets.  Prediction is local to a row, reads only its
-text, and never shuffles.
+A model is fitted on labelled rows: about ``SAMPLE_DOCS`` different texts of each language, whole.
+A hash of language and text draws them, so the same rows give the same model in any order and
+any partitions, and copies of a text count once.  All languages are learned.  Counts of n-grams
+are added in two steps, so no task adds more than ``PARTS`` of them at once.  The model's table has 2**25
+numbers at most: beyond 256 languages its n-grams share more buckets.  Prediction is local to a
+row, reads only its text, and never shuffles.
 
 Cases: a null text, or one without letters, is ``und`` with score 0; so is every text if no
 row was labelled.  Ties between languages go to the first in code-point order.  Very long
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import load, python_rows
 
-#: Rows (about) that the model is fitted on, of each language.
+#: Different texts (about) that the model is fitted on, of each language.
 SAMPLE_DOCS = 1500
 #: Hashed n-grams that the model tells apart, and the lengths of n-grams.
 BUCKET_BITS = 17
@@ -38,8 +39,8 @@ ORDERS = (2, 3, 4)
 SWITCH = 14.0
 #: Least part of a language's letters that makes a script one of its own.
 SCRIPT_SHARE = 0.01
-#: Numbers in a model's table at most, and languages (the most frequent) that it learns.
-MOST_NUMBERS, MOST_LANGUAGES = 1 << 25, 1 << 12
+#: Numbers in a model's table at most.
+MOST_NUMBERS = 1 << 25
 #: Parts that the counts of a language are added in first.
 PARTS = 32
 UNKNOWN = "und"
@@ -135,13 +136,15 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample:
 
     spark = labelled.sparkSession
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    drawn_by = F.xxhash64("lang", "text")
+    counts = rows.select("lang", drawn_by.alias("by")).distinct().groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool))
-    bits = min(BUCKET_BITS, (MOST_NUMBERS // len(counts)).bit_length() - 1)
+    bits = min(BUCKET_BITS, max(1, MOST_NUMBERS // len(counts)).bit_length() - 1)
     size = 1 << bits
     shares = spark.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in counts], "lang string, share double")
-    drawn = rows.join(F.broadcast(shares), "lang").where(F.rand(7) < F.col("share"))
+    place = F.shiftrightunsigned(drawn_by, 11) / F.lit(float(1 << 53))
+    drawn = rows.join(shares, "lang").where(place < F.col("share")).select("text", "lang").distinct()
     shared = spark.sparkContext.broadcast(tables())
 
     def count(pieces):

@@ -39,6 +39,22 @@ def test_spans_of_a_mixed_text_and_cases(spark, data):
     assert identify(docs.limit(3).select("doc_id", "text"), none).first()["lang_pred"] == "und"
 
 
+def test_the_model_follows_the_rows_not_their_partitions(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("text", "lang")
+    one, *others = [fit(d, sample=20) for d in (docs.coalesce(1), docs.repartition(3), docs.union(docs).repartition(16))]
+    for m in others:
+        assert m.languages == one.languages and np.array_equal(m.table, one.table) and np.array_equal(m.scripts, one.scripts)
+
+
+def test_more_languages_than_a_table_of_full_width_holds(spark):
+    n = 5000
+    rows = spark.range(n).selectExpr("concat('l', id) AS lang", "repeat(concat(translate(hex(xxhash64(id)), '0123456789', 'ghijklmnop'), ' '), 4) AS text")
+    model = fit(rows.union(rows.where("lang = 'l7'")))
+    assert len(model.languages) == n and model.table.size <= 1 << 25
+    got = identify(rows.where("pmod(xxhash64(lang), 100) = 0"), model).select("lang", "lang_pred").collect()
+    assert len(got) > 20 and np.mean([r["lang"] == r["lang_pred"] for r in got]) >= 0.9
+
+
 def plain(text, model, penalty):
     """Language and score of a text, letter by letter and over all paths of a full Viterbi table."""
     lower, script = tables()
