@@ -12,7 +12,8 @@ whose copies are alike to it only.  Keys that still hold several classes are the
 whole, so in the end two texts that share a key are in one class if they are alike: in a small
 key every pair of texts of different classes is tried (``searched``); texts of larger keys are
 joined on their rarest pairs of words (``rarely_shared``), one of which any two texts alike must
-share, so a passage that many texts hold pairs none of them.  A pair counts if the banded
+share, so a passage that many texts hold pairs none of them.  Few runs of five words of a short text outlive
+its edits, so texts of up to ``SHORT`` words are joined that way whether they share a key or not.  A pair counts if the banded
 alignment of all words costs at most a fifth of the longer text's words (similarity 0.8).
 Classes are the connected components of the pairs that count.
 
@@ -47,6 +48,8 @@ ROUNDS = ((0, 3), (3, BANDS))
 SMALL_TEXTS, SMALL_BYTES = 64, 8 << 20
 #: Texts up to which a pair of words counts as rare; beyond, single words decide.
 RARE = 64
+#: Words up to which texts are paired by exact join: longer ones leave runs of five words enough to agree.
+SHORT = 40
 #: Tokens that a pair must share to be aligned, among the rarest of both, if it has so many in common at all.
 SHARED = 8
 #: Tokens of a text that travel with each of its rows, to pair two texts once.
@@ -197,20 +200,21 @@ def digest(text: str) -> Column:
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, digest, keys): the digest of each text and its band keys."""
+    """(doc_id, digest, n, keys): the digest of each text, its number of words and its band keys."""
 
     def run(pieces):
         import numpy as np
 
         made = OrderMinHash()
         for batch in pieces:
-            keys = [made.keys((t or "").encode("utf-8", "surrogatepass"))[0].view(np.int64) for t in batch.column(2).to_pylist()]
+            found = [made.keys((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
+            keys = [k.view(np.int64) for k, _ in found]
             cut = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
             lists = pa.ListArray.from_arrays(cut, pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for _, n in found], pa.int64()), lists], ["doc_id", "digest", "n", "keys"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), digest(text).alias("digest"), F.col(text).alias("text"))
-    return python_rows(rows, run, "doc_id long, digest binary, keys array<long>")
+    return python_rows(rows, run, "doc_id long, digest binary, n long, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -459,12 +463,14 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     enough to hold each class together; pairs inside a class are not all aligned."""
     sketched = written(sketches(docs, key, text), "sketches")
     # numbers are given once, in the order of the digests: whatever the partitions, the same texts are least
-    numbered = sketched.groupBy("digest").agg(F.first("keys").alias("keys")).repartitionByRange("digest").sortWithinPartitions("digest")
+    numbered = sketched.groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).repartitionByRange("digest").sortWithinPartitions("digest")
     numbered = written(numbered.withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = numbered.select("node", F.posexplode("keys").alias("band", "key"))
     ends = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     members = written(members.join(written(ends, "pivots"), "key"), "members")
-    nodes = numbered.join(members.select("node").distinct(), "node", "left_semi").select("digest", "node")
+    # under five words an edit is more than a fifth
+    short = numbered.where(F.col("n").between(5, SHORT)).select("node")
+    nodes = numbered.join(members.select("node").union(short).distinct(), "node", "left_semi").select("digest", "node")
     texts = docs.select(digest(text).alias("digest"), F.col(text).alias("text")).join(nodes, "digest")
     texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
@@ -483,6 +489,11 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
 
+    labelled = texts.join(short, "node", "left_semi").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "text")
+    labelled = written(labelled, "short-texts")
+    if not labelled.isEmpty():
+        edges = edges.union(written(verified(rarely_shared(labelled), texts), "accepted"))
+        labels = components(edges)
     rest = mixed(members, labels)
     if not rest.isEmpty():  # the text of each key that meets most others
         meets = rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("met"))

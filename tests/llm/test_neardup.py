@@ -5,7 +5,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folio.llm.neardup import OrderMinHash, alike, classes, distance, keep_one, rarely_shared, searched
+from folio.llm.neardup import SHORT, OrderMinHash, alike, classes, distance, keep_one, rarely_shared, searched
 
 
 def levenshtein(a, b):
@@ -159,6 +159,30 @@ def test_recall_by_edit_rate():
     assert min(found.values()) >= 0.9 - 0.03 and all(found[p] >= 0.95 for p in (5, 10, 12, 15)), found
 
 
+def test_short_texts_are_all_found(spark):
+    """Pairs of every length up to SHORT with as many words replaced as are allowed, and one base with many copies."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 6)))
+    pairs, rows = [], []
+    for n in (5, 6, 8, 10, 12, 15, 20, 25, 30, 35, SHORT):
+        for _ in range(20):
+            base = [word() for _ in range(n)]
+            changed = list(base)
+            for i in rng.sample(range(n), n // 5):
+                changed[i] = word()
+            pairs.append((n, len(rows), len(rows) + 1))
+            rows += [" ".join(base), " ".join(changed)]
+    base = [word() for _ in range(10)]
+    hot = range(len(rows), len(rows) + 151)
+    rows += [" ".join(base), *(" ".join(word() if i in (k % 10, k // 10 % 10) else w for i, w in enumerate(base)) for k in range(150))]
+    rows += ["", " ", "one two three four", "one  two three four", "one two three five"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["class_id"] for r in classes(df).collect()}
+    missed = [(n, a) for n, a, b in pairs if got[a] != got[b]]
+    assert not missed and len({got[i] for i in hot}) == 1
+    assert got[len(rows) - 3] == got[len(rows) - 2] != got[len(rows) - 1]
+
+
 def test_a_common_head_with_pairs_of_tails(spark, monkeypatch):
     monkeypatch.setattr("folio.llm.neardup.SMALL_TEXTS", 4)
     monkeypatch.setattr("folio.llm.neardup.RARE", 4)
