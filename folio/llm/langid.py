@@ -41,6 +41,8 @@ SWITCH = 14.0
 SCRIPT_SHARE = 0.01
 #: Numbers in a model's table at most.
 MOST_NUMBERS = 1 << 25
+#: Languages whose shares are broadcast (4 MB); the shares of more are joined by a shuffle.
+BROADCAST_LANGUAGES = 1 << 16
 #: Parts that the counts of a language are added in first.
 PARTS = 32
 UNKNOWN = "und"
@@ -143,6 +145,7 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample:
     bits = min(BUCKET_BITS, max(1, MOST_NUMBERS // len(counts)).bit_length() - 1)
     size = 1 << bits
     shares = spark.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in counts], "lang string, share double")
+    shares = F.broadcast(shares) if len(counts) <= BROADCAST_LANGUAGES else shares
     place = F.shiftrightunsigned(drawn_by, 11) / F.lit(float(1 << 53))
     drawn = rows.join(shares, "lang").where(place < F.col("share")).select("text", "lang").distinct()
     shared = spark.sparkContext.broadcast(tables())
