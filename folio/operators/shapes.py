@@ -24,7 +24,8 @@ CELL = 32.0
 
 def in_areas(points: DataFrame, areas: DataFrame, keys: list[str], px: str = "px", py: str = "py") -> DataFrame:
     """Pairs of a point and an area (``x0, y0, x1, y1``) around it, edges included, of equal ``keys``,
-    each once.  Widths and heights have their own levels, so thin areas get thin cells."""
+    each once.  Widths and heights have their own levels, so thin areas get thin cells.  Cells are many
+    more rows than Spark expects of their table, so neither join may broadcast them."""
 
     def level(size: Column) -> Column:
         return F.ceil(F.log2(F.greatest(size, F.lit(CELL)) / CELL)).cast("int")
@@ -36,10 +37,10 @@ def in_areas(points: DataFrame, areas: DataFrame, keys: list[str], px: str = "px
     dealt = leveled.withColumn("__cx", F.explode(F.sequence(cell(F.col("x0"), F.col("__lx")), cell(F.col("x1"), F.col("__lx")))))
     dealt = dealt.withColumn("__cy", F.explode(F.sequence(cell(F.col("y0"), F.col("__ly")), cell(F.col("y1"), F.col("__ly")))))
     there = leveled.groupBy(*keys).agg(F.collect_set(F.struct("__lx", "__ly")).alias("__levels"))
-    asked = points.join(there, keys).withColumn("__level", F.explode("__levels")).drop("__levels")
+    asked = points.join(there.hint("merge"), keys).withColumn("__level", F.explode("__levels")).drop("__levels")
     asked = asked.withColumns({"__lx": F.col("__level.__lx"), "__ly": F.col("__level.__ly")}).drop("__level")
     asked = asked.withColumns({"__cx": cell(F.col(px), F.col("__lx")), "__cy": cell(F.col(py), F.col("__ly"))})
-    met = asked.join(dealt, [*keys, "__lx", "__ly", "__cx", "__cy"]).drop("__lx", "__ly", "__cx", "__cy")
+    met = asked.join(dealt.hint("merge"), [*keys, "__lx", "__ly", "__cx", "__cy"]).drop("__lx", "__ly", "__cx", "__cy")
     return met.where(F.col(px).between(F.col("x0"), F.col("x1")) & F.col(py).between(F.col("y0"), F.col("y1")))
 
 

@@ -117,3 +117,12 @@ def test_candidates_stay_near_the_hits(spark):
     shapes = spark.range(n).select(F.lit(1).cast("long").alias("page_key"), F.col("id").alias("area_id"), (F.col("id") % 97 * 20.0).alias("x0"), (F.col("id") % 89 * 20.0).alias("y0")).withColumns({"x1": F.col("x0") + 15, "y1": F.col("y0") + 15})
     points = spark.range(n).select(F.lit(1).cast("long").alias("page_key"), F.col("id").alias("point_id"), (F.col("id") % 97 * 20.0 + 7).alias("px"), (F.col("id") % 89 * 20.0 + 7).alias("py"))
     assert sh.in_areas(points, shapes, ["page_key"]).count() == n
+
+
+def test_cells_of_areas_are_never_broadcast(spark):
+    # rows whose number is known: Spark takes the tables for small ones
+    uses = spark.range(1).selectExpr("id AS asset_id", "id AS doc_id", "1 AS page_no", "0 AS x", "0 AS y", "50 AS w", "50 AS h")
+    regions = spark.range(1).selectExpr("id AS doc_id", "1 AS page_no", "1 AS rx", "1 AS ry", "50 AS rw", "50 AS rh")
+    found = sh.drop_matching(uses, regions)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["asset_id"] for r in found.collect()] == [0]
