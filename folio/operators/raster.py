@@ -102,7 +102,7 @@ def to_hsl(px: DataFrame) -> DataFrame:
     d, total = F.col("top") - F.col("low"), F.col("top") + F.col("low")
     hue = F.when(F.col("top") == r, (g - b) / d + F.when(g < b, 6).otherwise(0)).when(F.col("top") == g, (b - r) / d + 2).otherwise((r - g) / d + 4) / 6
     grey = d == 0
-    return s.withColumns({"hue": F.when(grey, 0.0).otherwise(hue), "sat": F.when(grey, 0.0).when(total / 2 > 0.5, d / (2 - total)).otherwise(d / total), "light": total / 2}).drop("top", "low")
+    return s.withColumns({"hue": F.when(grey, 0.0).otherwise(hue), "sat": F.when(grey, 0.0).when(total / 2 > 0.5, d / (2 - F.col("top") - F.col("low"))).otherwise(d / total), "light": total / 2}).drop("top", "low")
 
 
 def from_hsl(px: DataFrame) -> DataFrame:
