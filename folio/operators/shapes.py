@@ -104,7 +104,9 @@ def hits(points: DataFrame, shapes: DataFrame, tolerance: float = 5.0) -> DataFr
     live = ~F.coalesce("hidden", F.lit(False)) & ~F.coalesce("locked", F.lit(False)) & (F.col("t") != "imgremove")
     t, hollow = F.col("t"), F.col("t").isin("rect", "ellipse", "poly") & ~F.coalesce("filled", F.lit(False))
     band = width_of(F.col("width")) / 2 + tolerance
-    reach = F.when(hollow, band).when(t.isin("stroke", "highlight", "line"), F.lit(max(tolerance, 1.0))).when(t == "hlrects", 0.0).otherwise(2.0)
+    # a segment is as wide as its second point, so the widest one reaches beyond the box at any other
+    widest = F.greatest(F.array_max(F.transform("pts", lambda p: width_of(p["w"], F.col("width")))), width_of(F.col("width"))) / 2
+    reach = F.when(hollow, band).when(t.isin("stroke", "highlight"), widest + max(tolerance, 2.0)).when(t == "line", F.lit(max(tolerance, 1.0))).when(t == "hlrects", 0.0).otherwise(2.0)
     framed = with_frame(shapes.where(live)).withColumn("reach", reach)
     ex, ey = extent(F.col("reach"))
     areas = framed.withColumns({"x0": F.col("mx") - ex, "y0": F.col("my") - ey, "x1": F.col("mx") + ex, "y1": F.col("my") + ey}).drop("x", "y", "w", "h")

@@ -119,6 +119,13 @@ def test_candidates_stay_near_the_hits(spark):
     assert sh.in_areas(points, shapes, ["page_key"]).count() == n
 
 
+def test_a_wide_segment_is_hit_beyond_its_narrow_points(spark):
+    stroke = {"t": "stroke", "width": 2.0, "pts": [(0.0, 0.0, 1.0), (100.0, 0.0, 9.0), (100.0, 100.0, 1.0)]}
+    # the first segment is as wide as its second point: 9 / 2 + 5
+    assert hit(spark, stroke, (-9, 0), (-10, 0), (50, 9), (100, 105)) == {0, 2, 3}
+    assert hit(spark, {"t": "highlight", "width": 30.0, "pts": [(0.0, 0.0, 1.0)]}, (16, 0), (18, 0)) == {0}
+
+
 def test_cells_of_areas_are_never_broadcast(spark):
     # rows whose number is known: Spark takes the tables for small ones
     uses = spark.range(1).selectExpr("id AS asset_id", "id AS doc_id", "1 AS page_no", "0 AS x", "0 AS y", "50 AS w", "50 AS h")
