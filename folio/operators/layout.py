@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions.columns import bound
+
 # Advances of the standard faces from their public metrics, in thousandths of the size:
 # space to tilde in code order, then what is not a letter with a mark.
 SANS = (
@@ -116,3 +118,9 @@ def align_lines(lines: DataFrame, how: str) -> DataFrame:
     box = F.max("width").over(Window.partitionBy("doc_id", "page_no"))
     free = box - F.col("width")
     return lines.withColumn("ax", {"left": F.lit(0.0), "center": free / 2, "right": free * 1.0}[how])
+
+
+def align_pages(pages: DataFrame, how: str) -> DataFrame:
+    """``align_lines`` of pages (doc_id, page_no, lines) whose lines (with ``width``) stand in one row."""
+    free = lambda lines: bound(F.array_max(F.transform(lines, lambda one: one["width"])), lambda box: F.transform(lines, lambda one: F.struct(one.alias("line"), {"left": F.lit(0.0), "center": (box - one["width"]) / 2, "right": (box - one["width"]) * 1.0}[how].alias("ax"))))
+    return pages.select("doc_id", "page_no", F.explode(bound(F.col("lines"), free)).alias("l")).select("doc_id", "page_no", "l.line.*", "l.ax")

@@ -272,3 +272,22 @@ def test_saturation_divides_by_two_less_each_end(spark):
     for row in raster.to_hsl(px).collect():
         top, low = row["r"] / 255, row["g"] / 255
         assert row["sat"] == (top - low) / (2 - top - low)
+
+
+@pytest.mark.parametrize("name", ["text_lines", "text_join", "text_rotated_tail", "align_text"])
+def test_pages_in_one_row_are_neither_sorted_nor_exchanged(spark, data, name):
+    from folio.plans.all import QUERIES
+
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    # the texts are dealt once, before they become runs
+    assert plan.count("Exchange") == 1
+    assert not any(step in plan for step in ("Window", "Sort ", "HashAggregate", "SortAggregate"))
+
+
+def test_running_values_of_long_lists(spark):
+    from folio.functions.columns import running
+
+    made = spark.range(1).select(*[running(F.sequence(F.lit(1), F.lit(n)), F.lit(0), lambda a, b: a + b).alias(f"s{n}") for n in (1, 32, 33, 200)], running(F.array(*[F.lit(v) for v in [3, 9, 2] * 40]), F.lit(None).cast("int"), F.greatest).alias("most")).collect()[0]
+    for n in (1, 32, 33, 200):
+        assert made[f"s{n}"] == [i * (i + 1) // 2 for i in range(n)]
+    assert made["most"] == [None, 3] + [9] * 118
