@@ -274,7 +274,7 @@ def test_saturation_divides_by_two_less_each_end(spark):
         assert row["sat"] == (top - low) / (2 - top - low)
 
 
-@pytest.mark.parametrize("name", ["text_lines", "text_join", "text_rotated_tail", "align_text"])
+@pytest.mark.parametrize("name", ["text_lines", "text_join", "text_rotated_tail", "align_text", "text_unit_merge"])
 def test_pages_in_one_row_are_neither_sorted_nor_exchanged(spark, data, name):
     from folio.plans.all import QUERIES
 
