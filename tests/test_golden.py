@@ -284,6 +284,12 @@ def test_pages_in_one_row_are_neither_sorted_nor_exchanged(spark, data, name):
     assert not any(step in plan for step in ("Window", "Sort ", "HashAggregate", "SortAggregate"))
 
 
+def test_page_previews_collect_no_runs(spark, data):
+    from folio.plans.all import QUERIES
+
+    assert "collect_list" not in QUERIES["page_preview"](spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_running_values_of_long_lists(spark):
     from folio.functions.columns import running
 
