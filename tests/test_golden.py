@@ -304,3 +304,28 @@ def test_running_values_of_long_lists(spark):
     for n in (1, 32, 33, 200):
         assert made[f"s{n}"] == [i * (i + 1) // 2 for i in range(n)]
     assert made["most"] == [None, 3] + [9] * 118
+
+
+GLYPH_PAGE = "array<struct<line0:int,word0:int,g_no:int,s:string,x:int,w:int,base:int,size:int>>"
+
+
+def test_character_index_of_words_is_that_of_their_glyphs(spark):
+    # on the second page two words run into each other, so their glyphs are read in turns
+    apart, mixed = [(0, 0, 0, "far", 50, 6, 40, 10), (0, 1, 0, "er", 74, 6, 40, 10), (0, 2, 0, "𝄞x", 86, 6, 40, 10), (1, 0, 0, "the", 50, 6, 52, 10)], [(0, 0, 0, "ace", 50, 10, 40, 10), (0, 1, 0, "bd", 55, 10, 40, 10), (0, 2, 0, "er", 90, 6, 40, 10)]
+    single = lambda page: [(line, word, g, c, x + g * w, w, base, size) for line, word, _, s, x, w, base, size in page for g, c in enumerate(s)]
+    rows = [(1, 1, apart), (1, 2, mixed), (2, 1, single(apart)[::-1]), (2, 2, single(mixed)[::-1])]
+    index = tx.char_index(spark.createDataFrame(rows, f"doc_id int, page_no int, glyphs {GLYPH_PAGE}"))
+    texts = {(r["doc_id"], r["page_no"]): r["text"] for r in tx.search_text(index).collect()}
+    assert texts == {(1, 1): "far er𝄞x the", (1, 2): "abcde er", (2, 1): "far er𝄞x the", (2, 2): "abcde er"}
+    boxes = {tuple(r) for r in search.find_boxes(index, "er[^a-z]x the?|bc").collect()}
+    one = {(1, 0, 40, 73.5, 98.5, 10.2), (1, 0, 52, 49.5, 68.5, 10.2), (2, 0, 40, 54.5, 70.5, 10.2)}
+    assert boxes == {(doc, *b) for b in one for doc in (1, 2)}
+    assert search.find_boxes(index, "(").isEmpty() and search.find_boxes(index, "z*").isEmpty()
+
+
+def test_character_index_and_boxes_exchange_no_glyphs(spark, data):
+    from folio.plans.all import QUERIES
+
+    for name in ("text_char_index", "search_boxes"):  # the texts alone are dealt
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Sort " not in plan
