@@ -329,3 +329,19 @@ def test_character_index_and_boxes_exchange_no_glyphs(spark, data):
     for name in ("text_char_index", "search_boxes"):  # the texts alone are dealt
         plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Sort " not in plan
+
+
+def test_units_of_words_are_those_of_their_glyphs(spark):
+    run = [(1, "a", 50, 6, 10), (2, " ", 56, 6, 10), (3, "bc\td", 60, 6, 10), (7, " ", 84, 6, 10), (8, " ", 87, 6, 10), (9, "ef", 90, 6, 10), (11, "g", 109, 6, 10)]
+    single = [(g + i, c, x + i * w, w, size) for g, s, x, w, size in run for i, c in enumerate(s)][::-1]
+    df = spark.createDataFrame([(1, 1, 0, 0, run), (2, 1, 0, 0, single)], "doc_id int, page_no int, line0 int, word0 int, glyphs array<struct<g_no:int,s:string,x:int,w:int,size:int>>")
+    got = {(r["doc_id"], r["unit"], r["x0"], r["x1"], r["n"]) for r in tx.split_runs(df).collect()}
+    assert got == {(doc, *u) for u in [(0, 50, 84, 4), (1, 90, 102, 2), (2, 109, 115, 1)] for doc in (1, 2)}
+
+
+def test_pages_are_not_exchanged_by_glyph(spark, data):
+    from folio.plans.all import QUERIES
+
+    for name in ("text_unit_split",):  # the texts alone are dealt
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Sort " not in plan and "Join" not in plan
