@@ -342,6 +342,13 @@ def test_units_of_words_are_those_of_their_glyphs(spark):
 def test_pages_are_not_exchanged_by_glyph(spark, data):
     from folio.plans.all import QUERIES
 
-    for name in ("text_unit_split",):  # the texts alone are dealt
+    for name in ("text_unit_split", "text_selection"):  # the texts alone are dealt
         plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Sort " not in plan and "Join" not in plan
+
+
+def test_selection_is_found_in_the_page(spark):
+    runs = [(40, 50, 12, "a"), (40, 80, 12, "b"), (52, 50, 12, "c"), (400, 50, 12, "z")]
+    spans = [(1, 95.0, 40.0, 55.0, 51.0), (2, 50.0, 40.0, 50.0, 300.0)]
+    df = spark.createDataFrame([(1, 1, runs, spans)], "doc_id int, page_no int, runs array<struct<y:int,x:int,w:int,str:string>>, spans array<struct<span_id:int,px0:double,py0:double,px1:double,py1:double>>")
+    assert sorted(map(tuple, search.select_between(df).collect())) == [(1, 2, "b"), (1, 3, "c")]
