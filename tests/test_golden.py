@@ -339,12 +339,12 @@ def test_units_of_words_are_those_of_their_glyphs(spark):
     assert got == {(doc, *u) for u in [(0, 50, 84, 4), (1, 90, 102, 2), (2, 109, 115, 1)] for doc in (1, 2)}
 
 
-def test_pages_are_not_exchanged_by_glyph(spark, data):
-    from folio.plans.all import QUERIES
-
-    for name in ("text_unit_split", "text_selection"):  # the texts alone are dealt
-        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange") == 1 and "Sort " not in plan and "Join" not in plan
+def test_regions_take_glyphs_out_of_words(spark):
+    page = [(0, 0, 0, "abcde", 50, 6, 40, 10), (0, 1, 0, "fg", 86, 6, 40, 10), (1, 0, 0, "hij", 50, 6, 52, 10)]
+    df = spark.createDataFrame([(1, 1, page, [(60, 30, 12, 8), (70, 30, 4, 8)]), (1, 2, page, None)], f"doc_id int, page_no int, glyphs {GLYPH_PAGE}, regions array<struct<rx:int,ry:int,rw:int,rh:int>>")
+    assert {(r["page_no"], r["word0"], r["g_no"]) for r in search.hit_glyphs(df).collect()} == {(1, 0, g) for g in (2, 3)}
+    left = {r["page_no"]: "".join(g["s"] for g in r["glyphs"]) for r in search.redact_glyphs(df).collect()}
+    assert left == {1: "abefghij", 2: "abcdefghij"}
 
 
 def test_selection_is_found_in_the_page(spark):
@@ -352,3 +352,11 @@ def test_selection_is_found_in_the_page(spark):
     spans = [(1, 95.0, 40.0, 55.0, 51.0), (2, 50.0, 40.0, 50.0, 300.0)]
     df = spark.createDataFrame([(1, 1, runs, spans)], "doc_id int, page_no int, runs array<struct<y:int,x:int,w:int,str:string>>, spans array<struct<span_id:int,px0:double,py0:double,px1:double,py1:double>>")
     assert sorted(map(tuple, search.select_between(df).collect())) == [(1, 2, "b"), (1, 3, "c")]
+
+
+def test_pages_are_not_exchanged_by_glyph(spark, data):
+    from folio.plans.all import QUERIES
+
+    for name in ("text_unit_split", "text_selection"):  # the texts alone are dealt
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Sort " not in plan and "Join" not in plan
