@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import load, partitions_for, python_rows, release, text_bytes, written
+from folio.llm.common import discard, load, partitions_for, python_rows, release, text_bytes, written
 from folio.llm.substrings import Hasher
 
 SHINGLE, TOGETHER, BANDS, SIMILARITY_PERCENT = 5, 2, 64, 80
@@ -354,7 +354,7 @@ def levels(texts: DataFrame, size: int) -> bytes:
     return bytes(table)
 
 
-def prefixes(texts: DataFrame, size: int) -> DataFrame:
+def prefixes(texts: DataFrame, size: int, name: str = "prefixes") -> DataFrame:
     """(node, label, n, n_tokens, head, tokens): for each text (node, label, text) the tokens that
     may pair it with a text of another class, their number and the first ``HEAD`` of them.
 
@@ -362,7 +362,8 @@ def prefixes(texts: DataFrame, size: int) -> DataFrame:
     in common, so in any one order of all tokens they share ``SHARED`` of the first
     ``size`` * n / 5 + ``SHARED`` of each.  The order is by the work that ``levels`` tells of a
     token, then by its hash; what one class alone holds comes first and pairs nothing.  Runs that
-    fall on the same spots only come later in the order, alike in all texts."""
+    fall on the same spots only come later in the order, alike in all texts.  They are written, so the
+    table of ``levels`` leaves the driver and the executors at once."""
     shared = texts.sparkSession.sparkContext.broadcast(levels(texts, size))
 
     def run(pieces):
@@ -385,7 +386,9 @@ def prefixes(texts: DataFrame, size: int) -> DataFrame:
                 columns = [pa.array(c, pa.list_(pa.int64()) if i > 3 else pa.int64()) for i, c in enumerate(zip(*out))]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "label", "n", "n_tokens", "head", "tokens"])
 
-    return python_rows(texts.select("node", "label", "text"), run, "node long, label long, n long, n_tokens long, head array<long>, tokens array<long>")
+    made = written(python_rows(texts.select("node", "label", "text"), run, "node long, label long, n long, n_tokens long, head array<long>, tokens array<long>"), name)
+    shared.destroy()
+    return made
 
 
 def holders(firsts: DataFrame) -> DataFrame:
@@ -430,14 +433,18 @@ def rarely_shared(texts: DataFrame) -> DataFrame:
 
     They share a rare pair of words; where it is a pair that many texts hold, as of texts that
     are a common passage for the most part, they share a rare word of those texts."""
-    firsts = written(prefixes(texts, 2), "first-pairs")
+    firsts = prefixes(texts, 2, "first-pairs")
     held = written(holders(firsts), "held-pairs")
-    rows = written(holding(firsts, held.where(F.col("held") <= RARE)), "rare-pairs")
-    many = held.where(F.col("held") > RARE).select("token")
-    common = firsts.select("node", F.explode("tokens").alias("token")).join(many, "token", "left_semi").select("node").distinct()
-    words = written(prefixes(written(texts.join(common, "node", "left_semi"), "common-texts"), 1), "first-words")
-    words = written(holding(words, holders(words)), "rare-words")
-    return written(paired(rows, 2).union(paired(words, 1)).distinct(), "pairs")
+    met = written(firsts.select("node", F.explode("tokens").alias("token")).join(held, "token"), "met-pairs")
+    rows = written(met.where(F.col("held") <= RARE).drop("held").join(firsts.drop("tokens"), "node"), "rare-pairs")
+    common = met.where(F.col("held") > RARE).select("node").distinct()
+    common = written(texts.join(common, "node", "left_semi"), "common-texts")
+    discard(firsts, held, met)
+    words = prefixes(common, 1, "first-words")
+    rare = written(holding(words, holders(words)), "rare-words")
+    found = written(paired(rows, 2).union(paired(rare, 1)).distinct(), "pairs")
+    discard(rows, common, words, rare)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -451,8 +458,11 @@ def components(edges: DataFrame) -> DataFrame:
         new = least.join(far, "label").select("node", F.least("label", "far").alias("label"))
         new = written(new, "labels")
         same = new.join(labels, ["node", "label"], "left_anti").isEmpty()
+        discard(labels)
         labels = new
         if same:
+            discard(both)
+            release(labels.sparkSession)
             return labels
 
 

@@ -206,3 +206,30 @@ def test_very_long_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, digest long, kept_id string")
     assert {r["doc_id"]: r["class_id"] for r in classes(df).collect()} == {1: 1, 2: 1, 3: 3}
     assert sorted(map(tuple, keep_one(df).select("doc_id", "digest", "kept_id").collect())) == [(1, 1, "x"), (3, 3, "z")]
+
+
+def test_working_tables_are_dropped(spark, tmp_path):
+    """The table of levels is freed once used, and labels, edges and tokens once superseded."""
+    from pyspark.core.broadcast import Broadcast
+
+    from folio.llm import neardup
+
+    made, freed = [], []
+    create, destroy = spark.sparkContext.broadcast, Broadcast.destroy
+    texts = [" ".join(f"w{(i * 7 + k * (1 + i % 3)) % 50}" for k in range(12)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + [t + " more" for t in texts])], "doc_id long, text string")
+    names = []
+    keep = neardup.written
+    try:
+        spark.sparkContext.broadcast = lambda value: made.append(create(value)) or made[-1]
+        Broadcast.destroy = lambda self, *a: freed.append(self) or destroy(self, *a)
+        neardup.written = lambda df, name: names.append((name, keep(df, name))) or names[-1][1]
+        got = neardup.classes(docs).collect()
+    finally:
+        del spark.sparkContext.broadcast
+        Broadcast.destroy, neardup.written = destroy, keep
+    assert len(got) == 80 and made and len(freed) == len(made)
+    import os
+
+    left = [name for name, df in names if name in ("edges", "first-pairs", "met-pairs", "rare-pairs", "rare-words") and any(os.path.exists(f.replace("file://", "")) for f in df.inputFiles())]
+    assert not left
