@@ -21,8 +21,10 @@ def sibling_ranks(nodes: DataFrame) -> DataFrame:
     for _ in rounds(at):
         if at.where("jump IS NOT NULL").isEmpty():
             break
-        back = at.select(F.col("node_id").alias("jump"), F.col("jump").alias("further"), F.col("rank").alias("more"))
-        at = written(at.join(back, "jump", "left").select("node_id", F.col("further").alias("jump"), (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank")), "ranks")
+        # never broadcast, as each of the rounds would send a table to the driver; what has arrived is not joined
+        back = at.select(F.col("node_id").alias("jump"), F.col("jump").alias("further"), F.col("rank").alias("more")).hint("merge")
+        further = at.where("jump IS NOT NULL").join(back, "jump", "left").select("node_id", F.col("further").alias("jump"), (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank"))
+        at = written(further.unionByName(at.where("jump IS NULL")), "ranks")
     return at.where("jump IS NULL").select("node_id", "rank")
 
 
@@ -58,7 +60,7 @@ def nearest_above(nodes: DataFrame) -> DataFrame:
 
 def read_outline(nodes: DataFrame) -> DataFrame:
     """Ordered tree with depth from (node_id, parent_id, prev): lists first, then levels."""
-    ranked = written(nodes.join(sibling_ranks(nodes), "node_id").select("node_id", "parent_id", "title", F.col("rank").cast("int").alias("ord")), "outline")
+    ranked = written(nodes.join(sibling_ranks(nodes).hint("merge"), "node_id").select("node_id", "parent_id", "title", F.col("rank").cast("int").alias("ord")), "outline")
     level = ranked.where("parent_id IS NULL").select("node_id", "title", F.lit(0).alias("depth"), F.array("ord").alias("path"))
     done = level
     while not (level := written(

@@ -360,3 +360,11 @@ def test_pages_are_not_exchanged_by_glyph(spark, data):
     for name in ("text_unit_split", "text_selection"):  # the texts alone are dealt
         plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Sort " not in plan and "Join" not in plan
+
+
+def test_ranks_are_not_broadcast(spark, monkeypatch):
+    plans, keep = [], outline.written
+    monkeypatch.setattr(outline, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    chain = spark.sql("SELECT id AS node_id, CASE WHEN id > 1 THEN id - 1 END AS prev FROM range(1, 40)")
+    assert outline.sibling_ranks(chain).agg({"rank": "max"}).first()[0] == 38
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
