@@ -85,11 +85,13 @@ def wrap(text: Column, columns: int) -> Column:
 def wrap_measured(text: Column, width: float, size: float, advance: dict[str, int]) -> Column:
     """Greedy wrapping of each paragraph at a width in points, by the advances of a face.  Tokens are
     measured once; the fold carries the width of the line so far, with and without what ends it."""
-    table = F.create_map(*[F.lit(x) for pair in advance.items() for x in pair])
     other = advance["?"]
+    # by code point: a map would be searched from its start for every character
+    codes = [advance.get(chr(c), 0 if c < 32 else other) for c in range(max(map(ord, advance)) + 1)]
+    table = F.split(F.lit(" ".join(map(str, codes))), " ").cast("array<int>")
 
     def measured(token: Column) -> Column:
-        wide = lambda total, c: total + F.coalesce(F.element_at(table, c), F.when(F.ascii(c) < 32, 0).otherwise(other))
+        wide = lambda total, c: total + F.coalesce(F.get(table, F.ascii(c)), F.lit(other))
         return F.struct(token.alias("s"), F.aggregate(F.split(token, ""), F.lit(0), wide).alias("w"), token.rlike(r"^\s").alias("blank"))
 
     def paragraph(p: Column) -> Column:
@@ -99,13 +101,10 @@ def wrap_measured(text: Column, width: float, size: float, advance: dict[str, in
             full = acc["full"] + t["w"]
             inked = F.when(t["blank"], acc["inked"]).otherwise(full)
             over = (acc["line"] != "") & (inked * size / 1000 > width)
+            # one choice of two structs, so that it is made once
             fresh = F.when(t["blank"], 0).otherwise(t["w"])
-            return F.struct(
-                F.when(over, F.array_append(acc["done"], F.rtrim(acc["line"]))).otherwise(acc["done"]).alias("done"),
-                F.when(over, F.when(t["blank"], "").otherwise(t["s"])).otherwise(F.concat(acc["line"], t["s"])).alias("line"),
-                F.when(over, fresh).otherwise(full).alias("full"),
-                F.when(over, fresh).otherwise(inked).alias("inked"),
-            )
+            cut = F.struct(F.array_append(acc["done"], F.rtrim(acc["line"])).alias("done"), F.when(t["blank"], "").otherwise(t["s"]).alias("line"), fresh.alias("full"), fresh.alias("inked"))
+            return F.when(over, cut).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["line"], t["s"]).alias("line"), full.alias("full"), inked.alias("inked")))
 
         tokens = F.transform(F.regexp_extract_all(p, F.lit(r"\s+|\S+"), F.lit(0)), measured)
         return F.aggregate(tokens, start, step, lambda a: F.array_append(a["done"], a["line"]))

@@ -362,6 +362,25 @@ def test_pages_are_not_exchanged_by_glyph(spark, data):
         assert plan.count("Exchange") == 1 and "Sort " not in plan and "Join" not in plan
 
 
+def test_measured_width_is_that_of_the_face(spark):
+    advance = layout.advances("serif")
+    text = "".join(advance) + "ж𝄞\x01"
+    width = sum(advance.values()) + 2 * advance["?"]
+    for limit, lines in ((width, 1), (width - 1, 1)):  # without blanks, a word stays whole
+        assert len(spark.range(1).select(layout.wrap_measured(F.lit("x" + text.replace(" ", "").replace("\xa0", "")), limit, 1000.0, advance)).first()[0]) == lines
+    words = f"{text.replace(' ', '').replace(chr(0xa0), '')} i"
+    full = width - advance[" "] - advance["\xa0"] + advance[" "] + advance["i"]
+    got = [len(spark.range(1).select(layout.wrap_measured(F.lit(words), float(limit), 1000.0, advance)).first()[0]) for limit in (full, full - 1)]
+    assert got == [1, 2]
+
+
+def test_wrapping_looks_widths_up_by_code(spark, data):
+    from folio.plans.all import QUERIES
+
+    plan = QUERIES["wrap_measured"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "map(" not in plan and "REPARTITION_BY_NUM" in plan
+
+
 def test_ranks_are_not_broadcast(spark, monkeypatch):
     plans, keep = [], outline.written
     monkeypatch.setattr(outline, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
