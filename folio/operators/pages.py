@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.columns import quarter_turns
+from folio.operators.assembly import page_file
 from folio.sources.tables import written
 
 #: The page size where none is given, and the least side of a usable crop.
@@ -129,11 +130,11 @@ def expand_ranges(ranges: DataFrame) -> DataFrame:
     return ranges.where("from_page <= to_page").select("*", F.explode(F.sequence("from_page", "to_page")).alias("page_no")).drop("from_page", "to_page")
 
 
-def pick_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Pages of ``wanted(doc_id, ord, page_no)`` that exist, each once, by first mention."""
-    first = wanted.groupBy("doc_id", "page_no").agg(F.min("ord").alias("first"))
-    rows = first.join(pages.select("doc_id", "page_no"), ["doc_id", "page_no"])
-    return rows.select("doc_id", "page_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "page_no")).cast("int").alias("seq"))
+def pick_pages(pages: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Pages of ``ranges(doc_id, ord, from_page, to_page)`` that exist, each once, by first mention.  All steps
+    are by document, so pages that come dealt that way are not dealt again."""
+    order = Window.partitionBy("doc_id").orderBy("out_id", "page_no")
+    return page_file(pages, ranges).select("doc_id", "page_no", F.row_number().over(order).cast("int").alias("seq"))
 
 
 def select_pages(pages: DataFrame, how: str | list[int]) -> DataFrame:
