@@ -15,11 +15,16 @@ def renumber(rows: DataFrame, by: str, *order) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("int"))
 
 
-def assemble(page_ops: DataFrame, pages: DataFrame) -> DataFrame:
+def assemble(page_ops: DataFrame, pages: DataFrame, parts: int | None = None) -> DataFrame:
     """Resolves (out_id, seq, src_doc, src_page, rotation, blank_w, blank_h) against the pages;
-    ``status`` is page, blank or missing."""
-    p = pages.select(F.col("doc_id").alias("src_doc"), F.col("page_no").alias("src_page"), "x0", "y0", "x1", "y1", "rotate", F.lit(True).alias("there"))
-    rows = page_ops.join(p, ["src_doc", "src_page"], "left")
+    ``status`` is page, blank or missing.  Pages count from 1, so what names no page gets keys of its own
+    below: nulls would all meet in one task.  ``parts`` is the number of partitions to join in, where it is to follow the input."""
+    p = pages.select(F.col("doc_id").alias("__doc"), F.col("page_no").alias("__page"), "x0", "y0", "x1", "y1", "rotate", F.lit(True).alias("there"))
+    named = F.col("src_doc").isNotNull() & F.col("src_page").isNotNull()
+    keyed = page_ops.withColumns({"__doc": F.when(named, F.col("src_doc")).otherwise(F.lit(0)), "__page": F.when(named, F.col("src_page")).otherwise(-F.col("seq"))})
+    if parts:
+        keyed, p = (side.repartition(parts, "__doc", "__page") for side in (keyed, p))
+    rows = keyed.join(p, ["__doc", "__page"], "left")
     blank = F.col("src_page").isNull()
     return rows.select(
         "out_id", "seq", "src_doc", "src_page",
