@@ -254,9 +254,16 @@ def tried(nodes: list, labels: list, texts: list) -> list:
     return found
 
 
+def with_texts(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of ``rest`` (key, node, label) with what ``texts`` has of each node, which is joined once
+    with all its keys (``BANDS`` at most)."""
+    own = rest.groupBy("node", "label").agg(F.collect_list("key").alias("own"))
+    return own.join(texts, "node").withColumn("key", F.explode("own")).drop("own")
+
+
 def searched(rest: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that link classes within the small keys of ``rest`` (key, node, label)."""
-    rows = rest.select("key", "node", "label").join(texts, "node").repartition("key").sortWithinPartitions("key")
+    rows = with_texts(rest, texts).repartition("key").sortWithinPartitions("key")
 
     def run(pieces):
         at, held = None, []
@@ -436,7 +443,9 @@ def rarely_shared(texts: DataFrame) -> DataFrame:
     firsts = prefixes(texts, 2, "first-pairs")
     held = written(holders(firsts), "held-pairs")
     met = written(firsts.select("node", F.explode("tokens").alias("token")).join(held, "token"), "met-pairs")
-    rows = written(met.where(F.col("held") <= RARE).drop("held").join(firsts.drop("tokens"), "node"), "rare-pairs")
+    # a text is joined once, with all its rare tokens
+    own = met.where(F.col("held") <= RARE).groupBy("node").agg(F.collect_list(F.struct("token", "main")).alias("rare"))
+    rows = written(own.join(firsts.drop("tokens"), "node").withColumn("t", F.explode("rare")).select("node", "label", "n", "n_tokens", "head", "t.*"), "rare-pairs")
     common = met.where(F.col("held") > RARE).select("node").distinct()
     common = written(texts.join(common, "node", "left_semi"), "common-texts")
     discard(firsts, held, met)
@@ -506,15 +515,15 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
         labels = components(edges)
     rest = mixed(members, labels)
     if not rest.isEmpty():  # the text of each key that meets most others
-        meets = rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("met"))
-        hubs = rest.join(meets, "node").groupBy("key").agg(F.max(F.struct("met", "node", "label")).alias("hub"))
+        meets = rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("met", F.sum("n").over(Window.partitionBy("node")))  # a text has BANDS keys at most
+        hubs = meets.groupBy("key").agg(F.max(F.struct("met", "node", "label")).alias("hub"))
         pairs = rest.join(hubs, "key").where("label <> hub.label").select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         edges = edges.union(written(verified(pairs, texts), "accepted"))
         labels = components(edges)
         rest = mixed(rest, labels)
     if not rest.isEmpty():
-        sized = rest.join(texts.select("node", F.octet_length("text").cast("long").alias("bytes")), "node")
+        sized = with_texts(rest, texts.select("node", F.octet_length("text").cast("long").alias("bytes")))
         large = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where((F.col("n") > SMALL_TEXTS) | (F.col("bytes") > SMALL_BYTES))
         large = written(large.select("key"), "large-keys")
         members = rest.join(large, "key", "left_semi").select("node", "label").distinct()

@@ -233,3 +233,45 @@ def test_working_tables_are_dropped(spark, tmp_path):
 
     left = [name for name, df in names if name in ("edges", "first-pairs", "met-pairs", "rare-pairs", "rare-words") and any(os.path.exists(f.replace("file://", "")) for f in df.inputFiles())]
     assert not left
+
+
+def test_a_text_is_joined_once_with_all_its_keys_and_tokens(spark, monkeypatch):
+    from folio.llm import neardup
+
+    joined = {}
+
+    def rows_of_join(df):
+        """Rows that the join by node made, as counted while it ran."""
+        df.collect()
+        plans, found = [df._jdf.queryExecution().executedPlan()], []
+        while plans:
+            plan = plans.pop()
+            name = plan.nodeName()
+            if name == "AdaptiveSparkPlan":
+                plans.append(plan.executedPlan())
+            elif "QueryStage" in name:
+                plans.append(plan.plan())
+            else:
+                if "Join" in name and "node" in plan.simpleString(100):
+                    found.append(plan.metrics().apply("numOutputRows").value())
+                plans += [plan.children().apply(i) for i in range(plan.children().size())]
+        return found
+
+    rest = spark.createDataFrame([(k, n, n) for k in range(30) for n in range(4)], "key long, node long, label long")
+    texts = spark.createDataFrame([(n, f"text {n}") for n in range(4)], "node long, text string")
+    rows = neardup.with_texts(rest, texts)
+    assert rows_of_join(rows) == [4]
+    assert sorted((r["key"], r["node"], r["label"], r["text"]) for r in rows.collect()) == [(k, n, n, f"text {n}") for k in range(30) for n in range(4)]
+
+    kept = neardup.written
+
+    def spied(df, name):
+        if name == "rare-pairs":
+            joined[name] = rows_of_join(df)
+        return kept(df, name)
+
+    monkeypatch.setattr(neardup, "written", spied)
+    words = [f"w{i}" for i in range(30)]
+    labelled = spark.createDataFrame([(n, n, " ".join([*words, f"x{n}"])) for n in range(6)], "node long, label long, text string")
+    assert {(r["a"], r["b"]) for r in neardup.rarely_shared(labelled).collect()} == {(a, b) for a in range(6) for b in range(a + 1, 6)}
+    assert joined["rare-pairs"] == [6]
