@@ -34,6 +34,8 @@ text are read; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import zlib
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,8 +54,8 @@ RARE = 64
 SHORT = 40
 #: Tokens that a pair must share to be aligned, among the rarest of both, if it has so many in common at all.
 SHARED = 8
-#: Tokens of a text that travel with each of its rows, to pair two texts once.
-HEAD = 64
+#: Tokens of a text that travel with each of its rows, to pair two texts once: of those that other classes hold too.
+HEAD = 256
 #: Spots of the table that tells what tokens cost (16 MB, whatever the input), and where the
 #: bits of a token's two spots begin.
 TABLE_BITS, SPOTS, SEGMENT_BITS = 24, (0, 30), 16
@@ -230,8 +232,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return python_rows(both.select("a", "b", "text_a", "text_b"), run, "a long, b long", text=("text_a", "text_b"))
 
 
-def tried(nodes: list, labels: list, texts: list) -> list:
-    """The pairs that link the texts of one small key; a pair is tried only while its classes are apart."""
+def tried(key: int, nodes: list, labels: list, texts: list, own: list) -> list:
+    """The pairs that link the texts of one small key; a pair is tried only while its classes are apart, and at the
+    least key that both texts have in ``own``."""
     import numpy as np
 
     known, words = {}, []
@@ -240,7 +243,7 @@ def tried(nodes: list, labels: list, texts: list) -> list:
     n = np.array([len(w) for w in words])
     counts = np.array([np.bincount(np.array(w, np.int64) % COUNTERS, minlength=COUNTERS) for w in words], np.int32)
     roots = np.unique(np.array(labels, np.int64), return_inverse=True)[1]
-    found = []
+    keys, found = [set(k) for k in own], []
     for i in range(len(nodes)):
         others = np.arange(i + 1, len(nodes))
         others = others[roots[others] != roots[i]]
@@ -248,7 +251,7 @@ def tried(nodes: list, labels: list, texts: list) -> list:
         most = longer * (100 - SIMILARITY_PERCENT) // 100
         apart = np.abs(counts[others] - counts[i]).sum(1)
         for j in others[(np.abs(n[others] - n[i]) <= most) & (2 * longer - n[others] - n[i] + apart <= 2 * most)].tolist():
-            if roots[i] != roots[j] and close(words[i], words[j]):
+            if roots[i] != roots[j] and min(keys[i] & keys[j]) == key and close(words[i], words[j]):
                 found.append((nodes[i], nodes[j]))
                 roots[roots == roots[j]] = roots[i]
     return found
@@ -258,7 +261,7 @@ def with_texts(rest: DataFrame, texts: DataFrame) -> DataFrame:
     """The rows of ``rest`` (key, node, label) with what ``texts`` has of each node, which is joined once
     with all its keys (``BANDS`` at most)."""
     own = rest.groupBy("node", "label").agg(F.collect_list("key").alias("own"))
-    return own.join(texts, "node").withColumn("key", F.explode("own")).drop("own")
+    return own.join(texts, "node").withColumn("key", F.explode("own"))
 
 
 def searched(rest: DataFrame, texts: DataFrame) -> DataFrame:
@@ -269,7 +272,7 @@ def searched(rest: DataFrame, texts: DataFrame) -> DataFrame:
         at, held = None, []
 
         def done():
-            found = tried(*(list(c) for c in zip(*held)))
+            found = tried(at, *(list(c) for c in zip(*held)))
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in pieces:
@@ -282,7 +285,7 @@ def searched(rest: DataFrame, texts: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield done()
 
-    return python_rows(rows.select("key", "node", "label", F.coalesce("text", F.lit("")).alias("text")), run, "a long, b long")
+    return python_rows(rows.select("key", "node", "label", F.coalesce("text", F.lit("")).alias("text"), "own"), run, "a long, b long")
 
 
 def levels(texts: DataFrame, size: int) -> bytes:
@@ -350,20 +353,21 @@ def levels(texts: DataFrame, size: int) -> bytes:
         for spot, level in zip(table["spots"].to_pylist(), table["levels"].to_pylist()):
             spot = np.frombuffer(spot, np.uint32)
             made[spot] = np.maximum(made[spot], np.frombuffer(level, np.uint8))
-        return pa.table({"segment": table["segment"].slice(0, 1), "levels": pa.array([made.tobytes()], pa.binary())})
+        return pa.table({"segment": table["segment"].slice(0, 1), "levels": pa.array([zlib.compress(made.tobytes(), 1)], pa.binary())})
 
     sent = python_rows(texts.select("label", "text"), collect, "bucket int, tokens binary, labels binary, n binary")
     spots = sent.groupBy("bucket").applyInArrow(decide, "segment int, spots binary, levels binary")
     table = bytearray(1 << TABLE_BITS)
-    for r in spots.groupBy("segment").applyInArrow(fill, "segment int, levels binary").toLocalIterator():  # a row for each segment at most, whatever the input
-        table[r["segment"] << SEGMENT_BITS : (r["segment"] + 1) << SEGMENT_BITS] = r["levels"]
+    # a row for each segment at most, whatever the input, in one job
+    for r in spots.groupBy("segment").applyInArrow(fill, "segment int, levels binary").collect():
+        table[r["segment"] << SEGMENT_BITS : (r["segment"] + 1) << SEGMENT_BITS] = zlib.decompress(r["levels"])
     release(spark)
     return bytes(table)
 
 
 def prefixes(texts: DataFrame, size: int, name: str = "prefixes") -> DataFrame:
-    """(node, label, n, n_tokens, head, tokens): for each text (node, label, text) the tokens that
-    may pair it with a text of another class, their number and the first ``HEAD`` of them.
+    """(node, label, n, n_tokens, tokens): for each text (node, label, text) the tokens that
+    may pair it with a text of another class, and their number.
 
     Texts of n words or more that are alike have all but ``size`` * n / 5 runs of ``size`` words
     in common, so in any one order of all tokens they share ``SHARED`` of the first
@@ -388,27 +392,93 @@ def prefixes(texts: DataFrame, size: int, name: str = "prefixes") -> DataFrame:
                 runs, level = runs[met], level[met]
                 first = runs[np.lexsort((runs, level))[: max(most, 0)]].view(np.int64)
                 if len(first):
-                    out.append((node, label, n, len(first), np.sort(first[:HEAD]).tolist(), first))
+                    out.append((node, label, n, len(first), first))
             if out:
-                columns = [pa.array(c, pa.list_(pa.int64()) if i > 3 else pa.int64()) for i, c in enumerate(zip(*out))]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "label", "n", "n_tokens", "head", "tokens"])
+                columns = [pa.array(c, pa.list_(pa.int64()) if i == 4 else pa.int64()) for i, c in enumerate(zip(*out))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "label", "n", "n_tokens", "tokens"])
 
-    made = written(python_rows(texts.select("node", "label", "text"), run, "node long, label long, n long, n_tokens long, head array<long>, tokens array<long>"), name)
+    made = written(python_rows(texts.select("node", "label", "text"), run, "node long, label long, n long, n_tokens long, tokens array<long>"), name)
     shared.destroy()
     return made
 
 
-def holders(firsts: DataFrame) -> DataFrame:
-    """(token, held, main): the first tokens that several classes hold, with the number of texts
-    and the class most of them are of."""
-    own = firsts.select("label", F.explode("tokens").alias("token")).groupBy("token", "label").agg(F.count("*").alias("n_own"))
-    held = own.groupBy("token").agg(F.sum("n_own").alias("held"), F.count("*").alias("classes"), F.max_by("label", "n_own").alias("main"))
-    return held.where("classes > 1").drop("classes")
+def dealt(n_buckets: int, by, *columns):
+    """Arrays of numbers as rows (bucket, c0, c1, ...): the bucket of ``by``, and what falls in it of each array."""
+    import numpy as np
+
+    spread = by.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    bucket = (spread * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    filled, first = np.unique(bucket[order], return_index=True)
+    parts = [[x.tobytes() for x in np.split(c[order], first[1:])] if len(filled) else [] for c in (by, *columns)]
+    for i in range(0, len(filled), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(filled[i : i + 64]), *(pa.array(x[i : i + 64], pa.binary()) for x in parts)], ["bucket", *(f"c{k}" for k in range(len(parts)))])
+
 
+def gathered(table: pa.Table) -> list:
+    """The arrays of ``dealt`` that fell in one bucket."""
+    import numpy as np
 
-def holding(firsts: DataFrame, held: DataFrame) -> DataFrame:
-    """The rows (node, label, n, n_tokens, head, token, main) of the tokens of ``held``."""
-    return firsts.withColumn("token", F.explode("tokens")).drop("tokens").join(held.select("token", "main"), "token")
+    return [np.concatenate([np.frombuffer(x, np.int64) for x in table[name].to_pylist()]) for name in table.column_names[1:]]
+
+
+def shared_tokens(firsts: DataFrame) -> DataFrame:
+    """(node, found array<struct<token, main, held>>): the first tokens of a text that several classes hold,
+    with the class most of their texts are of and the number of texts.  Tokens travel in arrays: to
+    buckets of tokens, which tell them, and from there to buckets of nodes."""
+    import numpy as np
+
+    n_tokens = firsts.agg(F.sum("n_tokens")).first()[0] or 0
+    n_buckets = partitions_for(firsts.sparkSession, 4 * 8 * n_tokens)
+
+    def send(batches):
+        held, n_held = [], 0
+        for batch in batches:
+            node, label, tokens = batch.columns
+            each = tokens.value_lengths().to_numpy()
+            held.append((tokens.flatten().to_numpy(), np.repeat(node.to_numpy(), each), np.repeat(label.to_numpy(), each)))
+            n_held += len(held[-1][0])
+            if n_held > 1 << 20:
+                yield from dealt(n_buckets, *map(np.concatenate, zip(*held)))
+                held, n_held = [], 0
+        if n_held:
+            yield from dealt(n_buckets, *map(np.concatenate, zip(*held)))
+
+    def tell(table: pa.Table) -> pa.Table:
+        token, node, label = gathered(table.select(["bucket", "c0", "c1", "c2"]))
+        order = np.lexsort((label, token))
+        token, node, label = token[order], node[order], label[order]
+        new = np.concatenate([[True], token[1:] != token[:-1]])
+        own = np.flatnonzero(new | np.concatenate([[True], label[1:] != label[:-1]]))  # a token's texts of one class
+        n_own = np.diff(np.append(own, len(token)))
+        nth = np.cumsum(new) - 1
+        largest = np.lexsort((n_own, nth[own]))
+        last = np.append(np.flatnonzero(np.diff(nth[own])), len(own) - 1)  # of each token's, the largest comes last
+        main, held = label[own[largest[last]]], np.bincount(nth)
+        met = np.bincount(nth[own])[nth] > 1
+        rows = list(dealt(n_buckets, node[met], token[met], main[nth][met], held[nth][met]))
+        return pa.Table.from_batches(rows, pa.schema([("bucket", pa.int32()), *((f"c{k}", pa.binary()) for k in range(4))]))
+
+    def gather(table: pa.Table) -> pa.Table:
+        node, token, main, held = gathered(table.select(["bucket", "c0", "c1", "c2", "c3"]))
+        order = np.lexsort((token, node))
+        node = node[order]
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        found = pa.StructArray.from_arrays([pa.array(c[order]) for c in (token, main, held)], ["token", "main", "held"])
+        return pa.table({"node": node[first], "found": pa.ListArray.from_arrays(pa.array(np.append(first, len(node)), pa.int32()), found)})
+
+    sent = firsts.select("node", "label", "tokens").mapInArrow(send, "bucket int, c0 binary, c1 binary, c2 binary")
+    told = sent.groupBy("bucket").applyInArrow(tell, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary")
+    return told.groupBy("bucket").applyInArrow(gather, "node long, found array<struct<token:long,main:long,held:long>>")
+
+
+def holding(firsts: DataFrame, met: DataFrame) -> DataFrame:
+    """The rows (node, label, n, n_tokens, head, token, main) of the tokens that ``met`` has of each text, which is
+    joined once, with their number and the least ``HEAD`` of them."""
+    own = met.where(F.size("found") > 0).join(firsts.select("node", "label", "n"), "node")
+    head = F.slice("found.token", 1, HEAD).alias("head")  # in order
+    rows = own.select("node", "label", "n", F.size("found").cast("long").alias("n_tokens"), head, F.explode("found").alias("t"))
+    return rows.select("node", "label", "n", "n_tokens", "head", "t.token", "t.main")
 
 
 def paired(rows: DataFrame, size: int) -> DataFrame:
@@ -441,16 +511,14 @@ def rarely_shared(texts: DataFrame) -> DataFrame:
     They share a rare pair of words; where it is a pair that many texts hold, as of texts that
     are a common passage for the most part, they share a rare word of those texts."""
     firsts = prefixes(texts, 2, "first-pairs")
-    held = written(holders(firsts), "held-pairs")
-    met = written(firsts.select("node", F.explode("tokens").alias("token")).join(held, "token"), "met-pairs")
-    # a text is joined once, with all its rare tokens
-    own = met.where(F.col("held") <= RARE).groupBy("node").agg(F.collect_list(F.struct("token", "main")).alias("rare"))
-    rows = written(own.join(firsts.drop("tokens"), "node").withColumn("t", F.explode("rare")).select("node", "label", "n", "n_tokens", "head", "t.*"), "rare-pairs")
-    common = met.where(F.col("held") > RARE).select("node").distinct()
+    met = written(shared_tokens(firsts), "met-pairs")
+    # texts alike share rare pairs enough, or one that is not rare: both are common then
+    rows = written(holding(firsts, met.withColumn("found", F.filter("found", lambda t: t["held"] <= RARE))), "rare-pairs")
+    common = met.where(F.exists("found", lambda t: t["held"] > RARE)).select("node")
     common = written(texts.join(common, "node", "left_semi"), "common-texts")
-    discard(firsts, held, met)
+    discard(firsts, met)
     words = prefixes(common, 1, "first-words")
-    rare = written(holding(words, holders(words)), "rare-words")
+    rare = written(holding(words, shared_tokens(words)), "rare-words")
     found = written(paired(rows, 2).union(paired(rare, 1)).distinct(), "pairs")
     discard(rows, common, words, rare)
     return found
@@ -461,14 +529,14 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
     while True:
-        heard = both.join(labels, both["a"] == labels["node"]).select(F.col("b").alias("node"), "label")
-        least = heard.union(labels).groupBy("node").agg(F.min("label").alias("label"))
+        heard = both.join(labels, both["a"] == labels["node"]).select(F.col("b").alias("node"), "label", F.lit(None).cast("long").alias("was"))
+        least = heard.union(labels.select("node", "label", F.col("label").alias("was"))).groupBy("node").agg(F.min("label").alias("label"), F.min("was").alias("was"))
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = least.join(far, "label").select("node", F.least("label", "far").alias("label"))
+        new = least.join(far, "label").select("node", F.least("label", "far").alias("label"), "was")
         new = written(new, "labels")
-        same = new.join(labels, ["node", "label"], "left_anti").isEmpty()
+        same = new.where("label <> was").isEmpty()
         discard(labels)
-        labels = new
+        labels = new.select("node", "label")
         if same:
             discard(both)
             release(labels.sparkSession)
@@ -511,8 +579,10 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     labelled = texts.join(short, "node", "left_semi").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "text")
     labelled = written(labelled, "short-texts")
     if not labelled.isEmpty():
-        edges = edges.union(written(verified(rarely_shared(labelled), texts), "accepted"))
-        labels = components(edges)
+        found = written(verified(rarely_shared(labelled), texts), "accepted")
+        if not found.isEmpty():
+            edges = edges.union(found)
+            labels = components(edges)
     rest = mixed(members, labels)
     if not rest.isEmpty():  # the text of each key that meets most others
         meets = rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("met", F.sum("n").over(Window.partitionBy("node")))  # a text has BANDS keys at most

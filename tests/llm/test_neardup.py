@@ -275,3 +275,78 @@ def test_a_text_is_joined_once_with_all_its_keys_and_tokens(spark, monkeypatch):
     labelled = spark.createDataFrame([(n, n, " ".join([*words, f"x{n}"])) for n in range(6)], "node long, label long, text string")
     assert {(r["a"], r["b"]) for r in neardup.rarely_shared(labelled).collect()} == {(a, b) for a in range(6) for b in range(a + 1, 6)}
     assert joined["rare-pairs"] == [6]
+
+
+def test_shared_tokens_agree_with_plain_counts(spark):
+    from collections import Counter, defaultdict
+
+    from folio.llm import neardup
+
+    rng = random.Random(31)
+    rows = [(7 * i - 300, rng.randint(0, 12), sorted(rng.sample([v * (1 << 55) + v for v in range(-120, 120)], rng.randint(1, 30)))) for i in range(150)]
+    holders = defaultdict(list)
+    for node, label, tokens in rows:
+        for t in tokens:
+            holders[t].append(label)
+    firsts = spark.createDataFrame([(n, c, 9, len(t), t) for n, c, t in rows], "node long, label long, n long, n_tokens long, tokens array<long>").repartition(4)
+    found = neardup.shared_tokens(firsts)
+    got = {r["node"]: r["found"] for r in found.collect()}
+    want = {n: [t for t in sorted(tokens) if len(set(holders[t])) > 1] for n, _, tokens in rows}
+    assert {n: [x["token"] for x in f] for n, f in got.items()} == {n: t for n, t in want.items() if t}
+    for f in got.values():
+        for x in f:
+            counts = Counter(holders[x["token"]])
+            assert x["held"] == counts.total() and counts[x["main"]] == max(counts.values())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
+def test_a_pair_is_met_at_one_token_and_tried_at_one_key(spark, monkeypatch):
+    from folio.llm import neardup
+
+    # two long texts of 200 tokens in common: one row, not one for each token
+    tokens = list(range(200))
+    found = neardup.shared_tokens(spark.createDataFrame([(n, n, 900, 200, tokens) for n in (1, 2)], "node long, label long, n long, n_tokens long, tokens array<long>"))
+    rows = neardup.holding(spark.createDataFrame([(1, 1, 900), (2, 2, 900)], "node long, label long, n long"), found)
+    assert all(len(r["head"]) == 200 and r["n_tokens"] == 200 for r in rows.collect())
+    pairs = neardup.paired(rows, 1)
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2)]
+    plans, made = [pairs._jdf.queryExecution().executedPlan()], []
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            plans.append(plan.executedPlan())
+        elif "QueryStage" in plan.nodeName():
+            plans.append(plan.plan())
+        else:
+            if "Join" in plan.nodeName() and "label_a" in plan.simpleString(1000):
+                made.append(plan.metrics().apply("numOutputRows").value())
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    assert made == [1]
+
+    asked = []
+    monkeypatch.setattr(neardup, "close", lambda x, y: asked.append((x, y)))
+    for key in (3, 5, 8):
+        neardup.tried(key, [1, 2], [1, 2], ["a b c d e f", "a b c d e g"], [[8, 5, 3], [9, 5, 8]])
+    assert len(asked) == 1
+
+
+def test_the_table_of_levels_comes_in_one_job(spark):
+    """Not partition by partition: with many partitions that took longer than the work."""
+    from folio.llm import neardup
+
+    texts = spark.createDataFrame([(n, n, " ".join(f"w{(n + k) % 40}" for k in range(20))) for n in range(30)], "node long, label long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    context = spark.sparkContext
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        context.setJobGroup("levels", "levels")
+        table = neardup.levels(texts, 1)
+        jobs = len(context.statusTracker().getJobIdsForGroup("levels"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(table) == 1 << neardup.TABLE_BITS and any(table)
+    assert jobs <= 8, jobs
